@@ -270,3 +270,38 @@ def qa_prompt(context: Column, question: Column, template: str | None = None) ->
 def text_preview(c: Column, n: int = 300) -> Column:
     """First n characters plus '...' when longer; otherwise unchanged."""
     return F.when(F.length(c) > n, F.concat(F.substring(c, 1, n), F.lit("..."))).otherwise(c)
+
+
+def containment_pairs(items: DataFrame, docs: DataFrame, *, item_id: str = "item_id", item_text: str = "text",
+                      doc_id: str = "doc_id", doc_text: str = "text",
+                      max_broadcast_rows: int = 5_000_000) -> DataFrame:
+    """(item_id, doc_id) for every document whose text contains the item's text.
+
+    Exact without an all-pairs join: an interior word of the item (neither first
+    nor last) is a whole whitespace-delimited word of any document containing it.
+    Each item is keyed on its rarest interior word (document frequency computed
+    only for item words), candidate pairs come from an equi-join on that word and
+    are verified with ``contains``.  Items of fewer than three words have no
+    interior word and are checked against every document by a nested loop with
+    the item side broadcast when its size allows.
+    """
+    words = items.select(F.col(item_id).alias("_i"), F.posexplode(split_words(F.col(item_text))).alias("_p", "_w"),
+                         F.size(split_words(F.col(item_text))).alias("_n"))
+    interior = words.where((F.col("_p") >= 1) & (F.col("_p") <= F.col("_n") - 2))
+    doc_words = docs.select(F.col(doc_id).alias("_d"), F.explode(F.array_distinct(split_words(F.col(doc_text))))
+                            .alias("_w"))
+    vocab, _ = bounded_broadcast(interior.select("_w").distinct(), max_broadcast_rows)
+    dfreq = doc_words.join(vocab, "_w", "left_semi").groupBy("_w").agg(F.count(F.lit(1)).alias("_df"))
+    keys = interior.join(dfreq, "_w", "left").fillna(0, ["_df"]) \
+        .groupBy("_i").agg(F.min_by("_w", F.struct("_df", "_p")).alias("_w"))
+    keys, _ = bounded_broadcast(keys, max_broadcast_rows)
+    cand = doc_words.join(keys, "_w").select("_i", "_d")
+    texts_i = items.select(F.col(item_id).alias("_i"), F.col(item_text).alias("_it"))
+    texts_d = docs.select(F.col(doc_id).alias("_d"), F.col(doc_text).alias("_dt"))
+    long_pairs = cand.join(texts_i, "_i").join(texts_d, "_d").where(F.contains(F.col("_dt"), F.col("_it")))
+    short = items.where(F.size(split_words(F.col(item_text))) < 3) \
+        .select(F.col(item_id).alias("_i"), F.col(item_text).alias("_it"))
+    short, _ = bounded_broadcast(short, max_broadcast_rows)
+    short_pairs = texts_d.join(short, F.contains(F.col("_dt"), F.col("_it")))
+    both = long_pairs.select("_i", "_d").unionByName(short_pairs.select("_i", "_d"))
+    return both.select(F.col("_i").alias(item_id), F.col("_d").alias(doc_id))
