@@ -211,3 +211,39 @@ def with_p_value(corr: DataFrame, r: str = "r", n: str = "n", out: str = "p_valu
 def macro_mean(c: Column) -> Column:
     """Unweighted mean of per-pair scores (NULL on empty input)."""
     return F.avg(c)
+
+
+def row_positions(df: DataFrame, order_cols: list[str], *, partitions: int | None = None) -> DataFrame:
+    """``df`` plus ``_pos`` (0-based global position by ``order_cols``) and ``_n`` (row count).
+
+    Range partitioning orders the partitions; each task numbers its own rows and
+    a per-partition count table (one row per partition) supplies the offsets.
+    ``order_cols`` should be a unique key so positions are stable.
+    """
+    parts = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(parts, *order_cols).sortWithinPartitions(*order_cols)
+    schema = T.StructType(ranged.schema.fields + [T.StructField("_pid", T.IntegerType()),
+                                                  T.StructField("_local", T.LongType())])
+
+    def run(batches):
+        import numpy as np
+        from pyspark import TaskContext
+
+        pid = TaskContext.get().partitionId()
+        carried = 0
+        for pdf in batches:
+            pdf = pdf.copy()
+            pdf["_pid"] = pid
+            pdf["_local"] = np.arange(carried, carried + len(pdf), dtype="int64")
+            carried += len(pdf)
+            yield pdf
+
+    local = ranged.mapInPandas(run, schema)
+    totals = local.groupBy("_pid").agg(F.count(F.lit(1)).alias("_tot"))
+    offsets = totals.select(
+        "_pid",
+        F.sum("_tot").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)).alias("_off"),
+        F.sum("_tot").over(Window.partitionBy()).alias("_n"),
+    ).fillna(0, ["_off"])
+    out = local.join(F.broadcast(offsets), "_pid")
+    return out.withColumn("_pos", F.col("_off") + F.col("_local")).drop("_pid", "_local", "_off")

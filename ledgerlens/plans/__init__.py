@@ -5,4 +5,4 @@ from __future__ import annotations
 
 def load_all() -> None:
     """Import every query module so that it registers itself."""
-    from . import eval_queries, events_queries, retrieval_queries, text_queries  # noqa: F401
+    from . import eval_queries, events_queries, prompt_queries, retrieval_queries, source_queries, text_queries  # noqa: F401

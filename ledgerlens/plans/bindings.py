@@ -140,9 +140,17 @@ def part_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("p_partkey").alias("query_id"),
         F.concat(F.lit("What is the "), word, F.lit(" for "), F.col("p_name"), F.lit("?")).alias("question"),
         F.concat(F.lit("T"), (F.col("p_partkey") % 5).cast("string")).alias("ticker"),
+        (F.col("p_partkey") % 1500).alias("company_key"),
     )
 
 
+def customer_fundamentals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """customer rows as fundamentals: P/E = c_acctbal, sector = c_mktsegment, keyed by c_custkey."""
+    c = table(spark, sf_dir, "customer")
+    return c.select(F.col("c_custkey").alias("company_key"), F.col("c_acctbal").alias("pe_ratio"),
+                    F.col("c_mktsegment").alias("sector"))
+
+
 # ----------------------------------------------------------------- conversations
 def conversation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """User turn as reference, the next assistant turn of the conversation as prediction."""
