@@ -23,12 +23,12 @@ def rouge_tokens(text: Column) -> Column:
 
 
 def ngrams(tokens: Column, n: int) -> Column:
+    """Space-joined n-grams of a token array (empty when there are fewer than n tokens)."""
     if n == 1:
         return tokens
-    return F.transform(
-        F.sequence(F.lit(1), F.greatest(F.size(tokens) - n + 1, F.lit(0))),
-        lambda i: F.array_join(F.slice(tokens, i, n), " "),
-    ) if n > 1 else tokens
+    count = F.size(tokens) - n + 1
+    return F.when(count > 0, F.transform(F.sequence(F.lit(1), count), lambda i: F.array_join(F.slice(tokens, i, n), " "))) \
+        .otherwise(F.array().cast("array<string>"))
 
 
 def pair_zip(left: DataFrame, right: DataFrame, key: list[str]) -> DataFrame:
