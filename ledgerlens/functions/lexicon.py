@@ -40,7 +40,9 @@ def entity_extract(text: Column, lexicon: list[str] | None = None) -> Column:
     """Lexicon terms contained in the lower-cased text, in lexicon order."""
     terms = lexicon if lexicon is not None else FINANCIAL_ENTITIES
     low = F.lower(text)
-    return F.filter(F.array(*[F.lit(t) for t in terms]), lambda t: F.contains(low, t))
+    # The tests sit outside the lambda so the lower-cased text is computed once per row.
+    hits = F.array(*[F.when(F.contains(low, F.lit(t)), F.lit(t)) for t in terms])
+    return F.filter(hits, lambda t: t.isNotNull())
 
 
 def numeric_entities(text: Column, patterns: list[str] | None = None) -> Column:

@@ -139,12 +139,32 @@ def chunk_starts(words: Column, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVE
     return F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(step))).otherwise(F.array().cast("array<int>"))
 
 
-def chunk_words(text: Column, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> Column:
-    """Array of chunk strings: windows of ``size`` words every ``size - overlap`` words."""
-    words = split_words(text)
+def chunks_from_words(words: Column, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> Column:
+    """Array of chunk strings from a word-array column.
+
+    Pass a column that is already materialised (a projected ``split_words``):
+    a word expression referenced inside the lambda would be re-split per chunk.
+    """
     return F.transform(chunk_starts(words, size, overlap), lambda s: F.array_join(F.slice(words, s + 1, size), " "))
 
 
+def chunk_words(text: Column, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> Column:
+    """Array of chunk strings: windows of ``size`` words every ``size - overlap`` words.
+
+    Single-expression form; DataFrame code should project ``split_words`` first
+    and call ``chunks_from_words`` (see ``operators.documents.chunk_documents``).
+    """
+    return chunks_from_words(split_words(text), size, overlap)
+
+
+def with_chunks(df, text: str = "text", out: str = "_chunks", size: int = CHUNK_SIZE,
+                overlap: int = CHUNK_OVERLAP, keep: list[str] | None = None):
+    """``df`` projected to ``keep`` + ``out`` (chunk array), splitting each text once."""
+    cols = keep if keep is not None else [c for c in df.columns if c != text]
+    words = df.select(*cols, split_words(F.col(text)).alias("_words"))
+    return words.select(*cols, chunks_from_words(F.col("_words"), size, overlap).alias(out))
+
+
 # ------------------------------------------------------------------ match offsets
 def match_starts(text: Column, pattern: str) -> Column:
     """0-based code-point start offsets of the non-overlapping matches of ``pattern``.

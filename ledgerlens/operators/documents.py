@@ -34,7 +34,7 @@ from ..constants import (
     SECTION_SEARCH_OFFSET,
     TOC_SKIP_CHARS,
 )
-from ..functions.text import chunk_words, html_to_text, match_starts, py_regex, py_strip, word_starts
+from ..functions.text import html_to_text, match_starts, py_regex, py_strip, with_chunks, word_starts
 
 
 def _empty_int() -> Column:
@@ -162,7 +162,7 @@ def extract_sections(df: DataFrame, text: str = "text", filing_type: str = "fili
             entries.append(F.when(ok, F.struct(F.lit(sec).alias("section"),
                                                F.substring(body, 1, SECTION_KEEP_CHARS).alias("text"))))
         per_type = F.when(ftype == F.lit(t), F.filter(F.array(*entries), lambda e: e.isNotNull())).otherwise(per_type)
-    secs_df = stage3.select(*keep, F.explode(per_type).alias("_s"))
+    secs_df = stage3.select(*keep, F.explode_outer(per_type).alias("_s")).where(F.col("_s").isNotNull())
     return secs_df.select(*keep, F.col("_s.section").alias("section"), F.col("_s.text").alias("text"))
 
 
@@ -191,16 +191,14 @@ def chunk_documents(docs: DataFrame, *, size: int = CHUNK_SIZE, overlap: int = C
     """
     keep = [c for c in docs.columns if c not in (text, "metadata")]
     has_meta = "metadata" in docs.columns
-    exploded = docs.select(
-        *keep,
-        *([F.col("metadata")] if has_meta else []),
-        chunk_words(F.col(text), size, overlap).alias("_chunks"),
-    )
-    rows = exploded.select(
-        *keep, *(["metadata"] if has_meta else []),
-        F.size("_chunks").alias("_total"),
-        F.posexplode("_chunks").alias("chunk_id", "text"),
-    )
+    base = keep + (["metadata"] if has_meta else [])
+    # Split once, chunk from the projected words, then size and explode the projected chunks.
+    staged = with_chunks(docs, text, "_chunks", size, overlap, keep=base)
+    sized = staged.select(*base, "_chunks", F.size("_chunks").alias("_total"))
+    # _outer: a plain explode makes Spark infer size(_chunks) > 0 and push it below
+    # the projections, which re-evaluates the whole split/chunk expression.
+    rows = sized.select(*base, "_total", F.posexplode_outer("_chunks").alias("chunk_id", "text")) \
+        .where(F.col("chunk_id").isNotNull())
     meta_fields = [F.col(f"metadata.{f}") for f in docs.schema["metadata"].dataType.names] if has_meta else []
     return rows.select(
         *keep,

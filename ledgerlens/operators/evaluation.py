@@ -51,12 +51,14 @@ def rouge_n(pairs: DataFrame, n: int, *, key: list[str], prediction: str = "pred
     grouped aggregation (map-side partial counts), then clipped overlaps are summed
     per pair.  Pairs with no n-grams on either side score 0.
     """
-    base = pairs.select(*key, ngrams(rouge_tokens(F.col(reference)), n).alias("_r"),
-                        ngrams(rouge_tokens(F.col(prediction)), n).alias("_h"))
-    grams = base.select(*key, F.explode(F.concat(
+    # Tokens are projected first: an expression inside the n-gram lambda would be
+    # re-evaluated for every n-gram.
+    toks = pairs.select(*key, rouge_tokens(F.col(reference)).alias("_rt"), rouge_tokens(F.col(prediction)).alias("_ht"))
+    base = toks.select(*key, ngrams(F.col("_rt"), n).alias("_r"), ngrams(F.col("_ht"), n).alias("_h"))
+    grams = base.select(*key, F.explode_outer(F.concat(
         F.transform("_r", lambda g: F.struct(g.alias("g"), F.lit(1).alias("r"), F.lit(0).alias("h"))),
         F.transform("_h", lambda g: F.struct(g.alias("g"), F.lit(0).alias("r"), F.lit(1).alias("h"))),
-    )).alias("_x"))
+    )).alias("_x")).where(F.col("_x").isNotNull())
     counts = grams.groupBy(*key, F.col("_x.g").alias("g")).agg(F.sum("_x.r").alias("cr"), F.sum("_x.h").alias("ch"))
     overlap = counts.groupBy(*key).agg(F.sum(F.least("cr", "ch")).alias("_m"))
     sizes = base.select(*key, F.size("_r").alias("_nr"), F.size("_h").alias("_nh"))

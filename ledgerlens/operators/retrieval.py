@@ -178,9 +178,11 @@ def term_overlap(queries: DataFrame, docs: DataFrame, *, query_id: str = "query_
     then costs no shuffle skew); documents are exploded map-side and aggregated
     partially before the shuffle on (query_id, doc_id).
     """
-    qt = queries.select(F.col(query_id).alias("_q"), F.explode(distinct_words(F.col(query_text))).alias("_term"))
+    qt = queries.select(F.col(query_id).alias("_q"), F.explode_outer(distinct_words(F.col(query_text))).alias("_term")) \
+        .where(F.col("_term").isNotNull())
     qt, _ = bounded_broadcast(qt, max_broadcast_terms)
-    dt = docs.select(F.col(doc_id).alias("_d"), F.explode(distinct_words(F.col(doc_text))).alias("_term"))
+    dt = docs.select(F.col(doc_id).alias("_d"), F.explode_outer(distinct_words(F.col(doc_text))).alias("_term")) \
+        .where(F.col("_term").isNotNull())
     pairs = dt.join(qt, "_term")
     return pairs.groupBy(F.col("_q").alias(query_id), F.col("_d").alias(doc_id)).agg(
         F.count(F.lit(1)).alias("overlap"))
@@ -288,8 +290,8 @@ def containment_pairs(items: DataFrame, docs: DataFrame, *, item_id: str = "item
     words = items.select(F.col(item_id).alias("_i"), F.posexplode(split_words(F.col(item_text))).alias("_p", "_w"),
                          F.size(split_words(F.col(item_text))).alias("_n"))
     interior = words.where((F.col("_p") >= 1) & (F.col("_p") <= F.col("_n") - 2))
-    doc_words = docs.select(F.col(doc_id).alias("_d"), F.explode(F.array_distinct(split_words(F.col(doc_text))))
-                            .alias("_w"))
+    doc_words = docs.select(F.col(doc_id).alias("_d"), F.explode_outer(F.array_distinct(split_words(F.col(doc_text))))
+                            .alias("_w")).where(F.col("_w").isNotNull())
     vocab, _ = bounded_broadcast(interior.select("_w").distinct(), max_broadcast_rows)
     dfreq = doc_words.join(vocab, "_w", "left_semi").groupBy("_w").agg(F.count(F.lit(1)).alias("_df"))
     keys = interior.join(dfreq, "_w", "left").fillna(0, ["_df"]) \

@@ -82,8 +82,9 @@ SELECT doc_id, CAST(st // {STEP} AS INTEGER) AS chunk_id,
 FROM (SELECT doc_id, words, unnest(range(0, len(words), {STEP})) AS st FROM w)""")
 def q_chunk_words(spark, sf_dir):
     """#21: windows of 512 words every 412 words over whole documents."""
-    d = b.table(spark, sf_dir, "documents")
-    return d.select("doc_id", F.posexplode(tx.chunk_words(F.col("text"))).alias("chunk_id", "text")).select(
+    d = tx.with_chunks(b.table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return d.select("doc_id", F.posexplode_outer("_chunks").alias("chunk_id", "text")).where(
+        F.col("chunk_id").isNotNull()).select(
         "doc_id", F.col("chunk_id").cast("int").alias("chunk_id"), "text")
 
 
@@ -122,8 +123,8 @@ SELECT ticker, count(*) AS n_docs, sum(len(range(0, len(words), {STEP}))) AS n_c
 FROM w WHERE len(words) > 0 GROUP BY ticker""")
 def q_drop_empty_results(spark, sf_dir):
     """#31: per-document chunk lists that are empty are skipped before concatenation."""
-    d = b.table(spark, sf_dir, "documents").select(F.col("source").alias("ticker"),
-                                                    tx.chunk_words(F.col("text")).alias("chunks"))
+    d = tx.with_chunks(b.table(spark, sf_dir, "documents").withColumnRenamed("source", "ticker"),
+                       out="chunks", keep=["ticker"])
     return d.where(F.size("chunks") > 0).groupBy("ticker").agg(
         F.count(F.lit(1)).alias("n_docs"), F.sum(F.size("chunks")).cast("long").alias("n_chunks"))
 

@@ -58,3 +58,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared checkpoint folder for a written table."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def spread(df):
+    """Round-robin a scan over the cluster's cores when it arrives in fewer partitions.
+
+    CPU-heavy row-local work (regex, splitting, chunking) runs in the scan's
+    tasks; a table stored as one large row group would run it on one core.  When
+    the scan already has at least ``defaultParallelism`` partitions (the normal
+    case for a large table) this is a no-op and adds no shuffle.
+    """
+    target = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
