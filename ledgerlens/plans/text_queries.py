@@ -8,6 +8,7 @@ from ..constants import CHUNK_OVERLAP, CHUNK_SIZE, WS_CLASS, WS_RUN
 from ..functions import text as tx
 from ..operators import documents as dc
 from . import bindings as b
+from . import section_sql
 from .registry import register
 
 STEP = CHUNK_SIZE - CHUNK_OVERLAP
@@ -134,7 +135,9 @@ def synthetic_sections(spark, sf_dir):
     return dc.extract_sections(f.select("ticker", "filing_type", "filing_date", "file_path", "text"))
 
 
-@register("section_extract")
+@register("section_extract", f"""WITH {section_sql.filings_sql()}, {section_sql.sections_sql()}
+SELECT ticker, filing_type, filing_date, section, length(stext) AS text_length, substr(stext, 1, 80) AS head
+FROM kept""")
 def q_section_extract(spark, sf_dir):
     """#19: sections cut from one synthetic filing per (source, doc block); checked in pytest."""
     s = synthetic_sections(spark, sf_dir)
@@ -142,7 +145,9 @@ def q_section_extract(spark, sf_dir):
                     F.substring("text", 1, 80).alias("head"))
 
 
-@register("parse_filing")
+@register("parse_filing", f"""WITH {section_sql.filings_sql()}, {section_sql.sections_sql()}
+SELECT ticker, filing_type, filing_date, section, file_path, length(stext) AS text_length FROM kept
+WHERE length(regexp_replace(stext, {_STRIP}, '', 'g')) > 100""")
 def q_parse_filing(spark, sf_dir):
     """#20: filing HTML -> text -> sections -> section rows with metadata."""
     f = b.synthetic_filings(spark, sf_dir)
@@ -152,7 +157,13 @@ def q_parse_filing(spark, sf_dir):
                        "metadata.text_length")
 
 
-@register("process_filings")
+@register("process_filings", f"""WITH {section_sql.filings_sql()}, {section_sql.sections_sql()},
+w AS (SELECT ticker, filing_type, filing_date, section, {_WORDS.replace('(text,', '(stext,')} AS words FROM kept
+      WHERE length(regexp_replace(stext, {_STRIP}, '', 'g')) > 100),
+c AS (SELECT *, unnest(range(0, len(words), {STEP})) AS st, len(range(0, len(words), {STEP})) AS total FROM w)
+SELECT ticker, filing_type, filing_date, section, CAST(st // {STEP} AS INTEGER) AS chunk_id,
+       CAST(total AS INTEGER) AS total_chunks,
+       length(array_to_string(list_slice(words, st + 1, st + {CHUNK_SIZE}), ' ')) AS chunk_chars FROM c""")
 def q_process_filings(spark, sf_dir):
     """#23: whole filing table -> chunks in one plan."""
     f = b.synthetic_filings(spark, sf_dir)
