@@ -186,6 +186,24 @@ def match_starts(text: Column, pattern: str) -> Column:
     return F.coalesce(acc["starts"], F.array().cast("array<int>"))
 
 
+def match_spans(text: Column, pattern: str) -> Column:
+    """array<struct<s:int, m:string>>: start offset and text of each non-overlapping match."""
+    pieces = F.split(text, pattern, -1)
+    matches = F.regexp_extract_all(text, F.lit(pattern), 0)
+    pairs = F.arrays_zip(F.slice(pieces, 1, F.greatest(F.size(pieces) - 1, F.lit(0))).alias("p"), matches.alias("m"))
+    empty = F.array().cast("array<struct<s:int,m:string>>")
+    acc = F.aggregate(
+        pairs,
+        F.struct(F.lit(0).alias("pos"), empty.alias("spans")),
+        lambda a, x: F.struct(
+            (a["pos"] + F.length(x["p"]) + F.length(x["m"])).alias("pos"),
+            F.concat(a["spans"], F.array(F.struct((a["pos"] + F.length(x["p"])).cast("int").alias("s"),
+                                                  x["m"].alias("m")))).alias("spans"),
+        ),
+    )
+    return F.coalesce(acc["spans"], empty)
+
+
 def word_starts(text: Column, word: str) -> Column:
     """Start offsets of a literal word, case-insensitive."""
     return match_starts(text, "(?iu)" + _quote(word))

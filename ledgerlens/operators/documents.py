@@ -34,7 +34,7 @@ from ..constants import (
     SECTION_SEARCH_OFFSET,
     TOC_SKIP_CHARS,
 )
-from ..functions.text import html_to_text, match_starts, py_regex, py_strip, with_chunks, word_starts
+from ..functions.text import html_to_text, match_spans, py_regex, py_strip, with_chunks
 
 
 def _empty_int() -> Column:
@@ -94,53 +94,77 @@ def _best_span(n: Column, starts: Column, items: Column, toc_skip: int) -> Colum
     return F.when(F.size(starts) == 0, F.lit(None)).when(best["s"] >= 0, best).otherwise(fallback)
 
 
+def _item_alt(alt: str) -> bool:
+    return alt.upper().startswith("ITEM")
+
+
+def _full(pattern: str) -> str:
+    return "^" + py_regex("(?:" + pattern + ")") + "$"
+
+
+def _starts_where(spans: Column, pattern: str) -> Column:
+    """Starts of the spans whose whole text matches ``pattern`` (case-insensitive)."""
+    full = _full(pattern)
+    return F.transform(F.filter(spans, lambda x: F.regexp_like(x["m"], F.lit(full))), lambda x: x["s"])
+
+
 def extract_sections(df: DataFrame, text: str = "text", filing_type: str = "filing_type",
                      patterns: dict | None = None, toc_skip: int = TOC_SKIP_CHARS) -> DataFrame:
     """One row per kept section: the input columns (minus ``text``) + section, text.
 
-    Unknown filing types give no rows.  Each offset array is computed once per
-    row, and only for the patterns the row's filing type uses: stage 1 finds
-    regex and word offsets, stage 2 merges them into match starts, stage 3 picks
-    the spans.
+    Unknown filing types give no rows.  The text is scanned twice per row: once
+    for every ``ITEM n.`` heading (each section's ``ITEM`` alternative matches a
+    subset of those, at the same offsets) and once for all phrase words, which
+    never overlap one another.  Each section's match starts are then filtered
+    from these two arrays; the greedy ``w1.*w2.*w3`` alternative is evaluated from
+    the word offsets.
     """
     patterns = patterns or SECTION_PATTERNS
     keep = [c for c in df.columns if c != text]
     ftype = F.col(filing_type)
 
-    users: dict[str, set] = {}
-    for t, secs in patterns.items():
+    phrases: list[str] = []
+    for secs in patterns.values():
         for pat in secs.values():
-            users.setdefault(pat, set()).add(t)
-    regexes: dict[str, set] = {}
-    words: dict[str, set] = {}
-    for pat, types in users.items():
-        plain, chains = _alternatives(pat)
-        if plain:
-            regexes.setdefault(py_regex("(?:" + "|".join(plain) + ")"), set()).update(types)
-        for ch in chains:
-            for w in ch:
-                words.setdefault(w, set()).update(types)
-    rx_name = {r: f"_rx{i}" for i, r in enumerate(regexes)}
-    w_name = {w: f"_w{i}" for i, w in enumerate(words)}
-    guard = lambda types, e: F.when(ftype.isin(*sorted(types)), e)
-
+            plain, chains = _alternatives(pat)
+            for alt in plain:
+                if not _item_alt(alt) and alt not in phrases:
+                    phrases.append(alt)
+            for ch in chains:
+                for w in ch:
+                    q = _quote_word(w)
+                    if q not in phrases:
+                        phrases.append(q)
     stage1 = df.select(
         *keep, F.col(text).alias("_text"), F.length(text).alias("_n"),
-        match_starts(F.col(text), py_regex(NEXT_ITEM_PATTERN)).alias("_items"),
-        *[guard(t, match_starts(F.col(text), r)).alias(rx_name[r]) for r, t in regexes.items()],
-        *[guard(t, word_starts(F.col(text), w)).alias(w_name[w]) for w, t in words.items()],
+        match_spans(F.col(text), py_regex(NEXT_ITEM_PATTERN)).alias("_items"),
+        (match_spans(F.col(text), py_regex("(?:" + "|".join(phrases) + ")")) if phrases
+         else F.array().cast("array<struct<s:int,m:string>>")).alias("_phr"),
     )
+
+    users: dict[str, set] = {}
+    for t, secs in patterns.items():
+        for pat in secs.values():
+            users.setdefault(pat, set()).add(t)
     p_name = {p: f"_p{i}" for i, p in enumerate(users)}
     merged = []
     for pat, types in users.items():
         plain, chains = _alternatives(pat)
-        starts = F.col(rx_name[py_regex("(?:" + "|".join(plain) + ")")]) if plain else _empty_int()
+        parts = []
+        items = [a for a in plain if _item_alt(a)]
+        others = [a for a in plain if not _item_alt(a)]
+        if items:
+            parts.append(_starts_where(F.col("_items"), "|".join(items)))
+        if others:
+            parts.append(_starts_where(F.col("_phr"), "|".join(others)))
+        starts = F.concat(*parts) if parts else _empty_int()
         for ch in chains:
-            span = _chain_span([F.col(w_name[w]) for w in ch], ch)
-            kept = F.filter(starts, _outside(span))
-            starts = F.when(span.isNull(), starts).otherwise(F.concat(kept, F.array(span["start"])))
-        merged.append(guard(types, F.array_sort(starts)).alias(p_name[pat]))
-    stage2 = stage1.select(*keep, "_text", "_n", "_items", *merged)
+            word_cols = [_starts_where(F.col("_phr"), _quote_word(w)) for w in ch]
+            span = _chain_span(word_cols, ch)
+            starts = F.when(span.isNull(), starts).otherwise(F.concat(F.filter(starts, _outside(span)),
+                                                                       F.array(span["start"])))
+        merged.append(F.when(ftype.isin(*sorted(types)), F.array_sort(starts)).alias(p_name[pat]))
+    stage2 = stage1.select(*keep, "_text", "_n", F.transform("_items", lambda x: x["s"]).alias("_istarts"), *merged)
 
     b_name = {}
     spans = []
@@ -148,7 +172,7 @@ def extract_sections(df: DataFrame, text: str = "text", filing_type: str = "fili
         for sec, pat in secs.items():
             name = f"_b{len(b_name)}"
             b_name[(t, sec)] = name
-            spans.append(F.when(ftype == F.lit(t), _best_span(F.col("_n"), F.col(p_name[pat]), F.col("_items"),
+            spans.append(F.when(ftype == F.lit(t), _best_span(F.col("_n"), F.col(p_name[pat]), F.col("_istarts"),
                                                                toc_skip)).alias(name))
     stage3 = stage2.select(*keep, "_text", *spans)
 
@@ -162,10 +186,16 @@ def extract_sections(df: DataFrame, text: str = "text", filing_type: str = "fili
             entries.append(F.when(ok, F.struct(F.lit(sec).alias("section"),
                                                F.substring(body, 1, SECTION_KEEP_CHARS).alias("text"))))
         per_type = F.when(ftype == F.lit(t), F.filter(F.array(*entries), lambda e: e.isNotNull())).otherwise(per_type)
+    # explode_outer + filter: a plain explode lets Spark push an inferred size() > 0
+    # filter below the projections, which would recompute every stage.
     secs_df = stage3.select(*keep, F.explode_outer(per_type).alias("_s")).where(F.col("_s").isNotNull())
     return secs_df.select(*keep, F.col("_s.section").alias("section"), F.col("_s.text").alias("text"))
 
 
+def _quote_word(w: str) -> str:
+    return "".join("\\" + ch if not ch.isalnum() and ch != " " else ch for ch in w)
+
+
 def parse_filing(filings: DataFrame, *, html: str = "html", text_is_html: bool = True) -> DataFrame:
     """Filing rows (ticker, filing_type, filing_date, file_path, html) -> one row per section.
 
