@@ -83,6 +83,16 @@ DECOMPOSE_RULES = [
 DECOMPOSE_FALLBACK = ("general_analysis", "General financial analysis", "financial_analyst", None)
 DEFAULT_ANALYST_SECTION = "MD&A"
 
+# Agents registered with the orchestrator: role -> agent name (a section
+# specialist exists but is not registered, so its tasks would be skipped).
+AGENT_REGISTRY = [
+    ("query_decomposer", "Query Decomposer"),
+    ("financial_analyst", "Financial Analyst"),
+    ("risk_analyst", "Risk Analyst"),
+    ("price_analyst", "Price Analyst"),
+    ("synthesis", "Synthesis Agent"),
+]
+
 # Prompt template of the question-answering engine.
 QA_TEMPLATE = """You are a financial analyst expert. Use the following context from SEC filings to answer the question.
 

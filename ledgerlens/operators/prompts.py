@@ -76,6 +76,22 @@ def decompose(questions: DataFrame, *, query_id: str = "query_id", question: str
                             .alias("ordinal", "_t")).select(*keep, question, "ordinal", "_t.*")
 
 
+def agent_registry(spark) -> DataFrame:
+    """The registered agents as a small dimension table (role, agent_name)."""
+    from ..constants import AGENT_REGISTRY
+
+    return spark.createDataFrame(AGENT_REGISTRY, "role string, agent_name string")
+
+
+def dispatch_tasks(tasks: DataFrame, agents: DataFrame | None = None) -> DataFrame:
+    """Tasks joined to the agent that handles their role; a role without an agent is skipped.
+
+    The registry is a fixed handful of rows, broadcast to the tasks.
+    """
+    reg = agents if agents is not None else agent_registry(tasks.sparkSession)
+    return tasks.join(F.broadcast(reg), "role", "inner")
+
+
 def analyst_section(section: Column) -> Column:
     """The analyst's section: the task's section, MD&A when the task carries none."""
     return F.coalesce(section, F.lit(DEFAULT_ANALYST_SECTION))

@@ -108,6 +108,16 @@ def q_array_set_intersect(spark, sf_dir):
                                                          lx.entity_extract(F.col("reference"), _LEX))).alias("common"))
 
 
+_CBA_SQL = f"""{_PAIRS}, {_ENT}, {_rouge_sql(1)}, {_rouge_sql(2)},
+s AS (SELECT p.conv_id % 2 AS half, r1.rouge1, r2.rouge2, prf.f1
+      FROM pairs p JOIN r1 USING (conv_id, turn) JOIN r2 USING (conv_id, turn) JOIN prf USING (conv_id, turn)),
+l AS (SELECT half, 'rouge1' AS metric, avg(rouge1) AS v FROM s GROUP BY 1 UNION ALL
+      SELECT half, 'rouge2', avg(rouge2) FROM s GROUP BY 1 UNION ALL SELECT half, 'entity_f1', avg(f1) FROM s GROUP BY 1),
+cba AS (SELECT b.metric, b.v AS before, a.v AS after, a.v - b.v AS delta,
+               CASE WHEN b.v > 0 THEN (a.v - b.v) / b.v * 100 ELSE 0.0 END AS pct_change
+        FROM l b JOIN l a ON a.metric = b.metric AND b.half = 0 AND a.half = 1)"""
+
+
 @register("compare_before_after", f"""WITH {_PAIRS}, {_ENT}, {_rouge_sql(1)}, {_rouge_sql(2)},
 s AS (SELECT p.conv_id % 2 AS half, r1.rouge1, r2.rouge2, prf.f1
       FROM pairs p JOIN r1 USING (conv_id, turn) JOIN r2 USING (conv_id, turn) JOIN prf USING (conv_id, turn)),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..constants import CHAIN_TEMPLATES, DECOMPOSE_FALLBACK, DECOMPOSE_RULES, QUERY_ROUTES, QUERY_TYPES, WS_CLASS
+from ..constants import AGENT_REGISTRY, CHAIN_TEMPLATES, DECOMPOSE_FALLBACK, DECOMPOSE_RULES, QUERY_ROUTES, QUERY_TYPES, WS_CLASS
 from ..operators import prompts as pr
 from ..operators import retrieval as rt
 from . import bindings as b
@@ -68,6 +68,22 @@ def q_decompose_query(spark, sf_dir):
                     "section")
 
 
+_AGENTS_SQL = "agents AS (SELECT * FROM (VALUES " + ", ".join(
+    f"('{r}', '{n}')" for r, n in AGENT_REGISTRY) + ") AS a(role, agent_name))"
+
+
+@register("task_agent_dispatch", f"""WITH {_PQ}, {_decompose_sql()}, {_AGENTS_SQL},
+st AS (SELECT query_id, ordinal, CASE WHEN query_id % 7 = 0 THEN 'section_specialist' ELSE role END AS role FROM tasks)
+SELECT st.query_id, st.ordinal, st.role, agents.agent_name FROM st JOIN agents USING (role)""")
+def q_task_agent_dispatch(spark, sf_dir):
+    """#39: each task goes to the agent registered for its role; unregistered roles (every 7th
+    question is sent to the unregistered section specialist here) are skipped."""
+    d = pr.decompose(b.part_questions(spark, sf_dir).select("query_id", "question"))
+    t = d.select("query_id", F.col("ordinal").cast("int").alias("ordinal"),
+                 F.when(F.col("query_id") % 7 == 0, F.lit("section_specialist")).otherwise(F.col("role")).alias("role"))
+    return pr.dispatch_tasks(t).select("query_id", "ordinal", "role", "agent_name")
+
+
 def _answer(task_id, query_id):
     return F.concat(F.lit("answer to "), task_id, F.lit(" #"), query_id.cast("string"))
 

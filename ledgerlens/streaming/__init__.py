@@ -1,0 +1,8 @@
+"""Streaming operators.
+
+The analysed system has no streaming path: no watermarks, event-time windows,
+stateful operators or late-data rules; every entry point is batch.  Nothing is
+implemented here on purpose.  The batch operators take DataFrames, so they can
+be applied inside ``foreachBatch`` of a file stream over a landing folder if a
+deployment needs incremental indexing.
+"""
