@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import FUNDAMENTAL_FIELDS
@@ -12,16 +12,18 @@ def price_scan(prices: DataFrame, *, ts: str = "ts", start: str | None = None, e
                trailing_months: int | None = 60, key: str = "ticker") -> DataFrame:
     """Price rows by range when both ends are given (end exclusive), else a trailing period per series.
 
-    The trailing period is measured back from each series' last row (a windowed
-    max per key, no self-join).
+    The trailing period is measured back from each series' last row.  The last
+    row per key is a partially aggregated ``max`` (one row per key) joined back,
+    so a hot ticker is never gathered into one task.
     """
     if start and end:
         return prices.where((F.col(ts) >= F.lit(start).cast("timestamp_ntz")) & (F.col(ts) < F.lit(end).cast("timestamp_ntz")))
     if trailing_months is None:
         return prices
-    last = F.max(ts).over(Window.partitionBy(key))
-    return prices.withColumn("_last", last).where(
-        F.col(ts) >= F.add_months(F.col("_last").cast("date"), -int(trailing_months)).cast("timestamp_ntz")).drop("_last")
+    last = prices.groupBy(key).agg(F.max(ts).alias("_last"))
+    since = last.select(key, F.add_months(F.col("_last").cast("date"), -int(trailing_months))
+                        .cast("timestamp_ntz").alias("_since"))
+    return prices.join(since, key).where(F.col(ts) >= F.col("_since")).drop("_since")
 
 
 def earnings_dates_scan(calendar: DataFrame, *, date_col: str, ticker: str = "ticker") -> DataFrame:
