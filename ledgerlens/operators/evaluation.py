@@ -17,9 +17,14 @@ from ..functions.lexicon import entity_extract
 _TOKEN = "[a-z0-9]+"
 
 
-def rouge_tokens(text: Column) -> Column:
-    """Lower-cased ``[a-z0-9]+`` runs (the ROUGE tokenizer, without stemming)."""
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(_TOKEN), 0)
+def rouge_tokens(text: Column, stem: bool = False) -> Column:
+    """Lower-cased ``[a-z0-9]+`` runs (the ROUGE tokenizer); ``stem`` Porter-stems tokens over 3 characters."""
+    toks = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(_TOKEN), 0)
+    if stem:
+        from ..functions.stem import stem_tokens
+
+        return stem_tokens(toks)
+    return toks
 
 
 def ngrams(tokens: Column, n: int) -> Column:
@@ -44,16 +49,18 @@ def unmatched_pairs(left: DataFrame, right: DataFrame, key: list[str]) -> DataFr
 
 
 def rouge_n(pairs: DataFrame, n: int, *, key: list[str], prediction: str = "prediction",
-            reference: str = "reference") -> DataFrame:
+            reference: str = "reference", stem: bool = False) -> DataFrame:
     """Per pair ROUGE-n F-measure ``rouge{n}`` = 2 * overlap / (ref n-grams + pred n-grams).
 
     N-grams of both sides are exploded and counted per (pair, n-gram) with one
     grouped aggregation (map-side partial counts), then clipped overlaps are summed
-    per pair.  Pairs with no n-grams on either side score 0.
+    per pair.  Pairs with no n-grams on either side score 0.  ``stem=True``
+    reproduces the reference scorer, which Porter-stems tokens.
     """
     # Tokens are projected first: an expression inside the n-gram lambda would be
     # re-evaluated for every n-gram.
-    toks = pairs.select(*key, rouge_tokens(F.col(reference)).alias("_rt"), rouge_tokens(F.col(prediction)).alias("_ht"))
+    toks = pairs.select(*key, rouge_tokens(F.col(reference), stem).alias("_rt"),
+                        rouge_tokens(F.col(prediction), stem).alias("_ht"))
     base = toks.select(*key, ngrams(F.col("_rt"), n).alias("_r"), ngrams(F.col("_ht"), n).alias("_h"))
     grams = base.select(*key, F.explode_outer(F.concat(
         F.transform("_r", lambda g: F.struct(g.alias("g"), F.lit(1).alias("r"), F.lit(0).alias("h"))),
@@ -100,10 +107,11 @@ def _rouge_l_udf(ref: pd.Series, pred: pd.Series) -> pd.Series:
 
 
 def rouge_l(pairs: DataFrame, *, key: list[str], prediction: str = "prediction",
-            reference: str = "reference") -> DataFrame:
+            reference: str = "reference", stem: bool = False) -> DataFrame:
     """Per pair ROUGE-L F-measure (LCS over tokens); the LCS runs in an Arrow batch UDF."""
-    return pairs.select(*key, _rouge_l_udf(rouge_tokens(F.col(reference)),
-                                           rouge_tokens(F.col(prediction))).alias("rougeL"))
+    toks = pairs.select(*key, rouge_tokens(F.col(reference), stem).alias("_rt"),
+                        rouge_tokens(F.col(prediction), stem).alias("_ht"))
+    return toks.select(*key, _rouge_l_udf(F.col("_rt"), F.col("_ht")).alias("rougeL"))
 
 
 def entity_prf(pairs: DataFrame, *, key: list[str], lexicon: list[str] | None = None,

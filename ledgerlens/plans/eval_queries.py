@@ -79,6 +79,14 @@ prf AS (SELECT conv_id, turn,
        ELSE 0.0 END AS f1 FROM prf1)"""
 
 
+@register("rouge_stemmed")
+def q_rouge_stemmed(spark, sf_dir):
+    """#41/#42 with Porter stemming (the reference scorer's setting); checked in pytest."""
+    p = _pairs(spark, sf_dir)
+    return ev.rouge_n(p, 1, key=KEY, stem=True).join(ev.rouge_n(p, 2, key=KEY, stem=True), KEY) \
+        .join(ev.rouge_l(p, key=KEY, stem=True), KEY)
+
+
 @register("entity_prf", f"""WITH {_PAIRS}, {_ENT}
 SELECT conv_id, turn, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1 FROM prf""")
 def q_entity_prf(spark, sf_dir):

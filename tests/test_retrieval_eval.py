@@ -180,3 +180,38 @@ def test_containment_pairs_exact(spark):
     exp = sorted((i, d) for i, it in [(1, "b c d"), (2, "x"), (3, "c d e f")]
                  for d, dt in [(10, "a b c d e"), (11, "xb c dx"), (12, "c d e f g"), (13, "y")] if it in dt)
     assert got == exp
+
+
+def test_porter_stems():
+    from ledgerlens.functions.stem import porter_stem, stem_token
+
+    cases = {"caresses": "caress", "ponies": "poni", "ties": "tie", "agreed": "agre", "motoring": "motor",
+             "conflated": "conflat", "hopping": "hop", "filing": "file", "happy": "happi", "relational": "relat",
+             "generalizations": "gener", "running": "run", "dying": "die", "skies": "sky"}
+    for w, s in cases.items():
+        assert porter_stem(w) == s
+    assert stem_token("was") == "was" and stem_token("ties") == "tie"
+
+
+def test_rouge_stemmed_matches_python(spark):
+    import re
+    from collections import Counter
+
+    from ledgerlens.functions.stem import stem_token
+    from tests.conftest import SF001
+    from ledgerlens.plans import bindings as b
+
+    p = b.conversation_pairs(spark, SF001)
+    key = ["conv_id", "turn"]
+    got = {(r.conv_id, r.turn): r for r in ev.rouge_n(p, 2, key=key, stem=True)
+           .join(ev.rouge_l(p, key=key, stem=True), key).collect()}
+    for x in p.collect():
+        r = [stem_token(t) for t in re.findall("[a-z0-9]+", x.reference.lower())]
+        h = [stem_token(t) for t in re.findall("[a-z0-9]+", x.prediction.lower())]
+        rg = Counter(zip(r, r[1:]))
+        hg = Counter(zip(h, h[1:]))
+        m = sum((rg & hg).values())
+        n = sum(rg.values()) + sum(hg.values())
+        assert got[(x.conv_id, x.turn)].rouge2 == pytest.approx(0.0 if n == 0 else 2 * m / n)
+        lcs = _lcs(r, h)
+        assert got[(x.conv_id, x.turn)].rougeL == pytest.approx(0.0 if lcs == 0 else 2 * lcs / (len(r) + len(h)))
