@@ -18,17 +18,22 @@ from ..functions.lexicon import sentiment_score
 
 
 def rag_prompts(questions: DataFrame, corpus: DataFrame, *, top_k: int = ENGINE_TOP_K, year: int | None = None,
-                overfetch: int = ENGINE_OVERFETCH, generate_fn: Callable[[str], str] | None = None) -> DataFrame:
+                overfetch: int = ENGINE_OVERFETCH, generate_fn: Callable[[str], str] | None = None,
+                route: bool = True) -> DataFrame:
     """Questions (query_id, embedding, question, ticker?, section?) -> query_type, context, prompt [, answer].
 
-    Route (risk / financial set the section), retrieve with the per-question
+    Route (risk / financial set the section; ``route=False`` keeps the given
+    section, as the analysts do), retrieve with the per-question
     ticker and section as filters (NULL: no filter), build the numbered context
     and fill the template.  Questions without hits get an empty context.
     """
     qs = questions if "section" in questions.columns else questions.withColumn("section", F.lit(None).cast("string"))
     if "ticker" not in qs.columns:
         qs = qs.withColumn("ticker", F.lit(None).cast("string"))
-    routed = pr.route_queries(qs, section="section")
+    if route:
+        routed = pr.route_queries(qs, section="section")
+    else:
+        routed = qs.withColumn("query_type", F.lit(None).cast("string"))
     keep = ["ticker", "filing_type", "filing_date", "section", "text"]
     hits = rt.vector_topk_overfetch_year(routed.select("query_id", "embedding", "ticker", "section"), corpus, top_k,
                                          year=year, overfetch=overfetch, match_cols=["ticker", "section"],
@@ -57,7 +62,8 @@ def multi_agent_query(questions: DataFrame, corpus: DataFrame, prices: DataFrame
         "query_id", "ordinal", "role", "embedding", "question", "ticker",
         pr.analyst_section(F.col("section")).alias("section"))
     answered = rag_prompts(rag_tasks.select(F.col("task_key").alias("query_id"), "embedding", "question", "ticker",
-                                            "section"), corpus, top_k=k, year=year, generate_fn=generate_fn)
+                                            "section"), corpus, top_k=k, year=year, generate_fn=generate_fn,
+                                route=False)
     rag_resp = rag_tasks.select("task_key", "query_id", "ordinal", "role").join(
         answered.select(F.col("query_id").alias("task_key"), "answer", "error"), "task_key") \
         .select("query_id", "ordinal", "role", "answer", F.col("error").isNull().alias("success"),

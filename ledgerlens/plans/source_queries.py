@@ -18,7 +18,8 @@ from .eval_queries import _CBA_SQL, _PAIRS, KEY
 from .events_queries import _px, q_price_reaction
 from .registry import register
 from . import section_sql
-from .prompt_queries import _RAG
+from .prompt_queries import _PQ, _RAG, _decompose_sql
+from .retrieval_queries import _CORPUS
 from .retrieval_queries import _sql_template
 
 _FILES_SQL = """fx AS (SELECT DISTINCT source AS ticker, CASE WHEN CAST(regexp_extract(source, '(\\d+)$', 1) AS INTEGER) % 2 = 0
@@ -250,7 +251,34 @@ def q_apply_per_filing(spark, sf_dir):
     return hooks.apply_per_filing(f, count_items, "ticker string, filing_type string, n_items long")
 
 
-@register("multi_agent_query")
+_MA_SQL = f"""WITH {_CORPUS}, {_PQ}, {_decompose_sql()},
+qq AS (SELECT q.query_id, q.embedding, pq.question, pq.ticker, pq.company_key FROM q JOIN pq USING (query_id)),
+rt AS (SELECT tasks.query_id, tasks.ordinal, tasks.role, coalesce(tasks.section, 'MD&A') AS section, qq.embedding,
+              qq.ticker FROM tasks JOIN qq USING (query_id) WHERE tasks.role <> 'price_analyst'),
+d AS (SELECT rt.query_id, rt.ordinal, c.id, c.ticker, c.filing_type, c.filing_date, c.section, c.text,
+        list_sum(list_transform(range(1, len(rt.embedding) + 1),
+          lambda i: (CAST(rt.embedding[i] AS DOUBLE) - CAST(c.embedding[i] AS DOUBLE))
+                  * (CAST(rt.embedding[i] AS DOUBLE) - CAST(c.embedding[i] AS DOUBLE)))) AS distance
+      FROM rt, corpus c WHERE c.ticker = rt.ticker AND c.section = rt.section),
+h AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, ordinal ORDER BY distance, id) AS rank
+      FROM d) WHERE rank <= 5),
+ctx AS (SELECT query_id, ordinal, string_agg('[Source ' || rank || '] ' || ticker || ' - ' || filing_type || ' ('
+          || strftime(CAST(filing_date AS TIMESTAMP), '%Y-%m-%d %H:%M:%S') || ') - ' || section || ':' || chr(10)
+          || text, chr(10) || chr(10) ORDER BY rank) AS context FROM h GROUP BY query_id, ordinal),
+ans AS (SELECT rt.query_id, rt.ordinal, rt.role,
+          CASE WHEN ctx.context IS NOT NULL THEN split_part(ctx.context, chr(10), 1) ELSE 'Answer:' END AS answer
+        FROM rt LEFT JOIN ctx USING (query_id, ordinal)),
+pa AS (SELECT tasks.query_id, tasks.ordinal, c.c_acctbal AS pe, c.c_mktsegment AS sector
+       FROM tasks JOIN qq USING (query_id) LEFT JOIN customer c ON c.c_custkey = qq.company_key
+       WHERE tasks.role = 'price_analyst'),
+parts AS (SELECT query_id, ordinal, CASE WHEN role = 'financial_analyst' THEN 'Financial Analysis:' || chr(10) || answer
+                 WHEN role = 'risk_analyst' THEN 'Risk Analysis:' || chr(10) || answer END AS part FROM ans
+          UNION ALL SELECT query_id, ordinal, 'Price & Fundamentals:' || chr(10) || 'P/E: '
+                 || coalesce(CAST(pe AS VARCHAR), 'None') || ', Sector: ' || coalesce(sector, 'None') FROM pa)
+SELECT query_id, string_agg(part, chr(10) || chr(10) ORDER BY ordinal) AS synthesis FROM parts GROUP BY query_id"""
+
+
+@register("multi_agent_query", _MA_SQL)
 def q_multi_agent_query(spark, sf_dir):
     """#94: decompose -> analysts (retrieval per task, fundamentals for price) -> synthesis."""
     from .compositions import multi_agent_query
