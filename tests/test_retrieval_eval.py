@@ -215,3 +215,31 @@ def test_rouge_stemmed_matches_python(spark):
         assert got[(x.conv_id, x.turn)].rouge2 == pytest.approx(0.0 if n == 0 else 2 * m / n)
         lcs = _lcs(r, h)
         assert got[(x.conv_id, x.turn)].rougeL == pytest.approx(0.0 if lcs == 0 else 2 * lcs / (len(r) + len(h)))
+
+
+def test_synthesize_skips_failed_and_empty(spark):
+    rows = [(1, 0, "price_analyst", None, True, 12.5, "Tech"),
+            (1, 1, "risk_analyst", "risky", True, None, None),
+            (1, 2, "financial_analyst", "", True, None, None),
+            (2, 0, "financial_analyst", "boom", False, None, None),
+            (2, 1, "risk_analyst", "calm", True, None, None)]
+    df = spark.createDataFrame(rows, "query_id int, ordinal int, role string, answer string, success boolean, "
+                                     "pe_ratio double, sector string")
+    got = {r.query_id: r.synthesis for r in pr.synthesize(df).collect()}
+    assert got[1] == "Price & Fundamentals:\nP/E: 12.5, Sector: Tech\n\nRisk Analysis:\nrisky"
+    assert got[2] == "Risk Analysis:\ncalm"
+
+
+def test_generate_errors_become_a_column(spark):
+    from ledgerlens.operators import hooks
+
+    df = spark.createDataFrame([(1, "ok"), (2, "boom")], "id int, prompt string")
+
+    def gen(p):
+        if p == "boom":
+            raise ValueError("model failed")
+        return p.upper()
+
+    r = {x.id: (x.answer, x.error) for x in hooks.batch_generate(df, gen).collect()}
+    assert r[1] == ("OK", None)
+    assert r[2][0] is None and "model failed" in r[2][1]
