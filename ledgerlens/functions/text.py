@@ -204,11 +204,6 @@ def match_spans(text: Column, pattern: str) -> Column:
     return F.coalesce(acc["spans"], empty)
 
 
-def word_starts(text: Column, word: str) -> Column:
-    """Start offsets of a literal word, case-insensitive."""
-    return match_starts(text, "(?iu)" + _quote(word))
-
-
 def py_regex(pattern: str, ignore_case: bool = True) -> str:
     """A Python ``re`` pattern in Java syntax with Python's Unicode classes.
 
@@ -218,7 +213,3 @@ def py_regex(pattern: str, ignore_case: bool = True) -> str:
     inner = WS_CLASS[1:-1]
     out = pattern.replace("\\s", "[" + inner + "]").replace("\\d", "\\p{Nd}")
     return ("(?iu)" if ignore_case else "") + out
-
-
-def _quote(s: str) -> str:
-    return "".join("\\" + ch if not ch.isalnum() and ch != " " else ch for ch in s)
