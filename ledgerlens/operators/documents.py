@@ -203,8 +203,9 @@ def parse_filing(filings: DataFrame, *, html: str = "html", text_is_html: bool =
     ``metadata`` = struct(file_path, text_length).
     """
     body = html_to_text(F.col(html)) if text_is_html else F.col(html)
+    # No emptiness filter: an empty text has no matches, hence no sections, and a
+    # filter would be pushed below the projection and run the extraction twice.
     base = filings.select("ticker", "filing_type", "filing_date", "file_path", body.alias("text"))
-    base = base.where(F.length("text") > 0)
     secs = extract_sections(base)
     secs = secs.where(F.length(py_strip(F.col("text"))) > F.lit(DOCUMENT_MIN_CHARS))
     return secs.select(

@@ -15,6 +15,7 @@ from ..constants import ANALYST_TOP_K, ENGINE_OVERFETCH, ENGINE_TOP_K
 from ..operators import evaluation as ev
 from ..operators import hooks, prompts as pr, retrieval as rt, stats
 from ..functions.lexicon import sentiment_score
+from ..session import materialize
 
 
 def rag_prompts(questions: DataFrame, corpus: DataFrame, *, top_k: int = ENGINE_TOP_K, year: int | None = None,
@@ -105,6 +106,8 @@ def build_index(files: DataFrame, *, dim: int = 384) -> DataFrame:
 
     idx = filing_index(files)
     filings = idx.join(files.select("file_path", F.col("content").alias("html")), "file_path")
-    chunks = process_filings(filings)
+    # The IDF fit is its own job: write the chunk table once so parsing and
+    # chunking do not run again for the transform.
+    chunks = materialize(process_filings(filings))
     emb = hooks.hashed_tfidf_embedding(chunks, dim=dim)
     return vector_records(emb)

@@ -10,6 +10,7 @@ from ..operators import retrieval as rt
 from ..operators import stats
 from . import bindings as b
 from .registry import register
+from ..session import materialize
 
 KEY = ["conv_id", "turn"]
 _LEX = b.FIXTURE_POSITIVE + b.FIXTURE_NEGATIVE
@@ -244,7 +245,8 @@ rk AS (SELECT score, n_chars, {_avg_rank('score', 'sc')} AS rx, {_avg_rank('n_ch
 SELECT count(*) AS n, round(corr(score, n_chars), 6) AS pearson_r, round(corr(rx, ry), 6) AS spearman_r FROM rk""")
 def q_sentiment_price_correlation(spark, sf_dir):
     """#71: sentiment of documents against n_chars: Pearson and Spearman r."""
-    s = _scores(spark, sf_dir)
+    # One row per document, read by four branches: written once instead of re-scoring the texts.
+    s = materialize(_scores(spark, sf_dir))
     p = stats.pearson(s, "score", "n_chars").withColumnRenamed("r", "pearson_r")
     sp = stats.spearman(s, "score", "n_chars").select(F.col("r").alias("spearman_r"))
     return p.withColumn("_one", F.lit(1)).join(sp.withColumn("_one", F.lit(1)), "_one").drop("_one")

@@ -8,6 +8,7 @@ from ..operators import events as ev
 from ..operators import stats
 from . import bindings as b
 from .registry import register
+from ..session import materialize
 
 # Shared oracle fragments: price rows numbered per ticker, filings, and the
 # as-of positions found with DuckDB's ASOF JOIN (an independent formulation).
@@ -166,4 +167,6 @@ SELECT count(price_change_pct) AS count, round(avg(price_change_pct), 6) AS mean
 FROM rx""")
 def q_describe(spark, sf_dir):
     """#51: count, mean, std, min, exact quartiles (linear interpolation), max."""
-    return stats.describe(_reaction(spark, sf_dir), "price_change_pct")
+    # One row per filing, read by the moments and the quantiles: written once.
+    r = materialize(_reaction(spark, sf_dir).select("price_change_pct"))
+    return stats.describe(r, "price_change_pct")

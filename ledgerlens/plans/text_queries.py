@@ -126,8 +126,12 @@ def q_drop_empty_results(spark, sf_dir):
     """#31: per-document chunk lists that are empty are skipped before concatenation."""
     d = tx.with_chunks(b.table(spark, sf_dir, "documents").withColumnRenamed("source", "ticker"),
                        out="chunks", keep=["ticker"])
-    return d.where(F.size("chunks") > 0).groupBy("ticker").agg(
-        F.count(F.lit(1)).alias("n_docs"), F.sum(F.size("chunks")).cast("long").alias("n_chunks"))
+    # Conditional aggregates instead of a filter: a filter on the derived array would be
+    # pushed below the projection and re-evaluate the chunking inside the predicate.
+    n = F.size("chunks")
+    return d.groupBy("ticker").agg(F.count(F.when(n > 0, F.lit(1))).alias("n_docs"),
+                                   F.sum(F.when(n > 0, n)).cast("long").alias("n_chunks")) \
+        .where(F.col("n_docs") > 0)
 
 
 def synthetic_sections(spark, sf_dir):

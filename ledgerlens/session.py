@@ -73,3 +73,15 @@ def spread(df):
     """
     target = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+
+
+def materialize(df):
+    """Write ``df`` to the shared checkpoint folder and cut its lineage (``checkpoint``, eager).
+
+    For a small derived table that several branches of one plan read (scores
+    before a correlation, reactions before their summary): the expensive
+    upstream work runs once, and a lost executor re-reads the written files
+    instead of recomputing the upstream stages.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
