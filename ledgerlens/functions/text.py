@@ -126,7 +126,8 @@ def html_to_text(c: Column) -> Column:
     nested = F.exists(tables, lambda t: F.regexp_like(F.substring(t, 2, 1 << 30), F.lit(r"(?i)<table\b")))
     flat_tables = F.transform(tables, lambda t: F.concat(F.lit(" "), F.array_join(table_rows(t), " "), F.lit(" ")))
     text = _interleave(F.transform(pieces, _text_nodes), flat_tables)
-    return F.when(nested, F.lit("")).otherwise(py_strip(collapse_ws(text)))
+    # After the collapse the only whitespace left is ' ', so trim() equals Python's strip().
+    return F.when(nested, F.lit("")).otherwise(F.trim(collapse_ws(text)))
 
 
 # ------------------------------------------------------------------ chunks
