@@ -24,7 +24,6 @@ QUESTION_WORDS = ["guidance", "risk", "revenue", "tone", "stock", "outlook", "we
 SECTION_NAMES = ["MD&A", "RISK_FACTORS", "BUSINESS", "FINANCIAL_STATEMENTS"]
 FILING_HEADINGS = ["ITEM 1.", "ITEM 1A.", "ITEM 7.", "ITEM 8."]
 FILING_BLOCK_IDS = 400          # doc_id block that forms one synthetic filing per source
-QUERY_VEC_LIMIT = 20            # embeddings with vec_id below this are the queries
 EVENT_FILING_TYPE = "signup"    # events of this type are the filings; the rest are prices
 EVENT_BUCKET_SECONDS = 86400    # as-of bucket width for the events binding
 TIME_SYSTEM = "click"           # method bound to the system under test
@@ -126,11 +125,18 @@ def vector_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """embeddings with vec_id < QUERY_VEC_LIMIT as the question vectors."""
+    """One question vector per label: the centroid (element-wise mean) of the label's embeddings.
+
+    Derived from the whole table; the element-wise mean is a grouped average per
+    (label, position), and each label's array is reassembled from at most ``dim``
+    values.
+    """
     e = table(spark, sf_dir, "embeddings")
-    return e.where(F.col("vec_id") < QUERY_VEC_LIMIT).select(
-        F.col("vec_id").alias("query_id"), F.col("embedding")
-    )
+    comps = e.select("label", F.posexplode("embedding").alias("pos", "x")) \
+        .groupBy("label", "pos").agg(F.avg(F.col("x").cast("double")).alias("v"))
+    vecs = comps.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("pos", "v"))).alias("_c"))
+    return vecs.select(F.col("label").cast("long").alias("query_id"),
+                       F.transform("_c", lambda c: c["v"]).alias("embedding"))
 
 
 def part_questions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -238,7 +238,7 @@ def q_sort_index(spark, sf_dir):
 
 # ------------------------------------------------------------------ analysts and compositions
 def _vec_questions(spark, sf_dir):
-    """Vector questions: embeddings vec_id < 20 with the text of part row p_partkey = vec_id."""
+    """Vector questions: one centroid per label, with the text of part row p_partkey = label."""
     q = b.vector_queries(spark, sf_dir)
     return q.join(b.part_questions(spark, sf_dir), "query_id")
 
