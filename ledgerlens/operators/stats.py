@@ -31,7 +31,6 @@ def nsmallest(df: DataFrame, col: str, n: int, tie_cols: list[str] | None = None
 
 def _running_weight(df: DataFrame, value: str, weight: str, partitions: int) -> DataFrame:
     """Range-partition on ``value`` and add ``_pid`` and ``_before`` (weight of earlier rows in the partition)."""
-    spark = df.sparkSession
     ranged = df.select(value, weight).repartitionByRange(partitions, value).sortWithinPartitions(value)
     schema = T.StructType(
         [T.StructField("_pid", T.IntegerType()), ranged.schema[value], ranged.schema[weight],
@@ -57,7 +56,6 @@ def _running_weight(df: DataFrame, value: str, weight: str, partitions: int) ->
         (F.sum("_tot").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1))).alias("_off"),
         F.sum("_tot").over(Window.partitionBy()).alias("_n"),
     ).fillna(0, ["_off"])
-    del spark
     return local.join(F.broadcast(offsets), "_pid").select(
         value, weight, (F.col("_off") + F.col("_before")).alias("_start"), "_n"
     )

@@ -48,13 +48,14 @@ def rag_prompts(questions: DataFrame, corpus: DataFrame, *, top_k: int = ENGINE_
     return out
 
 
-def multi_agent_query(questions: DataFrame, corpus: DataFrame, prices: DataFrame, fundamentals: DataFrame, *,
+def multi_agent_query(questions: DataFrame, corpus: DataFrame, fundamentals: DataFrame, *,
                       generate_fn: Callable[[str], str], year: int | None = None, k: int = ANALYST_TOP_K,
                       company_key: str = "company_key") -> DataFrame:
     """Decompose each question, run every analyst task as one join over all tasks, synthesize.
 
     Financial / risk tasks are retrieval questions with their section (MD&A when
-    the task has none) and k = 5; price tasks read the company's fundamentals.
+    the task has none) and k = 5; price tasks read the company's fundamentals
+    (the synthesis shows only P/E and sector, so the price series is not needed).
     Output: query_id, synthesis.
     """
     tasks = pr.decompose(questions)
@@ -72,7 +73,6 @@ def multi_agent_query(questions: DataFrame, corpus: DataFrame, prices: DataFrame
     price_resp = tasks.where(F.col("role") == "price_analyst").join(fundamentals, company_key, "left").select(
         "query_id", "ordinal", "role", F.lit(None).cast("string").alias("answer"), F.lit(True).alias("success"),
         F.col("pe_ratio").cast("double"), F.col("sector").cast("string"))
-    del prices
     return pr.synthesize(rag_resp.unionByName(price_resp))
 
 

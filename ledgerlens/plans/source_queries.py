@@ -285,8 +285,8 @@ def q_multi_agent_query(spark, sf_dir):
     from .prompt_queries import _vec_questions
 
     qs = _vec_questions(spark, sf_dir)
-    return multi_agent_query(qs, b.vector_corpus(spark, sf_dir), b.event_prices(spark, sf_dir),
-                             b.customer_fundamentals(spark, sf_dir), generate_fn=_first_line)
+    return multi_agent_query(qs, b.vector_corpus(spark, sf_dir), b.customer_fundamentals(spark, sf_dir),
+                             generate_fn=_first_line)
 
 
 @register("run_full_evaluation")
