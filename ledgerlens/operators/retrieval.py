@@ -201,7 +201,11 @@ def keyword_topk(queries: DataFrame, docs: DataFrame, k: int = KEYWORD_TOP_K, *,
     ordinal = ordinal or doc_id
     ov = term_overlap(queries, docs, query_id=query_id, query_text=query_text, doc_id=doc_id, doc_text=doc_text)
     ords = docs.select(F.col(doc_id), F.col(ordinal).alias("_ord"))
-    pos = ov.join(ords, doc_id)
+    pos = ov.withColumn("_ord", F.col(doc_id)) if ordinal == doc_id else ov.join(ords, doc_id)
+    # Only the k best overlapping documents per query can survive; cut them first
+    # (a partial WindowGroupLimit) so the padding union works on <= 3k rows per query.
+    w = Window.partitionBy(query_id).orderBy(F.col("overlap").desc(), F.col("_ord").asc())
+    pos = pos.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
     # The 2k lowest ordinals as one bounded array (a scalar subquery, no join).
     pad_arr = ords.orderBy("_ord").limit(2 * k).select(
         F.array_sort(F.collect_list(F.struct(F.col("_ord"), F.col(doc_id).alias("d"))))).scalar()
@@ -209,7 +213,6 @@ def keyword_topk(queries: DataFrame, docs: DataFrame, k: int = KEYWORD_TOP_K, *,
         query_id, F.col("_p.d").alias(doc_id), F.lit(0).cast("long").alias("overlap"), F.col("_p._ord").alias("_ord"))
     both = pos.select(query_id, doc_id, F.col("overlap").cast("long").alias("overlap"), "_ord").unionByName(pad)
     cand = both.groupBy(query_id, doc_id).agg(F.max("overlap").alias("overlap"), F.min("_ord").alias("_ord"))
-    w = Window.partitionBy(query_id).orderBy(F.col("overlap").desc(), F.col("_ord").asc())
     return cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k) \
         .select(query_id, "rank", doc_id, "overlap")
 
@@ -292,18 +295,24 @@ def containment_pairs(items: DataFrame, docs: DataFrame, *, item_id: str = "item
     interior = words.where((F.col("_p") >= 1) & (F.col("_p") <= F.col("_n") - 2))
     doc_words = docs.select(F.col(doc_id).alias("_d"), F.explode_outer(F.array_distinct(split_words(F.col(doc_text))))
                             .alias("_w")).where(F.col("_w").isNotNull())
-    vocab, _ = bounded_broadcast(interior.select("_w").distinct(), max_broadcast_rows)
+    # Both broadcast sides are bounded by the item table: the vocabulary by the
+    # items' word count and the keys by the item count.  One aggregate over the
+    # (small) item table proves the bound without running any document work.
+    n_words = items.agg(F.sum(F.size(split_words(F.col(item_text))))).first()[0] or 0
+    small = n_words <= max_broadcast_rows
+    vocab = interior.select("_w").distinct()
+    vocab = F.broadcast(vocab) if small else vocab
     dfreq = doc_words.join(vocab, "_w", "left_semi").groupBy("_w").agg(F.count(F.lit(1)).alias("_df"))
     keys = interior.join(dfreq, "_w", "left").fillna(0, ["_df"]) \
         .groupBy("_i").agg(F.min_by("_w", F.struct("_df", "_p")).alias("_w"))
-    keys, _ = bounded_broadcast(keys, max_broadcast_rows)
+    keys = F.broadcast(keys) if small else keys
     cand = doc_words.join(keys, "_w").select("_i", "_d")
     texts_i = items.select(F.col(item_id).alias("_i"), F.col(item_text).alias("_it"))
     texts_d = docs.select(F.col(doc_id).alias("_d"), F.col(doc_text).alias("_dt"))
     long_pairs = cand.join(texts_i, "_i").join(texts_d, "_d").where(F.contains(F.col("_dt"), F.col("_it")))
     short = items.where(F.size(split_words(F.col(item_text))) < 3) \
         .select(F.col(item_id).alias("_i"), F.col(item_text).alias("_it"))
-    short, _ = bounded_broadcast(short, max_broadcast_rows)
+    short = F.broadcast(short) if small else short
     short_pairs = texts_d.join(short, F.contains(F.col("_dt"), F.col("_it")))
     both = long_pairs.select("_i", "_d").unionByName(short_pairs.select("_i", "_d"))
     return both.select(F.col("_i").alias(item_id), F.col("_d").alias(doc_id))
