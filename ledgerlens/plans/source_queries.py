@@ -163,7 +163,8 @@ def q_vector_table_drop(spark, sf_dir):
     recs = tb.vector_records(b.vector_corpus(spark, sf_dir))
     path = tb.vector_table_write(recs, scratch_path(spark, "vectors-drop"), reset=True)
     name = "ledgerlens_vectors_tmp"
-    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} USING parquet LOCATION '{path}'")
+    tb.vector_table_drop(spark, name)  # a table left by an interrupted run must not shadow this one
+    spark.sql(f"CREATE TABLE {name} USING parquet LOCATION '{path}'")
     n = spark.table(name).count()
     ok = tb.vector_table_drop(spark, name)
     left = spark.sql(f"SHOW TABLES LIKE '{name}'").count()

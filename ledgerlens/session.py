@@ -71,8 +71,12 @@ def spread(df):
     the scan already has at least ``defaultParallelism`` partitions (the normal
     case for a large table) this is a no-op and adds no shuffle.
     """
-    target = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+    try:
+        target = df.sparkSession.sparkContext.defaultParallelism
+        parts = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - no RDD view (e.g. a remote session): leave the scan as is
+        return df
+    return df.repartition(target) if parts < target else df
 
 
 def materialize(df):
