@@ -100,6 +100,8 @@ def metric_report(results: DataFrame) -> DataFrame:
     Output: (line_no, line); write with ``write.text`` after ordering by line_no.
     """
     fmt = lambda c: F.format_string("%.4f", c)
+    # The ordering windows below run over the metric table and its report lines:
+    # a handful of rows per metric, never over the data the metrics summarise.
     ordered = results.withColumn("_m", F.row_number().over(
         Window.orderBy("metric_order")))
     lines = ordered.select(
