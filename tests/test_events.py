@@ -108,3 +108,24 @@ def test_pct_change_and_direction(spark):
     assert rows[1].c is None and rows[1].d == "down"
     assert rows[2].c == 0.0 and rows[2].d == "down"
     assert rows[3].c is None and rows[3].d == "down"
+
+
+def test_hot_key_with_a_third_of_rows(spark):
+    """One ticker holds a third of all rows: results stay exact and the key spreads over buckets."""
+    from tests.conftest import SF001
+    from ledgerlens.plans import bindings as b
+
+    hot = F.when(F.col("ticker") % 3 == 0, F.lit(0)).otherwise(F.col("ticker"))
+    f = b.event_filings(spark, SF001).withColumn("ticker", hot)
+    p = b.event_prices(spark, SF001).withColumn("ticker", hot)
+    share = p.where(F.col("ticker") == 0).count() / p.count()
+    assert share > 0.25
+    got = _rows(ev.price_reaction(f, p, tie="event_id", bucket_seconds=3600))
+    exp = sorted(brute(f.toPandas(), p.toPandas().rename(columns={"event_id": "tie"}), 2), key=lambda r: (r[0], r[1]))
+    assert len(got) == len(exp)
+    for g, e in zip(got, exp):
+        for a, b2 in zip(g[2:], e[2:]):
+            assert _close(a, b2)
+    buckets = p.where(F.col("ticker") == 0).select(F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 3_600_000_000)
+                                                   .alias("b")).distinct().count()
+    assert buckets > 20  # the hot key's rows are hashed over many (key, bucket) groups
