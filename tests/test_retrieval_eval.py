@@ -163,14 +163,15 @@ def test_classify_decompose_sentiment(spark):
 
 def test_split_answer_and_echo(spark):
     m = "### Answer:"
-    df = spark.createDataFrame([(f"ctx {m} ref {m} last ", f"gen {m} out "), ("no marker", "no marker tail")],
-                               "t string, g string")
+    df = spark.createDataFrame([(f"ctx {m} ref {m} last ", f"gen {m} out "), ("no marker", "no marker tail"),
+                                (f"ctx {m}", f"ctx {m} answer")], "t string, g string")
     parts = pr.split_answer(F.col("t"), F.col("g"))
     r = df.select(*[v.alias(k) for k, v in parts.items()]).collect()
     assert r[0].prompt == f"ctx {m}" and r[0].reference == "ref" and r[0].prediction == "out"
     assert r[1].prompt == "no marker" and r[1].reference == "" and r[1].prediction == "tail"
+    assert r[2].prompt == f"ctx {m}" and r[2].reference == "" and r[2].prediction == "answer"  # marker last
     e = df.select(pr.strip_prompt_echo(F.col("g"), F.lit("gen")).alias("a")).collect()
-    assert e[0].a == f"{m} out" and e[1].a == "no marker tail"
+    assert e[0].a == f"{m} out" and e[1].a == "no marker tail" and e[2].a == f"ctx {m} answer"
 
 
 def test_containment_pairs_exact(spark):

@@ -95,6 +95,11 @@ CASES = [
     ("10-K", "ITEM 1. " + "x" * 494),
     ("10-K", "Description of the " + _filler(200, 2) + " Business " + _filler(300, 3) + " ITEM 1. " + _filler(300, 5)),
     ("10-K", "RiskFactors " + _filler(3000, 6) + " risk  factors " + _filler(300, 6) + " ITEM 7. tail"),
+    # body over 50,000 characters: kept, then cut to 50,000
+    ("10-K", _filler(2000, 1) + " ITEM 7. " + "w " * 30000 + " ITEM 8. " + _filler(200, 2)),
+    # two candidate spans of equal length after the table of contents: the earlier one wins
+    ("10-K", _filler(2000, 3) + " ITEM 1A. " + "x" * 700 + " ITEM 9. " + "y" * 50 + " ITEM 1A. " + "x" * 700
+     + " ITEM 9. " + "z" * 50),
 ]
 
 
