@@ -55,6 +55,88 @@ def _interleave(pieces: Column, inserts: Column) -> Column:
     )
 
 
+_REF = r"&(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+
+
+def _entity_tables():
+    """Named references of the HTML5 standard table (Python's ``html.entities.html5``).
+
+    Returns (all names -> text, legacy names usable without ';' sorted longest
+    first).  Derived from the standard library table, not written out here.
+    """
+    from html.entities import html5
+
+    legacy = sorted((k for k in html5 if not k.endswith(";")), key=lambda k: (-len(k), k))
+    return dict(html5), legacy
+
+
+def _code_point(ref: Column) -> Column:
+    """Text of a numeric reference body ('#65;', '#x41') following the HTML5 rules.
+
+    Remapped references (e.g. 0x80 -> '€') and the code points that decode to
+    nothing come from the standard library's own tables; out-of-range values and
+    surrogates give U+FFFD.
+    """
+    import html as _html
+
+    remap = dict(_html._invalid_charrefs)  # noqa: SLF001 - the stdlib's HTML5 table
+    dropped = sorted(_html._invalid_codepoints)  # noqa: SLF001
+    body = F.regexp_replace(ref, ";$", "")
+    is_hex = F.lower(F.substring(body, 2, 1)) == "x"
+    digits = F.regexp_replace(F.when(is_hex, F.substring(body, 3, 64)).otherwise(F.substring(body, 2, 64)),
+                              "^0+(?=.)", "")
+    code = F.when(F.length(digits) > 8, F.lit(None)).otherwise(
+        F.when(is_hex, F.conv(digits, 16, 10)).otherwise(digits).cast("long"))
+    rk = sorted(remap)
+    remapped = F.try_element_at(F.map_from_arrays(F.array(*[F.lit(k).cast("long") for k in rk]),
+                                                  F.array(*[F.lit(remap[k]) for k in rk])), code)
+    out_of_range = code.isNull() | (code > 0x10FFFF) | ((code >= 0xD800) & (code <= 0xDFFF))
+    return (F.when(remapped.isNotNull(), remapped)
+            .when(out_of_range, F.lit("\ufffd"))
+            .when(F.array_contains(F.array(*[F.lit(v).cast("long") for v in dropped]), code), F.lit(""))
+            .otherwise(F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")))
+
+
+def decode_entities_html5(c: Column) -> Column:
+    """Decode character references in one left-to-right pass, as Python's ``html.unescape`` does.
+
+    Numeric references (decimal or hex, ';' optional); named references of the
+    HTML5 table; a name that is not in the table decodes its longest legacy
+    prefix (``&copyright`` -> '©right').  Decoded text is not scanned again, so
+    ``&amp;lt;`` gives ``&lt;``.  Unknown names stay as written.  Exact but
+    slower (per-reference work runs in an interpreted lambda): opt in through
+    ``html_to_text(..., full_entities=True)``.
+    """
+    table, legacy = _entity_tables()
+    keys = sorted(table)
+    # Two literal arrays fold into one constant map at planning time.
+    names = F.map_from_arrays(F.array(*[F.lit(k) for k in keys]), F.array(*[F.lit(table[k]) for k in keys]))
+    legacy_arr = F.array(*[F.lit(n) for n in legacy])
+
+    # The references that make up nearly all real text take a short CASE chain;
+    # only rare names pay for the lookup in the full table.
+    common = ["amp;", "amp", "lt;", "lt", "gt;", "gt", "quot;", "quot", "nbsp;", "nbsp", "apos;", "copy;", "copy",
+              "reg;", "reg", "middot;", "middot", "rsquo;", "lsquo;", "rdquo;", "ldquo;", "mdash;", "ndash;",
+              "bull;", "sect;", "hellip;", "trade;"]
+
+    def decode_one(m: Column) -> Column:
+        body = F.substring(m, 2, 64)                      # text after '&'
+        fast = None
+        for name in common:
+            fast = (F.when(body == F.lit(name), F.lit(table[name])) if fast is None
+                    else fast.when(body == F.lit(name), F.lit(table[name])))
+        exact = F.try_element_at(names, body)
+        prefix = F.element_at(F.concat(F.filter(legacy_arr, lambda n: F.startswith(body, n)),
+                                       F.array(F.lit(None).cast("string"))), 1)
+        named = F.coalesce(exact, F.when(prefix.isNotNull(), F.concat(
+            F.try_element_at(names, prefix), F.substring(body, F.length(prefix) + 1, 64))), m)
+        return F.when(F.startswith(body, F.lit("#")), _code_point(body)).otherwise(F.coalesce(fast, named))
+
+    pieces = F.split(c, _REF, -1)
+    refs = F.regexp_extract_all(c, F.lit(_REF), 0)
+    return F.when(F.instr(c, "&") > 0, _interleave(pieces, F.transform(refs, decode_one))).otherwise(c)
+
+
 def decode_numeric_entities(c: Column) -> Column:
     """``&#8217;`` / ``&#x2019;`` -> the code point, via UTF-32 bytes."""
     pieces = F.split(c, _NUMERIC_ENTITY, -1)
@@ -84,19 +166,21 @@ def strip_markup(c: Column) -> Column:
     return F.regexp_replace(out, r"(?is)<style\b[^>]*>.*?</style\s*>", " ")
 
 
-def _cell_text(cell_html: Column) -> Column:
+def _cell_text(cell_html: Column, decode=None) -> Column:
     """A cell's text with inner strings stripped and joined without separator."""
-    return F.array_join(F.transform(F.split(cell_html, _TAG, -1), lambda s: py_strip(decode_entities(s))), "")
+    decode = decode or decode_entities
+    return F.array_join(F.transform(F.split(cell_html, _TAG, -1), lambda s: py_strip(decode(s))), "")
 
 
-def table_rows(table_html: Column) -> Column:
+def table_rows(table_html: Column, decode=None) -> Column:
     """Array of row strings: each ``tr`` with cells -> cell texts joined `` | ``; rows without cells dropped."""
     rows = F.regexp_extract_all(table_html, F.lit(_ROW), 1)
     joined = F.transform(
         rows,
         lambda r: F.when(
             F.size(F.regexp_extract_all(r, F.lit(_CELL), 1)) > 0,
-            F.array_join(F.transform(F.regexp_extract_all(r, F.lit(_CELL), 1), _cell_text), " | "),
+            F.array_join(F.transform(F.regexp_extract_all(r, F.lit(_CELL), 1), lambda x: _cell_text(x, decode)),
+                         " | "),
         ),
     )
     return F.filter(joined, lambda x: x.isNotNull())
@@ -107,25 +191,29 @@ def table_flatten(table_html: Column) -> Column:
     return F.array_join(table_rows(table_html), "\n")
 
 
-def _text_nodes(c: Column) -> Column:
-    return decode_entities(F.regexp_replace(c, _TAG, " "))
+def _text_nodes(c: Column, decode=None) -> Column:
+    return (decode or decode_entities)(F.regexp_replace(c, _TAG, " "))
 
 
-def html_to_text(c: Column) -> Column:
+def html_to_text(c: Column, full_entities: bool = False) -> Column:
     """HTML -> text as the reference extracts it, natively.
 
     script/style/comments/declarations dropped; every table replaced by its rows
     (cells joined `` | ``); other tags separate text nodes by a space; entities
     decoded; whitespace collapsed and trimmed.  A table nested inside another
     makes the reference's extraction fail, which it reports as ``""``; the same
-    is returned here.  NULL input gives ``""``.
+    is returned here.  NULL input gives ``""``.  ``full_entities`` decodes every
+    HTML5 reference exactly (``decode_entities_html5``); the default decodes the
+    common named references and all numeric ones at regex speed.
     """
+    decode = decode_entities_html5 if full_entities else decode_entities
     body = strip_markup(F.coalesce(c, F.lit("")))
     pieces = F.split(body, _TABLE, -1)
     tables = F.regexp_extract_all(body, F.lit(_TABLE), 0)
     nested = F.exists(tables, lambda t: F.regexp_like(F.substring(t, 2, 1 << 30), F.lit(r"(?i)<table\b")))
-    flat_tables = F.transform(tables, lambda t: F.concat(F.lit(" "), F.array_join(table_rows(t), " "), F.lit(" ")))
-    text = _interleave(F.transform(pieces, _text_nodes), flat_tables)
+    flat_tables = F.transform(tables, lambda t: F.concat(F.lit(" "), F.array_join(table_rows(t, decode), " "),
+                                                         F.lit(" ")))
+    text = _interleave(F.transform(pieces, lambda p: _text_nodes(p, decode)), flat_tables)
     # After the collapse the only whitespace left is ' ', so trim() equals Python's strip().
     return F.when(nested, F.lit("")).otherwise(F.trim(collapse_ws(text)))
 

@@ -16,6 +16,13 @@ _WORDS = f"list_filter(regexp_split_to_array(text, '{WS_RUN}'), lambda x: x <> '
 _STRIP = f"'^{WS_CLASS}+|{WS_CLASS}+$'"
 
 
+# Named references the SQL oracle decodes (the ones the driver pages use, plus common ones);
+# the flag says the ';' is required (names outside the legacy set).
+_SQL_ENTITIES = [("nbsp", "\u00a0", False), ("lt", "<", False), ("gt", ">", False), ("quot", '"', False),
+                 ("apos", "'", True), ("copy", "\u00a9", False), ("reg", "\u00ae", False),
+                 ("middot", "\u00b7", False)]
+
+
 def _sql_html(col: str) -> str:
     t = col
     t = f"regexp_replace({t}, '(?s)<!--.*?-->', ' ', 'g')"
@@ -23,8 +30,8 @@ def _sql_html(col: str) -> str:
     t = f"regexp_replace({t}, '(?is)<script\\b[^>]*>.*?</script\\s*>', ' ', 'g')"
     t = f"regexp_replace({t}, '(?is)<style\\b[^>]*>.*?</style\\s*>', ' ', 'g')"
     t = f"regexp_replace({t}, '<[^>]*>', ' ', 'g')"
-    for name, char in tx.HTML_ENTITIES:
-        t = f"regexp_replace({t}, '&{name};?', chr({ord(char)}), 'g')"
+    for name, char, semi in _SQL_ENTITIES:
+        t = f"regexp_replace({t}, '&{name}{';' if semi else ';?'}', chr({ord(char)}), 'g')"
     t = f"regexp_replace({t}, '&amp;?', '&', 'g')"
     t = f"regexp_replace({t}, '{WS_RUN}', ' ', 'g')"
     return f"regexp_replace({t}, {_STRIP}, '', 'g')"

@@ -136,3 +136,23 @@ def test_chunk_id_key_renders_timestamp(spark):
                   .alias("k")).collect()
     assert r[0].k == "A_10-K_2024-02-01 00:00:00_MD&A_3"
     assert r[1].k == "A_10-K_NaT_MD&A_0"
+
+
+def test_entities_match_html_unescape(spark):
+    import html
+    import random
+    from html.entities import html5
+
+    keys = sorted(html5)
+    rnd = random.Random(11)
+    cases = ["&amp;lt;", "x &amp y", "&copyright", "&rsquo;&mdash;&sect;", "&notit;", "&#0;&#128;&#x110000;&#xD800;",
+             "&#00000065;", "&AMP &Amp;", "& alone &;", "&quot&apos &apos;"]
+    for _ in range(200):
+        cases.append("".join(rnd.choice(["a", " ", "&", ";", "#", "x", "1", "&" + rnd.choice(keys),
+                                         "&#" + str(rnd.randint(0, 70000))]) for _ in range(10)))
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "i int, s string")
+    got = {r.i: r.o for r in df.select("i", tx.decode_entities_html5(F.col("s")).alias("o")).collect()}
+    assert [got[i] for i in range(len(cases))] == [html.unescape(c) for c in cases]
+    full = df.select("i", tx.html_to_text(F.concat(F.lit("<p>"), F.col("s"), F.lit("</p>")), full_entities=True)
+                     .alias("o")).collect()
+    assert len(full) == len(cases)
