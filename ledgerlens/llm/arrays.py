@@ -66,6 +66,11 @@ def save(path: str, values: np.ndarray) -> None:
     os.replace(part, path)
 
 
+def slim(values: np.ndarray) -> np.ndarray:
+    """Counts in the narrowest unsigned type that holds them."""
+    return values.astype(np.min_scalar_type(int(values.max())) if len(values) else np.uint8)
+
+
 def load(path: str) -> np.ndarray:
     return np.load(path, mmap_mode="r") if os.path.exists(path) else np.zeros(0, np.uint64)
 
@@ -82,7 +87,8 @@ class SortedArrays:
         return self.open[shard, name]
 
     def find(self, keys: np.ndarray, names: dict[str, object]) -> dict[str, np.ndarray]:
-        """``keys`` ascending; names: column and the value where a key is absent. Adds "found"."""
+        """``keys`` ascending; names: column and the value where a key is absent ("rank": the place in its shard).
+        Adds "found"."""
         out = {n: np.full(len(keys), absent, dtype=np.asarray(absent).dtype) for n, absent in names.items()}
         found = np.zeros(len(keys), bool)
         cuts = shard_cuts(keys, self.bits)
@@ -95,7 +101,7 @@ class SortedArrays:
             hit = np.flatnonzero(held[at] == part)
             found[cuts[shard] + hit] = True
             for n in names:
-                out[n][cuts[shard] + hit] = self.column(shard, n)[at[hit]]
+                out[n][cuts[shard] + hit] = at[hit] if n == "rank" else self.column(shard, n)[at[hit]]
         return out | {"found": found}
 
     def find_any(self, keys: np.ndarray, names: dict[str, object]) -> dict[str, np.ndarray]:
