@@ -12,6 +12,8 @@ from .jaccard import jaccard_components
 from .kneser_ney import score_documents
 from .packing import pack_documents
 from .repeats import remove_repeats
+from .secret_scan import scan
+from .secret_scan import train as train_secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -68,3 +70,9 @@ def bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_spaced_seed_decontamination")
 def spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op1_secret_scan")
+def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return scan(docs, train_secrets(docs))
