@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,3 +41,16 @@ def batch(schema: pa.Schema, columns: dict) -> pa.RecordBatch:
 def by_group(df: DataFrame, key: str, function, schema: str) -> DataFrame:
     """``function(key, table) -> table`` on the Arrow table of every group."""
     return df.groupBy(key).applyInArrow(lambda k, t: function(k, t), schema)
+
+
+def pieces(b: pa.RecordBatch, column: str = "text", most: int = 4 << 20):
+    """The batch in slices of at most ``most`` bytes of the text column; a longer row makes a slice of its own."""
+    text = b.column(column)
+    sizes = np.nan_to_num(np.asarray(pa.compute.binary_length(text).to_numpy(zero_copy_only=False), float))
+    ends = np.cumsum(sizes)
+    lo = 0
+    while lo < b.num_rows:
+        before = ends[lo - 1] if lo else 0.0
+        hi = max(lo + 1, int(np.searchsorted(ends, before + most, "right")))
+        yield b.slice(lo, hi - lo)
+        lo = hi
