@@ -11,6 +11,7 @@ from .decontaminate import overlaps
 from .jaccard import jaccard_components
 from .kneser_ney import score_documents
 from .packing import pack_documents
+from .quality import judged
 from .repeats import remove_repeats
 from .secret_scan import scan
 from .secret_scan import train as train_secrets
@@ -76,3 +77,8 @@ def spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return scan(docs, train_secrets(docs))
+
+
+@query("op4_weak_supervision_quality")
+def weak_supervision_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judged(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
