@@ -153,4 +153,4 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     df = df.withColumn("base_failed", failed).withColumn("quality", 1 / (1 + F.exp(-odds)))
     kept = ~F.col("base_failed") & (F.col("quality") >= KEEP)
     measured = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "quality"]
-    return df.select("doc_id", *measured, kept.alias("kept"), *[F.col(n).alias(n[1:]) for n in names])
+    return df.select("doc_id", *measured, kept.alias("kept"), *[F.col(n).alias(n[3:]) for n in names])
