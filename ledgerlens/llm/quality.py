@@ -24,11 +24,12 @@ from ledgerlens.session import ensure_checkpoint_dir
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 WINDOW, LEAST_WORDS, REPEAT_PERCENT = 8, 20, 30
-#: expectation-maximisation: rounds, prior share of good documents, pseudo-counts, posterior that keeps
-ROUNDS, PRIOR_GOOD, PSEUDO, KEEP = 25, 0.8, 2.0, 0.5
+#: expectation-maximisation: rounds, prior share of good documents, weight of the first guesses for good ones as
+#: a share of the documents (2 at least), posterior that keeps
+ROUNDS, PRIOR_GOOD, WEIGHT, KEEP = 25, 0.8, 0.1, 0.5
 #: first guess that a document with no, one, more bad votes is good; first guess of p(vote | bad, good)
 FIRST = (0.95, 0.3, 0.05)
-START = ({-1: 0.2, 0: 0.2, 1: 0.6}, {-1: 0.05, 0: 0.2, 1: 0.75})
+START = ({-1: 0.4, 0: 0.2, 1: 0.4}, {-1: 0.01, 0: 0.2, 1: 0.79})
 
 
 def words(text: Column) -> Column:
@@ -64,6 +65,7 @@ def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
         F.regexp_count("_text", F.lit(f"[{SYMBOLS}]")).cast("long").alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         F.coalesce(F.when(F.col("_p").isNotNull(), covered), F.lit(0)).cast("long").alias("n_repeat_words"),
+        F.regexp_count("_text", F.lit(f"[{SYMBOLS}]{{3}}|(?<=\\s)[{SYMBOLS}](?=\\s)")).alias("_n_marks"),
         F.size("_lines").alias("_n_lines"),
         F.size("_distinct").alias("_n_distinct"),
         F.regexp_count("_text", F.lit(r"\p{Lu}")).alias("_n_upper"),
@@ -94,11 +96,12 @@ def votes() -> dict[str, Column]:
     many = F.col("n_words") >= 50
     return {
         "symbols": vote(symbols < 0.02, symbols > 0.2),
+        "marks": vote(F.col("_n_marks") / n < 0.01, F.col("_n_marks") / n > 0.1),  # runs of symbols, or alone
         "word_length": vote(mean.between(3, 9), (mean < 2) | (mean > 14)),
         "upper": vote(upper < 0.2, upper > 0.5),
         "digits": vote(F.col("_n_digits") / chars < 0.05, F.col("_n_digits") / chars > 0.3),
-        "duplicate_lines": vote(duplicate < 0.1, duplicate > 0.3),
-        "repeated_words": vote(repeat < 0.05, repeat > 0.2),
+        "duplicate_lines": vote(duplicate < 0.1, duplicate > 0.6),
+        "repeated_words": vote(repeat < 0.05, repeat > 0.29),
         "distinct_words": vote(many & (distinct > 0.2), many & (distinct < 0.1)),
         "sentences": vote(many & F.col("_n_stops").between(n / 60, n / 3), many & ((F.col("_n_stops") < n / 200) | (F.col("_n_stops") > n / 1.5))),
         "function_words": vote(F.col("_n_function") >= 2, many & (F.col("_n_function") == 0)),
@@ -110,8 +113,10 @@ def estimate(patterns: list[tuple[tuple[int, ...], int]], rules: int) -> tuple[f
     """Expectation-maximisation on (votes, count): share of good documents, and p(vote | kind) of each rule
     (kind 0: bad, 1: good).  It starts from FIRST, the guess by the number of bad votes: rules agree on most
     documents, so a start from equally able rules would let their many good votes outvote every bad one.
-    Pseudo-counts keep every probability above zero."""
+    The first guesses stay as pseudo-counts: lightly for bad documents, whose votes are to be learned, but
+    heavily for good ones, as a rule that errs on those is no rule."""
     total = sum(n for _, n in patterns)
+    pseudo = (2.0, max(2.0, WEIGHT * total))
     weights = [FIRST[min(v.count(-1), 2)] for v, _ in patterns]
     good, p = PRIOR_GOOD, [list(START) for _ in range(rules)]
     for _ in range(ROUNDS if total else 0):
@@ -122,9 +127,9 @@ def estimate(patterns: list[tuple[tuple[int, ...], int]], rules: int) -> tuple[f
             for r, v in enumerate(vote):
                 sums[r][1][v] += w * n
                 sums[r][0][v] += (1 - w) * n
-        good = (mass + PSEUDO * PRIOR_GOOD) / (total + PSEUDO)
+        good = (mass + 2.0 * PRIOR_GOOD) / (total + 2.0)
         kinds = [total - mass, mass]
-        p = [[{v: (sums[r][k][v] + PSEUDO * START[k][v]) / (kinds[k] + PSEUDO) for v in (-1, 0, 1)} for k in (0, 1)] for r in range(rules)]
+        p = [[{v: (sums[r][k][v] + pseudo[k] * START[k][v]) / (kinds[k] + pseudo[k]) for v in (-1, 0, 1)} for k in (0, 1)] for r in range(rules)]
         weights = [posterior(v, good, p) for v, _ in patterns]
     return good, p
 
