@@ -15,6 +15,7 @@ from .quality import judged
 from .repeats import remove_repeats
 from .secret_scan import scan
 from .secret_scan import train as train_secrets
+from .toxicity import toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -82,3 +83,8 @@ def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_weak_supervision_quality")
 def weak_supervision_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
+
+
+@query("op5_toxicity_grammar")
+def toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
