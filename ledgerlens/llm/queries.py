@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 from .decontaminate import overlaps
 from .jaccard import jaccard_components
 from .kneser_ney import score_documents
+from .language import of_documents, of_pages
 from .packing import pack_documents
 from .quality import judged
 from .repeats import remove_repeats
@@ -88,3 +90,15 @@ def weak_supervision_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_toxicity_grammar")
 def toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op9_language_id")
+def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = of_documents(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+    return docs.select("doc_id", F.col("lang").alias("declared"), F.col("source").alias("host"), "language", "probability", "declared_probability", (~F.col("rejected")).alias("kept"))
+
+
+@query("page_language")
+def page_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same operator on pages, which have markup and addresses."""
+    return of_pages(table(spark, sf_dir, "pages")).select("page_id", "url", "language", "probability", "declared_probability", (~F.col("rejected")).alias("kept"))
