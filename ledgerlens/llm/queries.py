@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .decontaminate import overlaps
+from .html_blocks import main_text
 from .jaccard import jaccard_components
 from .kneser_ney import score_documents
 from .language import of_documents, of_pages
@@ -102,3 +103,8 @@ def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def page_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same operator on pages, which have markup and addresses."""
     return of_pages(table(spark, sf_dir, "pages")).select("page_id", "url", "language", "probability", "declared_probability", (~F.col("rejected")).alias("kept"))
+
+
+@query("op3_html_lstm")
+def html_lstm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages"))
