@@ -30,7 +30,7 @@ from .common import pieces
 from .tokens import buffers, word_hashes
 
 TRAIN_PAGES, TRAIN_CHARS, EPOCHS, RATE, HIDDEN, SEED = 160, 100_000, 30, 0.01, 20, 7
-PATH, LEAF, WORDS, NUMBERS = 128, 32, 32, 5
+PATH, LEAF, WORDS, NUMBERS = 256, 64, 32, 5
 SIZE = PATH + LEAF + WORDS + NUMBERS
 
 # FIXED VALUES: element names by role, and the words in names, classes and ids that mark other than main text
@@ -155,7 +155,7 @@ def path_vector(path: tuple) -> np.ndarray:
         v = np.zeros(PATH + LEAF, np.float32)
         for label in path:
             for w in label.split():
-                v[_mark(w, PATH, 1)] = 1.0
+                v[[_mark(w, PATH, 1), _mark(w, PATH, 3)]] = 1.0  # two places, as names share some
         blocks_only = [label.split()[0] for label in path if label.split()[0] in BLOCKS]
         if blocks_only:
             v[PATH + _mark(blocks_only[-1], LEAF, 2)] = 1.0
@@ -332,7 +332,7 @@ def varied(page: list[Block], texts: list[str], r) -> tuple[list[Block], list[in
         path = b.path
         if frame:
             path = tuple(x for label in path for x in (frame if label.split()[0] == "article" else (label,)))
-        if r.random() < 0.12:
+        if r.random() < 0.3:
             inside = path[:-1] if y else ("html", "body")
             foreign(inside)
         text = b.text
@@ -351,7 +351,7 @@ def train(pages: DataFrame, html_col: str = "html", order_col: str = "url") -> L
     model, r = Labeller(), np.random.default_rng(SEED)
     texts = [b.text for p in sample for b in p]
     if sample:
-        made = [(p, taught(p)) for p in sample] + [varied(p, texts, r) for p in sample for _ in range(2)]
+        made = [(p, taught(p)) for p in sample] + [varied(p, texts, r) for p in sample for _ in range(3)]
         model.fit(vectors([p for p, _ in made]), [y for _, y in made])
     return model
 

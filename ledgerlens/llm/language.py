@@ -30,6 +30,7 @@ from .common import pieces
 from .tokens import LOWER, buffers
 
 BUCKETS = 1 << 15
+ADDED = ("language", "probability", "declared_probability", "rejected")
 EVIDENCE, PRIOR, SMOOTH, REJECT = 60, 20.0, 0.5, 0.02
 #: languages learned: the most frequent declared ones with at least this share of the rows
 MOST_LANGUAGES, LEAST_SHARE = 64, 0.001
@@ -56,7 +57,7 @@ def _texts(docs: DataFrame, text: Column, declared: Column | None, host: Column
     none = F.lit(None).cast("string")
     clean = lambda c: F.nullif(F.lower(F.trim(c.cast("string"))), F.lit("")) if c is not None else none
     return docs.select(F.coalesce(text, F.lit("")).alias("_text"), F.split_part(clean(declared), F.lit("-"), F.lit(1)).alias("_declared"),
-                       clean(host).alias("_host"), clean(suffix).alias("_suffix"), *[F.col(c).alias(f"k_{c}") for c in docs.columns])
+                       clean(host).alias("_host"), clean(suffix).alias("_suffix"), *[F.col(f"`{c}`").alias(f"k_{c}") for c in docs.columns if c not in ADDED])
 
 
 def train(rows: DataFrame) -> tuple[list[str], np.ndarray | None]:
@@ -162,7 +163,7 @@ def _looked_up(column: str, table: dict[str, list[float]], i: int) -> Column:
 
 
 def identify(docs: DataFrame, text: Column, declared: Column | None = None, host: Column | None = None, suffix: Column | None = None) -> DataFrame:
-    """``docs``' columns with language, probability, declared_probability and rejected."""
+    """``docs``' columns with language, probability, declared_probability and rejected, in place of any such."""
     ensure_checkpoint_dir(docs.sparkSession)
     rows = _texts(docs, text, declared, host, suffix)
     own = [c for c in rows.columns if c.startswith("k_")]

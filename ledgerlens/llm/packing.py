@@ -24,13 +24,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_group
-from .tokens import buffers
+from .common import by_group, pieces
+from .tokens import buffers, word_places
 
 SIZE = 2048
 END = 1
 SHARD_ROWS = 4096
-CACHED_WORDS = 500_000
+CACHED_WORDS = 2_000_000
+LETTERS, MARKS = np.zeros(256, bool), np.zeros(256, bool)
+LETTERS[[*range(65, 91), *range(97, 123)]] = True
+MARKS[[*range(33, 39), *range(40, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
 #: rarest terms of a seed that make its query; BM25's usual constants
 QUERY_TERMS, K1, B = 16, 1.2, 0.75
 
@@ -42,10 +45,13 @@ _PIECE_SQL = ", ".join(f"{f.name} long" for f in _PIECE)
 
 
 class WordTokens:
-    """Token ids of texts, by a cache of white-space separated words.
+    """Token ids of texts, by a cache of words.
 
-    The tokenizer drops white space and never joins across it, so a text's ids are its words' ids.  New
-    words are encoded together, with a special token between them.
+    The tokenizer drops white space, lower-cases, and parts letters from punctuation, so a text's ids are
+    those of its words, parted at white space and between an ASCII letter and ASCII punctuation (but
+    apostrophes, which may open a contraction).  The cache is keyed by the hash of a word's lower-cased
+    bytes; new words of letters are encoded together and told apart by the tokens that end a word.
+    Rows with a mark of special tokens are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -53,63 +59,84 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        if self.tokenizer.get_vocab_size() > 65536:
+        vocabulary = self.tokenizer.get_vocab()
+        if max(vocabulary.values()) > 65535:
             raise ValueError("ids travel as 16 bits")
-        self.special = [(t.content, i) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special]
+        self.ends = np.zeros(65536, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.clear()
 
     def clear(self):
-        self.at, self.used = {}, 0
-        self.pool, self.starts, self.sizes = np.empty(1 << 20, np.uint16), np.empty(1 << 18, np.int64), np.empty(1 << 18, np.int64)
-
-    def _keep(self, words: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> None:
-        n = len(self.at)
-        while self.used + len(ids) > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.empty_like(self.pool)])
-        while n + len(words) > len(self.starts):
-            self.starts, self.sizes = (np.concatenate([x, np.empty_like(x)]) for x in (self.starts, self.sizes))
-        self.pool[self.used : self.used + len(ids)] = ids
-        self.sizes[n : n + len(words)] = sizes
-        self.starts[n : n + len(words)] = self.used + np.cumsum(sizes) - sizes
-        self.used += len(ids)
-        self.at.update(zip(words, range(n, n + len(words)), strict=True))
-
-    def _learn(self, words: list[bytes]) -> None:
-        marked = [w for w in words if b"<|" in w]
-        plain = [w for w in words if b"<|" not in w]
-        if self.special and plain:
-            mark, mark_id = self.special[0]
-            for lo in range(0, len(plain), 5000):
-                some = plain[lo : lo + 5000]
-                ids = np.array(self.tokenizer.encode(mark.join(w.decode() for w in some) + mark, add_special_tokens=False).ids, np.int64)
-                ends = np.flatnonzero(ids == mark_id)
-                self._keep(some, ids[ids != mark_id], np.diff(ends, prepend=-1) - 1)
-        else:
-            marked = words
-        for w in marked:
-            ids = self.tokenizer.encode(w.decode(), add_special_tokens=False).ids
-            self._keep([w], np.array(ids, np.uint16), np.array([len(ids)]))
+        self.keys, self.starts, self.sizes = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.pool, self.used = np.empty(1 << 20, np.uint16), 0
+
+    def _learn(self, keys: np.ndarray, words: list[str]) -> None:
+        plain = np.array([w.isalpha() for w in words])
+        flat, sizes, order = [], [], []
+
+        def each(rows):
+            for r, e in zip(rows.tolist(), self.tokenizer.encode_batch_fast([words[r] for r in rows.tolist()], add_special_tokens=False), strict=True):
+                flat.append(np.array(e.ids, np.uint16))
+                sizes.append([len(e.ids)])
+                order.append([r])
+
+        letters = np.flatnonzero(plain)
+        for lo in range(0, len(letters), 1000):
+            some = letters[lo : lo + 1000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join([words[r] for r in some.tolist()])], add_special_tokens=False)[0].ids, np.uint16)
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) == len(some) and cuts[-1] == len(ids):
+                flat.append(ids)
+                sizes.append(np.diff(cuts, prepend=0))
+                order.append(some)
+            else:  # lower-casing made something else than letters of one
+                each(some)
+        each(np.flatnonzero(~plain))
+        flat, sizes, order = np.concatenate(flat), np.concatenate(sizes).astype(np.int32), np.concatenate(order)
+        if self.used + len(flat) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.empty(max(len(self.pool), len(flat)), np.uint16)])
+        self.pool[self.used : self.used + len(flat)] = flat
+        starts = self.used + np.cumsum(sizes, dtype=np.int64) - sizes
+        self.used += len(flat)
+        back = np.argsort(order)
+        at = np.searchsorted(self.keys, keys)
+        self.keys, self.starts, self.sizes = (np.insert(x, at, y) for x, y in ((self.keys, keys), (self.starts, starts[back]), (self.sizes, sizes[back])))
 
     def ids(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows, each row's with END after them, and the rows' offsets."""
-        if len(self.at) > CACHED_WORDS:
+        if len(self.keys) > CACHED_WORDS:
             self.clear()
-        rows = [raw[a:b].tobytes().split() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-        words = [w for r in rows for w in r]
-        new = set(words).difference(self.at)
-        if new:
-            self._learn(sorted(new))
-        which = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
-        sizes = self.sizes[which]
+        hashes, at, begins, ends = word_places(raw, offsets, apart=(LETTERS, MARKS))
+        unique, first, back = np.unique(hashes, return_index=True, return_inverse=True)
+        place = np.minimum(np.searchsorted(self.keys, unique), max(len(self.keys) - 1, 0))
+        new = np.flatnonzero(self.keys[place] != unique) if len(self.keys) else np.arange(len(unique))
+        if len(new):
+            data = raw.tobytes()
+            self._learn(unique[new], [data[a:z].decode() for a, z in zip(begins[first[new]].tolist(), ends[first[new]].tolist(), strict=True)])
+            place = np.searchsorted(self.keys, unique)
+        which = place[back]
+        sizes = self.sizes[which].astype(np.int64)
         total = np.concatenate([[0], np.cumsum(sizes)])
-        flat = self.pool[np.repeat(self.starts[which] - total[:-1], sizes) + np.arange(total[-1])]
-        ends = total[np.cumsum([len(r) for r in rows])] if rows else np.zeros(0, np.int64)
-        at = np.concatenate([[0], ends]) + np.arange(len(rows) + 1)
-        out = np.full(len(flat) + len(rows), END, np.uint16)
+        flat = self.pool[np.repeat(self.starts[which] - total[:-1], sizes) + np.arange(total[-1])] if len(which) else np.zeros(0, np.uint16)
+        cuts = total[at]
+        whole = self._marked(raw, offsets)
+        if whole:
+            rows = [whole.get(r, flat[a:z]) for r, (a, z) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))]
+            flat, cuts = np.concatenate(rows), np.concatenate([[0], np.cumsum([len(x) for x in rows])])
+        starts = cuts + np.arange(len(cuts))
+        out = np.full(len(flat) + len(cuts) - 1, END, np.uint16)
         mask = np.ones(len(out), bool)
-        mask[at[1:] - 1] = False
+        mask[starts[1:] - 1] = False
         out[mask] = flat
-        return out, at
+        return out, starts
+
+    def _marked(self, raw: np.ndarray, offsets: np.ndarray) -> dict[int, np.ndarray]:
+        """Rows that may hold a special token's string."""
+        data = raw.tobytes()
+        if b"<|" not in data:
+            return {}
+        rows = [(r, data[a:z]) for r, (a, z) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True))]
+        return {r: np.array(self.tokenizer.encode(t.decode(), add_special_tokens=False).ids, np.uint16) for r, t in rows if b"<|" in t}
 
 
 _loaded: dict[str, WordTokens] = {}
@@ -131,8 +158,7 @@ def _tokenize(path: str, size: int):
         made, part = 0, TaskContext.get().partitionId()
         tokens = word_tokens(path)
         for whole in batches:
-            for lo in range(0, whole.num_rows, 500):
-                b = whole.slice(lo, 500)
+            for b in pieces(whole):
                 ids, at = tokens.ids(*buffers(b.column("text")))
                 doc_ids, shards = b.column("doc_id").to_pylist(), b.column("shard").to_pylist()
                 out = {n: [] for n in _ROW.names}

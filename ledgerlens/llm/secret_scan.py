@@ -175,7 +175,8 @@ def scan(docs: DataFrame, ratio: np.ndarray, id_col: str = "doc_id", text_col: s
 
 def redact(docs: DataFrame, ratio: np.ndarray, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
     """``docs`` with every span replaced by REDACTED; other texts stay as they are, and so do other columns
-    but ``length_col``, which follows a changed text."""
+    but ``length_col`` (if there), which follows a changed text."""
+    length_col = length_col if length_col in docs.columns else None
 
     def run(batches):
         for b in batches:

@@ -71,7 +71,7 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
-def _segment(raw: np.ndarray, starts: np.ndarray, separators: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _segment(raw: np.ndarray, starts: np.ndarray, separators: np.ndarray, apart: tuple | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n = len(raw)
     b = LOWER[raw]
     sep = separators[b]
@@ -81,6 +81,12 @@ def _segment(raw: np.ndarray, starts: np.ndarray, separators: np.ndarray) -> tup
     last = np.empty(n, bool)
     last[-1] = True
     last[:-1] = sep[1:]
+    if apart:  # a word also ends between bytes of the two kinds
+        one, two = apart[0][b], apart[1][b]
+        one[1:] |= (b[:-1] == 0xC3) & (b[1:] != 0x97) & (b[1:] != 0xB7)  # the last byte of a letter from À to ÿ
+        between = (one[1:] & two[:-1]) | (two[1:] & one[:-1])
+        first[1:] |= between
+        last[:-1] |= between
     cut = starts[starts < n]
     first[cut] = True
     last[cut[cut > 0] - 1] = True
@@ -92,20 +98,27 @@ def _segment(raw: np.ndarray, starts: np.ndarray, separators: np.ndarray) -> tup
     c = np.empty(n + 1, np.uint64)
     c[0] = 0
     np.cumsum(v, out=c[1:])
-    return mix((c[e] - c[s]) * down[s] + (e - s).astype(np.uint64) * _LENGTH), s
+    return mix((c[e] - c[s]) * down[s] + (e - s).astype(np.uint64) * _LENGTH), s, e
 
 
 def word_hashes(raw: np.ndarray, offsets: np.ndarray, separators: np.ndarray = SPACES) -> tuple[np.ndarray, np.ndarray]:
     """Hash of every word, in order, and the offsets of the rows in that array."""
-    hashes, counts = [], np.zeros(len(offsets) - 1, np.int64)
+    return word_places(raw, offsets, separators)[:2]
+
+
+def word_places(raw: np.ndarray, offsets: np.ndarray, separators: np.ndarray = SPACES, apart: tuple | None = None):
+    """As ``word_hashes``, with every word's first byte and end; ``apart``: two kinds of bytes to part words between."""
+    hashes, counts, begins, ends = [], np.zeros(len(offsets) - 1, np.int64), [], []
     row, rows = 0, len(offsets) - 1
     while row < rows:
         end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + SEGMENT, "right")) - 1)
         lo, hi = int(offsets[row]), int(offsets[end])
         if hi - lo <= SEGMENT:
             if hi > lo:
-                h, s = _segment(raw[lo:hi], offsets[row:end] - lo, separators)
+                h, s, e = _segment(raw[lo:hi], offsets[row:end] - lo, separators, apart)
                 hashes.append(h)
+                begins.append(s + lo)
+                ends.append(e + lo)
                 at = np.searchsorted(s, offsets[row : end + 1] - lo)
                 counts[row:end] = np.diff(at)
         else:  # one long text: cut after a separator
@@ -118,13 +131,16 @@ def word_hashes(raw: np.ndarray, offsets: np.ndarray, separators: np.ndarray = S
                     else:
                         while to < hi and not separators[raw[to]]:
                             to += 1
-                h, _ = _segment(raw[lo:to], np.zeros(1, np.int64), separators)
+                h, s, e = _segment(raw[lo:to], np.zeros(1, np.int64), separators, apart)
                 hashes.append(h)
+                begins.append(s + lo)
+                ends.append(e + lo)
                 counts[row] += len(h)
                 lo = to
         row = end
     out = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-    return out, np.concatenate([[0], np.cumsum(counts)])
+    places = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (begins, ends)]
+    return out, np.concatenate([[0], np.cumsum(counts)]), *places
 
 
 def windows(words: np.ndarray, offsets: np.ndarray, picks: list[int]) -> tuple[np.ndarray, np.ndarray]:
