@@ -37,6 +37,8 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8, app: s
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the value conventions to a session someone else built."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    # rows hold whole texts: small Arrow batches bound the memory of JVM buffers and Python workers
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
     ensure_checkpoint_dir(spark)
     ship_package(spark)
     return spark
