@@ -43,7 +43,7 @@ def by_group(df: DataFrame, key: str, function, schema: str) -> DataFrame:
     return df.groupBy(key).applyInArrow(lambda k, t: function(k, t), schema)
 
 
-def pieces(b: pa.RecordBatch, column: str = "text", most: int = 4 << 20):
+def pieces(b: pa.RecordBatch, column: str = "text", most: int = 2 << 20):
     """The batch in slices of at most ``most`` bytes of the text column; a longer row makes a slice of its own."""
     text = b.column(column)
     sizes = np.nan_to_num(np.asarray(pa.compute.binary_length(text).to_numpy(zero_copy_only=False), float))

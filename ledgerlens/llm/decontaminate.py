@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import pieces
 from .tokens import PUNCTUATION, buffers, windows, word_hashes
 
 #: fixed masks: the places of a window that count
@@ -137,7 +138,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
         shared = spark.sparkContext.broadcast(seeds)
 
         def run(batches, shared=shared):
-            for b in batches:
+            for b in (p for whole in batches for p in pieces(whole)):
                 words, at = word_hashes(*buffers(b.column("text")), PUNCTUATION)
                 ids = b.column("doc_id").to_pylist()
                 got = shared.value.overlaps(words, at)
@@ -157,7 +158,7 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, text_col: str = "text
         shared = docs.sparkSession.sparkContext.broadcast(seeds)
 
         def run(batches, shared=shared):
-            for b in batches:
+            for b in (p for whole in batches for p in pieces(whole, text_col)):
                 words, at = word_hashes(*buffers(b.column(text_col)), PUNCTUATION)
                 mask = np.ones(b.num_rows, bool)
                 mask[[g[0] for g in shared.value.overlaps(words, at)]] = False

@@ -25,11 +25,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import SortedArrays, load, pack, save, shard_bits, shard_of, shared_folder, slim, unpack
-from .common import batch, by_group, fold, partitions
+from .common import batch, by_group, fold, partitions, pieces
 from .tokens import buffers, mix, word_hashes
 
 HOT = 1000
-HELD = 3_000_000
+HELD = 2_000_000
 #: the token that ends a text; no word has this hash but by a 64-bit collision
 END = np.uint64(0x5BD1E995A3C59AC3)
 BLOBS = pa.schema([("shard", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
@@ -77,7 +77,7 @@ def _combine(read, shards):
 
     def run(batches):
         held, size = [], 0
-        for b in batches:
+        for b in (p for whole in batches for p in pieces(whole)):
             held.append(read(b.column(0)))
             size += len(held[-1])
             if size >= HELD:
@@ -304,9 +304,7 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 
     def run(batches):
         for whole in batches:
-            step = 1500  # rows at a time bound the arrays of a batch
-            for lo in range(0, whole.num_rows, step):
-                b = whole.slice(lo, step)
+            for b in pieces(whole, text_col):
                 t, at = tokens(b.column(text_col))
                 ids, counts = model.words.look(t)
                 add = lambda x: np.add.reduceat(x, at[:-1])  # noqa: E731, B023  a row has its end token at least

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import SortedArrays, pack, save, shard_bits, shard_cuts, shard_of, shared_folder, slim, unpack, write_arrays
-from .common import batch, by_group, partitions, u64
+from .common import batch, by_group, partitions, pieces, u64
 from .tokens import _BYTE, _power, buffers, mix
 
 LENGTH = 400
@@ -152,7 +152,7 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def _distinct(batches, texts: SortedArrays, length: int):
     """Per batch: bytes, offsets and the rows that stand for their text and are long enough."""
     seen: set[int] = set()
-    for b in batches:
+    for b in (p for whole in batches for p in pieces(whole)):
         raw, offsets = buffers(b.column("text"))
         ids, keys = np.asarray(b.column("id").to_numpy(zero_copy_only=False), np.int64), u64(b.column("key"))
         mine = (texts.find_any(keys, {"first": np.int64(NO_ID)})["first"] == ids) & (np.diff(offsets) >= length)
@@ -315,8 +315,7 @@ def _remove(texts, anchors, hot, resolved, bits, length):
 
     def run(batches):
         for whole in batches:
-            for lo in range(0, whole.num_rows, 2000):
-                b = whole.slice(lo, 2000)
+            for b in pieces(whole):
                 raw, offsets = buffers(b.column("text"))
                 copies = texts.find_any(u64(b.column("key")), {"copies": np.int64(1)})["copies"]
                 sizes = np.diff(offsets)

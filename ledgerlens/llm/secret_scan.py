@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import pieces
 from .tokens import buffers
 
 # FIXED VALUES: the patterns of the base spans, in the order of their kinds
@@ -88,7 +89,7 @@ def _batch_spans(b, column: str = "text"):
 def _count_pairs(batches):
     """Bigram counts of random (1) and ordinary (0) strings of a task."""
     counts = np.zeros((2, SYMBOLS * SYMBOLS), np.int64)
-    for b in batches:
+    for b in (p for whole in batches for p in pieces(whole)):
         raw, at, texts, spans = _batch_spans(b)
         used = np.zeros(len(raw), bool)
         for r, found in enumerate(spans):
@@ -159,7 +160,7 @@ def scan(docs: DataFrame, ratio: np.ndarray, id_col: str = "doc_id", text_col: s
     names = ["doc_id", "n_assign", "n_access", "n_hex", "n_markov", "base_sha256", "spans"]
 
     def run(batches):
-        for b in batches:
+        for b in (p for whole in batches for p in pieces(whole)):
             _, found = find(b, ratio)
             out = {n: [] for n in names}
             for i, spans in zip(b.column("doc_id").to_pylist(), found, strict=True):
@@ -179,7 +180,7 @@ def redact(docs: DataFrame, ratio: np.ndarray, text_col: str = "text", length_co
     length_col = length_col if length_col in docs.columns else None
 
     def run(batches):
-        for b in batches:
+        for b in (p for whole in batches for p in pieces(whole, text_col)):
             texts, found = find(b, ratio, text_col)
             changed = [r for r, s in enumerate(found) if s]
             if changed:

@@ -10,7 +10,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-SEGMENT = 1 << 21
+SEGMENT = 1 << 20
 _RNG = np.random.Generator(np.random.PCG64(20240607))
 _BYTE = _RNG.integers(1, 2**63, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = int(_RNG.integers(2**40, 2**62)) * 8 + 5
