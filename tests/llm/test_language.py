@@ -41,10 +41,10 @@ def test_priors_smooth_over_the_hierarchy(spark):
 
 def test_pages_use_markup_and_address(spark):
     page = lambda lang, i: f"<html lang='{lang}-XX'><head><title>x</title></head><body><p>{texts(lang, i)}</p></body></html>"
-    data = [(1000 * k + i, f"http://h{i % 3}.example.com/{lang}/{i}", page(lang, i)) for k, lang in enumerate(TEXT) for i in range(30)] + [(9, None, None), (10, "http://q.example.com/de/1", "")]
+    data = [(1000 * k + i, f"http://h{i % 3}.example.com/{lang}/{i}", page(lang, i)) for k, lang in enumerate(TEXT) for i in range(30)] + [(90009, None, None), (90010, "http://q.example.com/de/1", "")]
     got = {r["page_id"]: r for r in L.of_pages(spark.createDataFrame(data, "page_id long, url string, html string")).collect()}
     assert all(got[i]["language"] == u.split("/")[3] and not got[i]["rejected"] for i, u, _ in data[:-2])
-    assert got[10]["language"] == "de"
+    assert got[90010]["language"] == "de"
 
 
 def test_edge_rows(documents, no_documents):
