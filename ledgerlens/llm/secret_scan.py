@@ -35,8 +35,8 @@ KEYWORDS = ("password", "passwd", "secret", "token", "api")
 #: a candidate run, its least length, and the log-likelihood ratio that it needs in all and per character
 MARKOV_SPAN, RATIO, RATIO_PER_CHARACTER = 20, 25.0, 0.9
 SYMBOLS = 128
-#: weight of the uniform distribution in every row of a model
-SMOOTH = 1.0
+#: weight of a model's single-character distribution in each of its rows
+SMOOTH = 10.0
 REDACTED = "[SECRET]"
 
 _HEXDIGIT = np.zeros(256, bool)
@@ -121,7 +121,8 @@ def log_ratio(counts: np.ndarray) -> np.ndarray:
     p = []
     for c in counts.reshape(2, SYMBOLS, SYMBOLS):
         c = np.where(alphabet[None, :], c, 0).astype(float)
-        p.append(np.log((c + SMOOTH) / (c.sum(axis=1, keepdims=True) + SMOOTH * len(symbols))))
+        single = (c.sum(axis=0) + 1) / (c.sum() + len(symbols))
+        p.append(np.log((c + SMOOTH * single) / (c.sum(axis=1, keepdims=True) + SMOOTH)))
     return p[1] - p[0]
 
 
