@@ -1,12 +1,16 @@
-"""Porter stemming of ROUGE tokens (the extended Porter variant used by the ROUGE scorer).
+"""Suffix stripping of ROUGE tokens by the published algorithm of M. F. Porter (Program 14(3), 1980).
 
-A small per-token helper: tokens are stemmed inside Arrow batches with a
-per-worker cache, and only tokens longer than three characters are stemmed,
-as the ROUGE tokenizer does.
+Written from the paper: a word is its string of consonants and vowels, a rule set is a table from suffix to
+replacement, and the longest suffix of a word that a table has decides.  The departures that ROUGE scorers
+use are kept as a separate table of whole words and the three conditions marked "departure" below.
+
+Tokens are stemmed inside Arrow batches with a per-worker cache; only tokens of four and more characters
+are stemmed.
 """
 
 from __future__ import annotations
 
+import re
 from functools import lru_cache
 
 import pandas as pd
@@ -14,162 +18,109 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# FIXED VALUES: irregular forms mapped to their stem.
-IRREGULAR_FORMS = {
-    "sky": ["sky", "skies"],
-    "die": ["dying"],
-    "lie": ["lying"],
-    "tie": ["tying"],
-    "news": ["news"],
-    "inning": ["innings", "inning"],
-    "outing": ["outings", "outing"],
-    "canning": ["cannings", "canning"],
-    "howe": ["howe"],
-    "proceed": ["proceed"],
-    "exceed": ["exceed"],
-    "succeed": ["succeed"],
+# FIXED VALUES: whole words with a stem of their own, and the suffix tables of steps 2, 3 and 4.
+WHOLE_WORDS = {
+    "skies": "sky", "sky": "sky", "dying": "die", "lying": "lie", "tying": "tie", "news": "news",
+    "innings": "inning", "inning": "inning", "outings": "outing", "outing": "outing",
+    "cannings": "canning", "canning": "canning", "howe": "howe",
+    "proceed": "proceed", "exceed": "exceed", "succeed": "succeed",
 }
-_POOL = {form: stem for stem, forms in IRREGULAR_FORMS.items() for form in forms}
-_VOWELS = frozenset("aeiou")
-
-
-def _cons(w: str, i: int) -> bool:
-    if w[i] in _VOWELS:
-        return False
-    if w[i] == "y":
-        return i == 0 or not _cons(w, i - 1)
-    return True
-
-
-def _m(stem: str) -> int:
-    seq = "".join("c" if _cons(stem, i) else "v" for i in range(len(stem)))
-    return seq.count("vc")
+STEP_2 = {
+    "ational": "ate", "tional": "tion", "enci": "ence", "anci": "ance", "izer": "ize", "bli": "ble", "alli": "al", "entli": "ent",
+    "eli": "e", "ousli": "ous", "ization": "ize", "ation": "ate", "ator": "ate", "alism": "al", "iveness": "ive", "fulness": "ful",
+    "ousness": "ous", "aliti": "al", "iviti": "ive", "biliti": "ble", "fulli": "ful", "logi": "log",
+}
+STEP_3 = {"icate": "ic", "ative": "", "alize": "al", "iciti": "ic", "ical": "ic", "ful": "", "ness": ""}
+STEP_4 = dict.fromkeys(
+    "al ance ence er ic able ible ant ement ment ent ion ou ism ate iti ous ive ize".split(), "")
 
 
-def _has_vowel(stem: str) -> bool:
-    return any(not _cons(stem, i) for i in range(len(stem)))
+def shape(word: str) -> str:
+    """``c`` for a consonant and ``v`` for a vowel; y is a vowel after a consonant."""
+    out = ""
+    for ch in word:
+        vowel = ch in "aeiou" or (ch == "y" and out.endswith("c"))
+        out += "v" if vowel else "c"
+    return out
 
 
-def _double_cons(w: str) -> bool:
-    return len(w) >= 2 and w[-1] == w[-2] and _cons(w, len(w) - 1)
+def measure(word: str) -> int:
+    """Number of vowel-consonant sequences."""
+    return len(re.findall("v+c+", shape(word)))
 
 
-def _cvc(w: str) -> bool:
-    n = len(w)
-    if n >= 3 and _cons(w, n - 3) and not _cons(w, n - 2) and _cons(w, n - 1) and w[-1] not in "wxy":
-        return True
-    return n == 2 and not _cons(w, 0) and _cons(w, 1)
+def short(word: str) -> bool:
+    """Ends consonant, vowel, consonant but w, x, y; departure: so does a whole word of vowel and consonant."""
+    kinds = shape(word)
+    return kinds == "vc" or (kinds.endswith("cvc") and word[-1] not in "wxy")
 
 
-def _rules(word: str, rules) -> str:
-    """First rule whose suffix matches decides: replaced if its condition holds, else unchanged."""
-    for suffix, repl, cond in rules:
-        if suffix == "*d":
-            if _double_cons(word):
-                stem = word[:-2]
-                return stem + repl if cond is None or cond(stem) else word
-            continue
-        if word.endswith(suffix):
-            stem = word[: len(word) - len(suffix)] if suffix else word
-            return stem + repl if cond is None or cond(stem) else word
+def cut(word: str, table: dict[str, str], least: int) -> str:
+    """Replace the longest suffix that the table has, if what is before it measures more than ``least``."""
+    for at in range(len(word)):
+        if word[at:] in table:
+            head, suffix = word[:at], word[at:]
+            before = word[:-3] if suffix == "logi" else head
+            fits = measure(before) > least and (suffix != "ion" or head[-1:] in ("s", "t"))
+            return head + table[suffix] if fits else word
     return word
 
 
-def _pos(stem: str) -> bool:
-    return _m(stem) > 0
-
-
-def _gt1(stem: str) -> bool:
-    return _m(stem) > 1
-
-
-def _step1a(w: str) -> str:
-    if w.endswith("ies") and len(w) == 4:
-        return w[:-3] + "ie"
-    return _rules(w, [("sses", "ss", None), ("ies", "i", None), ("ss", "ss", None), ("s", "", None)])
-
-
-def _step1b(w: str) -> str:
-    if w.endswith("ied"):
-        return w[:-3] + ("ie" if len(w) == 4 else "i")
-    if w.endswith("eed"):
-        stem = w[:-3]
-        return stem + "ee" if _m(stem) > 0 else w
-    inter = None
-    for suffix in ("ed", "ing"):
-        if w.endswith(suffix) and _has_vowel(w[: -len(suffix)]):
-            inter = w[: -len(suffix)]
-            break
-    if inter is None:
-        return w
-    return _rules(inter, [
-        ("at", "ate", None),
-        ("bl", "ble", None),
-        ("iz", "ize", None),
-        ("*d", inter[-1], lambda s: inter[-1] not in "lsz"),
-        ("", "e", lambda s: _m(s) == 1 and _cvc(s)),
-    ])
-
-
-def _step1c(w: str) -> str:
-    return _rules(w, [("y", "i", lambda s: len(s) > 1 and _cons(s, len(s) - 1))])
-
-
-def _step2(w: str) -> str:
-    if w.endswith("alli") and _pos(w[:-4]):
-        return _step2(w[:-4] + "al")
-    return _rules(w, [
-        ("ational", "ate", _pos), ("tional", "tion", _pos), ("enci", "ence", _pos), ("anci", "ance", _pos),
-        ("izer", "ize", _pos), ("bli", "ble", _pos), ("alli", "al", _pos), ("entli", "ent", _pos),
-        ("eli", "e", _pos), ("ousli", "ous", _pos), ("ization", "ize", _pos), ("ation", "ate", _pos),
-        ("ator", "ate", _pos), ("alism", "al", _pos), ("iveness", "ive", _pos), ("fulness", "ful", _pos),
-        ("ousness", "ous", _pos), ("aliti", "al", _pos), ("iviti", "ive", _pos), ("biliti", "ble", _pos),
-        ("fulli", "ful", _pos), ("logi", "log", lambda s: _pos(w[:-3])),
-    ])
+def plural(word: str) -> str:
+    if word.endswith("ies"):
+        return word[:-1] if len(word) == 4 else word[:-2]  # departure: ties, tie
+    if word.endswith("s") and not word.endswith("ss"):
+        return word[:-2] if word.endswith("sses") else word[:-1]
+    return word
 
 
-def _step3(w: str) -> str:
-    return _rules(w, [("icate", "ic", _pos), ("ative", "", _pos), ("alize", "al", _pos), ("iciti", "ic", _pos),
-                      ("ical", "ic", _pos), ("ful", "", _pos), ("ness", "", _pos)])
+def past(word: str) -> str:
+    if word.endswith("ied"):
+        return word[:-1] if len(word) == 4 else word[:-2]  # departure: died, die
+    if word.endswith("eed"):
+        return word[:-1] if measure(word[:-3]) else word
+    head = next((word[: -len(x)] for x in ("ed", "ing") if word.endswith(x) and "v" in shape(word[: -len(x)])), None)
+    if head is None:
+        return word
+    if head.endswith(("at", "bl", "iz")):
+        return head + "e"
+    if len(head) > 1 and head[-1] == head[-2] and shape(head)[-1] == "c":
+        return head if head[-1] in "lsz" else head[:-1]
+    return head + "e" if measure(head) == 1 and short(head) else head
 
 
-def _step4(w: str) -> str:
-    return _rules(w, [
-        ("al", "", _gt1), ("ance", "", _gt1), ("ence", "", _gt1), ("er", "", _gt1), ("ic", "", _gt1),
-        ("able", "", _gt1), ("ible", "", _gt1), ("ant", "", _gt1), ("ement", "", _gt1), ("ment", "", _gt1),
-        ("ent", "", _gt1), ("ion", "", lambda s: _m(s) > 1 and s[-1:] in ("s", "t")), ("ou", "", _gt1),
-        ("ism", "", _gt1), ("ate", "", _gt1), ("iti", "", _gt1), ("ous", "", _gt1), ("ive", "", _gt1),
-        ("ize", "", _gt1),
-    ])
+def final_y(word: str) -> str:
+    """Departure: y after a consonant that does not begin the word becomes i."""
+    return word[:-1] + "i" if len(word) > 2 and word.endswith("y") and shape(word)[-2] == "c" else word
 
 
-def _step5a(w: str) -> str:
-    if w.endswith("e"):
-        stem = w[:-1]
-        if _m(stem) > 1 or (_m(stem) == 1 and not _cvc(stem)):
-            return stem
-    return w
+def double_suffixes(word: str) -> str:
+    """Departure: alli becomes al and the table is applied once more."""
+    if word.endswith("alli") and measure(word[:-4]):
+        return double_suffixes(word[:-2])
+    return cut(word, STEP_2, 0)
 
 
-def _step5b(w: str) -> str:
-    return _rules(w, [("ll", "l", lambda s: _m(w[:-1]) > 1)])
+def tidy(word: str) -> str:
+    if word.endswith("e") and (measure(word[:-1]) > 1 or (measure(word[:-1]) == 1 and not short(word[:-1]))):
+        word = word[:-1]
+    return word[:-1] if word.endswith("ll") and measure(word[:-1]) > 1 else word
 
 
 @lru_cache(maxsize=200_000)
 def porter_stem(word: str) -> str:
-    """Stem one lower-case word."""
-    w = word.lower()
-    if w in _POOL:
-        return _POOL[w]
-    if len(w) <= 2:
-        return w
-    for step in (_step1a, _step1b, _step1c, _step2, _step3, _step4, _step5a, _step5b):
-        w = step(w)
-    return w
+    """Stem one word, lower-cased."""
+    word = word.lower()
+    if word in WHOLE_WORDS:
+        return WHOLE_WORDS[word]
+    if len(word) < 3:
+        return word
+    word = double_suffixes(final_y(past(plural(word))))
+    return tidy(cut(cut(word, STEP_3, 0), STEP_4, 1))
 
 
 def stem_token(tok: str, min_len: int = 4) -> str:
-    """Stem tokens of at least ``min_len`` characters (the ROUGE scorer skips shorter ones)."""
+    """Stem tokens of at least ``min_len`` characters."""
     return porter_stem(tok) if len(tok) >= min_len else tok
 
 

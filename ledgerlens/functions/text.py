@@ -1,13 +1,20 @@
 """Column functions for filing text: whitespace, HTML, words, chunks and match offsets.
 
-Everything here is a native Spark expression (regex, higher-order array
-functions), so it runs inside whole-stage code generation with no Python worker.
+Native Spark expressions (regular expressions, higher-order array functions), but for two Arrow functions:
+match offsets, which have no linear native form, and the tables of rows whose table markup is nested or
+unclosed.
 """
 
 from __future__ import annotations
 
+import html as html_library
+import re
+from html.parser import HTMLParser
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..constants import CHUNK_OVERLAP, CHUNK_SIZE, WS_CLASS, WS_RUN
 
@@ -24,8 +31,10 @@ HTML_ENTITIES = [
     ("middot", "·"),
 ]
 
-_NUMERIC_ENTITY = r"&#([0-9]{1,7}|[xX][0-9a-fA-F]{1,6});"
-_TAG = r"<[^>]*>"
+# Any reference but the common ones written with their ';'.
+_RARE_ENTITY = "&(?!(?:amp|" + "|".join(n for n, _ in HTML_ENTITIES) + ");)[A-Za-z#]"
+# A tag starts with a letter, '/', '!' or '?'; a quoted attribute value may hold '>'.  Possessive, so linear.
+_TAG = r"""<[A-Za-z/!?](?:[^>=]++|=\s*+"[^"]*+"|=\s*+'[^']*+'|=)*+>"""
 _TABLE = r"(?is)<table\b[^>]*>.*?</table\s*>"
 _ROW = r"(?is)<tr\b[^>]*>(.*?)</tr\s*>"
 _CELL = r"(?is)<t[dh]\b[^>]*>(.*?)</t[dh]\s*>"
@@ -55,107 +64,25 @@ def _interleave(pieces: Column, inserts: Column) -> Column:
     )
 
 
-_REF = r"&(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
-
-
-def _entity_tables():
-    """Named references of the HTML5 standard table (Python's ``html.entities.html5``).
+def decode_entities(c: Column) -> Column:
+    """Decode character references exactly as Python's ``html.unescape``.
 
-    Returns (all names -> text, legacy names usable without ';' sorted longest
-    first).  Derived from the standard library table, not written out here.
+    Rows whose references are all among ``HTML_ENTITIES`` and ``&amp;`` (nearly all) are decoded by plain
+    replacements, the others by that function in Arrow batches.
     """
-    from html.entities import html5
+    rare = F.regexp_like(c, F.lit(_RARE_ENTITY))
+    return F.coalesce(_unescape(F.when(rare, c)), _common_entities(c))
 
-    legacy = sorted((k for k in html5 if not k.endswith(";")), key=lambda k: (-len(k), k))
-    return dict(html5), legacy
 
-
-def _code_point(ref: Column) -> Column:
-    """Text of a numeric reference body ('#65;', '#x41') following the HTML5 rules.
-
-    Remapped references (e.g. 0x80 -> '€') and the code points that decode to
-    nothing come from the standard library's own tables; out-of-range values and
-    surrogates give U+FFFD.
-    """
-    import html as _html
-
-    remap = dict(_html._invalid_charrefs)  # noqa: SLF001 - the stdlib's HTML5 table
-    dropped = sorted(_html._invalid_codepoints)  # noqa: SLF001
-    body = F.regexp_replace(ref, ";$", "")
-    is_hex = F.lower(F.substring(body, 2, 1)) == "x"
-    digits = F.regexp_replace(F.when(is_hex, F.substring(body, 3, 64)).otherwise(F.substring(body, 2, 64)),
-                              "^0+(?=.)", "")
-    code = F.when(F.length(digits) > 8, F.lit(None)).otherwise(
-        F.when(is_hex, F.conv(digits, 16, 10)).otherwise(digits).cast("long"))
-    rk = sorted(remap)
-    remapped = F.try_element_at(F.map_from_arrays(F.array(*[F.lit(k).cast("long") for k in rk]),
-                                                  F.array(*[F.lit(remap[k]) for k in rk])), code)
-    out_of_range = code.isNull() | (code > 0x10FFFF) | ((code >= 0xD800) & (code <= 0xDFFF))
-    return (F.when(remapped.isNotNull(), remapped)
-            .when(out_of_range, F.lit("\ufffd"))
-            .when(F.array_contains(F.array(*[F.lit(v).cast("long") for v in dropped]), code), F.lit(""))
-            .otherwise(F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")))
-
-
-def decode_entities_html5(c: Column) -> Column:
-    """Decode character references in one left-to-right pass, as Python's ``html.unescape`` does.
-
-    Numeric references (decimal or hex, ';' optional); named references of the
-    HTML5 table; a name that is not in the table decodes its longest legacy
-    prefix (``&copyright`` -> '©right').  Decoded text is not scanned again, so
-    ``&amp;lt;`` gives ``&lt;``.  Unknown names stay as written.  Exact but
-    slower (per-reference work runs in an interpreted lambda): opt in through
-    ``html_to_text(..., full_entities=True)``.
-    """
-    table, legacy = _entity_tables()
-    keys = sorted(table)
-    # Two literal arrays fold into one constant map at planning time.
-    names = F.map_from_arrays(F.array(*[F.lit(k) for k in keys]), F.array(*[F.lit(table[k]) for k in keys]))
-    legacy_arr = F.array(*[F.lit(n) for n in legacy])
-
-    # The references that make up nearly all real text take a short CASE chain;
-    # only rare names pay for the lookup in the full table.
-    common = ["amp;", "amp", "lt;", "lt", "gt;", "gt", "quot;", "quot", "nbsp;", "nbsp", "apos;", "copy;", "copy",
-              "reg;", "reg", "middot;", "middot", "rsquo;", "lsquo;", "rdquo;", "ldquo;", "mdash;", "ndash;",
-              "bull;", "sect;", "hellip;", "trade;"]
-
-    def decode_one(m: Column) -> Column:
-        body = F.substring(m, 2, 64)                      # text after '&'
-        fast = None
-        for name in common:
-            fast = (F.when(body == F.lit(name), F.lit(table[name])) if fast is None
-                    else fast.when(body == F.lit(name), F.lit(table[name])))
-        exact = F.try_element_at(names, body)
-        prefix = F.element_at(F.concat(F.filter(legacy_arr, lambda n: F.startswith(body, n)),
-                                       F.array(F.lit(None).cast("string"))), 1)
-        named = F.coalesce(exact, F.when(prefix.isNotNull(), F.concat(
-            F.try_element_at(names, prefix), F.substring(body, F.length(prefix) + 1, 64))), m)
-        return F.when(F.startswith(body, F.lit("#")), _code_point(body)).otherwise(F.coalesce(fast, named))
-
-    pieces = F.split(c, _REF, -1)
-    refs = F.regexp_extract_all(c, F.lit(_REF), 0)
-    return F.when(F.instr(c, "&") > 0, _interleave(pieces, F.transform(refs, decode_one))).otherwise(c)
-
-
-def decode_numeric_entities(c: Column) -> Column:
-    """``&#8217;`` / ``&#x2019;`` -> the code point, via UTF-32 bytes."""
-    pieces = F.split(c, _NUMERIC_ENTITY, -1)
-    refs = F.regexp_extract_all(c, F.lit(_NUMERIC_ENTITY), 1)
-
-    def to_char(r: Column) -> Column:
-        code = F.when(F.lower(F.substring(r, 1, 1)) == "x", F.conv(F.substring(r, 2, 10), 16, 10)).otherwise(r)
-        return F.decode(F.unhex(F.lpad(F.hex(code.cast("long")), 8, "0")), "UTF-32")
-
-    return F.when(F.instr(c, "&#") > 0, _interleave(pieces, F.transform(refs, to_char))).otherwise(c)
+def _common_entities(c: Column) -> Column:
+    for name, char in HTML_ENTITIES:
+        c = F.replace(c, F.lit(f"&{name};"), F.lit(char))
+    return F.replace(c, F.lit("&amp;"), F.lit("&"))
 
 
-def decode_entities(c: Column) -> Column:
-    """Decode the named references of ``HTML_ENTITIES``, numeric references, then ``&amp;``."""
-    out = c
-    for name, char in HTML_ENTITIES:
-        out = F.regexp_replace(out, f"&{name};?", char.replace("\\", "\\\\").replace("$", "\\$"))
-    out = decode_numeric_entities(out)
-    return F.regexp_replace(out, "&amp;?", "&")
+@F.pandas_udf(T.StringType())
+def _unescape(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: html_library.unescape(t) if isinstance(t, str) else None)
 
 
 def strip_markup(c: Column) -> Column:
@@ -166,20 +93,101 @@ def strip_markup(c: Column) -> Column:
     return F.regexp_replace(out, r"(?is)<style\b[^>]*>.*?</style\s*>", " ")
 
 
-def _cell_text(cell_html: Column, decode=None) -> Column:
+def _cell_text(cell_html: Column) -> Column:
     """A cell's text with inner strings stripped and joined without separator."""
-    decode = decode or decode_entities
-    return F.array_join(F.transform(F.split(cell_html, _TAG, -1), lambda s: py_strip(decode(s))), "")
+    return F.array_join(F.transform(F.split(cell_html, _TAG, -1), py_strip), "")
+
 
+class _LenientText(HTMLParser):
+    """The text nodes of a page, with tables as their rows; script and style bodies are no text.
 
-def table_rows(table_html: Column, decode=None) -> Column:
+    Cells and rows close as HTML closes them: a cell at the next cell, row or table end of its own table, a
+    row at the next row or table end.  A row of an outer table has the cells of tables inside it as well,
+    and the text of an inner table is part of each cell around it.
+    """
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.out, self.open, self.rows, self.text, self.hidden = [], [], [], "", 0
+
+    def _end_text(self):
+        """A text node ends at a tag: each open cell gets it stripped, outside of tables it is text."""
+        if not self.open:
+            self.out.append(self.text)
+        for table in self.open:
+            if table["cell"] is not None:
+                table["cell"].append(self.text.strip())
+        self.text = ""
+
+    def handle_starttag(self, tag, attrs):
+        self._end_text()
+        self.hidden += tag in ("script", "style")
+        if tag == "table":
+            if not self.open:
+                self.rows = []
+            self.open.append({"row": None, "cell": None})
+        elif self.open and tag == "tr":
+            self.open[-1].update(cell=None, row=[])
+            self.rows.append(self.open[-1]["row"])
+        elif self.open and tag in ("td", "th"):
+            if self.open[-1]["row"] is None:
+                self.handle_starttag("tr", [])
+            self.open[-1]["cell"] = cell = []
+            for table in self.open:
+                if table["row"] is not None:
+                    table["row"].append(cell)
+
+    def handle_endtag(self, tag):
+        self._end_text()
+        self.hidden -= tag in ("script", "style") and self.hidden > 0
+        if self.open and tag == "table":
+            self.open.pop()
+            if not self.open:
+                self.out += [" | ".join("".join(c) for c in r) for r in self.rows if r]
+        elif self.open and tag in ("td", "th"):
+            self.open[-1]["cell"] = None
+        elif self.open and tag == "tr":
+            self.open[-1].update(cell=None, row=None)
+
+    def handle_data(self, data):
+        self.text += "" if self.hidden else data
+
+
+def lenient_text(page: str) -> str:
+    """What ``html_to_text`` returns, before white space is collapsed, for any markup."""
+    parser = _LenientText()
+    parser.feed(page)
+    parser.close()
+    while parser.open:
+        parser.handle_endtag("table")
+    parser.handle_endtag("")
+    return " ".join(parser.out)
+
+
+@F.pandas_udf(T.StringType())
+def _lenient_text(html: pd.Series) -> pd.Series:
+    return html.map(lambda h: lenient_text(h) if isinstance(h, str) else None)
+
+
+def _needs_lenient(body: Column) -> Column:
+    """Whether references are other than the common ones, tables are nested, or any table, row or cell is
+    unclosed or holds references (its text nodes are stripped after decoding)."""
+    count = lambda p: F.regexp_count(body, F.lit(p))
+    tables = F.regexp_extract_all(body, F.lit(_TABLE), 0)
+    odd = F.exists(tables, lambda t: F.regexp_like(F.substring(t, 2, 1 << 30), F.lit(r"(?i)<table\b|&")))
+    for t in ("table", "tr", "td", "th"):
+        odd = odd | (count(rf"(?i)<{t}\b") != count(rf"(?i)</{t}\b"))
+    return F.regexp_like(body, F.lit(_RARE_ENTITY)) | (F.regexp_like(body, F.lit(r"(?i)<table\b")) & odd)
+
+
+def table_rows(table_html: Column) -> Column:
     """Array of row strings: each ``tr`` with cells -> cell texts joined `` | ``; rows without cells dropped."""
     rows = F.regexp_extract_all(table_html, F.lit(_ROW), 1)
     joined = F.transform(
         rows,
         lambda r: F.when(
             F.size(F.regexp_extract_all(r, F.lit(_CELL), 1)) > 0,
-            F.array_join(F.transform(F.regexp_extract_all(r, F.lit(_CELL), 1), lambda x: _cell_text(x, decode)),
+            F.array_join(F.transform(F.regexp_extract_all(r, F.lit(_CELL), 1), _cell_text),
                          " | "),
         ),
     )
@@ -188,34 +196,26 @@ def table_rows(table_html: Column, decode=None) -> Column:
 
 def table_flatten(table_html: Column) -> Column:
     """One table as text: rows joined by newlines (empty string when no row has cells)."""
-    return F.array_join(table_rows(table_html), "\n")
-
-
-def _text_nodes(c: Column, decode=None) -> Column:
-    return (decode or decode_entities)(F.regexp_replace(c, _TAG, " "))
+    return decode_entities(F.array_join(table_rows(table_html), "\n"))
 
 
-def html_to_text(c: Column, full_entities: bool = False) -> Column:
-    """HTML -> text as the reference extracts it, natively.
+def html_to_text(c: Column) -> Column:
+    """HTML -> text.
 
     script/style/comments/declarations dropped; every table replaced by its rows
-    (cells joined `` | ``); other tags separate text nodes by a space; entities
-    decoded; whitespace collapsed and trimmed.  A table nested inside another
-    makes the reference's extraction fail, which it reports as ``""``; the same
-    is returned here.  NULL input gives ``""``.  ``full_entities`` decodes every
-    HTML5 reference exactly (``decode_entities_html5``); the default decodes the
-    common named references and all numeric ones at regex speed.
+    (cells joined `` | ``); other tags separate text nodes by a space; character
+    references decoded exactly; whitespace collapsed and trimmed.  Pages with rare
+    references, or with nested or unclosed tables, are read by ``lenient_text`` in
+    Arrow batches; all others natively.  NULL input gives ``""``.
     """
-    decode = decode_entities_html5 if full_entities else decode_entities
     body = strip_markup(F.coalesce(c, F.lit("")))
     pieces = F.split(body, _TABLE, -1)
     tables = F.regexp_extract_all(body, F.lit(_TABLE), 0)
-    nested = F.exists(tables, lambda t: F.regexp_like(F.substring(t, 2, 1 << 30), F.lit(r"(?i)<table\b")))
-    flat_tables = F.transform(tables, lambda t: F.concat(F.lit(" "), F.array_join(table_rows(t, decode), " "),
-                                                         F.lit(" ")))
-    text = _interleave(F.transform(pieces, lambda p: _text_nodes(p, decode)), flat_tables)
+    flat_tables = F.transform(tables, lambda t: F.concat(F.lit(" "), F.array_join(table_rows(t), " "), F.lit(" ")))
+    native = _common_entities(_interleave(F.transform(pieces, lambda p: F.regexp_replace(p, _TAG, " ")), flat_tables))
+    text = F.coalesce(_lenient_text(F.when(_needs_lenient(body), body)), native)
     # After the collapse the only whitespace left is ' ', so trim() equals Python's strip().
-    return F.when(nested, F.lit("")).otherwise(F.trim(collapse_ws(text)))
+    return F.trim(collapse_ws(text))
 
 
 # ------------------------------------------------------------------ chunks
@@ -255,42 +255,19 @@ def with_chunks(df, text: str = "text", out: str = "_chunks", size: int = CHUNK_
 
 
 # ------------------------------------------------------------------ match offsets
-def match_starts(text: Column, pattern: str) -> Column:
-    """0-based code-point start offsets of the non-overlapping matches of ``pattern``.
+def match_spans(text: Column, pattern: str, ignore_case: bool = True) -> Column:
+    """array<struct<s:int, m:string>>: start offset and text of each non-overlapping match of a Python pattern.
 
-    Built from the alternating pieces of ``split`` and the matches of
-    ``regexp_extract_all``; a running sum turns their lengths into offsets.
+    One linear pass per text, in Arrow batches; NULL text has no matches.
     """
-    pieces = F.split(text, pattern, -1)
-    matches = F.regexp_extract_all(text, F.lit(pattern), 0)
-    pairs = F.arrays_zip(F.slice(pieces, 1, F.greatest(F.size(pieces) - 1, F.lit(0))).alias("p"), matches.alias("m"))
-    acc = F.aggregate(
-        pairs,
-        F.struct(F.lit(0).alias("pos"), F.array().cast("array<int>").alias("starts")),
-        lambda a, x: F.struct(
-            (a["pos"] + F.length(x["p"]) + F.length(x["m"])).alias("pos"),
-            F.concat(a["starts"], F.array((a["pos"] + F.length(x["p"])).cast("int"))).alias("starts"),
-        ),
-    )
-    return F.coalesce(acc["starts"], F.array().cast("array<int>"))
-
-
-def match_spans(text: Column, pattern: str) -> Column:
-    """array<struct<s:int, m:string>>: start offset and text of each non-overlapping match."""
-    pieces = F.split(text, pattern, -1)
-    matches = F.regexp_extract_all(text, F.lit(pattern), 0)
-    pairs = F.arrays_zip(F.slice(pieces, 1, F.greatest(F.size(pieces) - 1, F.lit(0))).alias("p"), matches.alias("m"))
-    empty = F.array().cast("array<struct<s:int,m:string>>")
-    acc = F.aggregate(
-        pairs,
-        F.struct(F.lit(0).alias("pos"), empty.alias("spans")),
-        lambda a, x: F.struct(
-            (a["pos"] + F.length(x["p"]) + F.length(x["m"])).alias("pos"),
-            F.concat(a["spans"], F.array(F.struct((a["pos"] + F.length(x["p"])).cast("int").alias("s"),
-                                                  x["m"].alias("m")))).alias("spans"),
-        ),
-    )
-    return F.coalesce(acc["spans"], empty)
+    compiled = re.compile(pattern, re.IGNORECASE if ignore_case else 0)
+    schema = T.ArrayType(T.StructType([T.StructField("s", T.IntegerType()), T.StructField("m", T.StringType())]))
+
+    @F.pandas_udf(schema)
+    def spans(texts: pd.Series) -> pd.Series:
+        return pd.Series([[{"s": m.start(), "m": m.group()} for m in compiled.finditer(t)] if t else [] for t in texts])
+
+    return spans(text)
 
 
 def py_regex(pattern: str, ignore_case: bool = True) -> str:

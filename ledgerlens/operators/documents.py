@@ -6,9 +6,13 @@ Section rules (per pattern of the filing type):
    so its single match runs from its first word to the last closing word and
    swallows other matches inside it;
 2. with more than one match, starts below ``toc_skip`` are ignored;
-3. end = first ``ITEM n.`` at or after start + 100, else start + 100,000 or the end;
+3. end = first ``ITEM n.`` at or after start + 100, else the end of the text (``max_span``: at most
+   that many characters on);
 4. the longest span wins (ties: earliest); if rule 2 removed all, the first match;
-5. kept when longer than 500 characters, then cut to 50,000.
+5. kept when longer than ``min_chars`` characters, whole (``keep_chars``: cut to that many).
+
+Whole sections are the default; ``SECTION_MAX_SPAN`` and ``SECTION_KEEP_CHARS`` of ``constants`` are the
+values for parity with tools that cut sections.
 
 The greedy alternative is evaluated from word offsets (linear time) instead of
 a backtracking regex, which is quadratic on long filings without a closing word.
@@ -27,8 +31,6 @@ from ..constants import (
     CHUNK_SIZE,
     DOCUMENT_MIN_CHARS,
     NEXT_ITEM_PATTERN,
-    SECTION_KEEP_CHARS,
-    SECTION_MAX_SPAN,
     SECTION_MIN_CHARS,
     SECTION_PATTERNS,
     SECTION_SEARCH_OFFSET,
@@ -78,10 +80,10 @@ def _chain_span(word_cols: list[Column], words: list[str]) -> Column:
     return F.when(last.isNotNull(), F.struct(first.alias("start"), (last + F.lit(len(words[-1]))).alias("stop")))
 
 
-def _best_span(n: Column, starts: Column, items: Column, toc_skip: int) -> Column:
+def _best_span(n: Column, starts: Column, items: Column, toc_skip: int, max_span: int | None) -> Column:
     def with_end(s: Column) -> Column:
         nxt = F.array_min(F.filter(items, lambda i: i >= s + F.lit(SECTION_SEARCH_OFFSET)))
-        end = F.coalesce(nxt, F.least(s + F.lit(SECTION_MAX_SPAN), n))
+        end = F.coalesce(nxt, F.least(s + F.lit(max_span), n) if max_span else n)
         return F.struct(s.alias("s"), (end - s).alias("len"))
 
     eligible = F.when(F.size(starts) > 1, F.filter(starts, lambda s: s >= F.lit(toc_skip))).otherwise(starts)
@@ -109,7 +111,8 @@ def _starts_where(spans: Column, pattern: str) -> Column:
 
 
 def extract_sections(df: DataFrame, text: str = "text", filing_type: str = "filing_type",
-                     patterns: dict | None = None, toc_skip: int = TOC_SKIP_CHARS) -> DataFrame:
+                     patterns: dict | None = None, toc_skip: int = TOC_SKIP_CHARS, max_span: int | None = None,
+                     keep_chars: int | None = None, min_chars: int = SECTION_MIN_CHARS) -> DataFrame:
     """One row per kept section: the input columns (minus ``text``) + section, text.
 
     Unknown filing types give no rows.  The text is scanned twice per row: once
@@ -137,8 +140,8 @@ def extract_sections(df: DataFrame, text: str = "text", filing_type: str = "fili
                         phrases.append(q)
     stage1 = df.select(
         *keep, F.col(text).alias("_text"), F.length(text).alias("_n"),
-        match_spans(F.col(text), py_regex(NEXT_ITEM_PATTERN)).alias("_items"),
-        (match_spans(F.col(text), py_regex("(?:" + "|".join(phrases) + ")")) if phrases
+        match_spans(F.col(text), NEXT_ITEM_PATTERN).alias("_items"),
+        (match_spans(F.col(text), "(?:" + "|".join(phrases) + ")") if phrases
          else F.array().cast("array<struct<s:int,m:string>>")).alias("_phr"),
     )
 
@@ -173,7 +176,7 @@ def extract_sections(df: DataFrame, text: str = "text", filing_type: str = "fili
             name = f"_b{len(b_name)}"
             b_name[(t, sec)] = name
             spans.append(F.when(ftype == F.lit(t), _best_span(F.col("_n"), F.col(p_name[pat]), F.col("_istarts"),
-                                                               toc_skip)).alias(name))
+                                                               toc_skip, max_span)).alias(name))
     stage3 = stage2.select(*keep, "_text", *spans)
 
     per_type = F.array().cast("array<struct<section:string,text:string>>")
@@ -182,9 +185,9 @@ def extract_sections(df: DataFrame, text: str = "text", filing_type: str = "fili
         for sec in secs:
             best = F.col(b_name[(t, sec)])
             body = F.substring(F.col("_text"), best["s"] + 1, best["len"])
-            ok = best.isNotNull() & (best["len"] > F.lit(SECTION_MIN_CHARS))
-            entries.append(F.when(ok, F.struct(F.lit(sec).alias("section"),
-                                               F.substring(body, 1, SECTION_KEEP_CHARS).alias("text"))))
+            ok = best.isNotNull() & (best["len"] > F.lit(min_chars))
+            kept = F.substring(body, 1, keep_chars) if keep_chars else body
+            entries.append(F.when(ok, F.struct(F.lit(sec).alias("section"), kept.alias("text"))))
         per_type = F.when(ftype == F.lit(t), F.filter(F.array(*entries), lambda e: e.isNotNull())).otherwise(per_type)
     # explode_outer + filter: a plain explode lets Spark push an inferred size() > 0
     # filter below the projections, which would recompute every stage.
@@ -196,18 +199,19 @@ def _quote_word(w: str) -> str:
     return "".join("\\" + ch if not ch.isalnum() and ch != " " else ch for ch in w)
 
 
-def parse_filing(filings: DataFrame, *, html: str = "html", text_is_html: bool = True) -> DataFrame:
+def parse_filing(filings: DataFrame, *, html: str = "html", text_is_html: bool = True,
+                 min_chars: int = DOCUMENT_MIN_CHARS, **section_options) -> DataFrame:
     """Filing rows (ticker, filing_type, filing_date, file_path, html) -> one row per section.
 
-    Sections with a stripped length of at most 100 characters are dropped.
-    ``metadata`` = struct(file_path, text_length).
+    Sections with a stripped length of at most ``min_chars`` characters are dropped; ``section_options`` go to
+    ``extract_sections``.  ``metadata`` = struct(file_path, text_length).
     """
     body = html_to_text(F.col(html)) if text_is_html else F.col(html)
     # No emptiness filter: an empty text has no matches, hence no sections, and a
     # filter would be pushed below the projection and run the extraction twice.
     base = filings.select("ticker", "filing_type", "filing_date", "file_path", body.alias("text"))
-    secs = extract_sections(base)
-    secs = secs.where(F.length(py_strip(F.col("text"))) > F.lit(DOCUMENT_MIN_CHARS))
+    secs = extract_sections(base, **section_options)
+    secs = secs.where(F.length(py_strip(F.col("text"))) > F.lit(min_chars))
     return secs.select(
         "ticker", "filing_type", "filing_date", "section", "text",
         F.struct(F.col("file_path"), F.length("text").alias("text_length")).alias("metadata"),
@@ -241,9 +245,20 @@ def chunk_documents(docs: DataFrame, *, size: int = CHUNK_SIZE, overlap: int = C
 
 
 def process_filings(filings: DataFrame, *, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP,
-                    html: str = "html") -> DataFrame:
-    """Whole filing table -> chunk table in one plan (parse, cut sections, chunk)."""
-    return chunk_documents(parse_filing(filings, html=html), size=size, overlap=overlap)
+                    html: str = "html", **options) -> DataFrame:
+    """Whole filing table -> chunk table in one plan (parse, cut sections, chunk).
+
+    A filing without text (NULL html) is kept as a row with an ``error`` and no chunk; ``error`` is NULL on
+    chunk rows.
+    """
+    chunks = chunk_documents(parse_filing(filings.where(F.col(html).isNotNull()), html=html, **options), size=size, overlap=overlap)
+    failed = filings.where(F.col(html).isNull())
+    given = {"ticker", "filing_type", "filing_date"}
+    meta = F.struct(F.col("file_path"), *[F.lit(None).cast("int").alias(n) for n in ("text_length", "chunk_index", "total_chunks")])
+    kinds = {f.name: f.dataType for f in chunks.schema.fields}
+    rows = failed.select(*[F.col(c) if c in given else meta.cast(kinds[c]).alias(c) if c == "metadata" else F.lit(None).cast(kinds[c]).alias(c)
+                           for c in chunks.columns], F.lit("no content").alias("error"))
+    return chunks.withColumn("error", F.lit(None).cast("string")).unionByName(rows)
 
 
 def chunk_id_key(ticker: Column, filing_type: Column, filing_date: Column, section: Column,

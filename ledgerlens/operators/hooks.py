@@ -86,18 +86,28 @@ def compare_models(prompts: DataFrame, base_fn: Callable[[str], str], tuned_fn:
 
 
 def apply_per_filing(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: T.StructType | str) -> DataFrame:
-    """Caller function over Arrow batches of each partition (for logic with no native form).
+    """Caller function over each filing (a one-row pandas frame), for logic with no native form.
 
-    A batch whose function call fails yields no rows for that batch and is not
-    retried; use native operators where they exist.
+    Returns ``schema``'s columns and ``error``.  A filing on which the function fails is kept as one row: the
+    columns that it shares with the input, NULLs, and the error; other filings are not affected.
     """
+    target = T._parse_datatype_string(schema) if isinstance(schema, str) else schema  # noqa: SLF001
+    names = [f.name for f in target.fields]
+    full = T.StructType([*target.fields, T.StructField("error", T.StringType())])
+
     def run(batches):
         for pdf in batches:
-            try:
-                res = fn(pdf)
-            except Exception:  # noqa: BLE001 - the reference logs and skips a failing filing
-                continue
-            if res is not None and len(res):
-                yield res
-
-    return df.mapInPandas(run, schema)
+            parts = []
+            for i in range(len(pdf)):
+                one = pdf.iloc[[i]]
+                try:
+                    got = fn(one)
+                    if got is not None and len(got):
+                        parts.append(got[names].assign(error=None))
+                except Exception as e:  # noqa: BLE001 - reported per filing
+                    row = {n: one[n].iloc[0] if n in one else None for n in names}
+                    parts.append(pd.DataFrame([{**row, "error": f"{type(e).__name__}: {e}"}], dtype=object))
+            if parts:
+                yield pd.concat([p.astype(object) for p in parts], ignore_index=True)
+
+    return df.mapInPandas(run, full)

@@ -119,8 +119,8 @@ def chain_prompts(filings: DataFrame, *, ticker: str = "ticker", filing_date: st
 def synthesize(responses: DataFrame, *, query_id: str = "query_id", ordinal: str = "ordinal") -> DataFrame:
     """Per query: a heading and the answer per role, in task order, joined by a blank line.
 
-    Rows that failed (``success`` false) or have no answer are skipped; the price
-    role shows ``P/E`` and ``Sector`` from its fundamentals.  Each query's list is
+    Rows that failed (``success`` false) or have no answer (NULL) are skipped; an empty answer keeps its
+    heading; the price role shows ``P/E`` and ``Sector`` from its fundamentals.  Each query's list is
     bounded by its (at most three) subtasks.
     """
     role = F.col("role")
@@ -131,7 +131,7 @@ def synthesize(responses: DataFrame, *, query_id: str = "query_id", ordinal: str
             .when(role == "risk_analyst", F.concat(F.lit("Risk Analysis:\n"), answer))
             .when(role == "price_analyst", F.concat(F.lit("Price & Fundamentals:\nP/E: "), pe, F.lit(", Sector: "),
                                                      sector)))
-    has_result = F.when(role == "price_analyst", F.lit(True)).otherwise(F.length(answer) > 0)
+    has_result = F.when(role == "price_analyst", F.lit(True)).otherwise(F.col("answer").isNotNull())
     ok = F.coalesce(F.col("success"), F.lit(True)) & has_result & part.isNotNull()
     rows = responses.select(query_id, ordinal, F.when(ok, part).alias("_part"))
     g = rows.groupBy(query_id).agg(F.array_sort(F.collect_list(

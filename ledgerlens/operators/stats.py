@@ -1,10 +1,10 @@
 """Statistics: exact quantiles, average ranks, correlation and p-values.
 
-Global order statistics are computed without a single-partition window:
-values are range-partitioned, each partition accumulates its own running count,
-and per-partition totals (one row per partition) give the offsets.  The only
-driver-visible state is the per-partition total table, whose size is bounded by
-the partition count, not by the data.
+Global order statistics are computed without a single-partition window over the
+data: a value's bucket follows from fixed split points (fewer than the shuffle
+partitions, kept as literals), a window runs within each bucket, and bucket
+totals (one row per bucket) give the offsets.  As the bucket depends on the
+value alone, plans that run twice or in part again give the same ranks.
 """
 
 from __future__ import annotations
@@ -29,36 +29,36 @@ def nsmallest(df: DataFrame, col: str, n: int, tie_cols: list[str] | None = None
     return df.orderBy(*order).limit(n)
 
 
-def _running_weight(df: DataFrame, value: str, weight: str, partitions: int) -> DataFrame:
-    """Range-partition on ``value`` and add ``_pid`` and ``_before`` (weight of earlier rows in the partition)."""
-    ranged = df.select(value, weight).repartitionByRange(partitions, value).sortWithinPartitions(value)
-    schema = T.StructType(
-        [T.StructField("_pid", T.IntegerType()), ranged.schema[value], ranged.schema[weight],
-         T.StructField("_before", T.LongType())]
-    )
+def _split_points(df: DataFrame, value: str, partitions: int) -> list[float]:
+    """At most ``partitions - 1`` ascending split points of a numeric column, as driver literals."""
+    if partitions < 2:
+        return []
+    got = df.select(F.col(value).cast("double").alias("v")).approxQuantile("v", [i / partitions for i in range(1, partitions)], 0.01)
+    return sorted(set(got))
+
+
+def _bucket(c: Column, points: list[float]) -> Column:
+    """Number of split points at or below a value: a function of the value alone, so that every execution of a
+    plan, and every retried task, agrees."""
+    if not points:
+        return F.lit(0)
+    return F.size(F.filter(F.array(*[F.lit(p) for p in points]), lambda p: p <= c.cast("double")))
 
-    def run(batches):
-        from pyspark import TaskContext
-
-        pid = TaskContext.get().partitionId()
-        carried = 0
-        for pdf in batches:
-            w = pdf[weight].astype("int64")
-            before = w.cumsum() - w + carried
-            carried += int(w.sum())
-            yield pd.DataFrame({"_pid": pid, value: pdf[value], weight: pdf[weight], "_before": before})
-
-    local = ranged.mapInPandas(run, schema)
-    totals = local.groupBy("_pid").agg(F.sum(weight).cast("long").alias("_tot"))
-    # One row per partition: the offsets table is bounded by the partition count.
-    offsets = totals.select(
-        "_pid",
-        (F.sum("_tot").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1))).alias("_off"),
-        F.sum("_tot").over(Window.partitionBy()).alias("_n"),
-    ).fillna(0, ["_off"])
-    return local.join(F.broadcast(offsets), "_pid").select(
-        value, weight, (F.col("_off") + F.col("_before")).alias("_start"), "_n"
-    )
+
+def _offsets(rows: DataFrame, weight: Column, n: str) -> DataFrame:
+    """Per bucket the weight of the buckets before it, and the total: one row per bucket."""
+    totals = rows.groupBy("_b").agg(F.sum(weight).cast("long").alias("_tot"))
+    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    return totals.select("_b", F.coalesce(F.sum("_tot").over(before), F.lit(0)).alias("_off"), F.sum("_tot").over(Window.partitionBy()).alias(n))
+
+
+def _running_weight(df: DataFrame, value: str, weight: str, partitions: int) -> DataFrame:
+    """``value, weight, _start`` (weight of all smaller values) and ``_n`` (all weight); values are distinct."""
+    rows = df.select(value, weight).withColumn("_b", _bucket(F.col(value), _split_points(df, value, partitions)))
+    within = Window.partitionBy("_b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_before", F.coalesce(F.sum(weight).over(within), F.lit(0)))
+    return rows.join(F.broadcast(_offsets(rows, F.col(weight), "_n")), "_b").select(
+        value, weight, (F.col("_off") + F.col("_before")).alias("_start"), "_n")
 
 
 def average_rank(df: DataFrame, col: str, *, partitions: int | None = None, out: str | None = None) -> DataFrame:
@@ -186,8 +186,10 @@ def betainc_reg(a: float, b: float, x: float) -> float:
 
 def corr_p_value(r: float | None, n: int | None) -> float | None:
     """Two-sided p-value of a correlation under the t distribution with n - 2 degrees of freedom."""
-    if r is None or n is None or (isinstance(r, float) and math.isnan(r)) or n < 3:
+    if r is None or n is None or (isinstance(r, float) and math.isnan(r)) or n < 2:
         return None
+    if n == 2:  # any two points lie on a line
+        return 1.0
     df = n - 2
     if abs(r) >= 1.0:
         return 0.0
@@ -214,34 +216,15 @@ def macro_mean(c: Column) -> Column:
 def row_positions(df: DataFrame, order_cols: list[str], *, partitions: int | None = None) -> DataFrame:
     """``df`` plus ``_pos`` (0-based global position by ``order_cols``) and ``_n`` (row count).
 
-    Range partitioning orders the partitions; each task numbers its own rows and
-    a per-partition count table (one row per partition) supplies the offsets.
+    Rows are dealt to buckets by the value of the first order column (a numeric one; another kind is one
+    bucket), numbered there by a window, and a table of one row per bucket supplies the offsets.
     ``order_cols`` should be a unique key so positions are stable.
     """
     parts = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(parts, *order_cols).sortWithinPartitions(*order_cols)
-    schema = T.StructType(ranged.schema.fields + [T.StructField("_pid", T.IntegerType()),
-                                                  T.StructField("_local", T.LongType())])
-
-    def run(batches):
-        import numpy as np
-        from pyspark import TaskContext
-
-        pid = TaskContext.get().partitionId()
-        carried = 0
-        for pdf in batches:
-            pdf = pdf.copy()
-            pdf["_pid"] = pid
-            pdf["_local"] = np.arange(carried, carried + len(pdf), dtype="int64")
-            carried += len(pdf)
-            yield pdf
-
-    local = ranged.mapInPandas(run, schema)
-    totals = local.groupBy("_pid").agg(F.count(F.lit(1)).alias("_tot"))
-    offsets = totals.select(
-        "_pid",
-        F.sum("_tot").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)).alias("_off"),
-        F.sum("_tot").over(Window.partitionBy()).alias("_n"),
-    ).fillna(0, ["_off"])
-    out = local.join(F.broadcast(offsets), "_pid")
-    return out.withColumn("_pos", F.col("_off") + F.col("_local")).drop("_pid", "_local", "_off")
+    numeric = isinstance(df.schema[order_cols[0]].dataType, T.NumericType)
+    points = _split_points(df, order_cols[0], parts) if numeric else []
+    # a NULL sorts first
+    rows = df.withColumn("_b", F.when(F.col(order_cols[0]).isNull(), -1).otherwise(_bucket(F.col(order_cols[0]), points)))
+    rows = rows.withColumn("_local", F.row_number().over(Window.partitionBy("_b").orderBy(*order_cols)) - 1)
+    out = rows.join(F.broadcast(_offsets(rows, F.lit(1), "_n")), "_b")
+    return out.withColumn("_pos", F.col("_off") + F.col("_local")).drop("_b", "_local", "_off")

@@ -93,7 +93,7 @@ r AS (SELECT tasks.*, c.c_acctbal AS pe_ratio, c.c_mktsegment AS sector FROM tas
       LEFT JOIN customer c ON c.c_custkey = pq.company_key),
 s AS (SELECT query_id, ordinal, CASE
    WHEN role = 'financial_analyst' THEN 'Financial Analysis:' || chr(10) || 'answer to ' || task_id || ' #' || query_id
-   WHEN role = 'risk_analyst' THEN 'Risk Analysis:' || chr(10) || 'answer to ' || task_id || ' #' || query_id
+   WHEN role = 'risk_analyst' THEN 'Risk Analysis:' || chr(10) || CASE WHEN query_id % 3 = 0 THEN '' ELSE 'answer to ' || task_id || ' #' || query_id END
    WHEN role = 'price_analyst' THEN 'Price & Fundamentals:' || chr(10) || 'P/E: ' || coalesce(CAST(pe_ratio AS VARCHAR), 'None')
         || ', Sector: ' || coalesce(sector, 'None') END AS part FROM r)
 SELECT query_id, string_agg(part, chr(10) || chr(10) ORDER BY ordinal) AS synthesis FROM s GROUP BY query_id""")
@@ -102,8 +102,9 @@ def q_synthesize(spark, sf_dir):
     q = b.part_questions(spark, sf_dir)
     tasks = pr.decompose(q.select("query_id", "question", "company_key"))
     resp = tasks.join(b.customer_fundamentals(spark, sf_dir), "company_key", "left").select(
-        "query_id", "ordinal", "role", _answer(F.col("task_id"), F.col("query_id")).alias("answer"),
-        F.lit(True).alias("success"), "pe_ratio", "sector")
+        "query_id", "ordinal", "role",
+        F.when((F.col("role") == "risk_analyst") & (F.col("query_id") % 3 == 0), F.lit("")).otherwise(
+            _answer(F.col("task_id"), F.col("query_id"))).alias("answer"), F.lit(True).alias("success"), "pe_ratio", "sector")
     return pr.synthesize(resp)
 
 

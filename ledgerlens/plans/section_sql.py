@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from ..constants import (
     NEXT_ITEM_PATTERN,
-    SECTION_KEEP_CHARS,
-    SECTION_MAX_SPAN,
     SECTION_MIN_CHARS,
     SECTION_PATTERNS,
     SECTION_SEARCH_OFFSET,
@@ -50,7 +48,7 @@ def sections_sql(source: str = "fil") -> str:
                         f"FROM {source} WHERE filing_type = '{t}'")
     union = " UNION ALL ".join(body)
     end = (f"coalesce(list_min(list_filter(its, lambda j: j >= s + {SECTION_SEARCH_OFFSET})), "
-           f"least(s + {SECTION_MAX_SPAN}, length(text)))")
+           f"length(text))")
     del pats
     return f"""m AS ({union}),
 mi AS (SELECT *, {_starts('(?i)' + NEXT_ITEM_PATTERN)} AS its,
@@ -59,5 +57,5 @@ best AS (SELECT *, CASE WHEN len(el) > 0
      THEN list_sort(list_transform(el, lambda s: [s - ({end}), s]))[1]
      WHEN len(st) > 0 THEN list_transform([st[1]], lambda s: [s - ({end}), s])[1] END AS bs FROM mi),
 sec AS (SELECT *, substr(text, CAST(bs[2] + 1 AS BIGINT), CAST(-bs[1] AS BIGINT)) AS body FROM best WHERE bs IS NOT NULL),
-kept AS (SELECT * EXCLUDE (body), substr(body, 1, {SECTION_KEEP_CHARS}) AS stext FROM sec
+kept AS (SELECT * EXCLUDE (body), body AS stext FROM sec
          WHERE length(body) > {SECTION_MIN_CHARS})"""

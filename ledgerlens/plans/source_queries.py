@@ -147,13 +147,15 @@ def q_csv_sink(spark, sf_dir):
 @register("vector_table_write", """SELECT 'T' || CAST(vec_id % 5 AS VARCHAR) || '_' || CASE WHEN vec_id % 2 = 0 THEN '10-K'
   ELSE '10-Q' END || '_' || strftime(CAST(DATE '2019-01-01' + CAST(vec_id * 5 AS INTEGER) AS TIMESTAMP), '%Y-%m-%d %H:%M:%S')
   || '_' || (['MD&A', 'RISK_FACTORS', 'BUSINESS', 'FINANCIAL_STATEMENTS'])[label % 4 + 1] || '_' || CAST(vec_id % 7 AS VARCHAR)
-  AS id, len(embedding) AS dim FROM embeddings""")
+  AS id, len(embedding) AS dim, md5('chunk text ' || vec_id) AS document_md5, CAST(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))) AS DOUBLE) AS total
+  FROM embeddings QUALIFY row_number() OVER (PARTITION BY id ORDER BY 'chunk text ' || vec_id) = 1""")
 def q_vector_table_write(spark, sf_dir):
     """#12: vector records written (reset) and read back, one row per id."""
     recs = tb.vector_records(b.vector_corpus(spark, sf_dir))
     path = tb.vector_table_write(recs, scratch_path(spark, "vectors"), reset=True)
     back = tb.vector_table_read(spark, path)
-    return back.select("id", F.size("embedding").alias("dim"))
+    total = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double"))
+    return back.select("id", F.size("embedding").alias("dim"), F.md5("document").alias("document_md5"), total.alias("total"))
 
 
 @register("vector_table_drop", """SELECT count(*) AS rows_before, true AS dropped, CAST(0 AS BIGINT) AS tables_left
@@ -238,14 +240,17 @@ def q_compare_models(spark, sf_dir):
 
 
 @register("apply_per_filing", f"""WITH {section_sql.filings_sql()}
-SELECT ticker, filing_type, CAST(len(regexp_extract_all(text, 'ITEM \\d')) AS BIGINT) AS n_items FROM fil""")
+SELECT ticker, filing_type, CASE WHEN contains(text, 'ITEM 7.') THEN CAST(len(regexp_extract_all(text, 'ITEM \\d')) AS BIGINT) END AS n_items,
+       CASE WHEN NOT contains(text, 'ITEM 7.') THEN 'ValueError: no item 7' END AS error FROM fil""")
 def q_apply_per_filing(spark, sf_dir):
-    """#90: a caller function per Arrow batch of filings (mapInPandas)."""
+    """#90: a caller function per filing; filings without an item 7 fail and keep a row with the error."""
     f = b.synthetic_filings(spark, sf_dir).select("ticker", "filing_type", "text")
 
     def count_items(pdf):
         import pandas as pd
 
+        if not pdf["text"].str.contains("ITEM 7.", regex=False).all():
+            raise ValueError("no item 7")
         return pd.DataFrame({"ticker": pdf["ticker"], "filing_type": pdf["filing_type"],
                              "n_items": pdf["text"].str.count(r"ITEM \d").astype("int64")})
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -61,20 +62,38 @@ def vector_records(chunks: DataFrame, embedding: str = "embedding") -> DataFrame
     )
 
 
+def _one_per_id(records: DataFrame) -> DataFrame:
+    """The least record of every id (by all columns but the vector, then the vector), whatever the partitioning."""
+    order = sorted(c for c in records.columns if c != "embedding") + ["embedding"] * ("embedding" in records.columns)
+    least = records.groupBy("id").agg(F.min(F.struct(*[F.col(c) for c in order])).alias("_r"))
+    return least.select(*[F.col(f"_r.{c}").alias(c) for c in records.columns])
+
+
+def vector_id_collisions(records: DataFrame) -> DataFrame:
+    """``id, n_records`` of ids that more than one record claims; a write keeps the least record of each."""
+    return records.groupBy("id").agg(F.count(F.lit(1)).alias("n_records")).where("n_records > 1")
+
+
 def vector_table_write(records: DataFrame, path: str, *, reset: bool = False) -> str:
-    """Write vector records: ``reset`` replaces the table, otherwise rows are appended.
+    """Write vector records: ``reset`` replaces the table, otherwise rows of new ids are appended.
 
-    Ids are unique within a write (first occurrence by id kept); appending an id
-    that already exists is left to the reader, which keeps one row per id.
+    One record per id: the least one of a write (see ``vector_id_collisions`` for the others), and an id that
+    the table has keeps its record.
     """
-    deduped = records.dropDuplicates(["id"])
-    deduped.write.mode("overwrite" if reset else "append").parquet(path)
+    rows = _one_per_id(records)
+    if not reset:
+        try:
+            rows = rows.join(records.sparkSession.read.parquet(path).select("id"), "id", "left_anti").select(*records.columns)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+    rows.write.mode("overwrite" if reset else "append").parquet(path)
     return path
 
 
 def vector_table_read(spark: SparkSession, path: str) -> DataFrame:
-    """The vector table with one row per id."""
-    return spark.read.parquet(path).dropDuplicates(["id"])
+    """The vector table: a plain scan, as a write keeps ids unique."""
+    return spark.read.parquet(path)
 
 
 def vector_table_stats(records: DataFrame, name: str = VECTOR_COLLECTION_NAME) -> DataFrame:

@@ -106,7 +106,7 @@ def test_p_value_against_integration(r, n):
 
 def test_p_value_edges():
     assert stats.corr_p_value(1.0, 10) == 0.0
-    assert stats.corr_p_value(0.5, 2) is None
+    assert stats.corr_p_value(0.5, 2) == 1.0 and stats.corr_p_value(0.5, 1) is None
     assert stats.corr_p_value(None, 10) is None
 
 
@@ -219,16 +219,17 @@ def test_rouge_stemmed_matches_python(spark):
         assert got[(x.conv_id, x.turn)].rougeL == pytest.approx(0.0 if lcs == 0 else 2 * lcs / (len(r) + len(h)))
 
 
-def test_synthesize_skips_failed_and_empty(spark):
+def test_synthesize_skips_failed_and_keeps_empty(spark):
     rows = [(1, 0, "price_analyst", None, True, 12.5, "Tech"),
             (1, 1, "risk_analyst", "risky", True, None, None),
             (1, 2, "financial_analyst", "", True, None, None),
+            (2, 2, "financial_analyst", None, True, None, None),
             (2, 0, "financial_analyst", "boom", False, None, None),
             (2, 1, "risk_analyst", "calm", True, None, None)]
     df = spark.createDataFrame(rows, "query_id int, ordinal int, role string, answer string, success boolean, "
                                      "pe_ratio double, sector string")
     got = {r.query_id: r.synthesis for r in pr.synthesize(df).collect()}
-    assert got[1] == "Price & Fundamentals:\nP/E: 12.5, Sector: Tech\n\nRisk Analysis:\nrisky"
+    assert got[1] == "Price & Fundamentals:\nP/E: 12.5, Sector: Tech\n\nRisk Analysis:\nrisky\n\nFinancial Analysis:\n"
     assert got[2] == "Risk Analysis:\ncalm"
 
 
@@ -245,3 +246,33 @@ def test_generate_errors_become_a_column(spark):
     r = {x.id: (x.answer, x.error) for x in hooks.batch_generate(df, gen).collect()}
     assert r[1] == ("OK", None)
     assert r[2][0] is None and "model failed" in r[2][1]
+
+
+def test_order_statistics_do_not_need_a_reused_shuffle(spark):
+    """Ranks, quantiles and positions equal window formulations when every branch of the plan runs anew."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from ledgerlens.operators import stats
+
+    df = spark.range(120_000).select(F.col("id"), (F.pmod(F.xxhash64("id"), F.lit(10**9)) / 1000.0).alias("x"), F.pmod(F.hash("id"), F.lit(1000)).cast("double").alias("y")).repartition(7)
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        ranks = stats.average_rank(df, "y", partitions=6).select("id", "y_rank")
+        w = Window.orderBy("y")
+        exact = df.select("id", (F.rank().over(w) + (F.count("*").over(Window.partitionBy("y")) - 1) / 2.0).alias("r"))
+        assert ranks.join(exact, "id").where("y_rank <> r").count() == 0 and ranks.count() == 120_000
+        assert stats.average_rank(df, "x", partitions=6).select("x_rank").distinct().count() == df.select("x").distinct().count()
+        q = stats.exact_quantiles(df, "x", [0.25, 0.5, 0.75], partitions=6).first()
+        p = df.agg(*[F.expr(f"percentile(x, {v})").alias(f"p{i}") for i, v in enumerate((0.25, 0.5, 0.75))]).first()
+        assert all(abs(a - b) < 1e-9 for a, b in zip(list(q)[1:], list(p), strict=True))
+        pos = stats.row_positions(df.select("id", "x"), ["id"], partitions=6)
+        assert pos.where("_pos <> id OR _n <> 120000").count() == 0
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
+
+
+def test_two_points_have_p_one():
+    from ledgerlens.operators.stats import corr_p_value
+
+    assert corr_p_value(1.0, 2) == 1.0 and corr_p_value(0.5, 1) is None and corr_p_value(1.0, 5) == 0.0

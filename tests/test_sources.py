@@ -60,3 +60,35 @@ def test_qa_fallback(spark):
 def test_ticker_normalize(spark):
     df = spark.createDataFrame([("BRK.B",), ("AAPL",)], "t string")
     assert [r.n for r in df.select(fl.ticker_normalize(F.col("t")).alias("n")).collect()] == ["BRK-B", "AAPL"]
+
+
+def test_vector_table_is_deterministic_and_appends_new_ids(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from ledgerlens.sources import tables as tb
+
+    rows = [(f"id{i % 4}", [float(i)], f"text {9 - i}") for i in range(8)]
+    df = spark.createDataFrame(rows, "id string, embedding array<float>, document string")
+    found = set()
+    for n in (1, 2, 5):
+        path = tb.vector_table_write(df.repartition(n), str(tmp_path / f"v{n}"), reset=True)
+        found.add(tuple(sorted(map(str, tb.vector_table_read(spark, path).collect()))))
+    assert len(found) == 1 and tb.vector_id_collisions(df).count() == 4
+    tb.vector_table_write(df.withColumn("document", F.lit("later")).unionByName(spark.createDataFrame([("new", [1.0], "n")], df.schema)), path)
+    again = {r.id: r.document for r in tb.vector_table_read(spark, path).collect()}
+    assert len(again) == 5 and "later" not in again.values()
+    fresh = tb.vector_table_write(df, str(tmp_path / "none"))
+    assert tb.vector_table_read(spark, fresh).count() == 4
+
+
+def test_one_failing_filing_keeps_the_others(spark):
+    from ledgerlens.operators import hooks
+
+    def fn(pdf):
+        if pdf["i"].iloc[0] == 500:
+            raise ValueError("broken")
+        return pdf.assign(n=pdf["i"] * 2)[["i", "n"]]
+
+    got = hooks.apply_per_filing(spark.range(1000).withColumnRenamed("id", "i"), fn, "i long, n long").collect()
+    assert len(got) == 1000 and [(r.i, r.n, r.error) for r in got if r.error] == [(500, None, "ValueError: broken")]
+    assert all(r.n == 2 * r.i for r in got if not r.error)

@@ -25,7 +25,13 @@ def _one(spark, expr, value, schema="s string"):
     ("&amp;lt;", "&lt;"),
     (None, ""),
     ("<table><tr><td> a <b>b</b> c </td><td>d</td></tr><tr></tr></table>after", "abc | d after"),
-    ("<table><tr><td><table><tr><td>x</td></tr></table></td></tr></table>", ""),
+    ("a<table><tr><td>o<table><tr><td>x</td></tr></table></td></tr></table>b", "a ox | x x b"),
+    ("<table><tr><td>a<td>b &lt;i&gt;<tr><td>c &amp d</table>z", "a | b <i> c & d z"),
+    ("<table><tr><td>never closed", "never closed"),
+    ("it&rsquo;s &mdash; &sect;5 &bull; &#146; &#150;", "it’s — §5 • ’ –"),
+    ("&#1114112; &#9999999; &#xD800;", "� � �"),
+    ("EPS < 5 and margin > 3 this year", "EPS < 5 and margin > 3 this year"),
+    ("<a title=\"a>b\" href='c>d'>t</a> <p title=it's>u <b>v</b> it's</p>", "t u v it's"),
 ])
 def test_html_edges(spark, html, expected):
     assert _one(spark, tx.html_to_text, html) == expected
@@ -52,7 +58,7 @@ def test_chunk_only_spaces_and_separators(spark):
 
 
 # ------------------------------------------------------------------ sections: Python transcription of the rules
-def py_sections(text, ftype):
+def py_sections(text, ftype, max_span=None, keep=None):
     out = {}
     for name, pat in SECTION_PATTERNS.get(ftype, {}).items():
         ms = list(re.finditer(pat, text, re.IGNORECASE))
@@ -60,7 +66,7 @@ def py_sections(text, ftype):
 
         def end_of(s):
             nxt = list(re.finditer(r"ITEM\s*\d+[A-Z]?\.", text[s + 100:], re.IGNORECASE))
-            return s + 100 + nxt[0].start() if nxt else min(s + 100000, len(text))
+            return s + 100 + nxt[0].start() if nxt else min(s + (max_span or len(text)), len(text))
 
         for m in ms:
             if m.start() < 10000 and len(ms) > 1:
@@ -73,7 +79,7 @@ def py_sections(text, ftype):
         if best:
             body = text[best[0]:best[1]]
             if len(body) > 500:
-                out[name] = body[:50000]
+                out[name] = body[:keep]
     return out
 
 
@@ -95,7 +101,7 @@ CASES = [
     ("10-K", "ITEM 1. " + "x" * 494),
     ("10-K", "Description of the " + _filler(200, 2) + " Business " + _filler(300, 3) + " ITEM 1. " + _filler(300, 5)),
     ("10-K", "RiskFactors " + _filler(3000, 6) + " risk  factors " + _filler(300, 6) + " ITEM 7. tail"),
-    # body over 50,000 characters: kept, then cut to 50,000
+    # body over 50,000 characters: whole, or cut on request
     ("10-K", _filler(2000, 1) + " ITEM 7. " + "w " * 30000 + " ITEM 8. " + _filler(200, 2)),
     # two candidate spans of equal length after the table of contents: the earlier one wins
     ("10-K", _filler(2000, 3) + " ITEM 1A. " + "x" * 700 + " ITEM 9. " + "y" * 50 + " ITEM 1A. " + "x" * 700
@@ -111,6 +117,31 @@ def test_sections_match_python_rules(spark):
         got.setdefault(r.id, {})[r.section] = r.text
     for i, (t, txt) in enumerate(CASES):
         assert got.get(i, {}) == py_sections(txt, t), i
+    cut = {}
+    for r in dc.extract_sections(df, max_span=1000, keep_chars=700).collect():
+        cut.setdefault(r.id, {})[r.section] = r.text
+    for i, (t, txt) in enumerate(CASES):
+        assert cut.get(i, {}) == py_sections(txt, t, 1000, 700), i
+
+
+def test_many_matches_take_linear_time(spark):
+    import time
+
+    took = []
+    for n in (20_000, 80_000):
+        df = spark.createDataFrame([("ITEM 1. x " * n,)], "s string")
+        spans = df.select(F.size(tx.match_spans(F.col("s"), r"ITEM\s*\d+\.")).alias("n"))
+        began = time.time()
+        assert spans.first().n == n
+        took.append(time.time() - began)
+    assert took[1] < 4 * took[0] + 4
+
+
+def test_filing_without_content_keeps_an_error_row(spark):
+    html = "<p>ITEM 1. " + "word " * 300 + "</p>"
+    df = spark.createDataFrame([("A", "10-K", None, "a", html), ("B", "10-K", None, "b", None)], "ticker string, filing_type string, filing_date date, file_path string, html string")
+    got = dc.process_filings(df).collect()
+    assert [r.error for r in got if r.ticker == "A"] == [None] and [(r.error, r.text) for r in got if r.ticker == "B"] == [("no content", None)]
 
 
 def test_sections_on_fixture_filings(spark):
@@ -151,8 +182,5 @@ def test_entities_match_html_unescape(spark):
         cases.append("".join(rnd.choice(["a", " ", "&", ";", "#", "x", "1", "&" + rnd.choice(keys),
                                          "&#" + str(rnd.randint(0, 70000))]) for _ in range(10)))
     df = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "i int, s string")
-    got = {r.i: r.o for r in df.select("i", tx.decode_entities_html5(F.col("s")).alias("o")).collect()}
+    got = {r.i: r.o for r in df.select("i", tx.decode_entities(F.col("s")).alias("o")).collect()}
     assert [got[i] for i in range(len(cases))] == [html.unescape(c) for c in cases]
-    full = df.select("i", tx.html_to_text(F.concat(F.lit("<p>"), F.col("s"), F.lit("</p>")), full_entities=True)
-                     .alias("o")).collect()
-    assert len(full) == len(cases)
