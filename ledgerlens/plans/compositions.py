@@ -21,12 +21,14 @@ from ..session import materialize
 def rag_prompts(questions: DataFrame, corpus: DataFrame, *, top_k: int = ENGINE_TOP_K, year: int | None = None,
                 overfetch: int = ENGINE_OVERFETCH, generate_fn: Callable[[str], str] | None = None,
                 route: bool = True) -> DataFrame:
-    """Questions (query_id, embedding, question, ticker?, section?) -> query_type, context, prompt [, answer].
+    """Questions (query_id, embedding, question, ticker?, section?, year?) -> query_type, context, sources, prompt [, answer].
 
     Route (risk / financial set the section; ``route=False`` keeps the given
     section, as the analysts do), retrieve with the per-question
-    ticker and section as filters (NULL: no filter), build the numbered context
-    and fill the template.  Questions without hits get an empty context.
+    ticker and section as filters (NULL: no filter) and its own ``year``, if the
+    questions have that column (else ``year`` for all), build the numbered context
+    and fill the template.  ``sources`` holds the hits in rank order (id, text, their
+    metadata and distance).  Questions without hits get an empty context and no sources.
     """
     qs = questions if "section" in questions.columns else questions.withColumn("section", F.lit(None).cast("string"))
     if "ticker" not in qs.columns:
@@ -36,11 +38,15 @@ def rag_prompts(questions: DataFrame, corpus: DataFrame, *, top_k: int = ENGINE_
     else:
         routed = qs.withColumn("query_type", F.lit(None).cast("string"))
     keep = ["ticker", "filing_type", "filing_date", "section", "text"]
-    hits = rt.vector_topk_overfetch_year(routed.select("query_id", "embedding", "ticker", "section"), corpus, top_k,
-                                         year=year, overfetch=overfetch, match_cols=["ticker", "section"],
-                                         keep_cols=keep)
-    ctx = rt.format_context(hits)
+    own_year = "year" if "year" in routed.columns else None
+    asked = routed.select("query_id", "embedding", "ticker", "section", *([own_year] if own_year else []))
+    hits = rt.vector_topk_overfetch_year(asked, corpus, top_k, year=None if own_year else year, year_col=own_year,
+                                         overfetch=overfetch, match_cols=["ticker", "section"], keep_cols=keep)
+    source = F.struct("rank", "id", *keep, "distance")
+    # at most top_k sources per question
+    ctx = rt.format_context(hits).join(hits.groupBy("query_id").agg(F.array_sort(F.collect_list(source)).alias("sources")), "query_id")
     out = routed.select("query_id", "question", "query_type").join(ctx, "query_id", "left") \
+        .withColumn("sources", F.coalesce(F.col("sources"), F.array().cast(ctx.schema["sources"].dataType))) \
         .withColumn("context", F.coalesce(F.col("context"), F.lit(""))) \
         .withColumn("prompt", rt.qa_prompt(F.col("context"), F.col("question")))
     if generate_fn is not None:
@@ -61,10 +67,10 @@ def multi_agent_query(questions: DataFrame, corpus: DataFrame, fundamentals: Dat
     tasks = pr.decompose(questions)
     rag_tasks = tasks.where(F.col("role") != "price_analyst").select(
         F.concat_ws(":", F.col("query_id").cast("string"), F.col("ordinal").cast("string")).alias("task_key"),
-        "query_id", "ordinal", "role", "embedding", "question", "ticker",
+        "query_id", "ordinal", "role", "embedding", "question", "ticker", *(["year"] if "year" in tasks.columns else []),
         pr.analyst_section(F.col("section")).alias("section"))
     answered = rag_prompts(rag_tasks.select(F.col("task_key").alias("query_id"), "embedding", "question", "ticker",
-                                            "section"), corpus, top_k=k, year=year, generate_fn=generate_fn,
+                                            "section", *(["year"] if "year" in tasks.columns else [])), corpus, top_k=k, year=year, generate_fn=generate_fn,
                                 route=False)
     rag_resp = rag_tasks.select("task_key", "query_id", "ordinal", "role").join(
         answered.select(F.col("query_id").alias("task_key"), "answer", "error"), "task_key") \
@@ -95,19 +101,28 @@ def run_full_evaluation(pairs: DataFrame, *, key: list[str], lexicon: list[str]
         out = out.unionByName(ev.long_metrics(p.select(F.col("r").alias("pearson_correlation"),
                                                        F.col("p_value").alias("pearson_p_value")),
                                               ["pearson_correlation", "pearson_p_value"]))
+        q = stats.with_p_value(stats.spearman(s, "_s", price_changes))
+        out = out.unionByName(ev.long_metrics(q.select(F.col("r").alias("spearman_correlation"),
+                                                       F.col("p_value").alias("spearman_p_value")),
+                                              ["spearman_correlation", "spearman_p_value"]))
     return out
 
 
-def build_index(files: DataFrame, *, dim: int = 384) -> DataFrame:
-    """Landed filing files -> index -> chunks -> vector records (hashed TF-IDF embeddings)."""
+def build_index(files: DataFrame, *, dim: int = 384, filing_types: list[str] | None = None) -> DataFrame:
+    """Landed filing files -> chunks -> vector records (hashed TF-IDF embeddings).
+
+    The filing date is an expression of a file's own content, so the files are read once and not joined.
+    """
+    from ..constants import FILING_TYPES
     from ..operators.documents import process_filings
-    from ..sources.filings import filing_index
+    from ..sources.filings import filing_date
     from ..sources.tables import vector_records
 
-    idx = filing_index(files)
-    filings = idx.join(files.select("file_path", F.col("content").alias("html")), "file_path")
+    files = files.where(F.col("filing_type").isin(*(filing_types or FILING_TYPES)))
+    filings = files.select("ticker", "filing_type", filing_date(F.col("content")).alias("filing_date"), "file_path",
+                           F.col("content").alias("html"))
     # The IDF fit is its own job: write the chunk table once so parsing and
     # chunking do not run again for the transform.
-    chunks = materialize(process_filings(filings))
+    chunks = materialize(process_filings(filings).where("error IS NULL").drop("error"))
     emb = hooks.hashed_tfidf_embedding(chunks, dim=dim)
     return vector_records(emb)

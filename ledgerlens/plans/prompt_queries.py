@@ -239,9 +239,10 @@ def q_sort_index(spark, sf_dir):
 
 # ------------------------------------------------------------------ analysts and compositions
 def _vec_questions(spark, sf_dir):
-    """Vector questions: one centroid per label, with the text of part row p_partkey = label."""
-    q = b.vector_queries(spark, sf_dir)
-    return q.join(b.part_questions(spark, sf_dir), "query_id")
+    """Every part question, with the centroid of label p_partkey % 10 as its vector and a year for two of three."""
+    q = b.vector_queries(spark, sf_dir).withColumnRenamed("query_id", "_label")
+    p = b.part_questions(spark, sf_dir).withColumn("year", F.when(F.col("query_id") % 3 > 0, F.lit(2019) + F.col("query_id") % 4).cast("int"))
+    return p.join(F.broadcast(q), F.col("query_id") % 10 == F.col("_label")).drop("_label")
 
 
 @register("section_specialist", f"""WITH {_CORPUS},
@@ -276,15 +277,17 @@ def q_price_analyst(spark, sf_dir):
 
 
 _RAG = f"""WITH {_CORPUS}, {_PQ},
-qq AS (SELECT q.query_id, q.embedding, pq.question, pq.ticker, {_classify_sql('pq.question')} AS query_type
-       FROM q JOIN pq USING (query_id)),
+qq AS (SELECT pq.query_id, q.embedding, pq.question, pq.ticker, {_classify_sql('pq.question')} AS query_type,
+              CASE WHEN pq.query_id % 3 > 0 THEN 2019 + pq.query_id % 4 END AS year FROM q JOIN pq ON pq.query_id % 10 = q.query_id),
 qr AS (SELECT *, {_route_sql('query_type')} AS section FROM qq),
 d AS (SELECT qr.query_id, c.id, c.ticker, c.filing_type, c.filing_date, c.section, c.text,
         list_sum(list_transform(range(1, len(qr.embedding) + 1),
           lambda i: (CAST(qr.embedding[i] AS DOUBLE) - CAST(c.embedding[i] AS DOUBLE))
                   * (CAST(qr.embedding[i] AS DOUBLE) - CAST(c.embedding[i] AS DOUBLE)))) AS distance
       FROM qr, corpus c WHERE c.ticker = qr.ticker AND (qr.section IS NULL OR c.section = qr.section)),
-h AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM d)
+w AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS r0 FROM d) WHERE r0 <= 100),
+h AS (SELECT * FROM (SELECT w.*, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM w JOIN qr USING (query_id)
+                     WHERE qr.year IS NULL OR contains(CAST(w.filing_date AS VARCHAR), CAST(qr.year AS VARCHAR)))
       WHERE rank <= 10),
 ctx AS (SELECT query_id, string_agg('[Source ' || rank || '] ' || ticker || ' - ' || filing_type || ' ('
           || strftime(CAST(filing_date AS TIMESTAMP), '%Y-%m-%d %H:%M:%S') || ') - ' || section || ':' || chr(10) || text,
@@ -292,11 +295,13 @@ ctx AS (SELECT query_id, string_agg('[Source ' || rank || '] ' || ticker || ' -
 
 
 @register("rag_query", _RAG + f"""
-SELECT qr.query_id, qr.query_type, {_sql_template("coalesce(ctx.context, '')", 'qr.question')} AS prompt
+SELECT qr.query_id, qr.query_type, {_sql_template("coalesce(ctx.context, '')", 'qr.question')} AS prompt,
+       coalesce((SELECT string_agg(h.id || ':' || h.rank, ',' ORDER BY h.rank) FROM h WHERE h.query_id = qr.query_id), '') AS sources
 FROM qr LEFT JOIN ctx USING (query_id)""")
 def q_rag_query(spark, sf_dir):
     """#93: table of questions -> route -> filtered top-10 -> context -> prompt (generation is a hook)."""
     from .compositions import rag_prompts
 
-    qs = _vec_questions(spark, sf_dir).select("query_id", "embedding", "question", "ticker")
-    return rag_prompts(qs, b.vector_corpus(spark, sf_dir), top_k=10).select("query_id", "query_type", "prompt")
+    qs = _vec_questions(spark, sf_dir).select("query_id", "embedding", "question", "ticker", "year")
+    sources = F.array_join(F.transform("sources", lambda x: F.concat(x["id"].cast("string"), F.lit(":"), x["rank"].cast("string"))), ",")
+    return rag_prompts(qs, b.vector_corpus(spark, sf_dir), top_k=10).select("query_id", "query_type", "prompt", sources.alias("sources"))

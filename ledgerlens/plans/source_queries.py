@@ -258,16 +258,18 @@ def q_apply_per_filing(spark, sf_dir):
 
 
 _MA_SQL = f"""WITH {_CORPUS}, {_PQ}, {_decompose_sql()},
-qq AS (SELECT q.query_id, q.embedding, pq.question, pq.ticker, pq.company_key FROM q JOIN pq USING (query_id)),
+qq AS (SELECT pq.query_id, q.embedding, pq.question, pq.ticker, pq.company_key,
+              CASE WHEN pq.query_id % 3 > 0 THEN 2019 + pq.query_id % 4 END AS year FROM q JOIN pq ON pq.query_id % 10 = q.query_id),
 rt AS (SELECT tasks.query_id, tasks.ordinal, tasks.role, coalesce(tasks.section, 'MD&A') AS section, qq.embedding,
-              qq.ticker FROM tasks JOIN qq USING (query_id) WHERE tasks.role <> 'price_analyst'),
-d AS (SELECT rt.query_id, rt.ordinal, c.id, c.ticker, c.filing_type, c.filing_date, c.section, c.text,
+              qq.ticker, qq.year FROM tasks JOIN qq USING (query_id) WHERE tasks.role <> 'price_analyst'),
+d AS (SELECT rt.query_id, rt.ordinal, rt.year, c.id, c.ticker, c.filing_type, c.filing_date, c.section, c.text,
         list_sum(list_transform(range(1, len(rt.embedding) + 1),
           lambda i: (CAST(rt.embedding[i] AS DOUBLE) - CAST(c.embedding[i] AS DOUBLE))
                   * (CAST(rt.embedding[i] AS DOUBLE) - CAST(c.embedding[i] AS DOUBLE)))) AS distance
       FROM rt, corpus c WHERE c.ticker = rt.ticker AND c.section = rt.section),
+w AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, ordinal ORDER BY distance, id) AS r0 FROM d) WHERE r0 <= 50),
 h AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, ordinal ORDER BY distance, id) AS rank
-      FROM d) WHERE rank <= 5),
+      FROM w WHERE year IS NULL OR contains(CAST(filing_date AS VARCHAR), CAST(year AS VARCHAR))) WHERE rank <= 5),
 ctx AS (SELECT query_id, ordinal, string_agg('[Source ' || rank || '] ' || ticker || ' - ' || filing_type || ' ('
           || strftime(CAST(filing_date AS TIMESTAMP), '%Y-%m-%d %H:%M:%S') || ') - ' || section || ':' || chr(10)
           || text, chr(10) || chr(10) ORDER BY rank) AS context FROM h GROUP BY query_id, ordinal),
