@@ -157,25 +157,6 @@ FUNDAMENTAL_FIELDS = [
 # Sample ticker list of the index loader.
 SAMPLE_TICKERS = ["AAPL", "MSFT", "GOOGL", "NVDA", "TSLA", "META", "AMZN", "JPM", "V", "WMT"]
 
-# Fallback question-answer sample, repeated 20 times.
-QA_FALLBACK_REPEAT = 20
-QA_FALLBACK_SAMPLES = [
-    ("Apple Inc. reported revenue of $394.3 billion for fiscal year 2024, an increase of 2% from the prior year. iPhone revenue was $200.6 billion.",
-     "What was Apple's total revenue?",
-     "Apple's total revenue was $394.3 billion for fiscal year 2024."),
-    ("NVIDIA reported record quarterly revenue of $22.1 billion, up 122% from a year ago. Data Center revenue was $18.4 billion, up 217%.",
-     "How much did NVIDIA's revenue grow?",
-     "NVIDIA's revenue grew 122% year over year to $22.1 billion."),
-    ("Microsoft's Intelligent Cloud segment generated $24.3 billion in revenue, with Azure growing 29%. Operating income increased 23%.",
-     "What was Azure's growth rate?",
-     "Azure grew 29% in the quarter."),
-    ("Tesla delivered 484,507 vehicles in Q3 2024. Automotive gross margin was 17.1%. Energy storage deployments reached 6.9 GWh.",
-     "How many vehicles did Tesla deliver?",
-     "Tesla delivered 484,507 vehicles in Q3 2024."),
-    ("Amazon Web Services revenue increased 19% to $24.2 billion. Operating income for AWS was $7.2 billion, representing a 30% margin.",
-     "What was AWS's operating margin?",
-     "AWS had an operating margin of 30% with $7.2 billion operating income."),
-]
 # ------------------------------------------------------------ END FIXED VALUES
 
 # Whitespace as Python's str.split() sees it (Unicode White_Space plus the

@@ -181,9 +181,9 @@ class _QueryBlock:
         return i, rows[j], d
 
 
-def _cut_hits(hits: pa.Table, k: int, id_col: str) -> pa.Table:
-    """The k best hits of every query by distance, then id."""
-    hits = hits.take(pc.sort_indices(hits, [("_q", "ascending"), ("distance", "ascending"), (id_col, "ascending")]))
+def _cut_hits(hits: pa.Table, k: int, order: list[tuple[str, str]]) -> pa.Table:
+    """The k first hits of every query."""
+    hits = hits.take(pc.sort_indices(hits, [("_q", "ascending"), *order]))
     q = np.asarray(hits["_q"])
     first = np.flatnonzero(np.append(True, q[1:] != q[:-1])) if len(q) else np.zeros(0, np.int64)
     rank = np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q))))
@@ -216,6 +216,7 @@ def vector_topk(queries: DataFrame, corpus: DataFrame, k: int = RETRIEVER_TOP_K,
 
         def run(batches, shared=shared):
             block, held, size = shared.value, [], 0
+            order = [("distance", "ascending"), (id_col, "ascending")]
             for b in batches:
                 q, rows, d = block.near(b, embedding)
                 if len(q):
@@ -223,10 +224,10 @@ def vector_topk(queries: DataFrame, corpus: DataFrame, k: int = RETRIEVER_TOP_K,
                     held.append(pa.table([pa.array(q), *taken.columns, pa.array(d)], names=["_q", id_col, *extra, "distance"]))
                     size += len(q)
                 if size > HELD_HITS:
-                    held = [_cut_hits(pa.concat_tables(held), block.k, id_col)]
+                    held = [_cut_hits(pa.concat_tables(held), block.k, order)]
                     size = len(held[0]) // 2  # so that it is cut again when as many more have come
             if held:
-                hits = _cut_hits(pa.concat_tables(held), block.k, id_col)
+                hits = _cut_hits(pa.concat_tables(held), block.k, order)
                 columns = [block.ids.take(hits["_q"].combine_chunks()), hits[id_col], hits["distance"], *[hits[c] for c in extra]]
                 yield from pa.table(columns, names=[query_id, id_col, "distance", *extra]).to_batches()
 
@@ -295,6 +296,68 @@ def term_overlap(queries: DataFrame, docs: DataFrame, *, query_id: str = "query_
         F.count(F.lit(1)).alias("overlap"))
 
 
+class _QueryTerms:
+    """Terms of a block of queries, each with the queries that have it."""
+
+    def __init__(self, ids: pa.Array, words: list[list[str]]):
+        self.ids, lists = ids, {}
+        for q, ws in enumerate(words):
+            for w in ws or ():
+                lists.setdefault(w, []).append(q)
+        self.lists = {w: np.array(x) for w, x in lists.items()}
+
+    def overlaps(self, texts: list[str]) -> np.ndarray:
+        """Distinct common words: one row per text, one column per query."""
+        out = np.zeros((len(texts), len(self.ids)), np.int32)
+        for i, t in enumerate(texts):
+            found = [self.lists[w] for w in set((t or "").split()) if w in self.lists]
+            if found:
+                out[i] = np.bincount(np.concatenate(found), minlength=len(self.ids))
+        return out
+
+
+def _best_overlaps(queries: DataFrame, docs: DataFrame, k: int, query_id: str, query_text: str, doc_id: str, doc_text: str,
+                   ordinal: str) -> DataFrame:
+    """(query_id, doc_id, overlap, _ord) of at most k overlapping documents per query and task, so (query,
+    document) pairs are not shuffled. Queries go in blocks of at most MAX_QUERY_BYTES of text."""
+    terms = queries.select(F.col(query_id).alias("_id"), distinct_words(F.coalesce(F.col(query_text), F.lit(""))).alias("_terms"),
+                           F.coalesce(F.length(query_text), F.lit(0)).alias("_n"))
+    n, size = terms.agg(F.count(F.lit(1)), F.coalesce(F.sum("_n"), F.lit(0))).first()
+    blocks = max(1, -(-size * 4 // MAX_QUERY_BYTES), -(-n // MAX_BROADCAST_QUERIES))
+    fields = [T.StructField(query_id, queries.schema[query_id].dataType), T.StructField(doc_id, docs.schema[doc_id].dataType),
+              T.StructField("overlap", T.LongType()), T.StructField("_ord", docs.schema[ordinal].dataType)]
+    texts = docs.select(F.col(doc_id).alias("_d"), F.col(ordinal).alias("_ord"), F.lower(doc_text).alias("_text"))
+    parts = []
+    for i in range(blocks):
+        rows = (terms if blocks == 1 else terms.where(F.pmod(F.xxhash64("_id"), F.lit(blocks)) == i)).select("_id", "_terms").toArrow()
+        shared = queries.sparkSession.sparkContext.broadcast(_QueryTerms(rows["_id"].combine_chunks(), rows["_terms"].to_pylist()))
+
+        def run(batches, shared=shared):
+            block, held, made = shared.value, [], 0
+            order = [("overlap", "descending"), ("_ord", "ascending")]
+            step = max(1, HELD_DISTANCES // max(1, len(block.ids)))
+            for whole in batches:
+                for lo in range(0, whole.num_rows if len(block.ids) else 0, step):
+                    b = whole.slice(lo, step)
+                    n = block.overlaps(b.column("_text").to_pylist())
+                    at = max(len(n) - k, 0)
+                    least = np.maximum(np.partition(n, at, axis=0)[at], 1)
+                    d, q = np.nonzero(n >= least)
+                    t = b.select(["_d", "_ord"]).take(pa.array(d))
+                    held.append(pa.table([pa.array(q), *t.columns, pa.array(n[d, q].astype(np.int64))], names=["_q", "_d", "_ord", "overlap"]))
+                    made += len(q)
+                    if made > HELD_HITS:
+                        held = [_cut_hits(pa.concat_tables(held), k, order)]
+                        made = len(held[0]) // 2
+            if held:
+                hits = _cut_hits(pa.concat_tables(held), k, order)
+                yield from pa.table([block.ids.take(hits["_q"].combine_chunks()), hits["_d"], hits["overlap"], hits["_ord"]],
+                                    names=[query_id, doc_id, "overlap", "_ord"]).to_batches()
+
+        parts.append(texts.mapInArrow(run, T.StructType(fields)))
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
 def keyword_topk(queries: DataFrame, docs: DataFrame, k: int = KEYWORD_TOP_K, *, query_id: str = "query_id",
                  query_text: str = "text", doc_id: str = "doc_id", doc_text: str = "text",
                  ordinal: str | None = None) -> DataFrame:
@@ -306,11 +369,8 @@ def keyword_topk(queries: DataFrame, docs: DataFrame, k: int = KEYWORD_TOP_K, *,
     rows per query.  Output: (query_id, rank, doc_id, overlap).
     """
     ordinal = ordinal or doc_id
-    ov = term_overlap(queries, docs, query_id=query_id, query_text=query_text, doc_id=doc_id, doc_text=doc_text)
     ords = docs.select(F.col(doc_id), F.col(ordinal).alias("_ord"))
-    pos = ov.withColumn("_ord", F.col(doc_id)) if ordinal == doc_id else ov.join(ords, doc_id)
-    # Only the k best overlapping documents per query can survive; cut them first
-    # (a partial WindowGroupLimit) so the padding union works on <= 3k rows per query.
+    pos = _best_overlaps(queries, docs, k, query_id, query_text, doc_id, doc_text, ordinal)
     w = Window.partitionBy(query_id).orderBy(F.col("overlap").desc(), F.col("_ord").asc())
     pos = pos.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
     # The 2k lowest ordinals as one bounded array (a scalar subquery, no join).

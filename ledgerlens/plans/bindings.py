@@ -3,7 +3,7 @@
 The driver's tables are generic (TPC-H-like tables, an event stream, invented
 prose).  Each function below derives the input shape an operator expects from
 them, with Spark expressions only, so the work grows with the tables.  The SQL
-oracles in ``oracles.py`` derive the same inputs independently.
+oracles beside each query derive the same inputs independently.
 """
 
 from __future__ import annotations

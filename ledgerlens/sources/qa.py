@@ -2,21 +2,21 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from ..constants import QA_FALLBACK_REPEAT, QA_FALLBACK_SAMPLES
 
+def qa_source_fallback(spark: SparkSession, paths: list[str], fallback: DataFrame | None = None, fmt: str = "parquet") -> DataFrame:
+    """The first of ``paths`` that exists; else ``fallback``.
 
-def qa_source_fallback(spark: SparkSession, paths: list[str], fmt: str = "parquet") -> DataFrame:
-    """The first of ``paths`` that loads; else the built-in sample repeated 20 times (100 rows)."""
+    Only a missing path goes on to the next source: a corrupt or unreadable one raises.
+    """
     for p in paths:
         try:
-            df = spark.read.format(fmt).load(p)
-            df.schema  # noqa: B018 - resolves the path
-            return df
-        except Exception:  # noqa: BLE001 - try the next source, as the reference does
-            continue
-    base = spark.createDataFrame(list(QA_FALLBACK_SAMPLES), "context string, question string, answer string")
-    reps = F.sequence(F.lit(1), F.lit(QA_FALLBACK_REPEAT))
-    return base.select("*", F.explode(reps).alias("_r")).drop("_r")
+            return spark.read.format(fmt).load(p)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+    if fallback is None:
+        raise FileNotFoundError(f"none of {paths} exists")
+    return fallback

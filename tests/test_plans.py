@@ -16,7 +16,21 @@ def test_keyword_topk_has_no_pairwise_join(spark):
     q = b.table(spark, SF001, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     p = _plan(rt.keyword_topk(q, b.table(spark, SF001, "documents"), 5))
     assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
-    assert "BroadcastHashJoin" in p or "BroadcastExchange" in p   # query terms are broadcast
+    # documents meet the queries' terms in their scan tasks; at most k hits per query and task are shuffled
+    assert "MapInArrow" in p and "hashpartitioning(_q" not in p and "hashpartitioning(_term" not in p
+
+
+def test_filtered_vector_search_has_no_nested_loop_and_pushes_the_year(spark):
+    q = b.vector_queries(spark, SF001).withColumn("ticker", F.lit("T1"))
+    corpus = b.vector_corpus(spark, SF001)
+    p = _plan(rt.vector_topk(q, corpus, 5, match_cols=["ticker"]))
+    assert "NestedLoop" not in p and "CartesianProduct" not in p and p.count("Exchange") == 1
+
+
+def test_year_filter_is_a_pushed_range(spark, tmp_path):
+    spark.sql("SELECT id, date_add(DATE '2019-01-01', CAST(id AS INT)) AS filing_date FROM range(2000)").write.parquet(str(tmp_path / "d"))
+    df = rt.filter_year_contains(spark.read.parquet(str(tmp_path / "d")), 2020)
+    assert "GreaterThanOrEqual(filing_date,2020-01-01)" in _plan(df) and df.count() == 366
 
 
 def test_containment_has_no_all_pairs_test(spark):

@@ -28,7 +28,7 @@ def test_vector_topk_plan_broadcasts_queries_and_limits_groups(spark):
 
     r = rt.vector_topk(b.vector_queries(spark, SF001), b.vector_corpus(spark, SF001), 5)
     plan = r._jdf.queryExecution().executedPlan().toString()
-    assert "Broadcast" in plan
+    assert "MapInArrow" in plan
     assert "WindowGroupLimit" in plan
     n_labels = b.table(spark, SF001, "embeddings").select("label").distinct().count()
     assert r.count() == 5 * n_labels

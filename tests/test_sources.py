@@ -3,6 +3,7 @@
 import os
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from ledgerlens.sources import filings as fl
@@ -51,10 +52,17 @@ def test_csv_round_trip_multiline(spark):
     assert back[0].text == 'a "quoted"\nline, with comma'
 
 
-def test_qa_fallback(spark):
-    df = qa.qa_source_fallback(spark, ["/nonexistent/a", "/nonexistent/b"])
-    assert df.count() == 100 and set(df.columns) == {"context", "question", "answer"}
-    assert df.select("question").distinct().count() == 5
+def test_qa_fallback(spark, tmp_path):
+    given = spark.createDataFrame([("c", "q", "a")], "context string, question string, answer string")
+    assert qa.qa_source_fallback(spark, ["/nonexistent/a", "/nonexistent/b"], given).collect() == given.collect()
+    given.write.parquet(str(tmp_path / "qa"))
+    assert qa.qa_source_fallback(spark, ["/nonexistent/a", str(tmp_path / "qa")]).count() == 1
+    with pytest.raises(FileNotFoundError):
+        qa.qa_source_fallback(spark, ["/nonexistent/a"])
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "part-0.parquet").write_bytes(b"no parquet")
+    with pytest.raises(Exception, match="(?i)parquet|footer"):
+        qa.qa_source_fallback(spark, [str(tmp_path / "bad")], given).collect()
 
 
 def test_ticker_normalize(spark):
