@@ -279,13 +279,13 @@ def price_reaction(
     )
 
 
-def filings_prices_equi(filings: DataFrame, prices: DataFrame, *, key: str = "ticker") -> DataFrame:
-    """Co-partition filings and prices on the key: per key, filing count and price-row count.
+def filings_prices_equi(filings: DataFrame, prices: DataFrame, *, key: str = "ticker", price_time: str = "ts") -> DataFrame:
+    """Each filing matched to its ticker's price series: the filing's columns, n_price_rows, first_price, last_price.
 
-    The reference walks filings ticker by ticker and scans that ticker's series;
-    here both sides are aggregated per key first (map-side partial aggregation)
-    and joined on the key, so no pairwise filing x price rows are produced.
+    The series is summarised per key first (map-side partial aggregation) and
+    joined on the key, so no pairwise filing x price rows are produced; filings
+    without a series are dropped.
     """
-    fc = filings.groupBy(key).agg(F.count(F.lit(1)).alias("n_filings"))
-    pc = prices.groupBy(key).agg(F.count(F.lit(1)).alias("n_price_rows"))
-    return fc.join(pc, key, "inner")
+    series = prices.groupBy(key).agg(F.count(F.lit(1)).alias("n_price_rows"), F.min(price_time).alias("first_price"),
+                                     F.max(price_time).alias("last_price"))
+    return filings.join(series, key, "inner")

@@ -115,13 +115,14 @@ def q_post_window_mean(spark, sf_dir):
 
 
 @register("filings_prices_equi", f"""
-SELECT f.ticker, f.n_filings, p.n_price_rows FROM
- (SELECT user_id AS ticker, count(*) AS n_filings FROM events WHERE event_type = '{b.EVENT_FILING_TYPE}' GROUP BY 1) f
- JOIN (SELECT user_id AS ticker, count(*) AS n_price_rows FROM events WHERE event_type <> '{b.EVENT_FILING_TYPE}'
-       GROUP BY 1) p USING (ticker)""")
+SELECT f.user_id AS ticker, f.ts AS filing_date, p.n_price_rows, p.first_price, p.last_price FROM events f
+JOIN (SELECT user_id, count(*) AS n_price_rows, min(ts) AS first_price, max(ts) AS last_price FROM events
+      WHERE event_type <> '{b.EVENT_FILING_TYPE}' GROUP BY 1) p USING (user_id)
+WHERE f.event_type = '{b.EVENT_FILING_TYPE}'""")
 def q_filings_prices_equi(spark, sf_dir):
-    """#34: filings matched to their ticker's series by key (co-partitioned, no pairs)."""
-    return ev.filings_prices_equi(b.event_filings(spark, sf_dir), b.event_prices(spark, sf_dir))
+    """#34: every filing matched to its ticker's series by key (co-partitioned, no pairs)."""
+    f = b.event_filings(spark, sf_dir).select("ticker", "filing_date")
+    return ev.filings_prices_equi(f, b.event_prices(spark, sf_dir))
 
 
 @register("pct_change", f"""WITH {_px()}

@@ -262,18 +262,16 @@ def q_section_specialist(spark, sf_dir):
     return r.select("query_id", F.col("rank").cast("long").alias("rank"), "id")
 
 
-@register("price_analyst", f"""WITH px AS (SELECT user_id, ts, value FROM events WHERE event_type <> '{b.EVENT_FILING_TYPE}'),
-lim AS (SELECT max(ts) - INTERVAL 7 DAY AS since FROM px),
-s AS (SELECT user_id AS ticker, count(*) AS n_rows, max_by(value, ts) AS last_close FROM px, lim WHERE ts >= since
-      GROUP BY 1)
-SELECT s.ticker, s.n_rows, round(s.last_close, 6) AS last_close, round(c.c_acctbal, 6) AS pe_ratio,
-       c.c_mktsegment AS sector FROM s LEFT JOIN customer c ON c.c_custkey = s.ticker""")
+@register("price_analyst", f"""WITH px AS (SELECT user_id, ts, value FROM events WHERE event_type <> '{b.EVENT_FILING_TYPE}')
+SELECT px.user_id AS ticker, px.ts, round(px.value, 6) AS close, round(c.c_acctbal, 6) AS pe_ratio, c.c_mktsegment AS sector
+FROM px LEFT JOIN customer c ON c.c_custkey = px.user_id
+WHERE px.ts >= (SELECT max(ts) FROM px) - INTERVAL 365 DAY""")
 def q_price_analyst(spark, sf_dir):
-    """#92: trailing price window per ticker (last 7 days of the series) joined to its fundamentals."""
+    """#92: the trailing year of every ticker's series with its fundamentals."""
     from ..sources.prices import price_analyst
 
     f = b.customer_fundamentals(spark, sf_dir).withColumnRenamed("company_key", "ticker")
-    return price_analyst(b.event_prices(spark, sf_dir), f, trailing_days=7)
+    return price_analyst(b.event_prices(spark, sf_dir), f).select("ticker", "ts", "close", "pe_ratio", "sector")
 
 
 _RAG = f"""WITH {_CORPUS}, {_PQ},

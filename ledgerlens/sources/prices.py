@@ -45,10 +45,8 @@ def fundamentals_project(info: DataFrame, *, ticker: str = "ticker", json_col: s
 
 
 def price_analyst(prices: DataFrame, fundamentals: DataFrame, *, ticker: str = "ticker", ts: str = "ts",
-                  close: str = "close", trailing_days: int = 365) -> DataFrame:
-    """Per ticker: rows in the trailing window (from the last row of all prices), last close, fundamentals."""
+                  trailing_days: int = 365) -> DataFrame:
+    """The price rows of the trailing window (from the last row of all prices), with each ticker's fundamentals."""
     last_all = prices.agg(F.max(ts).alias("_m"))
     bound = last_all.select((F.col("_m") - F.expr(f"INTERVAL {int(trailing_days)} DAYS")).alias("_since")).scalar()
-    recent = prices.where(F.col(ts) >= bound)
-    s = recent.groupBy(ticker).agg(F.count(F.lit(1)).alias("n_rows"), F.max_by(close, ts).alias("last_close"))
-    return s.join(fundamentals, ticker, "left").select(ticker, "n_rows", "last_close", "pe_ratio", "sector")
+    return prices.where(F.col(ts) >= bound).join(fundamentals, ticker, "left")
