@@ -69,7 +69,8 @@ class Windows:
         anchor = (_PLACE - (np.minimum(right[starts], left[starts + wide - 1]) & _PLACE)).astype(np.int64)
         cut = np.flatnonzero(np.append(True, (anchor[1:] != anchor[:-1]) | (starts[1:] != starts[:-1] + 1))) if len(starts) else np.zeros(0, np.int64)
         #: per anchor: its place and hash, its first and last window
-        self.at, self.hash = anchor[cut], grams[anchor[cut]] if len(cut) else grams[:0]
+        # (hashed again: the least hashes of windows crowd at zero, and shards go by leading bits)
+        self.at, self.hash = anchor[cut], mix(grams[anchor[cut]] + np.uint64(1)) if len(cut) else grams[:0]
         self.first = starts[cut]
         self.last = starts[np.append(cut[1:], len(starts)) - 1] if len(cut) else starts[:0]
 
