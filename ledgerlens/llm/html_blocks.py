@@ -346,7 +346,10 @@ def varied(page: list[Block], texts: list[str], r) -> tuple[list[Block], list[in
 def train(pages: DataFrame, html_col: str = "html", order_col: str = "url") -> Labeller:
     """Fit on a bounded sample; the same pages give the same labeller."""
     rows = pages.where(F.length(html_col).between(1, TRAIN_CHARS)).select(F.col(html_col).alias("html"), F.xxhash64(order_col, html_col).alias("h"))
-    sample = [blocks(r["html"]) for r in rows.orderBy("h").limit(TRAIN_PAGES).collect()]
+    # hashes first, so that no task sends pages that are not chosen
+    chosen = [r["h"] for r in rows.select("h").distinct().orderBy("h").limit(TRAIN_PAGES).collect()]
+    found = rows.where(F.col("h").isin(chosen)).groupBy("h").agg(F.min("html").alias("html")).orderBy("h").collect()
+    sample = [blocks(r["html"]) for r in found]
     sample = [p for p in sample if p]
     model, r = Labeller(), np.random.default_rng(SEED)
     texts = [b.text for p in sample for b in p]

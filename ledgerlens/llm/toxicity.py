@@ -124,7 +124,10 @@ def logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Grammar:
     """Stems from document counts in Spark; the logistic fit takes FEATURES numbers per sampled row."""
     chosen = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).alias("_y"))
-    chosen = chosen.orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE)
+    # a little over the bound by a threshold on the hash, so that no task sends many rows, then the bound
+    rank = F.xxhash64("_id").cast("double") / 2.0**64 + 0.5
+    share = 1.2 * SAMPLE / max(chosen.count(), 1)
+    chosen = chosen.where(rank < share).orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE)
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), "_id")
     rows = rows.select("text", F.col("_y").cast("int").alias("y")).checkpoint()
 
