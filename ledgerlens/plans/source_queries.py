@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..constants import VECTOR_COLLECTION_NAME
 from ..operators import hooks
 from ..session import scratch_path
 from ..sources import filings as fl
@@ -21,6 +22,7 @@ from . import section_sql
 from .prompt_queries import _PQ, _RAG, _decompose_sql
 from .retrieval_queries import _CORPUS
 from .retrieval_queries import _sql_template
+from .text_queries import _STRIP, _WORDS, STEP
 
 _FILES_SQL = """fx AS (SELECT DISTINCT source AS ticker, CASE WHEN CAST(regexp_extract(source, '(\\d+)$', 1) AS INTEGER) % 2 = 0
   THEN '10-K' ELSE '10-Q' END AS filing_type, DATE '2020-01-01' + CAST((doc_id // 400) * 91 AS INTEGER) AS filing_date
@@ -307,7 +309,14 @@ def q_run_full_evaluation(spark, sf_dir):
                                positive=b.FIXTURE_POSITIVE, negative=b.FIXTURE_NEGATIVE)
 
 
-@register("build_index")
+@register("build_index", f"""WITH {section_sql.filings_sql()},
+landed AS (SELECT ticker, filing_type, filing_date, file_path, 'ACCESSION NUMBER: 0 CONFORMED SUBMISSION TYPE: ' || filing_type
+             || ' FILED AS OF DATE: ' || strftime(filing_date, '%Y%m%d') || ' ' || text AS text FROM fil),
+{section_sql.sections_sql("landed")},
+w AS (SELECT ticker, filing_type, filing_date, section, {_WORDS.replace('(text,', '(stext,')} AS words FROM kept
+      WHERE length(regexp_replace(stext, {_STRIP}, '', 'g')) > 100),
+c AS (SELECT *, unnest(range(0, len(words), {STEP})) AS st FROM w)
+SELECT '{VECTOR_COLLECTION_NAME}' AS collection_name, count(DISTINCT (ticker, filing_type, filing_date, section, st)) AS total_documents FROM c""")
 def q_build_index(spark, sf_dir):
     """#96: landed files -> index -> chunks -> vectors -> table stats."""
     from .compositions import build_index
