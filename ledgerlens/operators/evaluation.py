@@ -1,11 +1,13 @@
 """Scoring of answers and retrieval: ROUGE, entity P/R/F, ranking metrics, timing summaries.
 
-Per-pair scores are computed relationally (n-gram explode, grouped counts);
-only the longest-common-subsequence of ROUGE-L runs in an Arrow batch UDF.
+A pair's ROUGE scores depend on its two texts alone: one Arrow function per row computes all of them from
+the projected tokens, with no explode, shuffle or join.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -48,31 +50,43 @@ def unmatched_pairs(left: DataFrame, right: DataFrame, key: list[str]) -> DataFr
         rk.join(lk, key, "left_anti").withColumn("side", F.lit("right")))
 
 
-def rouge_n(pairs: DataFrame, n: int, *, key: list[str], prediction: str = "prediction",
-            reference: str = "reference", stem: bool = False) -> DataFrame:
-    """Per pair ROUGE-n F-measure ``rouge{n}`` = 2 * overlap / (ref n-grams + pred n-grams).
+def _f_measure(common: int, sizes: int) -> float:
+    return 2.0 * common / sizes if common else 0.0
+
 
-    N-grams of both sides are exploded and counted per (pair, n-gram) with one
-    grouped aggregation (map-side partial counts), then clipped overlaps are summed
-    per pair.  Pairs with no n-grams on either side score 0.  ``stem=True``
-    reproduces the reference scorer, which Porter-stems tokens.
+def _ngram_overlap(ref: list[str], pred: list[str], n: int) -> float:
+    """F-measure of the clipped common n-grams."""
+    r, h = (Counter(zip(*(t[i:] for i in range(n)), strict=False)) for t in (ref, pred))
+    return _f_measure(sum((r & h).values()), sum(r.values()) + sum(h.values()))
+
+
+def rouge_scores(pairs: DataFrame, *, key: list[str], ns: tuple[int, ...] = (1, 2), lcs: bool = True, prediction: str = "prediction",
+                 reference: str = "reference", stem: bool = False) -> DataFrame:
+    """Per pair ``rouge{n}`` for each n and, with ``lcs``, ``rougeL``: F-measures, 0 where nothing is common.
+
+    ``stem=True`` reproduces the reference scorer, which stems tokens of more than three characters.
     """
-    # Tokens are projected first: an expression inside the n-gram lambda would be
-    # re-evaluated for every n-gram.
-    toks = pairs.select(*key, rouge_tokens(F.col(reference), stem).alias("_rt"),
-                        rouge_tokens(F.col(prediction), stem).alias("_ht"))
-    base = toks.select(*key, ngrams(F.col("_rt"), n).alias("_r"), ngrams(F.col("_ht"), n).alias("_h"))
-    grams = base.select(*key, F.explode_outer(F.concat(
-        F.transform("_r", lambda g: F.struct(g.alias("g"), F.lit(1).alias("r"), F.lit(0).alias("h"))),
-        F.transform("_h", lambda g: F.struct(g.alias("g"), F.lit(0).alias("r"), F.lit(1).alias("h"))),
-    )).alias("_x")).where(F.col("_x").isNotNull())
-    counts = grams.groupBy(*key, F.col("_x.g").alias("g")).agg(F.sum("_x.r").alias("cr"), F.sum("_x.h").alias("ch"))
-    overlap = counts.groupBy(*key).agg(F.sum(F.least("cr", "ch")).alias("_m"))
-    sizes = base.select(*key, F.size("_r").alias("_nr"), F.size("_h").alias("_nh"))
-    out = sizes.join(overlap, key, "left").fillna(0, ["_m"])
-    f = F.when(F.col("_nr") + F.col("_nh") == 0, F.lit(0.0)).otherwise(
-        2.0 * F.col("_m") / (F.col("_nr") + F.col("_nh")))
-    return out.select(*key, f.alias(f"rouge{n}"))
+    names = [f"rouge{n}" for n in ns] + (["rougeL"] if lcs else [])
+
+    @F.pandas_udf(T.StructType([T.StructField(n, T.DoubleType()) for n in names]))
+    def score(refs: pd.Series, preds: pd.Series) -> pd.DataFrame:
+        from ..functions.stem import stem_token
+
+        out = []
+        for r, h in zip(refs, preds, strict=True):
+            r, h = ([stem_token(t) for t in x] if stem else list(x) for x in (r, h))
+            row = [_ngram_overlap(r, h, n) for n in ns]
+            out.append(row + ([_f_measure(lcs_length(r, h), len(r) + len(h))] if lcs else []))
+        return pd.DataFrame(out, columns=names, dtype="float64")
+
+    toks = pairs.select(*key, rouge_tokens(F.col(reference)).alias("_r"), rouge_tokens(F.col(prediction)).alias("_h"))
+    return toks.select(*key, score("_r", "_h").alias("_s")).select(*key, "_s.*")
+
+
+def rouge_n(pairs: DataFrame, n: int, *, key: list[str], prediction: str = "prediction",
+            reference: str = "reference", stem: bool = False) -> DataFrame:
+    """Per pair ROUGE-n F-measure ``rouge{n}`` = 2 * overlap / (ref n-grams + pred n-grams)."""
+    return rouge_scores(pairs, key=key, ns=(n,), lcs=False, prediction=prediction, reference=reference, stem=stem)
 
 
 def lcs_length(a: list, b: list) -> int:
@@ -95,23 +109,10 @@ def lcs_length(a: list, b: list) -> int:
     return len(b) - bin(v).count("1")
 
 
-@F.pandas_udf(T.DoubleType())
-def _rouge_l_udf(ref: pd.Series, pred: pd.Series) -> pd.Series:
-    out = []
-    for r, h in zip(ref, pred):
-        r = list(r) if r is not None else []
-        h = list(h) if h is not None else []
-        m = lcs_length(r, h)
-        out.append(0.0 if m == 0 else 2.0 * m / (len(r) + len(h)))
-    return pd.Series(out, dtype="float64")
-
-
 def rouge_l(pairs: DataFrame, *, key: list[str], prediction: str = "prediction",
             reference: str = "reference", stem: bool = False) -> DataFrame:
-    """Per pair ROUGE-L F-measure (LCS over tokens); the LCS runs in an Arrow batch UDF."""
-    toks = pairs.select(*key, rouge_tokens(F.col(reference), stem).alias("_rt"),
-                        rouge_tokens(F.col(prediction), stem).alias("_ht"))
-    return toks.select(*key, _rouge_l_udf(F.col("_rt"), F.col("_ht")).alias("rougeL"))
+    """Per pair ROUGE-L F-measure (longest common subsequence of tokens)."""
+    return rouge_scores(pairs, key=key, ns=(), prediction=prediction, reference=reference, stem=stem)
 
 
 def entity_prf(pairs: DataFrame, *, key: list[str], lexicon: list[str] | None = None,

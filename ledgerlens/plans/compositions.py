@@ -87,8 +87,7 @@ def run_full_evaluation(pairs: DataFrame, *, key: list[str], lexicon: list[str]
                         negative: list[str] | None = None) -> DataFrame:
     """One long metric table: ROUGE-1/2/L means, entity P/R/F means and, with price changes, correlations."""
     # Stemmed, as the reference's scorer is configured.
-    r = ev.rouge_n(pairs, 1, key=key, stem=True).join(ev.rouge_n(pairs, 2, key=key, stem=True), key) \
-        .join(ev.rouge_l(pairs, key=key, stem=True), key)
+    r = ev.rouge_scores(pairs, key=key, stem=True)
     e = ev.entity_prf(pairs, key=key, lexicon=lexicon)
     rm = ev.long_metrics(r.agg(F.avg("rouge1").alias("rouge1"), F.avg("rouge2").alias("rouge2"),
                                F.avg("rougeL").alias("rougeL")), ["rouge1", "rouge2", "rougeL"])

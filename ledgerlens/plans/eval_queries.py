@@ -58,7 +58,7 @@ SELECT conv_id, turn, round(rouge1, 6) AS rouge1, round(rouge2, 6) AS rouge2 FRO
 def q_rouge_n(spark, sf_dir):
     """#41: ROUGE-1 and ROUGE-2 F per pair (relational n-gram counts, no stemming)."""
     p = _pairs(spark, sf_dir)
-    return ev.rouge_n(p, 1, key=KEY).join(ev.rouge_n(p, 2, key=KEY), KEY)
+    return ev.rouge_scores(p, key=KEY, lcs=False)
 
 
 @register("rouge_l")
@@ -84,8 +84,7 @@ prf AS (SELECT conv_id, turn,
 def q_rouge_stemmed(spark, sf_dir):
     """#41/#42 with Porter stemming (the reference scorer's setting); checked in pytest."""
     p = _pairs(spark, sf_dir)
-    return ev.rouge_n(p, 1, key=KEY, stem=True).join(ev.rouge_n(p, 2, key=KEY, stem=True), KEY) \
-        .join(ev.rouge_l(p, key=KEY, stem=True), KEY)
+    return ev.rouge_scores(p, key=KEY, stem=True)
 
 
 @register("entity_prf", f"""WITH {_PAIRS}, {_ENT}
@@ -138,14 +137,13 @@ FROM l b JOIN l a ON a.metric = b.metric AND b.half = 0 AND a.half = 1""")
 def q_compare_before_after(spark, sf_dir):
     """#55: metrics of two halves of the pairs (even / odd conversations) before vs after."""
     p = _pairs(spark, sf_dir)
-    s = ev.rouge_n(p, 1, key=KEY).join(ev.rouge_n(p, 2, key=KEY), KEY) \
-        .join(ev.entity_prf(p, key=KEY, lexicon=_LEX).select(*KEY, "f1"), KEY) \
-        .withColumn("half", F.col("conv_id") % 2)
+    s = ev.rouge_scores(p, key=KEY, lcs=False).join(ev.entity_prf(p, key=KEY, lexicon=_LEX).select(*KEY, "f1"), KEY)
+    # the pairs are scored once: the written means (one row per half) serve both sides
+    halves = materialize(s.groupBy((F.col("conv_id") % 2).alias("half")).agg(
+        F.avg("rouge1").alias("rouge1"), F.avg("rouge2").alias("rouge2"), F.avg("f1").alias("entity_f1")))
 
     def side(h):
-        m = s.where(F.col("half") == h).agg(F.avg("rouge1").alias("rouge1"), F.avg("rouge2").alias("rouge2"),
-                                            F.avg("f1").alias("entity_f1"))
-        return ev.long_metrics(m, ["rouge1", "rouge2", "entity_f1"])
+        return ev.long_metrics(halves.where(F.col("half") == h), ["rouge1", "rouge2", "entity_f1"])
 
     return ev.compare_before_after(side(0), side(1))
 
