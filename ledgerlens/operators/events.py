@@ -108,7 +108,8 @@ def asof_windows(
         )
     )
     u = ev.unionByName(px).withColumn("_b", _bucket(F.col("_t"), bucket_seconds))
-    # The one exchange: everything below is clustered by (key, bucket).
+    # Rows are clustered by (key, bucket) once per branch below (rows, bucket summary, event buckets); no branch
+    # clusters rows by the key alone.
     u = u.repartition("_k", "_b")
 
     by_kind = Window.partitionBy("_k", "_b", "_kind").orderBy("_t", "_tie")
