@@ -54,3 +54,38 @@ def test_edge_rows(documents, no_documents):
     assert L.of_documents(no_documents).count() == 0
     none = L.of_documents(documents.withColumn("lang", F.lit(None).cast("string")))
     assert none.count() == len(rows()) and not none.where("rejected OR language IS NOT NULL").count()
+
+
+def _words(i):
+    """Twenty words of an invented language."""
+    letters = "abcdefghijklmnopqrstuvwxyzäöüßéèñøåæ"
+    return ["".join(letters[(i * 31 + 7 * w + 11 * k * (i % 13 + 1) + (i // 13) * k) % len(letters)] for k in range(6)) for w in range(20)]
+
+
+def test_every_declared_language_is_learned(spark):
+    """More than 64 languages, most under a thousandth of the rows; false declarations of them and of codes without text."""
+    invented = {f"q{i:02d}": _words(i) for i in range(72)}
+    say = lambda words, i: " ".join(words[(i + j * (i % 7 + 1)) % 20] for j in range(60))
+    data = [(i, texts("en", i), "en") for i in range(12_000)]
+    data += [(100_000 + 100 * k + i, say(words, i), code) for k, (code, words) in enumerate(invented.items()) for i in range(10)]
+    data += [(200_000 + k, texts("en", k), code) for k, code in enumerate(invented)] + [(300_000, texts("en", 1), "zz")]
+    data += [(300_001, say(["жук", "ёлка", "щука", "юла", "эхо"] * 4, 1), "zy")]
+    df = spark.createDataFrame([(*r, f"h{r[0] % 5}.example.org") for r in data], "doc_id long, text string, lang string, source string")
+    got = {r["doc_id"]: r for r in L.of_documents(df).collect()}
+    assert len(got) == len(data)
+    assert all(got[i]["language"] == lang and not got[i]["rejected"] for i, _, lang in data if i < 200_000)
+    assert all(got[i]["language"] == "en" and got[i]["rejected"] for i, *_ in data if 200_000 <= i <= 300_000)
+    assert got[300_001]["language"] == "zy" and not got[300_001]["rejected"]
+
+
+def test_rare_values_are_evidence_and_joined(spark, monkeypatch):
+    """Hundreds of address suffixes, and tables too large to broadcast whole, give what broadcast ones give."""
+    n = {"en": 400, "de": 200}
+    data = [(1000 * k + i, texts(lang, i), lang, f"h{i % 40}.example.org", f"{lang}{i // 2}") for k, lang in enumerate(n) for i in range(n[lang])]
+    data += [(5000 + i, None, None, None, f"de{i}") for i in range(100)] + [(6000, None, None, None, None)]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string, host string, suffix string").repartition(3)
+    run = lambda: sorted(tuple(r) for r in L.identify(df, *[F.col(c) for c in ("text", "lang", "host", "suffix")]).select("doc_id", *L.ADDED).collect())
+    whole = run()
+    assert [r[1] for r in whole if 5000 <= r[0] < 6000] == ["de"] * 100 and len(whole) == len(data)
+    monkeypatch.setattr(L, "BROADCAST_CELLS", 10)
+    assert run() == whole
