@@ -3,10 +3,11 @@
 Tokens are made in the scan's tasks.  A document's full windows of SIZE tokens are sequences of their own;
 what is left of it (under SIZE tokens) goes to an index shard.  Rows are dealt to shards evenly by their
 place in the table, so no key, source or group of copies makes a shard large, and a shard holds about
-SHARD_ROWS remainders.  In a shard an inverted index of token ids with BM25 weights answers each seed
-(longest unused first) with the unused neighbours; those that fit are taken best first, then the longest
-unused that still fits, and when none fits the best neighbour is cut and its rest is the next seed.  So
-every sequence but a shard's last is full.
+SHARD_ROWS remainders.  In a shard an inverted index of token ids with BM25 weights (document frequencies and
+mean length are those of all remainders of the table) answers each seed (longest unused first) with the
+unused neighbours by all terms; those that fit are taken best first, then the longest unused that still fits,
+and when none fits the best neighbour is cut and its rest is the next seed.  So every sequence but a shard's
+last is full.  A seed's neighbours in other shards are not looked at.
 
 Defined results: null text counts as empty (one token, the end); every row is packed, repeated rows each;
 null ids stay null; extra columns are ignored; an empty table gives an empty result.
@@ -24,6 +25,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlens.session import ensure_checkpoint_dir
+
 from .common import by_group, pieces
 from .tokens import buffers, word_places
 
@@ -34,8 +37,8 @@ CACHED_WORDS = 2_000_000
 LETTERS, MARKS = np.zeros(256, bool), np.zeros(256, bool)
 LETTERS[[*range(65, 91), *range(97, 123)]] = True
 MARKS[[*range(33, 39), *range(40, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
-#: rarest terms of a seed that make its query; BM25's usual constants
-QUERY_TERMS, K1, B = 16, 1.2, 0.75
+#: BM25's usual constants
+K1, B = 1.2, 0.75
 
 _ROW = pa.schema([("shard", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()),
                   ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids", pa.binary())])
@@ -176,40 +179,63 @@ def _tokenize(path: str, size: int):
     return run
 
 
+def corpus_terms(pieces: DataFrame) -> tuple[np.ndarray, int, float]:
+    """Of all remainders: the number that hold each token id, their number and mean length."""
+
+    def count(batches):
+        df, n, tokens = np.zeros(65536, np.int64), 0, 0
+        for b in batches:
+            for x in b.column("ids").drop_null():
+                d = np.frombuffer(x.as_buffer(), np.uint16)
+                df[np.unique(d)] += 1
+                n, tokens = n + 1, tokens + len(d)
+        t = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array([*t.tolist(), -1, -2], pa.int32()), pa.array([*df[t].tolist(), n, tokens], pa.int64())], names=["term", "n"])
+
+    got = pieces.select("ids").mapInArrow(count, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # at most 65538 rows
+    of = np.zeros(65538, np.int64)
+    of[np.asarray(got["term"])] = np.asarray(got["n"])  # -1 and -2: the last two
+    return of[:65536], int(of[-1]), of[-2] / max(of[-1], 1)
+
+
 class Shard:
-    """BM25 inverted index over the remainders of a shard."""
+    """BM25 inverted index over the remainders of a shard; ``corpus``: as of ``corpus_terms``, by default the shard's own."""
 
-    def __init__(self, docs: list[np.ndarray]):
+    def __init__(self, docs: list[np.ndarray], corpus: tuple[np.ndarray, int, float] | None = None):
         n = len(docs)
         pairs = [np.unique(d, return_counts=True) for d in docs]
         self.terms = [t for t, _ in pairs]
         sizes = np.array([len(t) for t in self.terms])
-        term, tf, doc = np.concatenate(self.terms), np.concatenate([c for _, c in pairs]).astype(np.float32), np.repeat(np.arange(n), sizes)
-        length = np.array([len(d) for d in docs], np.float32)
+        term, tf, doc = np.concatenate(self.terms), np.concatenate([c for _, c in pairs]).astype(np.float64), np.repeat(np.arange(n), sizes)
+        length = np.array([len(d) for d in docs], np.float64)
         self.df = np.bincount(term, minlength=65536)
-        idf = np.log1p((n - self.df + 0.5) / (self.df + 0.5)).astype(np.float32)
-        weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[doc] / length.mean()))
+        df, every, mean = corpus or (self.df, n, length.mean())
+        idf = np.log1p((every - df + 0.5) / (df + 0.5))
+        weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[doc] / mean))
         order = np.argsort(term, kind="stable")
         self.doc, self.weight = doc[order], weight[order]
         self.begin = np.concatenate([[0], np.cumsum(self.df)])
         self.n = n
-
-    def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
-        """Unused documents that share a query term with the seed, best first (ties: the lower number)."""
-        terms = self.terms[seed]
-        terms = terms[self.df[terms] > 1]
-        terms = terms[np.argsort(self.df[terms], kind="stable")[:QUERY_TERMS]]
-        if not len(terms):
-            return np.zeros(0, np.int64)
-        spans = [slice(self.begin[t], self.begin[t + 1]) for t in terms.tolist()]
-        score = np.bincount(np.concatenate([self.doc[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), self.n)
-        found = np.flatnonzero((score > 0) & unused)
-        return found[np.argsort(-score[found], kind="stable")]
-
-
-def fill(docs: list[np.ndarray], size: int):
+        # frequent terms: their weights in all documents
+        self.dense = {}
+        for t in np.flatnonzero(self.df > n // 4).tolist():
+            self.dense[t] = np.zeros(n)
+            self.dense[t][self.doc[self.begin[t] : self.begin[t + 1]]] = self.weight[self.begin[t] : self.begin[t + 1]]
+
+    def scores(self, seed: int) -> np.ndarray:
+        """BM25 scores of all documents by all terms of the seed."""
+        terms = self.terms[seed].tolist()
+        spans = [slice(self.begin[t], self.begin[t + 1]) for t in terms if t not in self.dense]
+        score = np.bincount(np.concatenate([self.doc[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), self.n) if spans else np.zeros(self.n)
+        for t in terms:
+            if t in self.dense:
+                score += self.dense[t]
+        return score
+
+
+def fill(docs: list[np.ndarray], size: int, corpus: tuple[np.ndarray, int, float] | None = None):
     """(document, first token, tokens, sequence, offset) of every piece; documents are shorter than ``size``."""
-    index, lengths = Shard(docs), np.array([len(d) for d in docs])
+    index, lengths = Shard(docs, corpus), np.array([len(d) for d in docs])
     unused = np.ones(len(docs), bool)
     by_length: dict[int, list[int]] = {}
     for i in np.argsort(lengths, kind="stable")[::-1].tolist():
@@ -235,35 +261,32 @@ def fill(docs: list[np.ndarray], size: int):
         unused[seed] = False
         offset = int(lengths[seed]) - skip
         yield seed, skip, offset, sequence, 0
-        rest, near = None, index.neighbours(seed, unused)
-        for i in near.tolist():
-            if lengths[i] <= size - offset:
-                unused[i] = False
-                yield i, 0, int(lengths[i]), sequence, offset
-                offset += int(lengths[i])
-        while offset < size:
-            i = longest(size - offset)
+        rest, score = None, np.where(unused, index.scores(seed), 0.0)  # 0: used, or no term shared
+        while offset < size:  # ties: the lower number
+            i = int(np.argmax(np.where(lengths <= size - offset, score, 0.0)))
+            if lengths[i] > size - offset or not score[i]:
+                i = longest(size - offset)
             if i is None:
-                left = near[unused[near]]
-                i = int(left[0]) if len(left) else longest(size)
+                i = int(np.argmax(score))
+                i = i if score[i] else longest(size)
                 if i is None:
                     break
                 rest = (i, size - offset)
             n = min(int(lengths[i]), size - offset)
-            unused[i] = False
+            unused[i], score[i] = False, 0.0
             yield i, 0, n, sequence, offset
             offset += n
         sequence += 1
 
 
-def _pack(size: int):
+def _pack(size: int, corpus):
     def run(key, t: pa.Table) -> pa.Table:
         whole = t.filter(pa.compute.is_null(t["ids"])).select(_PIECE.names)
         left = t.filter(pa.compute.is_valid(t["ids"])).sort_by([("doc_id", "ascending"), ("start", "ascending")])
         docs = [np.frombuffer(x.as_py(), np.uint16) for x in left["ids"]]
         ids, starts, totals = (left[c].to_pylist() for c in ("doc_id", "start", "doc_tokens"))
         out = {n: [] for n in _PIECE.names}
-        for i, skip, n, sequence, offset in fill(docs, size) if docs else ():
+        for i, skip, n, sequence, offset in fill(docs, size, corpus.value) if docs else ():
             row = (ids[i], starts[i] + skip, n, crc(docs[i][skip : skip + n]), totals[i], ((key[0].as_py() + 1) << 32) + sequence, offset)
             for name, v in zip(_PIECE.names, row, strict=True):
                 out[name].append(v)
@@ -280,5 +303,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     shards = max(1, -(-rows.count() // SHARD_ROWS))
     rows = rows.withColumn("shard", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)))
-    pieces = rows.mapInArrow(_tokenize(tokenizer, size), _ROW_SQL)
-    return by_group(pieces, "shard", _pack(size), _PIECE_SQL)
+    ensure_checkpoint_dir(docs.sparkSession)
+    pieces = rows.mapInArrow(_tokenize(tokenizer, size), _ROW_SQL).checkpoint()
+    corpus = docs.sparkSession.sparkContext.broadcast(corpus_terms(pieces))
+    return by_group(pieces, "shard", _pack(size, corpus), _PIECE_SQL)

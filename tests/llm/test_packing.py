@@ -79,3 +79,31 @@ def test_neighbours_share_the_window():
 def test_edge_rows(documents, no_documents, tokenizer):
     check(P.pack_documents(documents, tokenizer_path()).collect(), [(r[0], r[1]) for r in rows()], tokenizer)
     assert P.pack_documents(no_documents, tokenizer_path()).count() == 0
+
+
+def bm25(seed, docs, corpus):
+    """Scores of all documents by all terms of the seed, one by one."""
+    n, mean = len(corpus), sum(map(len, corpus)) / len(corpus)
+    df = {}
+    for d in corpus:
+        for x in set(d.tolist()):
+            df[x] = df.get(x, 0) + 1
+    out = []
+    for d in docs:
+        tf = {x: d.tolist().count(x) for x in set(d.tolist()) & set(seed.tolist())}
+        out.append(sum(np.log1p((n - df[x] + 0.5) / (df[x] + 0.5)) * c * (P.K1 + 1) / (c + P.K1 * (1 - P.B + P.B * len(d) / mean)) for x, c in tf.items()))
+    return np.array(out)
+
+
+def test_neighbours_by_all_terms_and_corpus_frequencies(spark):
+    r = np.random.default_rng(7)
+    every = [np.append(r.zipf(1.3, r.integers(30, 120)) % 300 + 10, 1).astype(np.uint16) for _ in range(400)]
+    docs = every[:40]
+    assert max(len(np.unique(d)) for d in docs) > 16
+    df, n, mean = P.corpus_terms(spark.createDataFrame([(d.tobytes(),) for d in every] + [(None,)], "ids binary").repartition(3))
+    assert n == 400 and abs(mean - sum(map(len, every)) / 400) < 1e-9
+    assert all(df[t] == sum(t in d for d in every) for t in range(400))
+    for corpus, given in ((docs, ()), (every, ((df, n, mean),))):
+        index = P.Shard(docs, *given)
+        for seed in range(0, 40, 8):
+            assert np.allclose(index.scores(seed), bm25(docs[seed], docs, corpus))
