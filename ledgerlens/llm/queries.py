@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .decontaminate import overlaps
+from .filter_audit import audit
 from .html_blocks import main_text
 from .jaccard import jaccard_components
 from .kneser_ney import score_documents
@@ -108,3 +109,36 @@ def page_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_html_lstm")
 def html_lstm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text(table(spark, sf_dir, "pages"))
+
+
+@query("op12_filter_audit", r"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+m AS (SELECT text, min(doc_id) AS first FROM d GROUP BY text),
+l AS (SELECT doc_id, max(CAST(quality = 1 AS INT)) AS good, max(CAST(toxic = 1 AS INT)) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT d.part, coalesce(l.good, 0) AS good, coalesce(l.toxic, 0) AS toxic, {
+        'A': len(ws) < 50, 'B': 100 * len(list_distinct(ws)) < 65 * len(ws),
+        'C': 100 * length(regexp_replace(d.text, '[^A-Z]', '', 'g')) > 5 * length(d.text),
+        'D': regexp_matches(d.text, '[#$%&*|]'), 'E': coalesce(d.doc_id > m.first, false)} AS x
+      FROM d JOIN m USING (text) LEFT JOIN l ON l.doc_id = d.doc_id),
+v AS (SELECT part, good, toxic, (CASE WHEN x['A'] THEN 'A' ELSE '' END) || (CASE WHEN x['B'] THEN 'B' ELSE '' END) || (CASE WHEN x['C'] THEN 'C' ELSE '' END)
+        || (CASE WHEN x['D'] THEN 'D' ELSE '' END) || (CASE WHEN x['E'] THEN 'E' ELSE '' END) AS fails FROM f),
+c AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM v GROUP BY ALL),
+k AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS k),
+p AS (SELECT a.k || b.k || c.k || d.k || e.k AS filter_order FROM k a, k b, k c, k d, k e
+      WHERE len(list_distinct([a.k, b.k, c.k, d.k, e.k])) = 5),
+s AS (SELECT filter_order, step, substr(filter_order, step, 1) AS own, substr(filter_order, 1, step - 1) AS before
+      FROM p, (SELECT unnest([1, 2, 3, 4, 5]) AS step)),
+r AS (SELECT part, filter_order, step, own,
+        sum(CASE WHEN translate(fails, before || own, '') = fails THEN n ELSE 0 END) AS kept,
+        sum(CASE WHEN contains(fails, own) AND translate(fails, before, '') = fails THEN n ELSE 0 END) AS removed,
+        sum(CASE WHEN contains(fails, own) AND translate(fails, before, '') <> fails THEN n ELSE 0 END) AS redundant,
+        sum(CASE WHEN fails = own THEN n ELSE 0 END) AS unique_fails,
+        sum(CASE WHEN contains(fails, own) AND translate(fails, before, '') = fails THEN good ELSE 0 END) AS good_lost,
+        sum(CASE WHEN contains(fails, own) AND translate(fails, before, '') = fails THEN toxic ELSE 0 END) AS toxic_lost
+      FROM c, s GROUP BY ALL)
+SELECT part, filter_order, CAST(step AS INT) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+  CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM r
+""")
+def filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
