@@ -38,7 +38,7 @@ def batch(schema: pa.Schema, columns: dict) -> pa.RecordBatch:
         for f in schema for c in [columns[f.name]]], schema=schema)
 
 
-def by_group(df: DataFrame, key: str, function, schema: str) -> DataFrame:
+def by_group(df: DataFrame, key: str | list[str], function, schema: str) -> DataFrame:
     """``function(key, table) -> table`` on the Arrow table of every group."""
     return df.groupBy(key).applyInArrow(lambda k, t: function(k, t), schema)
 
