@@ -41,8 +41,9 @@ from .common import partitions, u64
 # FIXED VALUES of the format
 VERSION = "WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: compressed bytes after which a task starts another file; bytes read at once; salts of a look-up
-FILE_BYTES, READ_BYTES, SALTS = 64 << 20, 1 << 20, 64
+#: compressed bytes after which a task starts another file; bytes read at once (what follows a gzip member in them
+#: is copied, so not many); salts of a look-up
+FILE_BYTES, READ_BYTES, SALTS = 64 << 20, 1 << 15, 64
 DATE = "1970-01-01T00:00:00Z"
 PRINCIPAL = ("response", "revisit", "resource")
 
@@ -175,6 +176,13 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
 
 
 # ------------------------------------------------------------------ reading
+def _blank_line(held: bytearray) -> tuple[int, int] | None:
+    """Where the first empty line's mark starts, and its size."""
+    at = held.find(b"\r\n\r\n")
+    bare = held.find(b"\n\n", 0, at if at >= 0 else len(held))
+    return (bare, 2) if bare >= 0 else (at, 4) if at >= 0 else None
+
+
 class _Stream:
     """The bytes of an archive: plain, or gzip members one after the other."""
 
@@ -207,12 +215,12 @@ class _Stream:
     def lines(self) -> list[str] | None:
         """The lines up to an empty one; None at the end of the archive.  Empty lines before them are skipped."""
         while True:
-            while self.held[:1] in (b"\r", b"\n"):
-                skip = len(self.held) - len(self.held.lstrip(b"\r\n"))
-                del self.held[:skip]
-            ends = [(at, len(mark)) for mark in (b"\r\n\r\n", b"\n\n") if (at := self.held.find(mark)) >= 0]
-            if ends:
-                at, size = min(ends)
+            skip = 0
+            while self.held[skip : skip + 1] in (b"\r", b"\n"):
+                skip += 1
+            del self.held[:skip]
+            if (found := _blank_line(self.held)) is not None:
+                at, size = found
                 head = bytes(self.held[:at]).decode("utf-8", "replace")
                 del self.held[: at + size]
                 return head.splitlines()
@@ -249,9 +257,8 @@ def _split(pieces_):
     source = iter(pieces_)
     for piece in source:
         held += piece
-        ends = [(at, len(mark)) for mark in (b"\r\n\r\n", b"\n\n") if (at := held.find(mark)) >= 0]
-        if ends:
-            at, size = min(ends)
+        if (found := _blank_line(held)) is not None:
+            at, size = found
             rest = bytes(held[at + size :])
 
             def payload(rest=rest):
@@ -308,29 +315,31 @@ def parse(path: str, payloads: bool):
         n += 1
 
 
-_RECORD = ("file string, place long, record_id string, type string, concurrent_to array<string>, refers_to string, uri string, date string, declared string, line string, "
+_RECORD = ("at long, file string, place long, record_id string, type string, concurrent_to array<string>, refers_to string, uri string, date string, declared string, line string, "
            "fields map<string,string>, payload binary, payload_bytes long, payload_digest string")
-_RECORD_ARROW = pa.schema([("file", pa.string()), ("place", pa.int64()), ("record_id", pa.string()), ("type", pa.string()), ("concurrent_to", pa.list_(pa.string())), ("refers_to", pa.string()),
+_RECORD_ARROW = pa.schema([("at", pa.int64()), ("file", pa.string()), ("place", pa.int64()), ("record_id", pa.string()), ("type", pa.string()), ("concurrent_to", pa.list_(pa.string())), ("refers_to", pa.string()),
                            ("uri", pa.string()), ("date", pa.string()), ("declared", pa.string()), ("line", pa.string()), ("fields", pa.map_(pa.string(), pa.string())), ("payload", pa.binary()),
                            ("payload_bytes", pa.int64()), ("payload_digest", pa.string())])
 
 
 def read_records(files: DataFrame, payloads: bool = False) -> DataFrame:
-    """The records of the archives in ``files(path)``; a task streams whole files."""
+    """The records of the archives in ``files(path)``; a task streams whole files.  ``at`` numbers the records."""
 
     def run(batches):
         for b in batches:
-            for path in b.column("path").to_pylist():
+            for path, number in zip(b.column("path").to_pylist(), b.column("number").to_pylist(), strict=True):
                 held, size = [], 0
                 for r in parse(path, payloads):
-                    held.append(r)
+                    held.append(r | {"at": number << 32 | r["place"]})
                     size += 512 + len(r["payload"] or b"")
                     if size > 4 << 20:
                         yield pa.RecordBatch.from_pylist(held, _RECORD_ARROW)
                         held, size = [], 0
                 yield pa.RecordBatch.from_pylist(held, _RECORD_ARROW)
 
-    paths = files.select(F.col("path").cast("string").alias("path"))
+    # the list of files is short (one row per FILE_BYTES): numbered in order, and dealt evenly from one partition
+    paths = files.select(F.col("path").cast("string").alias("path")).distinct().coalesce(1).sortWithinPartitions("path")
+    paths = paths.withColumn("number", F.monotonically_increasing_id())
     return paths.repartition(max(1, paths.count())).mapInArrow(run, _RECORD)
 
 
@@ -350,7 +359,7 @@ def captures(records: DataFrame, salts: int = SALTS) -> DataFrame:
     """
     path = scratch_path(records.sparkSession, "warc-records")
     records.write.parquet(path)
-    records = records.sparkSession.read.parquet(path).withColumn("at", F.concat_ws(" ", "file", F.col("place").cast("string")))
+    records = records.sparkSession.read.parquet(path)
     principal, kind = F.col("type").isin(*PRINCIPAL), F.col("type")
     linked = F.array_distinct(F.concat(F.array("record_id"), F.coalesce("concurrent_to", F.array().cast("array<string>"))))
     hubs = records.where(principal | kind.isin("request", "metadata")).select("at", "record_id", "type", F.explode(linked).alias("hub")).where("hub IS NOT NULL")
