@@ -1,9 +1,7 @@
 """Retrieval over tables of questions: exact vector top-k, keyword overlap, context building.
 
 Every operator takes a table of queries, so one plan serves many questions.
-Vector search streams the corpus past blocks of queries of a proven size in bytes:
-a task multiplies matrices per Arrow batch and lets only its k best rows of each
-query go, which ``row_number() <= k`` then ranks; the corpus is never shuffled.
+Vector search reads the cells of ``vector_search`` that a block of queries may need.
 """
 
 from __future__ import annotations
@@ -19,14 +17,12 @@ from pyspark.sql import types as T
 
 from ..constants import KEYWORD_TOP_K, RETRIEVER_OVERFETCH, RETRIEVER_TOP_K
 from ..functions.text import split_words
+from .vector_search import HELD_DISTANCES, HELD_HITS, MAX_QUERY_BYTES, CellIndex, deal_cells, search
+from .vector_search import cut_hits as _cut_hits
 
 # Largest query table broadcast in one piece (rows x vector bytes stays well under
 # the broadcast limit for 384-float vectors: 20,000 x 1.5 KB = 30 MB).
 MAX_BROADCAST_QUERIES = 20000
-# Largest block of query vectors (8 bytes a component) that one pass over the corpus takes.
-MAX_QUERY_BYTES = 64 << 20
-# Distances that a task holds at once, and hits that it holds before it cuts them to k per query.
-HELD_DISTANCES, HELD_HITS = 4_000_000, 1_000_000
 
 
 def bounded_broadcast(df: DataFrame, max_rows: int) -> tuple[DataFrame, int]:
@@ -133,107 +129,23 @@ def rank_per_query(hits: DataFrame, k: int | None, *, query_id: str = "query_id"
     return ranked.where(F.col("rank") <= k) if k is not None else ranked
 
 
-def _vectors(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows with a whole vector of ``dim`` components, and their matrix."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    rows = np.flatnonzero(np.asarray(pc.fill_null(pc.equal(pc.list_value_length(column), dim), False)))
-    values = pc.list_flatten(column.take(pa.array(rows))).cast(pa.float64()).fill_null(float("nan"))
-    return rows, np.asarray(values).reshape(len(rows), dim)
-
-
-def _codes(values: list, known: dict) -> np.ndarray:
-    """Place of each value among the queries' values; -1 for NULL, -2 for others."""
-    return np.array([-1 if v is None else known.get(v, -2) for v in values], np.int64)
-
-
-class _QueryBlock:
-    """A block of query vectors with their filters; finds the k nearest rows of Arrow batches."""
-
-    def __init__(self, rows: pa.Table, query_id: str, embedding: str, match_cols: list[str], dim: int, k: int):
-        keep, self.q = _vectors(rows[embedding], dim)
-        rows = rows.take(pa.array(keep))
-        self.ids, self.dim, self.k = rows[query_id].combine_chunks(), dim, k
-        self.known = {m: {v: i for i, v in enumerate(dict.fromkeys(x for x in rows[m].to_pylist() if x is not None))} for m in match_cols}
-        self.codes = {m: _codes(rows[m].to_pylist(), self.known[m]) for m in match_cols}
-
-    def near(self, batch: pa.RecordBatch, embedding: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(query, row, squared distance) of all rows that may be among a query's k nearest of the batch."""
-        rows, c = _vectors(batch.column(embedding), self.dim)
-        found = []
-        codes = {m: _codes([v for v in batch.column(m).take(pa.array(rows)).to_pylist()], self.known[m]) for m in self.known}
-        step = max(1, HELD_DISTANCES // max(1, len(rows)))
-        for lo in range(0, len(self.q) if len(rows) else 0, step):
-            q = self.q[lo : lo + step]
-            d = (q * q).sum(axis=1)[:, None] - 2 * (q @ c.T) + (c * c).sum(axis=1)[None, :]
-            d[np.isnan(d)] = np.inf
-            for m, code in self.codes.items():
-                mine = code[lo : lo + step, None]
-                d[(mine != -1) & (mine != codes[m][None, :])] = np.inf
-            at = min(self.k, len(rows)) - 1
-            # a margin for rounding: the exact distances below decide
-            most = np.partition(d, at, axis=1)[:, at] * (1 + 1e-9) + 1e-9
-            i, j = np.nonzero((d <= most[:, None]) & np.isfinite(d))
-            found.append((i + lo, j, ((q[i] - c[j]) ** 2).sum(axis=1)))
-        if not found:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-        i, j, d = (np.concatenate(x) for x in zip(*found, strict=True))
-        return i, rows[j], d
-
-
-def _cut_hits(hits: pa.Table, k: int, order: list[tuple[str, str]]) -> pa.Table:
-    """The k first hits of every query."""
-    hits = hits.take(pc.sort_indices(hits, [("_q", "ascending"), *order]))
-    q = np.asarray(hits["_q"])
-    first = np.flatnonzero(np.append(True, q[1:] != q[:-1])) if len(q) else np.zeros(0, np.int64)
-    rank = np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q))))
-    return hits.filter(pa.array(rank < k))
-
-
 def vector_topk(queries: DataFrame, corpus: DataFrame, k: int = RETRIEVER_TOP_K, *, filters: dict | None = None,
                 match_cols: list[str] | None = None, keep_cols: list[str] | None = None,
-                query_id: str = "query_id", embedding: str = "embedding", id_col: str = "id") -> DataFrame:
+                query_id: str = "query_id", embedding: str = "embedding", id_col: str = "id", index: CellIndex | None = None) -> DataFrame:
     """Exact nearest ``k`` candidates per query by squared L2 (ties on id).
 
     ``filters`` is the metadata filter applied to the corpus before ranking (it
     reaches the Parquet scan as pushed filters); ``match_cols`` are per-query filters
-    (NULL: none).  Queries and rows without a whole vector take no part.
+    (NULL: none).  ``index``: the corpus as ``deal_cells`` wrote it, for many searches; else it is
+    dealt for this one.  Query ids are distinct.  Queries and rows without a whole finite vector take no part.
     """
-    match_cols, keep_cols = match_cols or [], keep_cols or []
-    qsel = queries.select(query_id, embedding, *match_cols)
-    n, dim = qsel.agg(F.count(F.lit(1)), F.max(F.size(embedding))).first()
-    cand = filter_equal_all(corpus, filters)
-    extra = [c for c in keep_cols if c not in (id_col, embedding)]
-    read = list(dict.fromkeys([id_col, embedding, *match_cols, *extra]))
-    fields = [T.StructField(query_id, queries.schema[query_id].dataType), T.StructField(id_col, corpus.schema[id_col].dataType),
-              T.StructField("distance", T.DoubleType()), *[corpus.schema[c] for c in extra]]
-    blocks = max(1, -(-(n or 0) * max(dim or 1, 1) * 8 // MAX_QUERY_BYTES))
-    parts = []
-    for i in range(blocks):
-        rows = qsel if blocks == 1 else qsel.where(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == i)
-        block = _QueryBlock(rows.toArrow(), query_id, embedding, match_cols, max(dim or 1, 1), k)
-        shared = queries.sparkSession.sparkContext.broadcast(block)
-
-        def run(batches, shared=shared):
-            block, held, size = shared.value, [], 0
-            order = [("distance", "ascending"), (id_col, "ascending")]
-            for b in batches:
-                q, rows, d = block.near(b, embedding)
-                if len(q):
-                    taken = b.select([id_col, *extra]).take(pa.array(rows))
-                    held.append(pa.table([pa.array(q), *taken.columns, pa.array(d)], names=["_q", id_col, *extra, "distance"]))
-                    size += len(q)
-                if size > HELD_HITS:
-                    held = [_cut_hits(pa.concat_tables(held), block.k, order)]
-                    size = len(held[0]) // 2  # so that it is cut again when as many more have come
-            if held:
-                hits = _cut_hits(pa.concat_tables(held), block.k, order)
-                columns = [block.ids.take(hits["_q"].combine_chunks()), hits[id_col], hits["distance"], *[hits[c] for c in extra]]
-                yield from pa.table(columns, names=[query_id, id_col, "distance", *extra]).to_batches()
-
-        parts.append(cand.select(*read).mapInArrow(run, T.StructType(fields)))
-    hits = reduce(lambda a, b: a.unionByName(b), parts)
-    return rank_per_query(hits, k, query_id=query_id, id_col=id_col)
+    dim = queries.agg(F.max(F.size(embedding))).first()[0]
+    if index is None:
+        index = deal_cells(filter_equal_all(corpus, filters), match_cols=match_cols, keep_cols=keep_cols, embedding=embedding, id_col=id_col, dim=dim)
+    elif filters:  # a fixed filter is a filter of every query
+        queries = queries.withColumns({c: F.lit(v) for c, v in filters.items()})
+        match_cols = list(dict.fromkeys([*(match_cols or []), *filters]))
+    return search(queries, index, k, match_cols=match_cols, keep_cols=keep_cols, query_id=query_id)
 
 
 def vector_topk_overfetch_year(queries: DataFrame, corpus: DataFrame, k: int = RETRIEVER_TOP_K, *,

@@ -125,6 +125,11 @@ def vector_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The query set of vector searches: every embedding whose id is divisible by 100."""
+    return table(spark, sf_dir, "embeddings").where(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("query_id"), "embedding")
+
+
+def label_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One question vector per label: the centroid (element-wise mean) of the label's embeddings.
 
     Derived from the whole table; the element-wise mean is a grouped average per

@@ -10,7 +10,7 @@ from ..operators import retrieval as rt
 from . import bindings as b
 from .eval_queries import _PAIRS, KEY
 from .registry import register
-from .retrieval_queries import _CORPUS, _sql_template
+from .retrieval_queries import _CENTROIDS, _CORPUS, _sql_template
 
 _STRIP = f"'^{WS_CLASS}+|{WS_CLASS}+$'"
 _WORDS_SQL = "[" + ", ".join(f"'{w}'" for w in b.QUESTION_WORDS) + "]"
@@ -240,25 +240,26 @@ def q_sort_index(spark, sf_dir):
 # ------------------------------------------------------------------ analysts and compositions
 def _vec_questions(spark, sf_dir):
     """Every part question, with the centroid of label p_partkey % 10 as its vector and a year for two of three."""
-    q = b.vector_queries(spark, sf_dir).withColumnRenamed("query_id", "_label")
+    q = b.label_centroids(spark, sf_dir).withColumnRenamed("query_id", "_label")
     p = b.part_questions(spark, sf_dir).withColumn("year", F.when(F.col("query_id") % 3 > 0, F.lit(2019) + F.col("query_id") % 4).cast("int"))
     return p.join(F.broadcast(q), F.col("query_id") % 10 == F.col("_label")).drop("_label")
 
 
-@register("section_specialist", f"""WITH {_CORPUS},
-d AS (SELECT q.query_id, c.id, c.filing_date,
-        list_sum(list_transform(range(1, len(q.embedding) + 1),
-          lambda i: (CAST(q.embedding[i] AS DOUBLE) - CAST(c.embedding[i] AS DOUBLE))
-                  * (CAST(q.embedding[i] AS DOUBLE) - CAST(c.embedding[i] AS DOUBLE)))) AS distance
-      FROM q, corpus c WHERE c.section = 'RISK_FACTORS'),
+@register("section_specialist", f"""WITH {_CORPUS}, {_CENTROIDS},
+sq AS (SELECT p_partkey AS query_id, lc.embedding, CASE WHEN p_partkey % 3 > 0 THEN 2019 + p_partkey % 4 END AS year FROM part JOIN lc ON p_partkey % 10 = lc.label),
+d AS (SELECT sq.query_id, sq.year, c.id, c.filing_date,
+        list_sum(list_transform(range(1, len(sq.embedding) + 1),
+          lambda i: (CAST(sq.embedding[i] AS DOUBLE) - CAST(c.embedding[i] AS DOUBLE))
+                  * (CAST(sq.embedding[i] AS DOUBLE) - CAST(c.embedding[i] AS DOUBLE)))) AS distance
+      FROM sq, corpus c WHERE c.section = 'RISK_FACTORS'),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS r0 FROM d),
-f AS (SELECT * FROM r WHERE r0 <= 50 AND contains(CAST(filing_date AS VARCHAR), '{b.YEAR_FILTER}'))
+f AS (SELECT * FROM r WHERE r0 <= 50 AND (year IS NULL OR contains(CAST(filing_date AS VARCHAR), CAST(year AS VARCHAR))))
 SELECT query_id, rank, id FROM (
   SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM f) WHERE rank <= 5""")
 def q_section_specialist(spark, sf_dir):
-    """#91: fixed-section analyst (RISK_FACTORS) over a table of questions, k = 5, year with x10 overfetch."""
-    r = rt.vector_topk_overfetch_year(b.vector_queries(spark, sf_dir), b.vector_corpus(spark, sf_dir), 5,
-                                      year=b.YEAR_FILTER, overfetch=10, filters={"section": "RISK_FACTORS"})
+    """#91: fixed-section analyst (RISK_FACTORS) over all part questions, each with its own year, k = 5, x10 overfetch."""
+    qs = _vec_questions(spark, sf_dir).select("query_id", "embedding", "year")
+    r = rt.vector_topk_overfetch_year(qs, b.vector_corpus(spark, sf_dir), 5, year_col="year", overfetch=10, filters={"section": "RISK_FACTORS"})
     return r.select("query_id", F.col("rank").cast("long").alias("rank"), "id")
 
 
@@ -274,9 +275,9 @@ def q_price_analyst(spark, sf_dir):
     return price_analyst(b.event_prices(spark, sf_dir), f).select("ticker", "ts", "close", "pe_ratio", "sector")
 
 
-_RAG = f"""WITH {_CORPUS}, {_PQ},
-qq AS (SELECT pq.query_id, q.embedding, pq.question, pq.ticker, {_classify_sql('pq.question')} AS query_type,
-              CASE WHEN pq.query_id % 3 > 0 THEN 2019 + pq.query_id % 4 END AS year FROM q JOIN pq ON pq.query_id % 10 = q.query_id),
+_RAG = f"""WITH {_CORPUS}, {_CENTROIDS}, {_PQ},
+qq AS (SELECT pq.query_id, lc.embedding, pq.question, pq.ticker, {_classify_sql('pq.question')} AS query_type,
+              CASE WHEN pq.query_id % 3 > 0 THEN 2019 + pq.query_id % 4 END AS year FROM lc JOIN pq ON pq.query_id % 10 = lc.label),
 qr AS (SELECT *, {_route_sql('query_type')} AS section FROM qq),
 d AS (SELECT qr.query_id, c.id, c.ticker, c.filing_type, c.filing_date, c.section, c.text,
         list_sum(list_transform(range(1, len(qr.embedding) + 1),

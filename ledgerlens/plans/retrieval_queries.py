@@ -17,9 +17,11 @@ _CORPUS = f"""corpus AS (
          ([{_SECTIONS}])[label % 4 + 1] AS section, CAST(vec_id % 7 AS INTEGER) AS chunk_id,
          'chunk text ' || CAST(vec_id AS VARCHAR) AS text, embedding
   FROM embeddings),
-qc AS (SELECT label, pos, avg(CAST(x AS DOUBLE)) AS v FROM (
+q AS (SELECT vec_id AS query_id, embedding FROM embeddings WHERE vec_id % 100 = 0)"""
+# the centroids of the labels, the vectors of the part questions
+_CENTROIDS = """qc AS (SELECT label, pos, avg(CAST(x AS DOUBLE)) AS v FROM (
   SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings) GROUP BY label, pos),
-q AS (SELECT CAST(label AS BIGINT) AS query_id, list(v ORDER BY pos) AS embedding FROM qc GROUP BY label)"""
+lc AS (SELECT CAST(label AS BIGINT) AS label, list(v ORDER BY pos) AS embedding FROM qc GROUP BY label)"""
 
 
 def _dist(where: str = "TRUE") -> str:

@@ -20,7 +20,7 @@ from .events_queries import _px, q_price_reaction
 from .registry import register
 from . import section_sql
 from .prompt_queries import _PQ, _RAG, _decompose_sql
-from .retrieval_queries import _CORPUS
+from .retrieval_queries import _CENTROIDS, _CORPUS
 from .retrieval_queries import _sql_template
 from .text_queries import _STRIP, _WORDS, STEP
 
@@ -259,9 +259,9 @@ def q_apply_per_filing(spark, sf_dir):
     return hooks.apply_per_filing(f, count_items, "ticker string, filing_type string, n_items long")
 
 
-_MA_SQL = f"""WITH {_CORPUS}, {_PQ}, {_decompose_sql()},
-qq AS (SELECT pq.query_id, q.embedding, pq.question, pq.ticker, pq.company_key,
-              CASE WHEN pq.query_id % 3 > 0 THEN 2019 + pq.query_id % 4 END AS year FROM q JOIN pq ON pq.query_id % 10 = q.query_id),
+_MA_SQL = f"""WITH {_CORPUS}, {_CENTROIDS}, {_PQ}, {_decompose_sql()},
+qq AS (SELECT pq.query_id, lc.embedding, pq.question, pq.ticker, pq.company_key,
+              CASE WHEN pq.query_id % 3 > 0 THEN 2019 + pq.query_id % 4 END AS year FROM lc JOIN pq ON pq.query_id % 10 = lc.label),
 rt AS (SELECT tasks.query_id, tasks.ordinal, tasks.role, coalesce(tasks.section, 'MD&A') AS section, qq.embedding,
               qq.ticker, qq.year FROM tasks JOIN qq USING (query_id) WHERE tasks.role <> 'price_analyst'),
 d AS (SELECT rt.query_id, rt.ordinal, rt.year, c.id, c.ticker, c.filing_type, c.filing_date, c.section, c.text,
