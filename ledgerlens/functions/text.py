@@ -119,6 +119,11 @@ class _LenientText(HTMLParser):
                 table["cell"].append(self.text.strip())
         self.text = ""
 
+    def parse_marked_section(self, i, report=1):
+        """``<![...``: as browsers read it, a comment up to the next ``>``, whatever is in it."""
+        end = self.rawdata.find(">", i + 3)
+        return end + 1 if end >= 0 else -1
+
     def handle_starttag(self, tag, attrs):
         self._end_text()
         self.hidden += tag in ("script", "style")
@@ -164,9 +169,19 @@ def lenient_text(page: str) -> str:
     return " ".join(parser.out)
 
 
-@F.pandas_udf(T.StringType())
-def _lenient_text(html: pd.Series) -> pd.Series:
-    return html.map(lambda h: lenient_text(h) if isinstance(h, str) else None)
+def read_or_error(page: str | None, read=lenient_text) -> tuple[str | None, str | None]:
+    """A page's text, or what went wrong with it."""
+    if not isinstance(page, str):
+        return None, None
+    try:
+        return read(page), None
+    except Exception as e:  # noqa: BLE001 - one page that cannot be read must not end the job
+        return None, f"{type(e).__name__}: {e}"
+
+
+@F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("error", T.StringType())]))
+def _lenient_text(html: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([read_or_error(h) for h in html], columns=["text", "error"], dtype=object)
 
 
 def _needs_lenient(body: Column) -> Column:
@@ -199,23 +214,30 @@ def table_flatten(table_html: Column) -> Column:
     return decode_entities(F.array_join(table_rows(table_html), "\n"))
 
 
-def html_to_text(c: Column) -> Column:
-    """HTML -> text.
+def read_html(c: Column) -> Column:
+    """struct(text, error) of a page; NULL input: no text and the error ``no content``.
 
     script/style/comments/declarations dropped; every table replaced by its rows
     (cells joined `` | ``); other tags separate text nodes by a space; character
     references decoded exactly; whitespace collapsed and trimmed.  Pages with rare
     references, or with nested or unclosed tables, are read by ``lenient_text`` in
-    Arrow batches; all others natively.  NULL input gives ``""``.
+    Arrow batches, and one that cannot be read has an error; all others natively.
     """
     body = strip_markup(F.coalesce(c, F.lit("")))
     pieces = F.split(body, _TABLE, -1)
     tables = F.regexp_extract_all(body, F.lit(_TABLE), 0)
     flat_tables = F.transform(tables, lambda t: F.concat(F.lit(" "), F.array_join(table_rows(t), " "), F.lit(" ")))
     native = _common_entities(_interleave(F.transform(pieces, lambda p: F.regexp_replace(p, _TAG, " ")), flat_tables))
-    text = F.coalesce(_lenient_text(F.when(_needs_lenient(body), body)), native)
+    lenient = _lenient_text(F.when(_needs_lenient(body), body))
+    error = F.when(c.isNull(), F.lit("no content")).otherwise(lenient["error"])
     # After the collapse the only whitespace left is ' ', so trim() equals Python's strip().
-    return F.trim(collapse_ws(text))
+    text = F.when(error.isNull(), F.trim(collapse_ws(F.coalesce(lenient["text"], native))))
+    return F.struct(text.alias("text"), error.alias("error"))
+
+
+def html_to_text(c: Column) -> Column:
+    """The text of ``read_html``; NULL input and pages that cannot be read give ``""``."""
+    return F.coalesce(read_html(c)["text"], F.lit(""))
 
 
 # ------------------------------------------------------------------ chunks

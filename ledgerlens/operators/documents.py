@@ -36,7 +36,7 @@ from ..constants import (
     SECTION_SEARCH_OFFSET,
     TOC_SKIP_CHARS,
 )
-from ..functions.text import html_to_text, match_spans, py_regex, py_strip, with_chunks
+from ..functions.text import match_spans, py_regex, py_strip, read_html, with_chunks
 
 
 def _empty_int() -> Column:
@@ -81,19 +81,27 @@ def _chain_span(word_cols: list[Column], words: list[str]) -> Column:
 
 
 def _best_span(n: Column, starts: Column, items: Column, toc_skip: int, max_span: int | None) -> Column:
-    def with_end(s: Column) -> Column:
-        nxt = F.array_min(F.filter(items, lambda i: i >= s + F.lit(SECTION_SEARCH_OFFSET)))
-        end = F.coalesce(nxt, F.least(s + F.lit(max_span), n) if max_span else n)
-        return F.struct(s.alias("s"), (end - s).alias("len"))
-
-    eligible = F.when(F.size(starts) > 1, F.filter(starts, lambda s: s >= F.lit(toc_skip))).otherwise(starts)
-    best = F.aggregate(
-        F.transform(eligible, with_end),
-        F.struct(F.lit(-1).alias("s"), F.lit(0).alias("len")),
-        lambda acc, x: F.when(x["len"] > acc["len"], x).otherwise(acc),
-    )
-    fallback = with_end(F.element_at(starts, 1))
-    return F.when(F.size(starts) == 0, F.lit(None)).when(best["s"] >= 0, best).otherwise(fallback)
+    """The longest span (rules 2 to 4), by one sweep from the right over starts and headings in one order.
+
+    A heading counts for starts up to SECTION_SEARCH_OFFSET before it, so it is put there; the sweep carries
+    the heading last passed, the best span and the leftmost start's span.
+    """
+    marks = F.concat(F.transform(starts, lambda s: F.struct(s.alias("at"), F.lit(0).alias("heading"))),
+                     F.transform(items, lambda i: F.struct((i - F.lit(SECTION_SEARCH_OFFSET)).alias("at"), F.lit(1).alias("heading"))))
+    none = F.lit(None).cast("int")
+    span = lambda s, length: F.struct(s.alias("s"), length.alias("len"))
+    several = F.size(starts) > 1
+
+    def step(acc: Column, x: Column) -> Column:
+        end = F.coalesce(acc["next"] + F.lit(SECTION_SEARCH_OFFSET), F.least(x["at"] + F.lit(max_span), n) if max_span else n)
+        here = span(x["at"], end - x["at"])
+        better = (here["len"] > 0) & (here["len"] >= acc["best"]["len"]) & (~several | (x["at"] >= F.lit(toc_skip)))
+        return F.when(x["heading"] == 1, F.struct(x["at"].alias("next"), acc["best"].alias("best"), acc["first"].alias("first"))) \
+            .otherwise(F.struct(acc["next"].alias("next"), F.when(better, here).otherwise(acc["best"]).alias("best"), here.alias("first")))
+
+    start = F.struct(none.alias("next"), span(F.lit(-1), F.lit(0)).alias("best"), span(F.lit(-1), F.lit(0)).alias("first"))
+    swept = F.aggregate(F.reverse(F.array_sort(marks)), start, step, lambda acc: F.when(acc["best"]["s"] >= 0, acc["best"]).otherwise(acc["first"]))
+    return F.when(F.size(starts) > 0, swept)
 
 
 def _item_alt(alt: str) -> bool:
@@ -112,10 +120,10 @@ def _starts_where(spans: Column, pattern: str) -> Column:
 
 def extract_sections(df: DataFrame, text: str = "text", filing_type: str = "filing_type",
                      patterns: dict | None = None, toc_skip: int = TOC_SKIP_CHARS, max_span: int | None = None,
-                     keep_chars: int | None = None, min_chars: int = SECTION_MIN_CHARS) -> DataFrame:
+                     keep_chars: int | None = None, min_chars: int = SECTION_MIN_CHARS, errors: str | None = None) -> DataFrame:
     """One row per kept section: the input columns (minus ``text``) + section, text.
 
-    Unknown filing types give no rows.  The text is scanned twice per row: once
+    Unknown filing types give no rows.  A row with a value in the column ``errors`` stays, without a section.  The text is scanned twice per row: once
     for every ``ITEM n.`` heading (each section's ``ITEM`` alternative matches a
     subset of those, at the same offsets) and once for all phrase words, which
     never overlap one another.  Each section's match starts are then filtered
@@ -191,7 +199,8 @@ def extract_sections(df: DataFrame, text: str = "text", filing_type: str = "fili
         per_type = F.when(ftype == F.lit(t), F.filter(F.array(*entries), lambda e: e.isNotNull())).otherwise(per_type)
     # explode_outer + filter: a plain explode lets Spark push an inferred size() > 0
     # filter below the projections, which would recompute every stage.
-    secs_df = stage3.select(*keep, F.explode_outer(per_type).alias("_s")).where(F.col("_s").isNotNull())
+    kept = F.col("_s").isNotNull() | F.col(errors).isNotNull() if errors else F.col("_s").isNotNull()
+    secs_df = stage3.select(*keep, F.explode_outer(per_type).alias("_s")).where(kept)
     return secs_df.select(*keep, F.col("_s.section").alias("section"), F.col("_s.text").alias("text"))
 
 
@@ -200,40 +209,48 @@ def _quote_word(w: str) -> str:
 
 
 def parse_filing(filings: DataFrame, *, html: str = "html", text_is_html: bool = True,
-                 min_chars: int = DOCUMENT_MIN_CHARS, **section_options) -> DataFrame:
+                 min_chars: int = DOCUMENT_MIN_CHARS, errors: str | None = None, **section_options) -> DataFrame:
     """Filing rows (ticker, filing_type, filing_date, file_path, html) -> one row per section.
 
     Sections with a stripped length of at most ``min_chars`` characters are dropped; ``section_options`` go to
-    ``extract_sections``.  ``metadata`` = struct(file_path, text_length).
+    ``extract_sections``.  ``metadata`` = struct(file_path, text_length).  ``errors`` names a column more: a filing
+    without content, or whose page cannot be read, keeps a row without a section that says so there.
     """
-    body = html_to_text(F.col(html)) if text_is_html else F.col(html)
     # No emptiness filter: an empty text has no matches, hence no sections, and a
     # filter would be pushed below the projection and run the extraction twice.
-    base = filings.select("ticker", "filing_type", "filing_date", "file_path", body.alias("text"))
-    secs = extract_sections(base, **section_options)
-    secs = secs.where(F.length(py_strip(F.col("text"))) > F.lit(min_chars))
+    given = ["ticker", "filing_type", "filing_date", "file_path"]
+    if text_is_html:
+        body = filings.select(*given, read_html(F.col(html)).alias("_page"))
+        base = body.select(*given, F.col("_page.text").alias("text"), *([F.col("_page.error").alias(errors)] if errors else []))
+    else:
+        base = filings.select(*given, F.col(html).alias("text"), *([F.when(F.col(html).isNull(), F.lit("no content")).alias(errors)] if errors else []))
+    secs = extract_sections(base, errors=errors, **section_options)
+    long_enough = F.length(py_strip(F.col("text"))) > F.lit(min_chars)
+    secs = secs.where(long_enough | F.col(errors).isNotNull() if errors else long_enough)
     return secs.select(
         "ticker", "filing_type", "filing_date", "section", "text",
-        F.struct(F.col("file_path"), F.length("text").alias("text_length")).alias("metadata"),
+        F.struct(F.col("file_path"), F.length("text").alias("text_length")).alias("metadata"), *([errors] if errors else []),
     )
 
 
 def chunk_documents(docs: DataFrame, *, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP,
-                    text: str = "text") -> DataFrame:
+                    text: str = "text", errors: str | None = None) -> DataFrame:
     """Section rows -> chunk rows with chunk_id from 0 and chunk_index / total_chunks in metadata.
 
-    Row-local: ``posexplode`` of the chunk array, no window and no shuffle.
+    Row-local: ``posexplode`` of the chunk array, no window and no shuffle.  A row with a value in the column
+    ``errors`` stays, without a chunk.
     """
-    keep = [c for c in docs.columns if c not in (text, "metadata")]
+    keep = [c for c in docs.columns if c not in (text, "metadata", errors)]
     has_meta = "metadata" in docs.columns
-    base = keep + (["metadata"] if has_meta else [])
+    base = keep + (["metadata"] if has_meta else []) + ([errors] if errors else [])
     # Split once, chunk from the projected words, then size and explode the projected chunks.
     staged = with_chunks(docs, text, "_chunks", size, overlap, keep=base)
-    sized = staged.select(*base, "_chunks", F.size("_chunks").alias("_total"))
+    total = F.when(F.col(errors).isNull(), F.size("_chunks")) if errors else F.size("_chunks")
+    sized = staged.select(*base, "_chunks", total.alias("_total"))
     # _outer: a plain explode makes Spark infer size(_chunks) > 0 and push it below
     # the projections, which re-evaluates the whole split/chunk expression.
-    rows = sized.select(*base, "_total", F.posexplode_outer("_chunks").alias("chunk_id", "text")) \
-        .where(F.col("chunk_id").isNotNull())
+    kept = F.col("chunk_id").isNotNull() | F.col(errors).isNotNull() if errors else F.col("chunk_id").isNotNull()
+    rows = sized.select(*base, "_total", F.posexplode_outer("_chunks").alias("chunk_id", "text")).where(kept)
     meta_fields = [F.col(f"metadata.{f}") for f in docs.schema["metadata"].dataType.names] if has_meta else []
     return rows.select(
         *keep,
@@ -241,24 +258,18 @@ def chunk_documents(docs: DataFrame, *, size: int = CHUNK_SIZE, overlap: int = C
         "text",
         F.struct(*meta_fields, F.col("chunk_id").cast("int").alias("chunk_index"),
                  F.col("_total").cast("int").alias("total_chunks")).alias("metadata"),
+        *([errors] if errors else []),
     )
 
 
 def process_filings(filings: DataFrame, *, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP,
                     html: str = "html", **options) -> DataFrame:
-    """Whole filing table -> chunk table in one plan (parse, cut sections, chunk).
+    """Whole filing table -> chunk table in one plan and one pass (parse, cut sections, chunk).
 
-    A filing without text (NULL html) is kept as a row with an ``error`` and no chunk; ``error`` is NULL on
-    chunk rows.
+    A filing without content (NULL html), or whose page cannot be read, is kept as a row with an ``error`` and no
+    chunk; ``error`` is NULL on chunk rows.
     """
-    chunks = chunk_documents(parse_filing(filings.where(F.col(html).isNotNull()), html=html, **options), size=size, overlap=overlap)
-    failed = filings.where(F.col(html).isNull())
-    given = {"ticker", "filing_type", "filing_date"}
-    meta = F.struct(F.col("file_path"), *[F.lit(None).cast("int").alias(n) for n in ("text_length", "chunk_index", "total_chunks")])
-    kinds = {f.name: f.dataType for f in chunks.schema.fields}
-    rows = failed.select(*[F.col(c) if c in given else meta.cast(kinds[c]).alias(c) if c == "metadata" else F.lit(None).cast(kinds[c]).alias(c)
-                           for c in chunks.columns], F.lit("no content").alias("error"))
-    return chunks.withColumn("error", F.lit(None).cast("string")).unionByName(rows)
+    return chunk_documents(parse_filing(filings, html=html, errors="error", **options), size=size, overlap=overlap, errors="error")
 
 
 def chunk_id_key(ticker: Column, filing_type: Column, filing_date: Column, section: Column,

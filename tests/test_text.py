@@ -1,6 +1,8 @@
 """Document processing: HTML, whitespace, chunking and sections against Python recomputations."""
 
+import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -184,3 +186,69 @@ def test_entities_match_html_unescape(spark):
     df = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "i int, s string")
     got = {r.i: r.o for r in df.select("i", tx.decode_entities(F.col("s")).alias("o")).collect()}
     assert [got[i] for i in range(len(cases))] == [html.unescape(c) for c in cases]
+
+
+def _mangled(rnd, page):
+    for _ in range(rnd.randint(1, 6)):
+        i, j = sorted(rnd.randrange(len(page) + 1) for _ in range(2))
+        page = rnd.choice([
+            page[:i] + rnd.choice(["<![", "<!x[ y", "<![CDATA[", "<![if gte]>", "<!DOCTYPE [", "<?", "</", "<!--", "&#x", "&#99999999;", "<table", "\x00", "퟿", "]]>", "<td", "&rsquo;"]) + page[i:],
+            page[:i] + page[j:], page[:i] + page[i:j] * 2 + page[j:]])
+    return page
+
+
+def test_mangled_pages_never_raise():
+    from ledgerlens.functions.text import lenient_text
+
+    rnd = random.Random(11)
+    page = "<!DOCTYPE html><p>a &rsquo; <b>b</b><table><tr><td>1<td>2<table><tr><td>3</table></table><script>x</script><![CDATA[ c ]]> d"
+    for _ in range(1000):
+        assert isinstance(lenient_text(_mangled(rnd, page)), str)
+    assert lenient_text("<p>x &rsquo; <!x[ y <![ z").split()[:2] == ["x", "’"]
+    assert lenient_text("<p>a<![if x]>b<![endif]>c").split() == ["abc"]  # as other comments, no break of the text
+
+
+def test_a_page_that_cannot_be_read_is_a_row_with_an_error(spark, monkeypatch):
+    def fails(page):
+        raise AssertionError("expected name token")
+
+    assert tx.read_or_error("x", fails) == (None, "AssertionError: expected name token")
+    assert tx.read_or_error(None, fails) == (None, None)
+    body = "ITEM 1. " + "word " * 400
+    rows = [("A", "10-K", "a", f"<p>{body}</p>"), ("B", "10-K", "b", None), ("C", "10-K", "c", f"<p>x &rsquo; <!x[ y <![ z {body}"), ("D", "10-K", "d", "")]
+    f = spark.createDataFrame(rows, "ticker string, filing_type string, file_path string, html string").selectExpr("*", "DATE'2020-01-01' AS filing_date")
+    got = dc.process_filings(f).collect()
+    assert [(r.ticker, r.error, r.text, r.metadata.file_path, r.metadata.total_chunks) for r in got if r.error] == [("B", "no content", None, "b", None)]
+    assert {r.ticker for r in got} >= {"A", "B"} and "D" not in {r.ticker for r in got}
+
+
+@pytest.mark.parametrize("max_span", [None, 300])
+def test_best_span_equals_the_rules_and_is_linear(spark, max_span):
+    from ledgerlens.constants import SECTION_SEARCH_OFFSET as OFF
+    from ledgerlens.operators.documents import _best_span
+
+    rnd = random.Random(2)
+    rows = [(i, 20000, sorted(rnd.choices(range(0, 9000, 10), k=rnd.randint(0, 12))), sorted(rnd.choices(range(0, 19000, 10), k=rnd.randint(0, 12)))) for i in range(200)]
+
+    def expected(n, starts, items):
+        def end(s):
+            return min([x for x in items if x >= s + OFF], default=min(s + max_span, n) if max_span else n)
+
+        if not starts:
+            return None
+        best = max(((end(s) - s, -s) for s in starts if len(starts) == 1 or s >= 2000), default=(0, 0))
+        return (-best[1], best[0]) if best[0] > 0 else (starts[0], end(starts[0]) - starts[0])
+
+    schema = "id int, n int, starts array<int>, items array<int>"
+    df = spark.createDataFrame(rows, schema).select("id", _best_span(F.col("n"), F.col("starts"), F.col("items"), 2000, max_span).alias("b"))
+    assert {r.id: r.b and tuple(r.b) for r in df.collect()} == {i: expected(n, s, t) for i, n, s, t in rows}
+    if max_span is None:
+        took = {}
+        for size in (2000, 8000, 32000):
+            big = spark.range(1).select(F.lit(size * 100).alias("n"), F.transform(F.sequence(F.lit(1), F.lit(size)), lambda x: x * 100).alias("starts")).withColumn("items", F.col("starts"))
+            run = big.select(_best_span(F.col("n"), F.col("starts"), F.col("items"), 2000, None).alias("b"))
+            run.collect()
+            t = time.perf_counter()
+            run.collect()
+            took[size] = time.perf_counter() - t
+        assert took[32000] < 1 + 8 * took[8000], took
