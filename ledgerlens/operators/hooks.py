@@ -7,7 +7,8 @@ built-in embedding is Spark ML's HashingTF -> IDF -> Normalizer pipeline.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -49,6 +50,41 @@ def embed_with(model_fn: Callable[[list[str]], list[list[float]]], text: Column,
     return _embed(text)
 
 
+#: models that ``embed_once`` made in this worker
+_MODELS: dict[str, Callable[[list[str]], list[list[float]]]] = {}
+
+
+def _made(name: str, make_model: Callable) -> Callable:
+    """The worker's model of that name (a function of the module, so that tasks share the module's models)."""
+    if name not in _MODELS:
+        _MODELS[name] = make_model()
+    return _MODELS[name]
+
+
+def embed_once(make_model: Callable[[], Callable[[list[str]], list[list[float]]]], text: Column, *,
+               batch_size: int = EMBED_BATCH) -> Column:
+    """Caller-supplied embedding model that is costly to load: ``make_model() -> (texts -> vectors)``.
+
+    A worker process makes the model once and keeps it for its later tasks; the model gets ``batch_size``
+    texts at a time, also across Arrow batches.  A NULL text is embedded as an empty one.
+    """
+    name = uuid.uuid4().hex
+
+    @F.pandas_udf(T.ArrayType(T.FloatType()))
+    def _embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model, held = _made(name, make_model), []
+        for s in batches:
+            held += s.fillna("").tolist()
+            whole = len(held) // batch_size * batch_size
+            for i in range(0, whole, batch_size):
+                yield pd.Series([list(map(float, v)) for v in model(held[i : i + batch_size])])
+            held = held[whole:]
+        if held:
+            yield pd.Series([list(map(float, v)) for v in model(held)])
+
+    return _embed(text)
+
+
 def generate_with(generate_fn: Callable[[str], str], prompt: Column) -> Column:
     """Caller-supplied text generator over Arrow batches.
 

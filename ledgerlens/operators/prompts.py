@@ -159,8 +159,8 @@ def qa_context_join(qa: DataFrame, docs: DataFrame, *, key: str = "ticker", doc_
 def range_slice(df: DataFrame, order: list[str], n_train: int, n_test: int) -> DataFrame:
     """Train = first ``n_train`` rows; test = ``n_test`` rows from ``min(n_train + 100, total - n_test)``.
 
-    Positions come from range partitioning with per-partition offsets (no
-    single-partition window); ``split`` says which slice.
+    Positions come from buckets of the key with per-bucket offsets (no single-partition
+    window); ``split`` says which slice.
     """
     from .stats import row_positions
 

@@ -8,21 +8,23 @@ from __future__ import annotations
 
 from functools import reduce
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..constants import KEYWORD_TOP_K, RETRIEVER_OVERFETCH, RETRIEVER_TOP_K
 from ..functions.text import split_words
-from .vector_search import HELD_DISTANCES, HELD_HITS, MAX_QUERY_BYTES, CellIndex, deal_cells, search
+from .vector_search import HELD_HITS, MAX_QUERY_BYTES, CellIndex, deal_cells, search
 from .vector_search import cut_hits as _cut_hits
 
 # Largest query table broadcast in one piece (rows x vector bytes stays well under
 # the broadcast limit for 384-float vectors: 20,000 x 1.5 KB = 30 MB).
 MAX_BROADCAST_QUERIES = 20000
+# Bytes of text of a block of contained items; its automaton takes some 50 times that in a worker.
+MAX_ITEM_BYTES = 2 << 20
 
 
 def bounded_broadcast(df: DataFrame, max_rows: int) -> tuple[DataFrame, int]:
@@ -209,23 +211,45 @@ def term_overlap(queries: DataFrame, docs: DataFrame, *, query_id: str = "query_
 
 
 class _QueryTerms:
-    """Terms of a block of queries, each with the queries that have it."""
-
-    def __init__(self, ids: pa.Array, words: list[list[str]]):
-        self.ids, lists = ids, {}
-        for q, ws in enumerate(words):
-            for w in ws or ():
-                lists.setdefault(w, []).append(q)
-        self.lists = {w: np.array(x) for w, x in lists.items()}
-
-    def overlaps(self, texts: list[str]) -> np.ndarray:
-        """Distinct common words: one row per text, one column per query."""
-        out = np.zeros((len(texts), len(self.ids)), np.int32)
-        for i, t in enumerate(texts):
-            found = [self.lists[w] for w in set((t or "").split()) if w in self.lists]
-            if found:
-                out[i] = np.bincount(np.concatenate(found), minlength=len(self.ids))
-        return out
+    """Terms of a block of queries; scores the documents of a batch that can be among a query's k best.
+
+    A batch gets an inverted index of the queries' terms.  A document with an overlap of at least ``need`` with a
+    query of which m terms occur in the batch holds one of the m - need + 1 rarest of these: only documents of
+    those lists are scored, and no document if m < need.  ``need`` is the k-th best overlap seen so far.
+    """
+
+    def __init__(self, ids: pa.Array, words: list[list[str]], k: int):
+        self.ids, self.k, self.place = ids, k, {}
+        self.terms = [np.array([self.place.setdefault(w, len(self.place)) for w in ws or ()], np.int64) for ws in words]
+        self.need = np.ones(len(ids), np.int64)
+        self.scored = 0
+
+    def near(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, document, overlap) of the documents that may be among a query's k best."""
+        held = [[self.place[w] for w in set((t or "").split()) if w in self.place] for t in texts]
+        docs, terms = np.repeat(np.arange(len(texts)), [len(x) for x in held]), np.array([w for x in held for w in x], np.int64)
+        docs = docs[np.argsort(terms, kind="stable")]
+        sizes = np.bincount(terms, minlength=len(self.place))
+        ends = np.cumsum(sizes)
+        out = []
+        for q, mine in enumerate(self.terms):
+            there = mine[sizes[mine] > 0]
+            spare = len(there) - self.need[q]
+            if spare < 0:
+                continue
+            there = there[np.argsort(sizes[there], kind="stable")]
+            lists = [docs[ends[w] - sizes[w] : ends[w]] for w in there.tolist()]
+            some, n = np.unique(np.concatenate(lists[: spare + 1]), return_counts=True)
+            for other in lists[spare + 1 :]:
+                n += other[np.minimum(np.searchsorted(other, some), len(other) - 1)] == some
+            self.scored += len(some)
+            if len(n) >= self.k:
+                self.need[q] = max(self.need[q], np.partition(n, len(n) - self.k)[len(n) - self.k])
+            good = n >= self.need[q]
+            out.append((np.full(good.sum(), q), some[good], n[good]))
+        if not out:
+            return (np.zeros(0, np.int64),) * 3
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def _best_overlaps(queries: DataFrame, docs: DataFrame, k: int, query_id: str, query_text: str, doc_id: str, doc_text: str,
@@ -242,25 +266,20 @@ def _best_overlaps(queries: DataFrame, docs: DataFrame, k: int, query_id: str, q
     parts = []
     for i in range(blocks):
         rows = (terms if blocks == 1 else terms.where(F.pmod(F.xxhash64("_id"), F.lit(blocks)) == i)).select("_id", "_terms").toArrow()
-        shared = queries.sparkSession.sparkContext.broadcast(_QueryTerms(rows["_id"].combine_chunks(), rows["_terms"].to_pylist()))
+        shared = queries.sparkSession.sparkContext.broadcast((rows["_id"].combine_chunks(), rows["_terms"].to_pylist()))
 
         def run(batches, shared=shared):
-            block, held, made = shared.value, [], 0
+            block, held, made = _QueryTerms(*shared.value, k), [], 0
             order = [("overlap", "descending"), ("_ord", "ascending")]
-            step = max(1, HELD_DISTANCES // max(1, len(block.ids)))
-            for whole in batches:
-                for lo in range(0, whole.num_rows if len(block.ids) else 0, step):
-                    b = whole.slice(lo, step)
-                    n = block.overlaps(b.column("_text").to_pylist())
-                    at = max(len(n) - k, 0)
-                    least = np.maximum(np.partition(n, at, axis=0)[at], 1)
-                    d, q = np.nonzero(n >= least)
+            for b in batches:
+                q, d, n = block.near(b.column("_text").to_pylist())
+                if len(q):
                     t = b.select(["_d", "_ord"]).take(pa.array(d))
-                    held.append(pa.table([pa.array(q), *t.columns, pa.array(n[d, q].astype(np.int64))], names=["_q", "_d", "_ord", "overlap"]))
+                    held.append(pa.table([pa.array(q), *t.columns, pa.array(n.astype(np.int64))], names=["_q", "_d", "_ord", "overlap"]))
                     made += len(q)
-                    if made > HELD_HITS:
-                        held = [_cut_hits(pa.concat_tables(held), k, order)]
-                        made = len(held[0]) // 2
+                if made > HELD_HITS:
+                    held = [_cut_hits(pa.concat_tables(held), k, order)]
+                    made = len(held[0]) // 2
             if held:
                 hits = _cut_hits(pa.concat_tables(held), k, order)
                 yield from pa.table([block.ids.take(hits["_q"].combine_chunks()), hits["_d"], hits["overlap"], hits["_ord"]],
@@ -356,42 +375,59 @@ def text_preview(c: Column, n: int = 300) -> Column:
     return F.when(F.length(c) > n, F.concat(F.substring(c, 1, n), F.lit("..."))).otherwise(c)
 
 
+_AUTOMATA: dict[int, tuple] = {}
+
+
+def _automaton(key: int, texts: list[str | None]) -> tuple:
+    """The items' automaton (values: places of the items with that text) and the places of empty items; the last
+    one made is kept, so that a worker makes it once for its tasks."""
+    if key not in _AUTOMATA:
+        _AUTOMATA.clear()
+        places: dict[str, list[int]] = {}
+        for i, t in enumerate(texts):
+            if t is not None:
+                places.setdefault(t, []).append(i)
+        empty = places.pop("", [])
+        found = ahocorasick.Automaton()
+        for t, at in places.items():
+            found.add_word(t, at)
+        if places:
+            found.make_automaton()
+        _AUTOMATA[key] = (found if places else None, empty)
+    return _AUTOMATA[key]
+
+
 def containment_pairs(items: DataFrame, docs: DataFrame, *, item_id: str = "item_id", item_text: str = "text",
-                      doc_id: str = "doc_id", doc_text: str = "text",
-                      max_broadcast_rows: int = 5_000_000) -> DataFrame:
+                      doc_id: str = "doc_id", doc_text: str = "text", max_item_bytes: int = MAX_ITEM_BYTES) -> DataFrame:
     """(item_id, doc_id) for every document whose text contains the item's text.
 
-    Exact without an all-pairs join: an interior word of the item (neither first
-    nor last) is a whole whitespace-delimited word of any document containing it.
-    Each item is keyed on its rarest interior word (document frequency computed
-    only for item words), candidate pairs come from an equi-join on that word and
-    are verified with ``contains``.  Items of fewer than three words have no
-    interior word and are checked against every document by a nested loop with
-    the item side broadcast when its size allows.
+    Items go in blocks of about ``max_item_bytes`` of text; a block's Aho-Corasick automaton finds all its items
+    in one pass over each document, whatever their length, so nothing is shuffled.  An empty item is in every
+    document with a text; a NULL text neither contains nor is contained; repeated rows give repeated pairs.
     """
-    words = items.select(F.col(item_id).alias("_i"), F.posexplode(split_words(F.col(item_text))).alias("_p", "_w"),
-                         F.size(split_words(F.col(item_text))).alias("_n"))
-    interior = words.where((F.col("_p") >= 1) & (F.col("_p") <= F.col("_n") - 2))
-    doc_words = docs.select(F.col(doc_id).alias("_d"), F.explode_outer(F.array_distinct(split_words(F.col(doc_text))))
-                            .alias("_w")).where(F.col("_w").isNotNull())
-    # Both broadcast sides are bounded by the item table: the vocabulary by the
-    # items' word count and the keys by the item count.  One aggregate over the
-    # (small) item table proves the bound without running any document work.
-    n_words = items.agg(F.sum(F.size(split_words(F.col(item_text))))).first()[0] or 0
-    small = n_words <= max_broadcast_rows
-    vocab = interior.select("_w").distinct()
-    vocab = F.broadcast(vocab) if small else vocab
-    dfreq = doc_words.join(vocab, "_w", "left_semi").groupBy("_w").agg(F.count(F.lit(1)).alias("_df"))
-    keys = interior.join(dfreq, "_w", "left").fillna(0, ["_df"]) \
-        .groupBy("_i").agg(F.min_by("_w", F.struct("_df", "_p")).alias("_w"))
-    keys = F.broadcast(keys) if small else keys
-    cand = doc_words.join(keys, "_w").select("_i", "_d")
-    texts_i = items.select(F.col(item_id).alias("_i"), F.col(item_text).alias("_it"))
-    texts_d = docs.select(F.col(doc_id).alias("_d"), F.col(doc_text).alias("_dt"))
-    long_pairs = cand.join(texts_i, "_i").join(texts_d, "_d").where(F.contains(F.col("_dt"), F.col("_it")))
-    short = items.where(F.size(split_words(F.col(item_text))) < 3) \
-        .select(F.col(item_id).alias("_i"), F.col(item_text).alias("_it"))
-    short = F.broadcast(short) if small else short
-    short_pairs = texts_d.join(short, F.contains(F.col("_dt"), F.col("_it")))
-    both = long_pairs.select("_i", "_d").unionByName(short_pairs.select("_i", "_d"))
-    return both.select(F.col("_i").alias(item_id), F.col("_d").alias(doc_id))
+    rows = items.select(F.col(item_id).alias("_i"), F.col(item_text).alias("_t"))
+    size = rows.agg(F.sum(F.octet_length("_t"))).first()[0] or 0
+    blocks = max(1, -(-size // max_item_bytes))
+    texts = docs.select(F.col(doc_id).alias("_d"), F.col(doc_text).alias("_text")).where("_text IS NOT NULL")
+    schema = T.StructType([T.StructField(item_id, items.schema[item_id].dataType), T.StructField(doc_id, docs.schema[doc_id].dataType)])
+    parts = []
+    for n in range(blocks):
+        block = (rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("_i", "_t"), F.lit(blocks)) == n)).toArrow()
+        shared = items.sparkSession.sparkContext.broadcast((block["_i"].combine_chunks(), block["_t"].to_pylist()))
+
+        def run(batches, shared=shared):
+            ids, words = shared.value
+            found, empty = _automaton(shared._jbroadcast.id() if getattr(shared, "_jbroadcast", None) else id(words), words)
+            for b in batches:
+                at, who = [], []
+                for i, t in enumerate(b.column("_text").to_pylist()):
+                    mine = set(empty)
+                    if found is not None:
+                        for _, places in found.iter(t):
+                            mine.update(places)
+                    at += [i] * len(mine)
+                    who += mine
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(who, pa.int64())), b.column("_d").take(pa.array(at, pa.int64()))], names=[item_id, doc_id])
+
+        parts.append(texts.mapInArrow(run, schema))
+    return reduce(lambda a, b: a.unionByName(b), parts)

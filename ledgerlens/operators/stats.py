@@ -213,18 +213,33 @@ def macro_mean(c: Column) -> Column:
     return F.avg(c)
 
 
+#: sampled keys per bucket for split points of composite keys
+SAMPLED_KEYS = 32
+
+
+def _key_points(df: DataFrame, order_cols: list[str], partitions: int) -> list[Column]:
+    """At most ``partitions - 1`` ascending split points of a key of any atomic types, as literal structs."""
+    if partitions < 2:
+        return []
+    keys = df.select(*order_cols)
+    some = keys.orderBy(F.rand(7)).limit(SAMPLED_KEYS * partitions).orderBy(*order_cols).collect()  # a bounded sample
+    rows = list(dict.fromkeys(tuple(some[len(some) * i // partitions]) for i in range(1, partitions))) if some else []
+    types = [keys.schema[c].dataType for c in order_cols]
+    return [F.struct(*[F.lit(v).cast(t).alias(c) for v, t, c in zip(r, types, order_cols, strict=True)]) for r in rows]
+
+
 def row_positions(df: DataFrame, order_cols: list[str], *, partitions: int | None = None) -> DataFrame:
-    """``df`` plus ``_pos`` (0-based global position by ``order_cols``) and ``_n`` (row count).
+    """``df`` plus ``_pos`` (0-based global position by ``order_cols``, NULL first) and ``_n`` (row count).
 
-    Rows are dealt to buckets by the value of the first order column (a numeric one; another kind is one
-    bucket), numbered there by a window, and a table of one row per bucket supplies the offsets.
-    ``order_cols`` should be a unique key so positions are stable.
+    Rows are dealt to buckets by their whole key, compared with split points column by column, whatever the
+    columns' types; they are numbered there by a window, and a table of one row per bucket supplies the offsets.
+    The split points are literals, so that every execution of the plan agrees.
+    ``order_cols`` should be a unique key so positions are stable; rows of one key are in one bucket.
     """
     parts = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    numeric = isinstance(df.schema[order_cols[0]].dataType, T.NumericType)
-    points = _split_points(df, order_cols[0], parts) if numeric else []
-    # a NULL sorts first
-    rows = df.withColumn("_b", F.when(F.col(order_cols[0]).isNull(), -1).otherwise(_bucket(F.col(order_cols[0]), points)))
+    points = _key_points(df, order_cols, parts)
+    key = F.struct(*order_cols)
+    rows = df.withColumn("_b", F.size(F.filter(F.array(*points), lambda p: p <= key)) if points else F.lit(0))
     rows = rows.withColumn("_local", F.row_number().over(Window.partitionBy("_b").orderBy(*order_cols)) - 1)
     out = rows.join(F.broadcast(_offsets(rows, F.lit(1), "_n")), "_b")
     return out.withColumn("_pos", F.col("_off") + F.col("_local")).drop("_b", "_local", "_off")

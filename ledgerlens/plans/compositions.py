@@ -84,10 +84,9 @@ def multi_agent_query(questions: DataFrame, corpus: DataFrame, fundamentals: Dat
 
 def run_full_evaluation(pairs: DataFrame, *, key: list[str], lexicon: list[str] | None = None,
                         price_changes: str | None = None, positive: list[str] | None = None,
-                        negative: list[str] | None = None) -> DataFrame:
-    """One long metric table: ROUGE-1/2/L means, entity P/R/F means and, with price changes, correlations."""
-    # Stemmed, as the reference's scorer is configured.
-    r = ev.rouge_scores(pairs, key=key, stem=True)
+                        negative: list[str] | None = None, stem: bool = True) -> DataFrame:
+    """One long metric table: ROUGE-1/2/L means (stemmed by default), entity P/R/F means and, with price changes, correlations."""
+    r = ev.rouge_scores(pairs, key=key, stem=stem)
     e = ev.entity_prf(pairs, key=key, lexicon=lexicon)
     rm = ev.long_metrics(r.agg(F.avg("rouge1").alias("rouge1"), F.avg("rouge2").alias("rouge2"),
                                F.avg("rougeL").alias("rougeL")), ["rouge1", "rouge2", "rougeL"])
@@ -125,3 +124,21 @@ def build_index(files: DataFrame, *, dim: int = 384, filing_types: list[str] | N
     chunks = materialize(process_filings(filings).where("error IS NULL").drop("error"))
     emb = hooks.hashed_tfidf_embedding(chunks, dim=dim)
     return vector_records(emb)
+
+
+def build_pipeline(files: DataFrame, prices: DataFrame, folder: str, *, dim: int = 384, filing_types: list[str] | None = None,
+                   price_time: str = "ts", **reaction) -> tuple[str, str]:
+    """Landed filing files and price rows -> paths of the written vector table and of the written price reactions.
+
+    The reactions are those of the indexed filings (``reaction``: options of ``price_reaction``).
+    """
+    from ..constants import FILING_TYPES
+    from ..operators.events import price_reaction
+    from ..sources.filings import filing_date
+    from ..sources.tables import parquet_sink, vector_table_write
+
+    vectors = vector_table_write(build_index(files, dim=dim, filing_types=filing_types), f"{folder}/vectors", reset=True)
+    index = files.where(F.col("filing_type").isin(*(filing_types or FILING_TYPES))).select(
+        "ticker", "filing_type", filing_date(F.col("content")).cast(prices.schema[price_time].dataType).alias("filing_date"))
+    reactions = price_reaction(index.distinct(), prices, price_time=price_time, **reaction)
+    return vectors, parquet_sink(reactions, f"{folder}/reactions")

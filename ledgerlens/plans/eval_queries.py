@@ -61,8 +61,7 @@ def q_rouge_n(spark, sf_dir):
     return ev.rouge_scores(p, key=KEY, lcs=False)
 
 
-@register("rouge_l", f"""WITH RECURSIVE {_PAIRS},
-t AS (SELECT conv_id, turn, regexp_extract_all(lower(reference), '[a-z0-9]+') AS r, regexp_extract_all(lower(prediction), '[a-z0-9]+') AS h
+_LCS_SQL = """t AS (SELECT conv_id, turn, regexp_extract_all(lower(reference), '[a-z0-9]+') AS r, regexp_extract_all(lower(prediction), '[a-z0-9]+') AS h
       FROM pairs),
 -- one row of the table of common subsequences per step: f[j + 1] for the first j tokens of the prediction
 lcs(conv_id, turn, i, f) AS (
@@ -71,9 +70,13 @@ lcs(conv_id, turn, i, f) AS (
   SELECT lcs.conv_id, lcs.turn, i + 1, list_reduce(
     list_prepend([0::BIGINT], list_transform(range(1, len(t.h) + 1), lambda j: [j])),
     lambda a, x: list_append(a, greatest(a[-1], CASE WHEN t.h[x[1]] = t.r[lcs.i + 1] THEN lcs.f[x[1]] + 1 ELSE lcs.f[x[1] + 1] END)))
-  FROM lcs JOIN t USING (conv_id, turn) WHERE i < len(t.r))
-SELECT t.conv_id, t.turn, round(CASE WHEN f[-1] = 0 THEN 0.0 ELSE 2.0 * f[-1] / (len(r) + len(h)) END, 6) AS "rougeL"
-FROM lcs JOIN t USING (conv_id, turn) WHERE i = len(r)""")
+  FROM lcs JOIN t USING (conv_id, turn) WHERE i < len(t.r)),
+rl AS (SELECT t.conv_id, t.turn, CASE WHEN f[-1] = 0 THEN 0.0 ELSE 2.0 * f[-1] / (len(r) + len(h)) END AS "rougeL"
+FROM lcs JOIN t USING (conv_id, turn) WHERE i = len(r))"""
+
+
+@register("rouge_l", f"""WITH RECURSIVE {_PAIRS}, {_LCS_SQL}
+SELECT conv_id, turn, round("rougeL", 6) AS "rougeL" FROM rl""")
 def q_rouge_l(spark, sf_dir):
     """#42: ROUGE-L F per pair (LCS in an Arrow UDF); checked in pytest."""
     return ev.rouge_l(_pairs(spark, sf_dir), key=KEY)

@@ -15,7 +15,7 @@ from ..sources import filings as fl
 from ..sources import prices as px
 from ..sources import tables as tb
 from . import bindings as b
-from .eval_queries import _CBA_SQL, _PAIRS, KEY
+from .eval_queries import _CBA_SQL, _ENT, _LCS_SQL, _NEG_SQL, _PAIRS, _POS_SQL, KEY, _avg_rank, _p_value_sql, _rouge_sql
 from .events_queries import _px, q_price_reaction
 from .registry import register
 from . import section_sql
@@ -198,14 +198,28 @@ def q_metric_report(spark, sf_dir):
 
 
 # ------------------------------------------------------------------ hooks and compositions
-@register("embed_text")
+@register("embed_text", f"""SELECT doc_id, 64 AS dim, CAST(CASE WHEN len({_WORDS}) = 0 THEN 0 ELSE 1 END AS DOUBLE) AS norm FROM documents""")
 def q_embed_text(spark, sf_dir):
-    """#87: built-in embedding (hashed TF -> IDF -> unit norm) of every document; norms checked in pytest."""
+    """#87: built-in embedding (hashed TF -> IDF -> unit norm) of every document; the vectors are checked in pytest."""
     d = b.table(spark, sf_dir, "documents").select("doc_id", "text")
     e = hooks.hashed_tfidf_embedding(d, dim=64)
     norm = F.sqrt(F.aggregate(F.transform("embedding", lambda x: x.cast("double") * x.cast("double")), F.lit(0.0),
                               lambda a, v: a + v))
-    return e.select("doc_id", F.size("embedding").alias("dim"), norm.alias("norm"))
+    return e.select("doc_id", F.size("embedding").alias("dim"), F.round(norm, 4).alias("norm"))
+
+
+def _make_counting_model():
+    """Deterministic stand-in for a caller's embedding model: four counts of the text."""
+    return lambda texts: [[len(t), t.count("e"), t.count("the"), t.count(" ")] for t in texts]
+
+
+@register("embed_with_model", """SELECT doc_id, CAST(length(text) AS DOUBLE) AS e0, CAST(length(text) - length(replace(text, 'e', '')) AS DOUBLE) AS e1,
+  CAST((length(text) - length(replace(text, 'the', ''))) / 3 AS DOUBLE) AS e2, CAST(length(text) - length(replace(text, ' ', '')) AS DOUBLE) AS e3 FROM documents""")
+def q_embed_with_model(spark, sf_dir):
+    """#87: the caller's model, made once per worker, over batches of texts."""
+    d = b.table(spark, sf_dir, "documents")
+    e = d.select("doc_id", hooks.embed_once(_make_counting_model, F.coalesce("text", F.lit(""))).alias("e"))
+    return e.select("doc_id", *[F.col("e")[i].cast("double").alias(f"e{i}") for i in range(4)])
 
 
 def _first_line(prompt: str) -> str:
@@ -299,23 +313,50 @@ def q_multi_agent_query(spark, sf_dir):
                              generate_fn=_first_line)
 
 
-@register("run_full_evaluation")
-def q_run_full_evaluation(spark, sf_dir):
-    """#95: ROUGE-1/2/L, entity P/R/F and sentiment correlation as one metric table."""
+def _evaluation(spark, sf_dir, stem):
     from .compositions import run_full_evaluation
 
     p = b.conversation_pairs(spark, sf_dir).withColumn("change", F.length("prediction").cast("double"))
     return run_full_evaluation(p, key=KEY, lexicon=b.FIXTURE_POSITIVE + b.FIXTURE_NEGATIVE, price_changes="change",
-                               positive=b.FIXTURE_POSITIVE, negative=b.FIXTURE_NEGATIVE)
+                               positive=b.FIXTURE_POSITIVE, negative=b.FIXTURE_NEGATIVE, stem=stem)
+
+
+@register("run_full_evaluation")
+def q_run_full_evaluation(spark, sf_dir):
+    """#95: ROUGE-1/2/L (stemmed), entity P/R/F and sentiment correlation as one metric table."""
+    return _evaluation(spark, sf_dir, True)
+
+
+_SENT_PAIRS = f"""sn AS (SELECT CAST(length(prediction) AS DOUBLE) AS change, len(list_filter({_POS_SQL}, lambda w: contains(lower(prediction), w))) AS p,
+  len(list_filter({_NEG_SQL}, lambda w: contains(lower(prediction), w))) AS n FROM pairs),
+sp AS (SELECT change, CASE WHEN p + n = 0 THEN 0.0 ELSE (p - n) / (p + n) END AS score FROM sn),
+sk AS (SELECT {_avg_rank('score', 'sp')} AS rx, {_avg_rank('change', 'sp')} AS ry FROM sp)"""
+
+
+@register("run_full_evaluation_unstemmed", f"""WITH RECURSIVE {_PAIRS}, {_LCS_SQL}, {_rouge_sql(1)}, {_rouge_sql(2)}, {_ENT}, {_SENT_PAIRS},
+cp AS (WITH c AS (SELECT count(*) AS n, corr(score, change) AS r FROM sp), {_p_value_sql('c')}),
+cs AS (WITH c AS (SELECT count(*) AS n, corr(rx, ry) AS r FROM sk), {_p_value_sql('c')})
+SELECT 'rouge1' AS metric, round(avg(rouge1), 6) AS value FROM r1 UNION ALL SELECT 'rouge2', round(avg(rouge2), 6) FROM r2
+UNION ALL SELECT 'rougeL', round(avg("rougeL"), 6) FROM rl
+UNION ALL SELECT 'entity_precision', round(avg(precision), 6) FROM prf UNION ALL SELECT 'entity_recall', round(avg(recall), 6) FROM prf
+UNION ALL SELECT 'entity_f1', round(avg(f1), 6) FROM prf
+UNION ALL SELECT 'pearson_correlation', r FROM cp UNION ALL SELECT 'pearson_p_value', p_value FROM cp
+UNION ALL SELECT 'spearman_correlation', r FROM cs UNION ALL SELECT 'spearman_p_value', p_value FROM cs""")
+def q_run_full_evaluation_unstemmed(spark, sf_dir):
+    """#95: the same metric table without stemming, which SQL can check."""
+    return _evaluation(spark, sf_dir, False)
 
 
-@register("build_index", f"""WITH {section_sql.filings_sql()},
+_INDEX_SQL = f"""{section_sql.filings_sql()},
 landed AS (SELECT ticker, filing_type, filing_date, file_path, 'ACCESSION NUMBER: 0 CONFORMED SUBMISSION TYPE: ' || filing_type
              || ' FILED AS OF DATE: ' || strftime(filing_date, '%Y%m%d') || ' ' || text AS text FROM fil),
 {section_sql.sections_sql("landed")},
 w AS (SELECT ticker, filing_type, filing_date, section, {_WORDS.replace('(text,', '(stext,')} AS words FROM kept
       WHERE length(regexp_replace(stext, {_STRIP}, '', 'g')) > 100),
-c AS (SELECT *, unnest(range(0, len(words), {STEP})) AS st FROM w)
+c AS (SELECT *, unnest(range(0, len(words), {STEP})) AS st FROM w)"""
+
+
+@register("build_index", f"""WITH {_INDEX_SQL}
 SELECT '{VECTOR_COLLECTION_NAME}' AS collection_name, count(DISTINCT (ticker, filing_type, filing_date, section, st)) AS total_documents FROM c""")
 def q_build_index(spark, sf_dir):
     """#96: landed files -> index -> chunks -> vectors -> table stats."""
@@ -324,3 +365,32 @@ def q_build_index(spark, sf_dir):
     recs = build_index(_scan(spark, sf_dir), dim=64)
     path = tb.vector_table_write(recs, scratch_path(spark, "index"), reset=True)
     return tb.vector_table_stats(tb.vector_table_read(spark, path))
+
+
+_REACTION_CTES = _px()[_px().index("bk AS ("):].rstrip()
+
+
+@register("build_pipeline", f"""WITH {_INDEX_SQL},
+px AS (SELECT 'src' || (user_id % 20) AS ticker, TIMESTAMP '2019-12-01' + to_days(CAST(event_id % 2500 AS INTEGER)) AS ts, event_id, value AS close,
+         CAST(json_extract_string(props, '$.k') AS DOUBLE) AS volume,
+         row_number() OVER (PARTITION BY user_id % 20 ORDER BY event_id % 2500, event_id) AS rn
+       FROM events WHERE event_type <> '{b.EVENT_FILING_TYPE}'),
+fl AS (SELECT DISTINCT ticker, CAST(filing_date AS TIMESTAMP) AS earnings_date, filing_type FROM landed),
+{_REACTION_CTES},
+nc AS (SELECT ticker, filing_type, CAST(filing_date AS TIMESTAMP) AS earnings_date, count(DISTINCT (section, st)) AS n_records FROM c GROUP BY ALL)
+SELECT rx.ticker, CAST(rx.earnings_date AS DATE) AS filing_date, rx.filing_type, round(rx.price_change_pct, 6) AS price_change_pct,
+  CASE WHEN rx.price_change_pct > 0 THEN 'up' ELSE 'down' END AS direction, coalesce(nc.n_records, 0) AS n_records
+FROM rx LEFT JOIN nc USING (ticker, earnings_date, filing_type)""")
+def q_build_pipeline(spark, sf_dir):
+    """#96: landed files and prices -> vector table and price reactions, both written; reactions with their filings' records."""
+    from .compositions import build_pipeline
+
+    ev = b.table(spark, sf_dir, "events").where(F.col("event_type") != b.EVENT_FILING_TYPE)
+    day = F.timestamp_add("DAY", (F.col("event_id") % 2500).cast("int"), F.lit("2019-12-01").cast("timestamp_ntz"))
+    prices = ev.select(F.concat(F.lit("src"), F.col("user_id") % 20).alias("ticker"), day.alias("ts"), "event_id", F.col("value").alias("close"),
+                       F.get_json_object("props", "$.k").cast("double").alias("volume"))
+    vectors, reactions = build_pipeline(_scan(spark, sf_dir), prices, scratch_path(spark, "pipeline"), dim=64, tie="event_id")
+    n = tb.vector_table_read(spark, vectors).groupBy("ticker", "filing_type", F.to_date("filing_date").alias("filing_date")).agg(F.count(F.lit(1)).alias("n_records"))
+    r = tb.parquet_source(spark, reactions).withColumn("filing_date", F.to_date("earnings_date"))
+    return r.join(n, ["ticker", "filing_type", "filing_date"], "left").select(
+        "ticker", "filing_date", "filing_type", "price_change_pct", "direction", F.coalesce("n_records", F.lit(0)).cast("long").alias("n_records"))

@@ -183,6 +183,65 @@ def test_containment_pairs_exact(spark):
     assert got == exp
 
 
+@pytest.mark.parametrize("max_item_bytes", [1 << 21, 40])
+def test_containment_of_items_of_any_length_equals_brute_force(spark, max_item_bytes):
+    rnd = random.Random(4)
+    docs = [(i, "".join(rnd.choice("ab é") for _ in range(rnd.randint(0, 60)))) for i in range(60)] + [(7, "ab ab"), (100, None), (101, "")]
+    items = [(i, "".join(rnd.choice("ab é") for _ in range(rnd.randint(1, 5)))) for i in range(40)] + [(50, ""), (51, None), (3, "ab"), (52, "ab")]
+    got = rt.containment_pairs(spark.createDataFrame(items, "item_id int, text string"), spark.createDataFrame(docs, "doc_id int, text string"), max_item_bytes=max_item_bytes)
+    assert sorted(map(tuple, got.collect())) == sorted((i, d) for i, t in items for d, x in docs if t is not None and x is not None and t in x)
+    none = spark.createDataFrame([], "item_id int, text string")
+    assert rt.containment_pairs(none, spark.createDataFrame(docs, "doc_id int, text string")).count() == 0
+
+
+def _brute_overlaps(queries, docs, k):
+    out = []
+    for q, t in queries:
+        w = set((t or "").lower().split())
+        ranked = sorted((-len(w & set((x or "").lower().split())), d) for d, x in docs)[:k]
+        out += [(q, i + 1, d, -n) for i, (n, d) in enumerate(ranked)]
+    return sorted(out)
+
+
+def test_keyword_topk_equals_brute_force_and_scores_few(spark):
+    rnd = random.Random(8)
+    words = [f"w{i}" for i in range(200)]
+    draw = lambda n: " ".join(words[min(int(rnd.expovariate(0.05)), 199)] for _ in range(n))
+    docs = [(i, draw(rnd.randint(0, 40))) for i in range(400)] + [(1000, None), (1001, "")]
+    queries = [(i, draw(rnd.randint(0, 12))) for i in range(100)] + [(200, None), (201, "nowhere"), (202, "W0 w0 w1")]
+    q, d = spark.createDataFrame(queries, "query_id int, text string"), spark.createDataFrame(docs, "doc_id int, text string").repartition(3)
+    for k in (1, 5):
+        got = rt.keyword_topk(q, d, k).select("query_id", F.col("rank").cast("int"), "doc_id", "overlap")
+        assert sorted(map(tuple, got.collect())) == _brute_overlaps(queries, docs, k)
+    import pyarrow as pa
+
+    block = rt._QueryTerms(pa.array([i for i, _ in queries]), [sorted(set((t or "").lower().split())) for _, t in queries], 3)
+    texts = [t for _, t in docs]
+    for lo in range(0, len(texts), 100):
+        block.near(texts[lo : lo + 100])
+    touched = sum(len({i for i, t in enumerate(texts) if set((t or "").split()) & set((x or "").lower().split())}) for _, x in queries)
+    assert block.scored < 0.7 * touched
+
+
+def test_positions_of_any_key(spark):
+    rnd = random.Random(6)
+    rows = list({(rnd.choice([None, "a", "b", "same", "é", "Z"]), rnd.choice([None, *range(60)]), rnd.random()) for _ in range(500)})
+    df = spark.createDataFrame(rows, "s string, n int, x double")
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        for order in (["s", "n", "x"], ["n", "s", "x"], ["x"]):
+            got = stats.row_positions(df, order, partitions=6)
+            at = [rows[0].__class__, *[("s", "n", "x").index(c) for c in order]][1:]
+            want = sorted(rows, key=lambda r: tuple((r[i] is not None, (r[i].encode() if isinstance(r[i], str) else r[i]) if r[i] is not None else 0) for i in at))  # noqa: B023
+            assert [tuple(r)[:3] for r in got.orderBy("_pos").collect()] == want
+            assert [r._pos for r in got.orderBy("_pos").collect()] == list(range(len(rows))) and {r._n for r in got.collect()} == {len(rows)}
+        many = stats._key_points(df, ["s", "n"], 6)
+        assert len(many) == 5  # a composite key splits the rows of one string
+        assert stats.row_positions(df.limit(0), ["s"]).count() == 0
+    finally:
+        spark.conf.set("spark.sql.exchange.reuse", "true")
+
+
 def test_porter_stems():
     from ledgerlens.functions.stem import porter_stem, stem_token
 
@@ -275,3 +334,32 @@ def test_two_points_have_p_one():
     from ledgerlens.operators.stats import corr_p_value
 
     assert corr_p_value(1.0, 2) == 1.0 and corr_p_value(0.5, 1) is None and corr_p_value(1.0, 5) == 0.0
+
+
+def test_embed_once_makes_one_model_per_worker_and_batches_across_rows(spark, tmp_path):
+    from ledgerlens.operators import hooks
+
+    def make():
+        import os
+
+        with open(f"{tmp_path}/{os.getpid()}", "a") as f:
+            f.write("made\n")
+
+        def model(texts):
+            assert len(texts) <= 7
+            return [[len(t), len(texts)] for t in texts]
+
+        return model
+
+    df = spark.range(200).select("id", F.when(F.col("id") % 9 > 0, F.repeat(F.lit("x"), F.col("id").cast("int"))).alias("t")).repartition(10)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        for _ in range(2):
+            got = df.select("id", hooks.embed_once(make, F.col("t"), batch_size=7).alias("e")).collect()
+            assert all(r.e[0] == (r.id if r.id % 9 else 0) for r in got) and len(got) == 200
+            assert sum(r.e[1] == 7 for r in got) >= 100  # batches of 7 from Arrow batches of 5
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    made = [p.read_text().count("made") for p in tmp_path.iterdir()]
+    assert made and all(n <= 2 for n in made)  # once per worker and query, though a worker ran several tasks
+    assert sum(made) < 20
