@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from ..constants import KEYWORD_TOP_K, RETRIEVER_OVERFETCH, RETRIEVER_TOP_K
 from ..functions.text import split_words
+from ..session import materialize
 from .vector_search import HELD_HITS, MAX_QUERY_BYTES, CellIndex, deal_cells, search
 from .vector_search import cut_hits as _cut_hits
 
@@ -196,16 +197,27 @@ def term_overlap(queries: DataFrame, docs: DataFrame, *, query_id: str = "query_
                  max_broadcast_terms: int = 5_000_000) -> DataFrame:
     """(query_id, doc_id, overlap) for every pair sharing at least one distinct word.
 
-    Query terms are broadcast when their count is within the bound (a hot term
-    then costs no shuffle skew); documents are exploded map-side and aggregated
-    partially before the shuffle on (query_id, doc_id).
+    Query terms are broadcast when their count is within the bound, and documents meet them where they are.
+    Beyond it, words are dealt by document frequency: a word of more than a fourth of a shuffle partition's
+    share of all (document, word) pairs is split over as many salts as it has such shares, so no word is one
+    key.  There are at most four such words per partition, and they alone are broadcast.
     """
     qt = queries.select(F.col(query_id).alias("_q"), F.explode_outer(distinct_words(F.col(query_text))).alias("_term")) \
         .where(F.col("_term").isNotNull())
-    qt, _ = bounded_broadcast(qt, max_broadcast_terms)
+    qt, n_terms = bounded_broadcast(qt, max_broadcast_terms)
     dt = docs.select(F.col(doc_id).alias("_d"), F.explode_outer(distinct_words(F.col(doc_text))).alias("_term")) \
         .where(F.col("_term").isNotNull())
-    pairs = dt.join(qt, "_term")
+    if n_terms <= max_broadcast_terms:
+        pairs = dt.join(qt, "_term")
+    else:
+        frequency = materialize(dt.groupBy("_term").agg(F.count(F.lit(1)).alias("_df")))
+        total = frequency.agg(F.sum("_df")).first()[0] or 0
+        share = max(1, total // (4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+        heavy = F.broadcast(frequency.where(F.col("_df") > share).select("_term", F.ceil(F.col("_df") / share).cast("long").alias("_salts")))
+        salts = F.coalesce("_salts", F.lit(1).cast("long"))
+        dealt = dt.join(heavy, "_term", "left").withColumn("_salt", F.pmod(F.xxhash64("_d"), salts)).drop("_salts")
+        asked = qt.join(heavy, "_term", "left").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1))).drop("_salts")
+        pairs = dealt.join(asked, ["_term", "_salt"])
     return pairs.groupBy(F.col("_q").alias(query_id), F.col("_d").alias(doc_id)).agg(
         F.count(F.lit(1)).alias("overlap"))
 

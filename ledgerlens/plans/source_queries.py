@@ -66,7 +66,8 @@ def q_filing_date_extract(spark, sf_dir):
 @register("filing_index", f"WITH {_FILES_SQL} SELECT ticker, filing_type, filing_date FROM fx")
 def q_filing_index(spark, sf_dir):
     """#3: index of landed filings of the indexed types, ordered by ticker and date."""
-    return fl.filing_index(_scan(spark, sf_dir)).select("ticker", "filing_type", "filing_date")
+    heads = fl.filing_heads(spark, land_filings(spark, sf_dir), layout=HIVE_LAYOUT, name_glob="part-*")
+    return fl.filing_index(heads).select("ticker", "filing_type", "filing_date")
 
 
 @register("count_by_ticker_type", f"WITH {_FILES_SQL} SELECT ticker, filing_type, count(*) AS n_filings FROM fx GROUP BY ALL")
@@ -169,6 +170,7 @@ def q_vector_table_drop(spark, sf_dir):
     name = "ledgerlens_vectors_tmp"
     tb.vector_table_drop(spark, name)  # a table left by an interrupted run must not shadow this one
     spark.sql(f"CREATE TABLE {name} USING parquet LOCATION '{path}'")
+    spark.sql(f"MSCK REPAIR TABLE {name}")  # lists the buckets
     n = spark.table(name).count()
     ok = tb.vector_table_drop(spark, name)
     left = spark.sql(f"SHOW TABLES LIKE '{name}'").count()
@@ -371,7 +373,7 @@ _REACTION_CTES = _px()[_px().index("bk AS ("):].rstrip()
 
 
 @register("build_pipeline", f"""WITH {_INDEX_SQL},
-px AS (SELECT 'src' || (user_id % 20) AS ticker, TIMESTAMP '2019-12-01' + to_days(CAST(event_id % 2500 AS INTEGER)) AS ts, event_id, value AS close,
+px AS (SELECT 'src' || (user_id % 20) AS ticker, TIMESTAMP '2019-12-01' + to_days(CAST(event_id % 2500 AS INTEGER)) + to_microseconds(event_id % 1000000) AS ts, event_id, value AS close,
          CAST(json_extract_string(props, '$.k') AS DOUBLE) AS volume,
          row_number() OVER (PARTITION BY user_id % 20 ORDER BY event_id % 2500, event_id) AS rn
        FROM events WHERE event_type <> '{b.EVENT_FILING_TYPE}'),
@@ -387,6 +389,7 @@ def q_build_pipeline(spark, sf_dir):
 
     ev = b.table(spark, sf_dir, "events").where(F.col("event_type") != b.EVENT_FILING_TYPE)
     day = F.timestamp_add("DAY", (F.col("event_id") % 2500).cast("int"), F.lit("2019-12-01").cast("timestamp_ntz"))
+    day = F.timestamp_add("MICROSECOND", (F.col("event_id") % 1_000_000).cast("int"), day)  # no two prices at once
     prices = ev.select(F.concat(F.lit("src"), F.col("user_id") % 20).alias("ticker"), day.alias("ts"), "event_id", F.col("value").alias("close"),
                        F.get_json_object("props", "$.k").cast("double").alias("volume"))
     vectors, reactions = build_pipeline(_scan(spark, sf_dir), prices, scratch_path(spark, "pipeline"), dim=64, tie="event_id")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.fs  # noqa: F401
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +14,8 @@ from ..functions.text import py_strip
 # Folder layout of landed filings: <root>/sec-edgar-filings/<ticker>/<type>/<submission>/<file>.
 EDGAR_LAYOUT = r"sec-edgar-filings/([^/]+)/([^/]+)/([^/]+)/[^/]+$"
 EDGAR_NAME_GLOB = "*full-submission*.txt"
+#: bytes that are read of a file at once for its head
+HEAD_BYTES = 8192
 
 
 def filing_scan(spark: SparkSession, root: str, *, layout: str = EDGAR_LAYOUT,
@@ -39,10 +44,48 @@ def filing_scan(spark: SparkSession, root: str, *, layout: str = EDGAR_LAYOUT,
     ).where(F.col("ticker") != "")
 
 
+def read_head(path: str, lines: int = FILING_DATE_SCAN_LINES, marker: str = FILING_DATE_MARKER, size: int = HEAD_BYTES) -> tuple[str, int]:
+    """The first ``lines`` lines of a file, or those up to the first with the marker, and the bytes read for them."""
+    system, name = pa.fs.FileSystem.from_uri(path)
+    held, wanted = b"", marker.encode()
+    with system.open_input_stream(name) as f:
+        while data := f.read(size):
+            held += data
+            at = held.find(wanted)
+            if held.count(b"\n") >= lines or (at >= 0 and held.find(b"\n", at) >= 0):
+                break
+    return "\n".join(held.decode("utf-8", "replace").split("\n")[:lines]), len(held)
+
+
+def filing_heads(spark: SparkSession, root: str, *, layout: str = EDGAR_LAYOUT, name_glob: str = EDGAR_NAME_GLOB,
+                 lines: int = FILING_DATE_SCAN_LINES) -> DataFrame:
+    """As ``filing_scan``, with only the lines of a file that its filing date needs as ``content``.
+
+    The file source lists the files; a task reads the beginning of each in pieces of HEAD_BYTES and stops
+    where the date marker's line or the last line wanted ends.  A missing root gives an empty table.
+    """
+    schema = "ticker string, filing_type string, submission string, file_path string, content string"
+    try:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", name_glob).load(root).select("path")
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return spark.createDataFrame([], schema)
+        raise
+    listed = files.select(*[F.regexp_extract("path", layout, i).alias(n) for i, n in enumerate(("ticker", "filing_type", "submission"), 1)],
+                          F.col("path").alias("file_path")).where(F.col("ticker") != "")
+
+    def run(batches):
+        for b in batches:
+            heads = [read_head(p, lines)[0] for p in b.column("file_path").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(heads, pa.string())], names=[*b.schema.names, "content"])
+
+    return listed.mapInArrow(run, schema)
+
+
 def filing_date_text(content: Column, marker: str = FILING_DATE_MARKER,
                      lines: int = FILING_DATE_SCAN_LINES) -> Column:
     """First of the first ``lines`` lines holding the marker: text after it, stripped, first 8 characters."""
-    head = F.slice(F.split(content, "\n", -1), 1, lines)
+    head = F.slice(F.split(content, "\n", lines + 1), 1, lines)  # the split stops after that many lines
     hit = F.element_at(F.concat(F.filter(head, lambda l: F.contains(l, F.lit(marker))),
                                 F.array(F.lit(None).cast("string"))), 1)
     after = F.element_at(F.split(hit, "\\Q" + marker + "\\E", -1), 2)

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from ..constants import REPORT_RULE_WIDTH, VECTOR_COLLECTION_NAME
 from ..operators.documents import chunk_id_key
 from ..operators.retrieval import date_text
+from ..session import materialize
 
 
 def parquet_sink(df: DataFrame, path: str, *, partition_by: list[str] | None = None, mode: str = "overwrite") -> str:
@@ -74,26 +75,70 @@ def vector_id_collisions(records: DataFrame) -> DataFrame:
     return records.groupBy("id").agg(F.count(F.lit(1)).alias("n_records")).where("n_records > 1")
 
 
-def vector_table_write(records: DataFrame, path: str, *, reset: bool = False) -> str:
+#: buckets of a new vector table, and most ids that a write broadcasts (16 MB of 16-byte ids; beyond, they are shuffled)
+BUCKETS, MAX_BROADCAST_IDS = 64, 1_000_000
+_BUCKET = "bucket_of_"
+
+
+def _held(spark: SparkSession, path: str) -> tuple[DataFrame | None, int | None, str | None]:
+    """The table at ``path`` if there is one, its number of buckets and its bucket column."""
+    try:
+        table = spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None, None, None
+    column = next((c for c in table.columns if c.startswith(_BUCKET)), None)
+    return table, int(column[len(_BUCKET):]) if column else None, column
+
+
+def _ids_join(rows: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """Semi or anti join on ``id``: the ids are broadcast if they are few, so that the rows stay where they are."""
+    return rows.join(F.broadcast(ids) if ids.count() <= MAX_BROADCAST_IDS else ids, "id", how)
+
+
+def vector_table_rows(records: DataFrame, path: str | None, buckets: int = BUCKETS) -> DataFrame:
+    """The rows that a write of ``records`` adds to the table at ``path`` (None: to an empty one), with their bucket.
+
+    Ids are counted without their vectors; the ids that several records claim, and those that the table has in
+    the buckets concerned, are few as a rule, and only records of the former are compared whole.
+    """
+    spark = records.sparkSession
+    table, count, column = _held(spark, path) if path else (None, None, None)
+    if table is not None and not column:
+        raise ValueError(f"{path} holds a table without buckets: write it anew with reset")
+    count = count or buckets
+    name, bucket = f"{_BUCKET}{count}", F.pmod(F.xxhash64("id"), F.lit(count)).cast("int")
+    ids = materialize(records.select("id").groupBy("id").agg(F.count(F.lit(1)).alias("n")))
+    claimed = ids.where("n > 1").select("id")
+    plain = _ids_join(records, claimed, "left_anti")
+    rows = plain.unionByName(_one_per_id(_ids_join(records, claimed, "left_semi")))
+    if table is not None:
+        touched = [r[0] for r in ids.select(bucket.alias("b")).distinct().collect()]  # at most one per bucket
+        known = materialize(table.where(F.col(column).isin(touched)).select("id").join(ids, "id", "left_semi"))
+        rows = _ids_join(rows, known, "left_anti")
+    return rows.select(*records.columns, bucket.alias(name))
+
+
+def vector_table_write(records: DataFrame, path: str, *, reset: bool = False, buckets: int = BUCKETS) -> str:
     """Write vector records: ``reset`` replaces the table, otherwise rows of new ids are appended.
 
     One record per id: the least one of a write (see ``vector_id_collisions`` for the others), and an id that
-    the table has keeps its record.
+    the table has keeps its record.  Files lie in buckets of the ids' hash; an append adds files to the buckets of
+    new ids, reads the ids of the same buckets, and touches no others.
     """
-    rows = _one_per_id(records)
-    if not reset:
-        try:
-            rows = rows.join(records.sparkSession.read.parquet(path).select("id"), "id", "left_anti").select(*records.columns)
-        except AnalysisException as e:
-            if e.getCondition() != "PATH_NOT_FOUND":
-                raise
-    rows.write.mode("overwrite" if reset else "append").parquet(path)
+    rows = vector_table_rows(records, None if reset else path, buckets)
+    name = rows.columns[-1]
+    rows.repartitionByRange(name, F.xxhash64("id")).write.mode("overwrite" if reset else "append").partitionBy(name).parquet(path)
     return path
 
 
 def vector_table_read(spark: SparkSession, path: str) -> DataFrame:
     """The vector table: a plain scan, as a write keeps ids unique."""
-    return spark.read.parquet(path)
+    table, _, column = _held(spark, path)
+    if table is None:
+        raise FileNotFoundError(f"table not found at {path}; build it first")
+    return table.drop(column) if column else table
 
 
 def vector_table_stats(records: DataFrame, name: str = VECTOR_COLLECTION_NAME) -> DataFrame:
@@ -103,11 +148,11 @@ def vector_table_stats(records: DataFrame, name: str = VECTOR_COLLECTION_NAME) -
 
 
 def vector_table_drop(spark: SparkSession, name: str) -> bool:
-    """``DROP TABLE IF EXISTS``; a failure is reported (False), not raised."""
+    """``DROP TABLE IF EXISTS``; a table that Spark refuses to drop is reported (False), not raised."""
     try:
         spark.sql(f"DROP TABLE IF EXISTS `{name}`")
         return True
-    except Exception:  # noqa: BLE001 - the reference logs and continues
+    except AnalysisException:  # a view of that name, a catalog that cannot drop it
         return False
 
 

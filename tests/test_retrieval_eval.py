@@ -363,3 +363,20 @@ def test_embed_once_makes_one_model_per_worker_and_batches_across_rows(spark, tm
     made = [p.read_text().count("made") for p in tmp_path.iterdir()]
     assert made and all(n <= 2 for n in made)  # once per worker and query, though a worker ran several tasks
     assert sum(made) < 20
+
+
+def test_term_overlap_deals_frequent_words(spark):
+    rnd = random.Random(9)
+    docs = [(i, " ".join(["the", *(f"w{rnd.randrange(80)}" for _ in range(5))])) for i in range(300)] + [(900, None), (901, "")]
+    queries = [(i, f"THE w{i} w{i + 1}") for i in range(40)] + [(90, None)]
+    q, d = spark.createDataFrame(queries, "query_id int, text string"), spark.createDataFrame(docs, "doc_id int, text string")
+    want = sorted((a, b, len(set(t.lower().split()) & set(x.split()))) for a, t in queries for b, x in docs if t and x and set(t.lower().split()) & set(x.split()))
+    assert sorted(map(tuple, rt.term_overlap(q, d).collect())) == want
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        dealt = rt.term_overlap(q, d, max_broadcast_terms=1)
+        assert sorted(map(tuple, dealt.collect())) == want
+        plan = dealt._jdf.queryExecution().optimizedPlan().toString()
+        assert "_salt" in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

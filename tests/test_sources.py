@@ -100,3 +100,57 @@ def test_one_failing_filing_keeps_the_others(spark):
     got = hooks.apply_per_filing(spark.range(1000).withColumnRenamed("id", "i"), fn, "i long, n long").collect()
     assert len(got) == 1000 and [(r.i, r.n, r.error) for r in got if r.error] == [(500, None, "ValueError: broken")]
     assert all(r.n == 2 * r.i for r in got if not r.error)
+
+
+def test_append_touches_only_the_buckets_of_new_ids(spark, tmp_path):
+    from ledgerlens.sources import tables as tb
+
+    schema = "id string, embedding array<float>, document string"
+    df = spark.createDataFrame([(f"id{i}", [float(i)], f"text {i}") for i in range(300)], schema)
+    path = tb.vector_table_write(df, str(tmp_path / "v"), reset=True, buckets=16)
+    listing = lambda: {f"{d}/{n}": os.stat(f"{d}/{n}").st_mtime_ns for d, _, names in os.walk(path) for n in names if n.endswith(".parquet")}
+    before = listing()
+    assert len({os.path.dirname(f) for f in before}) == 16
+    more = spark.createDataFrame([("new1", [1.0], "b"), ("new1", [0.0], "a"), ("new2", [2.0], "c"), ("id7", [9.0], "again")], schema)
+    tb.vector_table_write(more, path)
+    after = listing()
+    assert {f: after[f] for f in before} == before  # no file is rewritten
+    assert len({os.path.dirname(f) for f in after if f not in before}) <= 2
+    got = {r.id: (r.document, list(r.embedding)) for r in tb.vector_table_read(spark, path).collect()}
+    assert len(got) == 302 and got["new1"] == ("a", [0.0]) and got["id7"] == ("text 7", [7.0])
+    plan = tb.vector_table_rows(more, path)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    with pytest.raises(ValueError, match="without buckets"):
+        df.write.parquet(str(tmp_path / "flat"))
+        tb.vector_table_write(df, str(tmp_path / "flat"))
+
+
+def test_ids_beyond_the_broadcast_bound(spark, tmp_path, monkeypatch):
+    from ledgerlens.sources import tables as tb
+
+    monkeypatch.setattr(tb, "MAX_BROADCAST_IDS", 1)
+    rows = [(f"id{i % 50}", [float(i)], f"text {99 - i}") for i in range(100)]
+    df = spark.createDataFrame(rows, "id string, embedding array<float>, document string")
+    path = tb.vector_table_write(df, str(tmp_path / "v"), reset=True)
+    tb.vector_table_write(df, path)
+    least = {}
+    for i, _, t in rows:
+        least[i] = min(least.get(i, t), t)
+    assert {r.id: r.document for r in tb.vector_table_read(spark, path).collect()} == least and tb.vector_table_read(spark, path).count() == 50
+
+
+def test_index_reads_only_heads(spark, tmp_path):
+    big = "x" * 200 + "\n"
+    _write(str(tmp_path), "A", "10-K", "s1", "full-submission.txt", "a\nFILED AS OF DATE:\t\t20240201\n" + big * 50_000)
+    _write(str(tmp_path), "A", "10-K", "s2", "full-submission.txt", big * 49 + "FILED AS OF DATE: 20230105\n" + big * 50_000)
+    _write(str(tmp_path), "B", "10-K", "s3", "full-submission.txt", big * 50 + "FILED AS OF DATE: 20230105\n" + big * 50_000)
+    _write(str(tmp_path), "B", "10-K", "s4", "full-submission.txt", "")
+    _write(str(tmp_path), "B", "10-K", "s5", "full-submission.txt", "é\xa0 FILED AS OF DATE: 20220105")
+    files = fl.filing_scan(spark, str(tmp_path))
+    key = lambda df: sorted((r.ticker, r.file_path.replace("file:///", "file:/"), str(r.filing_date)) for r in fl.filing_index(df).collect())
+    heads = fl.filing_heads(spark, str(tmp_path))
+    assert key(heads) == key(files) and len(key(files)) == 4  # Spark lists no empty files
+    assert all(len(r.content) <= 201 * 50 for r in heads.collect())
+    for path, most in (("A/10-K/s1", fl.HEAD_BYTES), ("A/10-K/s2", 201 * 50 + fl.HEAD_BYTES), ("B/10-K/s3", 201 * 50 + fl.HEAD_BYTES)):
+        assert fl.read_head(f"{tmp_path}/sec-edgar-filings/{path}/full-submission.txt")[1] <= most
+    assert fl.filing_heads(spark, str(tmp_path / "none")).count() == 0
