@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import ANALYST_TOP_K, ENGINE_OVERFETCH, ENGINE_TOP_K
@@ -54,6 +54,18 @@ def rag_prompts(questions: DataFrame, corpus: DataFrame, *, top_k: int = ENGINE_
     return out
 
 
+def rag_from_text(questions: DataFrame, corpus: DataFrame, embed: Callable[[Column], Column], **options) -> DataFrame:
+    """``rag_prompts`` for questions (query_id, question, ...) and a corpus (id, text, ...) that have no vectors yet.
+
+    ``embed`` (such as ``hooks.embed_once`` with the caller's model) turns both kinds of text into vectors, so a
+    question's vector always comes from the model of the corpus.
+    """
+    # a written corpus: its vectors are read once for the pivots and once to be dealt, and the model is costly
+    texts = materialize(corpus.withColumn("embedding", embed(F.col("text"))))
+    asked = materialize(questions.withColumn("embedding", embed(F.col("question"))))
+    return rag_prompts(asked, texts, **options)
+
+
 def multi_agent_query(questions: DataFrame, corpus: DataFrame, fundamentals: DataFrame, *,
                       generate_fn: Callable[[str], str], year: int | None = None, k: int = ANALYST_TOP_K,
                       company_key: str = "company_key") -> DataFrame:

@@ -315,6 +315,28 @@ def q_multi_agent_query(spark, sf_dir):
                              generate_fn=_first_line)
 
 
+_COUNTS = "[length({0}), length({0}) - length(replace({0}, 'e', '')), (length({0}) - length(replace({0}, 'the', ''))) // 3, length({0}) - length(replace({0}, ' ', ''))]"
+
+
+@register("rag_text_query", f"""WITH q AS (SELECT item_id AS query_id, text AS question, {_COUNTS.format('text')} AS e FROM benchmark),
+cv AS (SELECT doc_id AS id, source AS ticker, lang AS section, DATE '2019-01-01' + CAST(doc_id AS INTEGER) AS filing_date, text, {_COUNTS.format('text')} AS e FROM documents),
+d AS (SELECT query_id, id, ticker, section, filing_date, text, CAST(list_sum(list_transform(range(1, 5), lambda i: (q.e[i] - cv.e[i]) * (q.e[i] - cv.e[i]))) AS DOUBLE) AS distance FROM q, cv),
+h AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM d QUALIFY rank <= 5),
+ctx AS (SELECT query_id, string_agg('[Source ' || rank || '] ' || ticker || ' - 10-K (' || strftime(CAST(filing_date AS TIMESTAMP), '%Y-%m-%d %H:%M:%S') || ') - '
+          || section || ':' || chr(10) || text, chr(10) || chr(10) ORDER BY rank) AS context,
+        string_agg(id || ':' || rank, ',' ORDER BY rank) AS sources FROM h GROUP BY query_id)
+SELECT q.query_id, {_sql_template("coalesce(ctx.context, '')", 'q.question')} AS prompt, coalesce(sources, '') AS sources FROM q LEFT JOIN ctx USING (query_id)""")
+def q_rag_text_query(spark, sf_dir):
+    """#93: questions and documents embedded from their texts by the same model, then retrieval, context and prompt."""
+    from .compositions import rag_from_text
+
+    questions = b.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
+    corpus = b.document_chunks_input(spark, sf_dir).withColumnRenamed("doc_id", "id")
+    out = rag_from_text(questions, corpus, lambda text: hooks.embed_once(_make_counting_model, text), top_k=5, route=False)
+    sources = F.array_join(F.transform("sources", lambda x: F.concat(x["id"].cast("string"), F.lit(":"), x["rank"].cast("string"))), ",")
+    return out.select("query_id", "prompt", sources.alias("sources"))
+
+
 def _evaluation(spark, sf_dir, stem):
     from .compositions import run_full_evaluation
 
