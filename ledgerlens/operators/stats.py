@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import materialize
+
 
 # ------------------------------------------------------------------ ordering
 def nlargest(df: DataFrame, col: str, n: int, tie_cols: list[str] | None = None) -> DataFrame:
@@ -53,8 +55,12 @@ def _offsets(rows: DataFrame, weight: Column, n: str) -> DataFrame:
 
 
 def _running_weight(df: DataFrame, value: str, weight: str, partitions: int) -> DataFrame:
-    """``value, weight, _start`` (weight of all smaller values) and ``_n`` (all weight); values are distinct."""
-    rows = df.select(value, weight).withColumn("_b", _bucket(F.col(value), _split_points(df, value, partitions)))
+    """``value, weight, _start`` (weight of all smaller values) and ``_n`` (all weight); values are distinct.
+
+    The table of distinct values is written once: split points, windows and bucket totals read it.
+    """
+    df = materialize(df.select(value, weight))
+    rows = df.withColumn("_b", _bucket(F.col(value), _split_points(df, value, partitions)))
     within = Window.partitionBy("_b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("_before", F.coalesce(F.sum(weight).over(within), F.lit(0)))
     return rows.join(F.broadcast(_offsets(rows, F.col(weight), "_n")), "_b").select(
