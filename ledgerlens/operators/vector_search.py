@@ -125,8 +125,21 @@ def _profiles(queries: DataFrame, index: CellIndex, match_cols: list[str]) -> Da
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
-def _choose(pivots: np.ndarray, embedding: str, k: int):
-    """Adds the chosen cells as bits: the nearest ones with k rows, or all that ``_most`` and ``_done`` leave."""
+def _matrix(column: pa.Array, kind, rows: int) -> np.ndarray:
+    """Binary values of one length each as the rows of a matrix."""
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(rows, -1)
+
+
+def _planned(b: pa.RecordBatch, chosen: np.ndarray, n: np.ndarray, more: dict[str, pa.Array]) -> pa.RecordBatch:
+    """The batch with the chosen cells as bits and the rows in them."""
+    bits = np.packbits(chosen, axis=1)
+    new = {"_chosen": pa.array([x.tobytes() for x in bits], pa.binary()), "_read": pa.array((n * chosen).sum(axis=1)), **more}
+    names = [c for c in b.schema.names if c not in new and c not in ("_cells", "_most")]
+    return pa.RecordBatch.from_arrays([*[b.column(c) for c in names], *new.values()], names=[*names, *new])
+
+
+def _first_cells(pivots: np.ndarray, embedding: str, k: int):
+    """Chooses the nearest cells that hold k rows; ``_bound`` is how near a row of each cell may be, ``_n`` its rows."""
 
     def run(batches):
         for b in batches:
@@ -139,28 +152,32 @@ def _choose(pivots: np.ndarray, embedding: str, k: int):
             cell = np.asarray(entries.field("_cell"))
             for name, values in (("n", n), ("near", near), ("far", far)):
                 values[row, cell] = np.asarray(entries.field(name))
-            if "_most" in b.schema.names:
-                most = np.sqrt(np.asarray(b.column("_most").fill_null(float("inf"))))[:, None]
-                done = np.unpackbits(np.frombuffer(b"".join(b.column("_done").to_pylist()), np.uint8).reshape(len(rows), -1), axis=1, count=d.shape[1]).astype(bool)
-                bound = np.maximum(np.maximum(d - far, near - d), 0) * (1 - 1e-9)  # a margin for rounding
-                chosen = (n > 0) & ~done & (bound <= most * (1 + 1e-9))
-            else:
-                order = np.argsort(np.where(n > 0, d, np.inf), axis=1, kind="stable")
-                ordered = np.take_along_axis(n, order, axis=1)
-                chosen = np.zeros(d.shape, bool)
-                np.put_along_axis(chosen, order, (np.cumsum(ordered, axis=1) - ordered < k) & (ordered > 0), axis=1)
-            bits = np.packbits(chosen, axis=1)
-            extra = [pa.array([x.tobytes() for x in bits], pa.binary()), pa.array((n * chosen).sum(axis=1)), pa.array(n.sum(axis=1)), pa.array(d.argmin(axis=1).astype(np.int32))]
-            keep = [c for c in b.schema.names if c not in ("_cells", "_most", "_done")]
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], *extra], names=[*keep, "_chosen", "_read", "_all", "_home"])
+            order = np.argsort(np.where(n > 0, d, np.inf), axis=1, kind="stable")
+            ordered = np.take_along_axis(n, order, axis=1)
+            chosen = np.zeros(d.shape, bool)
+            np.put_along_axis(chosen, order, (np.cumsum(ordered, axis=1) - ordered < k) & (ordered > 0), axis=1)
+            bound = np.maximum(np.maximum(d - far, near - d), 0) * (1 - 1e-9)  # a margin for rounding
+            yield _planned(b, chosen, n, {"_all": pa.array(n.sum(axis=1)), "_home": pa.array(d.argmin(axis=1).astype(np.int32)),
+                                          "_bound": pa.array([x.tobytes() for x in bound], pa.binary()), "_n": pa.array([x.tobytes() for x in n], pa.binary())})
 
     return run
 
 
-def _chosen(profiles: DataFrame, index: CellIndex, k: int) -> DataFrame:
-    fields = [f for f in profiles.schema.fields if f.name not in ("_cells", "_most", "_done")]
-    more = [T.StructField("_chosen", T.BinaryType()), T.StructField("_read", T.LongType()), T.StructField("_all", T.LongType()), T.StructField("_home", T.IntegerType())]
-    return profiles.mapInArrow(_choose(index.pivots, index.embedding, k), T.StructType([*fields, *more]))
+def _other_cells(cells: int):
+    """Chooses the cells not yet read that may hold a row within the k-th distance (all of them if there is none)."""
+
+    def run(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            most = np.sqrt(np.asarray(b.column("_most").fill_null(float("inf"))))[:, None]
+            done = np.unpackbits(_matrix(b.column("_chosen"), np.uint8, b.num_rows), axis=1, count=cells).astype(bool)
+            n = _matrix(b.column("_n"), np.int64, b.num_rows)
+            chosen = (n > 0) & ~done & (_matrix(b.column("_bound"), np.float64, b.num_rows) <= most * (1 + 1e-9))
+            out = _planned(b, chosen, n, {})
+            yield out.filter(pa.array(chosen.any(axis=1)))
+
+    return run
 
 
 # ------------------------------------------------------------------ a pass over the chosen cells
@@ -175,7 +192,7 @@ class _Block:
     def __init__(self, rows: pa.Table, query_id: str, embedding: str, match_cols: list[str], cells: int, dim: int, k: int):
         _, self.q = whole_vectors(rows[embedding], dim)
         self.ids, self.dim, self.k = rows[query_id].combine_chunks(), dim, k
-        self.chosen = np.unpackbits(np.frombuffer(b"".join(rows["_chosen"].to_pylist()), np.uint8).reshape(len(rows), -1), axis=1, count=cells).astype(bool)
+        self.chosen = np.unpackbits(_matrix(rows["_chosen"], np.uint8, len(rows)), axis=1, count=cells).astype(bool) if len(rows) else np.zeros((0, cells), bool)
         self.known = {m: {v: i for i, v in enumerate(dict.fromkeys(x for x in rows[m].to_pylist() if x is not None))} for m in match_cols}
         self.codes = {m: _codes(rows[m].to_pylist(), self.known[m]) for m in match_cols}
 
@@ -211,7 +228,13 @@ class _Block:
                     found.append((mine[a], rows[part[b]], ((q[a] - points[b]) ** 2).sum(axis=1)))
         if not found:
             return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), made
-        return (*(np.concatenate(x) for x in zip(*found, strict=True)), made)
+        q, at, d = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.lexsort((d, q))  # over all cells of the batch: what is within a query's k-th distance
+        q, at, d = q[order], at[order], d[order]
+        first = np.flatnonzero(np.diff(q, prepend=-1))
+        last = np.minimum(first + self.k, np.append(first[1:], len(q))) - 1
+        kept = d <= np.repeat(d[last], np.diff(np.append(first, len(q))))
+        return q[kept], at[kept], d[kept], made
 
 
 def cut_hits(hits: pa.Table, k: int, order: list[tuple[str, str]]) -> pa.Table:
@@ -250,7 +273,7 @@ def _pass(asked: DataFrame, index: CellIndex, k: int, query_id: str, match_cols:
               T.StructField("distance", T.DoubleType()), *[index.rows.schema[c] for c in extra]]
     parts = []
     for condition in _blocks(asked, dim, len(index.pivots)):
-        block = _Block(asked.where(condition).toArrow(), query_id, embedding, match_cols, len(index.pivots), dim, k)
+        block = _Block(asked.where(condition).select(query_id, embedding, *match_cols, "_chosen").toArrow(), query_id, embedding, match_cols, len(index.pivots), dim, k)
         if not block.cells():
             continue
         shared = spark.sparkContext.broadcast(block)
@@ -288,12 +311,14 @@ def search_steps(queries: DataFrame, index: CellIndex, k: int, *, match_cols: li
     if set(match_cols) - set(index.match_cols):
         raise ValueError(f"the cells are dealt by {index.match_cols}, not by {match_cols}")
     asked = queries.select(query_id, index.embedding, *match_cols)
+    plan = [T.StructField("_chosen", T.BinaryType()), T.StructField("_read", T.LongType())]
+    kept = [T.StructField("_all", T.LongType()), T.StructField("_home", T.IntegerType()), T.StructField("_bound", T.BinaryType()), T.StructField("_n", T.BinaryType())]
     profiles = _profiles(asked, index, match_cols)
-    first = materialize(_chosen(profiles, index, k))
+    first = materialize(profiles.mapInArrow(_first_cells(index.pivots, index.embedding, k), T.StructType([*asked.schema.fields, *plan, *kept])))
     hits = materialize(_ranked(_pass(first, index, k, query_id, match_cols, keep_cols), k, query_id, index.id_col).drop("rank"))
     most = hits.groupBy(query_id).agg(F.when(F.count(F.lit(1)) >= k, F.max("distance")).alias("_most"))
-    rest = profiles.join(first.select(query_id, F.col("_chosen").alias("_done")), query_id).join(most, query_id, "left")
-    second = materialize(_chosen(rest, index, k).where("_read > 0"))
+    rest = first.where("_read < _all").join(most, query_id, "left")
+    second = materialize(rest.mapInArrow(_other_cells(len(index.pivots)), T.StructType([*asked.schema.fields, *kept, *plan])))
     hits = hits.unionByName(_pass(second, index, k, query_id, match_cols, keep_cols))
     return _ranked(hits, k, query_id, index.id_col), first, second
 

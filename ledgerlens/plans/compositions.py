@@ -40,8 +40,9 @@ def rag_prompts(questions: DataFrame, corpus: DataFrame, *, top_k: int = ENGINE_
     keep = ["ticker", "filing_type", "filing_date", "section", "text"]
     own_year = "year" if "year" in routed.columns else None
     asked = routed.select("query_id", "embedding", "ticker", "section", *([own_year] if own_year else []))
-    hits = rt.vector_topk_overfetch_year(asked, corpus, top_k, year=None if own_year else year, year_col=own_year,
-                                         overfetch=overfetch, match_cols=["ticker", "section"], keep_cols=keep)
+    # at most top_k rows a question, read by the context and by the sources: written once
+    hits = materialize(rt.vector_topk_overfetch_year(asked, corpus, top_k, year=None if own_year else year, year_col=own_year,
+                                                     overfetch=overfetch, match_cols=["ticker", "section"], keep_cols=keep))
     source = F.struct("rank", "id", *keep, "distance")
     # at most top_k sources per question
     ctx = rt.format_context(hits).join(hits.groupBy("query_id").agg(F.array_sort(F.collect_list(source)).alias("sources")), "query_id")
