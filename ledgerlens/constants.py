@@ -50,7 +50,6 @@ RETRIEVER_OVERFETCH = 3
 ANALYST_TOP_K = 5
 KEYWORD_TOP_K = 5
 VECTOR_COLLECTION_NAME = "earnings_reports"
-VECTOR_INSERT_BATCH = 100
 EMBED_BATCH = 32
 EMBEDDING_DIM = 384
 
