@@ -58,7 +58,7 @@ def test_pieces_of_long_rows_give_the_same(spark, monkeypatch):
     assert result(R.remove_repeats(spark.createDataFrame(items, "doc_id long, text string"), length=100)) == expected
 
 
-def test_maximal_repeats_need_left_diversity():
+def test_repeats_of_both_scans_are_found():
     found = list(R.maximal_repeats([b"xz", b"xz", b"xy"], [b"abcd", b"abce", b"abcd"], 4))
     assert (1, 4, [0, 2]) in [(a, b, sorted(m)) for a, b, m in found]  # x|abcd in contexts 0 and 2
     assert any(a == 2 and b == 3 and sorted(m) == [0, 1] for a, b, m in found)  # zx|abc
