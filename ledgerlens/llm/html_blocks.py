@@ -1,14 +1,17 @@
 """HTML extraction by a recurrent block labeller.
 
 A page becomes its sequence of leaf blocks (runs of text between block-level tags).  Every block has a
-vector of its tag path (hashed names, classes and ids of the open elements), of its hashed words, and of
-its length, links and place.  A bidirectional LSTM in numpy reads the whole sequence in both directions
+vector of its tag path (names, classes and ids of the open elements; common ones have a place of their own,
+others are hashed), of its hashed words, and of its length, links and place.  A bidirectional LSTM in numpy reads the whole sequence in both directions
 and labels every block as main text or not, so a block's label rests on the whole document.
 
 The labeller is trained here on at most TRAIN_PAGES pages of the table (those with the least hash of
 their address; pages over TRAIN_CHARS characters are no training pages), each also with foreign blocks
-put in: menus, notices, adverts, sidebars, forms, comments, filled with other pages' text.  Training
-labels come from the elements that such blocks stand in.
+put in (menus, notices, adverts, sidebars, forms, comments, filled with other pages' text) and on pages of other
+layouts composed of the same texts: frames of any name or none, table cells, text between line breaks, lists,
+quotes, code, definitions, figures, inner tables.  Training labels come from what a composed block stands for; on
+the table's own pages from the elements that a block stands in and, without a frame, from the share of link text
+of the blocks of its kind over the page.
 
 Defined results: null or empty html and pages without main text give an empty text; unclosed, crossing
 and unknown tags are read leniently; repeated rows and null ids keep a row each; extra columns are
@@ -30,8 +33,7 @@ from .common import pieces
 from .tokens import buffers, word_hashes
 
 TRAIN_PAGES, TRAIN_CHARS, EPOCHS, RATE, HIDDEN, SEED = 160, 100_000, 30, 0.01, 20, 7
-PATH, LEAF, WORDS, NUMBERS = 256, 64, 32, 5
-SIZE = PATH + LEAF + WORDS + NUMBERS
+UNKNOWN, LEAF, WORDS, NUMBERS = 64, 64, 32, 5
 
 # FIXED VALUES: element names by role, and the words in names, classes and ids that mark other than main text
 BLOCKS = set("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html iframe legend li main menu nav noscript ol optgroup option p pre search section select summary table tbody td template textarea tfoot th thead title tr ul".split())
@@ -43,6 +45,11 @@ HOLDS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}
 OTHER = set("head title nav header footer aside form button select textarea menu dialog ad ads advert adverts advertisement banner cookie consent notice notices alert popup modal sidebar side menu menus navbar navigation breadcrumb breadcrumbs comment comments respond replies share social related promo promotion sponsor sponsored newsletter subscribe signup login search widget toolbar copyright masthead disclaimer".split())
 MAIN = set("article main content post story entry body".split())
 
+#: places of a path vector: one for each of these names, then UNKNOWN shared ones
+KNOWN = {w: i for i, w in enumerate(sorted(BLOCKS | OTHER | MAIN | {"a"}))}
+PATH = len(KNOWN) + UNKNOWN
+SIZE = PATH + LEAF + WORDS + NUMBERS
+
 _TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([A-Za-z][A-Za-z0-9:_-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(/?)>", re.DOTALL)
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 _NAME = re.compile(r"[a-z]+")
@@ -132,11 +139,17 @@ def blocks(html: str) -> list[Block]:
 
 def taught(page: list[Block]) -> list[int]:
     """Training labels, by the elements around each block."""
-    marks = [{w for label in b.path for w in label.split()} for b in page]
+    # an element is a title of the page, a class of that name is often the article's
+    marks = [{w for label in b.path for i, w in enumerate(label.split()) if i == 0 or w not in ("title", "head")} for b in page]
     framed = any(m & {"article", "main"} for m in marks)
+    sizes: dict[tuple, list[int]] = {}
+    for b in page:  # text and link text of the blocks of a path
+        total = sizes.setdefault(b.path, [0, 0])
+        total[0] += len(b.text)
+        total[1] += b.links
     out = []
     for b, m in zip(page, marks, strict=True):
-        body = (m & {"article", "main"}) if framed else (m & {"p", "h1", "h2", "h3", "blockquote", "pre", "td"}) and 2 * b.links < len(b.text)
+        body = (m & {"article", "main"}) if framed else 2 * sizes[b.path][1] < sizes[b.path][0]
         out.append(int(bool(body) and not m & OTHER))
     return out
 
@@ -155,7 +168,7 @@ def path_vector(path: tuple) -> np.ndarray:
         v = np.zeros(PATH + LEAF, np.float32)
         for label in path:
             for w in label.split():
-                v[[_mark(w, PATH, 1), _mark(w, PATH, 3)]] = 1.0  # two places, as names share some
+                v[KNOWN[w] if w in KNOWN else len(KNOWN) + _mark(w, UNKNOWN, 1)] = 1.0
         blocks_only = [label.split()[0] for label in path if label.split()[0] in BLOCKS]
         if blocks_only:
             v[PATH + _mark(blocks_only[-1], LEAF, 2)] = 1.0
@@ -177,7 +190,7 @@ def vectors(pages: list[list[Block]]) -> list[np.ndarray]:
     x[:, PATH + LEAF : PATH + LEAF + WORDS] = counts / np.maximum(np.sqrt((counts * counts).sum(axis=1)), 1)[:, None] / 2
     sizes = np.array([len(b.text) for b in flat], np.float32)
     x[:, -5] = np.log1p(sizes) / 8
-    x[:, -4] = np.array([b.links for b in flat]) / np.maximum(sizes, 1)
+    x[:, -4] = 2 * np.array([b.links for b in flat]) / np.maximum(sizes, 1)
     x[:, -3] = n <= 3
     ends = np.cumsum([len(p) for p in pages])
     out = np.split(x, ends[:-1])
@@ -311,6 +324,13 @@ FOREIGN = ["nav", "nav menu", "div menu", "div navbar", "header", "div header",
 FRAMES = [("article",), ("main",), ("main", "article"), ("article post",), ("div content", "article"), ("main", "div content"), ("article", "div story")]
 
 
+# FIXED VALUES: containers and leaves of main text on composed pages, and containers of lists of links
+SHELLS = [(), (), ("div",), ("div",), ("div", "div"), ("section",), ("article",), ("main",), ("main", "article"), ("table", "tr", "td"), ("table", "tbody", "tr", "td"), ("center", "table", "tr", "td")]
+LEAVES = [("p",), ("p",), ("p",), ("h1",), ("h2",), ("h3",), ("ul", "li"), ("ul", "li", "p"), ("ol", "li"), ("blockquote",), ("blockquote", "p"), ("pre",), ("dl", "dt"), ("dl", "dd"),
+          ("figure", "figcaption"), ("table", "tr", "td"), ("table", "thead", "tr", "th"), ("table", "tbody", "tr", "td"), ("div",), ("div", "p"), ("section", "p"), ("section", "h2"), ()]
+LINKS = [("ul", "li"), ("div",), ("p",), ("table", "tr", "td"), ("div", "ul", "li")]
+
+
 def varied(page: list[Block], texts: list[str], r) -> tuple[list[Block], list[int]]:
     """The page in another frame with foreign blocks around and inside its main text, and its labels."""
     labels = taught(page)
@@ -343,6 +363,57 @@ def varied(page: list[Block], texts: list[str], r) -> tuple[list[Block], list[in
     return out, marks
 
 
+def composed(texts: list[str], r) -> tuple[list[Block], list[int]]:
+    """A page of a drawn layout with main text and foreign blocks of these texts, and its labels."""
+    out, marks = [], []
+    pick = lambda some: some[int(r.integers(len(some)))]
+    body = ("html", "body") if r.random() < 0.8 else ()
+    foreign_names = sorted(OTHER - {"title", "head"})
+
+    def words(most):
+        w = pick(texts).split()
+        at = int(r.integers(len(w)))
+        return " ".join(w[at : at + int(r.integers(1, most + 1))])
+
+    def named(label):
+        if r.random() < 0.5:
+            return label
+        made = ["".join(chr(97 + int(c)) for c in r.integers(0, 26, int(r.integers(2, 9)))) for _ in range(int(r.integers(1, 3)))]
+        return " ".join([label, *made, *([pick(sorted(MAIN))] if r.random() < 0.3 else [])])
+
+    def add(path, text, label, link=0.0):
+        out.append(Block(path, text, int(len(text) * link)))
+        marks.append(label)
+
+    def foreign(inside):
+        if r.random() < 0.3:
+            path = inside + tuple(named(x) for x in pick(LINKS))
+            for _ in range(int(r.integers(2, 9))):
+                add(path, words(5), 0, 1.0)
+            return
+        kind = pick(FOREIGN) if r.random() < 0.4 else f"{pick(['div', 'div', 'section', 'ul', 'p', 'span'])} {pick(foreign_names)}"
+        path = inside + (kind,) + pick([(), ("p",), ("ul", "li"), ("div",), ("div", "p"), ("h3",)])
+        link = pick([0.0, 0.0, 1.0])
+        for _ in range(int(r.integers(1, 5))):
+            add(path, words(60 if r.random() < 0.5 else 6), 0, link)
+
+    shell = body + tuple(named(x) if x in ("div", "section", "article", "main", "td") else x for x in pick(SHELLS))
+    around, within = pick([0, 2, 4]), pick([0.0, 0.1, 0.4])
+    for _ in range(int(r.integers(around + 1))):
+        foreign(body)
+    # a layout has few kinds of leaves, and each comes in runs
+    kinds = [tuple(named(x) if x == "div" and r.random() < 0.5 else x for x in pick(LEAVES)) for _ in range(int(r.integers(1, 6)))]
+    for _ in range(int(r.integers(1, 8))):
+        path = shell + pick(kinds)
+        for _ in range(int(r.integers(1, 5))):
+            add(path, words(60 if r.random() < 0.6 else 5), 1, pick([0.0, 0.0, 0.0, 0.2, 0.4]))
+        if r.random() < within:
+            foreign(shell)
+    for _ in range(int(r.integers(around + 1))):
+        foreign(body)
+    return out, marks
+
+
 def train(pages: DataFrame, html_col: str = "html", order_col: str = "url") -> Labeller:
     """Fit on a bounded sample; the same pages give the same labeller."""
     rows = pages.where(F.length(html_col).between(1, TRAIN_CHARS)).select(F.col(html_col).alias("html"), F.xxhash64(order_col, html_col).alias("h"))
@@ -354,7 +425,7 @@ def train(pages: DataFrame, html_col: str = "html", order_col: str = "url") -> L
     model, r = Labeller(), np.random.default_rng(SEED)
     texts = [b.text for p in sample for b in p]
     if sample:
-        made = [(p, taught(p)) for p in sample] + [varied(p, texts, r) for p in sample for _ in range(3)]
+        made = [(p, taught(p)) for p in sample] + [varied(p, texts, r) for p in sample] + [composed(texts, r) for _ in range(3 * TRAIN_PAGES)]
         model.fit(vectors([p for p, _ in made]), [y for _, y in made])
     return model
 

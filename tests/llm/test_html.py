@@ -78,3 +78,31 @@ def test_edge_rows(spark):
     assert [r["text"] for r in got if r["page_id"] == 3] == [expected(3)] * 2
     assert next(r for r in got if r["page_id"] is None)["text"] == "" and next(r for r in got if r["page_id"] == 4)["n_main"] == 3000
     assert H.main_text(df.limit(0)).count() == 0
+
+
+LAYOUTS = {  # html of a body, and its main blocks; none of the names is one that training knows
+    "unframed": ('<div class="post-body"><h2>{a}</h2><p>{b}</p><ul><li>{c}</li><li>{d}</li></ul></div>', "abcd"),
+    "table cell": ("<table><tr><td><h1>{a}</h1><p>{b}</p><p>{d}</p></td></tr></table>", "abd"),
+    "line breaks": ("<div>{b}<br><br>{d}</div>", None),
+    "lists and quotes": ("<article><h1>{a}</h1><p>{b}</p><ul><li>{c}</li><li>{d}</li></ul><blockquote>{e}</blockquote></article>", "abcde"),
+    "code and terms": ("<article><p>{b}</p><pre>{c}</pre><dl><dt>{a}</dt><dd>{d}</dd></dl></article>", "bcad"),
+    "figure and table": ("<main><h1>{a}</h1><p>{b}</p><figure><figcaption>{c}</figcaption></figure><table><tr><td>{d}</td><td>{e}</td></tr></table></main>", "abcde"),
+    "unnamed menu": ('<ul><li><a href="x">{c}</a></li><li><a href="y">{f}</a></li></ul><section id="longread"><h1>{a}</h1><p>{b}</p><p>{d}</p></section>', "abd"),
+    "with comments": ('<div class="readable"><h1>{a}</h1><p>{b}</p><p>{d}</p></div><div class="comments"><p>{e}</p><p>{c}</p></div><footer><p>{f}</p></footer>', "abd"),
+    "with a sidebar": ('<div id="sidebar"><p>{e}</p></div><div class="kb"><p>{b}</p><ol><li>{c}</li><li>{d}</li></ol></div><div class="newsletter"><p>{f}</p></div>', "bcd"),
+}
+
+
+def test_layouts_that_training_never_saw(spark, model):
+    data, want = [], []
+    for body, main in LAYOUTS.values():
+        for i in range(20):
+            t = {k: prose(1000 + 10 * i + j, n) for j, (k, n) in enumerate(zip("abcdef", (4, 40, 3, 25, 18, 5), strict=True))}
+            data.append((len(data), "u", f"<html><body>{body.format(**t)}</body></html>"))
+            want.append([t[k] for k in main] if main else [f"{t['b']} {t['d']}"])
+    got = {r["page_id"]: r["text"].split("\n") for r in H.extracted(spark.createDataFrame(data, "page_id long, url string, html string"), model).collect()}
+    right = sum(len(set(got[i]) & set(w)) for i, w in enumerate(want))
+    precision, recall = right / sum(len([x for x in g if x]) for g in got.values()), right / sum(map(len, want))
+    wrong = {k: sum(got[i] != want[i] for i in range(20 * n, 20 * n + 20)) for n, k in enumerate(LAYOUTS)}
+    print(precision, recall, wrong)
+    assert precision >= 0.97 and recall >= 0.97, wrong
