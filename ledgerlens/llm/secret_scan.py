@@ -2,9 +2,11 @@
 
 Two bigram models over ASCII bytes are counted in Spark from samples that the texts label themselves:
 values that the fixed patterns find are random strings, other runs of eight or more letters, digits and
-underscores are ordinary identifiers (so is every word that no pattern marks).  A long run of token
-characters whose log-likelihood ratio exceeds the thresholds is a span of kind ``markov`` if it
-overlaps no fixed-pattern span; those always stay.
+underscores are ordinary identifiers (so is every word that no pattern marks).  One pass over a run of token
+characters sums the log-likelihood ratio of its bigrams, less SHIFT each; where the sum has risen by RATIO from its
+last low, the stretch from that low to the highest sum, drawn out to whole runs of letters and digits, is a span of
+kind ``markov``, if it overlaps no fixed-pattern span; those always stay.  So a random string is found behind a
+path or the name of a setting, and a run may hold several (parted where the sum falls DROP under its highest).
 
 Defined results: null text counts as empty (no spans); repeated rows and null ids keep a result row each;
 extra columns are ignored; without any labelled random string the ratio rests on the uniform
@@ -32,8 +34,8 @@ KINDS = ("assign", "access", "hex", "markov")
 ASSIGN_VALUE, ACCESS_SPAN, HEX_SPAN = 6, 20, 24
 KEYWORDS = ("password", "passwd", "secret", "token", "api")
 
-#: a candidate run, its least length, and the log-likelihood ratio that it needs in all and per character
-MARKOV_SPAN, RATIO, RATIO_PER_CHARACTER = 20, 25.0, 0.9
+#: a candidate run's least length, what each bigram's ratio is lessened by, the sum that a stretch needs, and the fall that ends it
+MARKOV_SPAN, SHIFT, RATIO, DROP = 14, 1.0, 20.0, 10.0
 SYMBOLS = 128
 #: weight of a model's single-character distribution in each of its rows
 SMOOTH = 10.0
@@ -43,6 +45,8 @@ _HEXDIGIT = np.zeros(256, bool)
 _HEXDIGIT[[*range(48, 58), *range(97, 103)]] = True
 _IDENTIFIER = np.zeros(256, bool)
 _IDENTIFIER[[*range(48, 58), *range(65, 91), *range(97, 123), 95]] = True
+_ALNUM = _IDENTIFIER.copy()
+_ALNUM[[43, 95]] = True, False  # a plus sign is inside random strings only
 _TOKEN = _IDENTIFIER.copy()
 _TOKEN[[43, 45, 47, 61]] = True
 
@@ -135,20 +139,46 @@ def train(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     return log_ratio(counts)
 
 
+def stretches(steps: np.ndarray) -> list[tuple[int, int]]:
+    """First and end of the stretches of a run's steps that sum to RATIO or more, in one pass."""
+    out, total, best, first, end = [], 0.0, 0.0, 0, 0
+    for i, x in enumerate([*steps.tolist(), -np.inf]):
+        total += x
+        if total <= 0 or total < best - DROP:
+            if best >= RATIO:
+                out.append((first, end))
+            total, best, first = 0.0, 0.0, i + 1
+        elif total > best:
+            best, end = total, i + 1
+    return out
+
+
 def find(b, ratio: np.ndarray, column: str = "text") -> tuple[list[str], list[list[tuple[int, int, int]]]]:
     """Texts and (start, kind, end) of all spans of each row, by start and kind."""
     raw, at, texts, spans = _batch_spans(b, column)
     a, z = _runs(_TOKEN[raw], at, MARKOV_SPAN)
     for lo, hi in zip(a.tolist(), z.tolist(), strict=True):
         v = raw[lo:hi].astype(np.int64)
-        steps = ratio[v[:-1], v[1:]]
-        if steps.sum() < RATIO or steps.mean() < RATIO_PER_CHARACTER:
+        steps = ratio[v[:-1], v[1:]] - SHIFT
+        sums = np.concatenate([[0.0], np.cumsum(steps)])
+        if (sums - np.minimum.accumulate(sums)).max() < RATIO:
             continue
         r = int(np.searchsorted(at, lo, "right")) - 1
-        start = len(raw[at[r] : lo].tobytes().decode())
-        end = start + hi - lo
-        if all(e <= start or s >= end for s, _, e in spans[r]):
-            spans[r].append((start, 3, end))
+        before = len(raw[at[r] : lo].tobytes().decode())
+        # whole runs of letters and digits, without what parts them at the ends
+        inner = _ALNUM[v]
+        edges = np.flatnonzero(np.diff(np.concatenate([[False], inner, [False]]).astype(np.int8)))
+        opens, closes = edges[::2], edges[1::2]
+        last = -1
+        for first, stop in stretches(steps):
+            a0, z0 = int(np.searchsorted(closes, first, "right")), int(np.searchsorted(opens, stop, "right")) - 1
+            a0 = max(a0, last + 1)  # a run of letters belongs to the first stretch that reaches it
+            if a0 > z0:
+                continue
+            last = z0
+            start, end = before + int(opens[a0]), before + int(closes[z0])
+            if all(e <= start or s >= end for s, _, e in spans[r]):
+                spans[r].append((start, 3, end))
     return [t or "" for t in texts], [sorted(s) for s in spans]
 
 

@@ -59,3 +59,53 @@ def test_redaction_replaces_every_span(spark):
     out = S.redact(docs, ratio)
     assert sum(r["n_assign"] + r["n_access"] + r["n_hex"] for r in S.scan(out.where("text IS NOT NULL"), ratio).collect()) == 0
     assert all(r["n_chars"] == len(r["text"] or "") for r in out.collect())
+
+
+def brute_stretches(steps):
+    """Stretches by looking at every start again."""
+    out, first = [], 0
+    while first < len(steps):
+        sums = [sum(steps[first : i + 1]) for i in range(first, len(steps))]
+        stop = next((i for i, s in enumerate(sums) if s <= 0 or s < max(0.0, *sums[: i + 1]) - S.DROP), len(sums))
+        before = sums[:stop]
+        if before and max(before) >= S.RATIO:
+            out.append((first, first + before.index(max(before)) + 1))
+        first += stop + 1
+    return out
+
+
+def test_stretches_against_brute_force():
+    import numpy as np
+
+    r = np.random.default_rng(2)
+    some = 0
+    for _ in range(200):
+        # quarters add up exactly
+        steps = np.concatenate([r.integers(-12, 5, 30), r.integers(-2, 16, int(r.integers(5, 30))), r.integers(-12, 5, 10), r.integers(-2, 16, 20)]) / 4
+        some += len(S.stretches(steps))
+        assert S.stretches(steps) == brute_stretches(steps.tolist())
+    assert some > 100 and S.stretches(np.zeros(0)) == []
+
+
+def test_random_strings_in_paths_settings_and_pairs(spark):
+    import random
+
+    r = random.Random(4)
+    secret = lambda n: "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+    train = [(i, f"the configuration_manager of garden_window settings token = '{secret(40)}' response_handler_factory NAME_OF_SETTING other_value path/to/folder") for i in range(200)]
+    ratio = S.train(spark.createDataFrame(train, "doc_id long, text string"))
+    forms = ["see path/to/folder/{0} there", "NAME_OF_SETTING={0} é", "é é {0} end", "garden_window/{0}/configuration_manager_of_settings/garden/{1} x"]
+    rows = [(forms[i % 4], secret(32 if i % 4 != 2 else 20), secret(32)) for i in range(200)]
+    held = [(i, f.format(*s)) for i, (f, *s) in enumerate(rows)]
+    got = {x["doc_id"]: x["spans"] for x in S.scan(spark.createDataFrame(held, "doc_id long, text string"), ratio).collect()}
+    redacted = {x["doc_id"]: x["text"] for x in S.redact(spark.createDataFrame(held, "doc_id long, text string"), ratio).collect()}
+    gone, asked = 0, 0
+    for i, (f, *s) in enumerate(rows):
+        for k in s[: f.count("{")]:
+            asked += 1
+            gone += k not in held[i][1] or not any(k[j : j + 8] in redacted[i] for j in range(len(k) - 7))
+        spans = sorted(tuple(map(int, x.split(":")[1:])) for x in got[i].split(",") if x)
+        assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))  # no span overlaps another
+    assert gone >= 0.95 * asked
+    ordinary = [(i, t) for i, t in enumerate(["path/to/folder/garden_window/settings", "NAME_OF_SETTING=other_value", "response_handler_factory_configuration_manager"])]
+    assert not any(x["n_markov"] for x in S.scan(spark.createDataFrame(ordinary, "doc_id long, text string"), ratio).collect())
