@@ -1,6 +1,7 @@
 """Cells: the exact neighbours, what is skipped, edge rows."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -95,3 +96,69 @@ def test_empty_tables(tables):
     assert rt.vector_topk(q, c.limit(0), 3).count() == 0
     assert rt.vector_topk(q.limit(0), c, 3, match_cols=["ticker"]).count() == 0
     assert rt.vector_topk(q, c.limit(0), 3, match_cols=["ticker"]).count() == 0
+
+
+@pytest.mark.parametrize(("cols", "k"), [([], 1), (["ticker", "year"], 7)])
+def test_corpus_that_goes_to_many_queries_gives_the_same(tables, monkeypatch, cols, k):
+    q, c = tables
+    monkeypatch.setattr(vs, "_many", lambda *a: (5, True))
+    got = rt.vector_topk(q, c, k, match_cols=cols, keep_cols=["text"]).collect()
+    assert sorted((r.query_id, r["rank"], r.id) for r in got) == brute_force(QUERIES, corpus_rows(), k, cols)
+    texts = {r[0]: r[4] for r in corpus_rows()}
+    assert all(r.text == texts[r.id] for r in got)
+
+
+@pytest.mark.parametrize("many", [(0, True), (5, True)])
+def test_years_of_the_widened_hits(tables, monkeypatch, many):
+    """Of the 12 nearest rows of a ticker those of the query's year, 3 at most: in the search or after it."""
+    q, c = tables
+    monkeypatch.setattr(vs, "_many", lambda *a: many)
+    asked = q.select("query_id", "embedding", "ticker", F.when(F.col("query_id") % 2 == 0, 2020).alias("wanted"))
+    dated = c.withColumn("filing_date", F.make_date("year", F.lit(1), F.lit(2)))
+    got = rt.vector_topk_overfetch_year(asked, dated, 3, year_col="wanted", overfetch=4, match_cols=["ticker"], keep_cols=["text"])
+    years, want = {r[0]: r[3] for r in corpus_rows()}, {}
+    for i, _, x in brute_force(QUERIES, corpus_rows(), 12, ["ticker"]):
+        if i % 2 or years[x] == 2020:
+            want.setdefault(i, []).append(x)
+    assert sorted((r.query_id, r["rank"], r.id) for r in got.collect()) == sorted((i, n + 1, x) for i, xs in want.items() for n, x in enumerate(xs[:3]))
+
+
+def test_few_rows_per_cell_hold_no_more_than_the_hits(monkeypatch):
+    """Cells with fewer rows than k give all their rows as hits: what is held stays bounded over the cells of a batch."""
+    r = np.random.default_rng(5)
+    monkeypatch.setattr(vs, "HELD_HITS", 1000)
+    n, cells, k = 40, 100, 20
+    rows = pa.table({"query_id": list(range(n)), "embedding": r.normal(size=(n, 4)).tolist(), "_chosen": [bytes([255] * 13)] * n})
+    block = vs._Block(rows, "query_id", "embedding", [], cells, 4, k)
+    sizes, least = [], vs._Block._least
+    monkeypatch.setattr(vs._Block, "_least", lambda self, found, most: (sizes.append(sum(len(x[0]) for x in found)), least(self, found, most))[1])
+    batch = pa.record_batch({"id": list(range(1500)), "embedding": r.normal(size=(1500, 4)).tolist(), "_cell": [i // 15 for i in range(1500)]})
+    q, _, _, made = block.near(batch, "embedding", "id")
+    assert made == n * 1500 and len(q) == n * k and max(sizes) <= 2 * 1000 + n * 15  # of 60,000
+
+
+def test_a_block_cuts_its_hits_and_keeps_the_least_ids(monkeypatch):
+    r = np.random.default_rng(6)
+    monkeypatch.setattr(vs, "HELD_HITS", 10)
+    monkeypatch.setattr(vs, "HELD_DISTANCES", 300)
+    points = np.repeat(r.normal(size=(60, 3)), 4, axis=0)  # four copies each: ties
+    q, pivots, ids = r.normal(size=(9, 3)), points[:20:4], r.permutation(240)
+    cell = ((points[:, None] - pivots[None]) ** 2).sum(axis=2).argmin(axis=1).astype(np.int32)
+    order = np.argsort(cell, kind="stable")
+    queries = pa.record_batch({"query_id": list(range(9)), "_block": [0] * 9, "_is_row": [False] * 9, "_asked": q.tolist(), "_pattern": [0] * 9, "_want": [None, "a", "b"] * 3})
+    rows = [pa.record_batch({"id": ids[at], "_row": at, "_block": [0] * len(at), "_is_row": [True] * len(at), "_vector": points[at].tolist(), "_pattern": [0] * len(at), "_cell": cell[at],
+                             "_gap": np.sqrt(((points[at] - pivots[cell[at]]) ** 2).sum(axis=1)), "_tag": ["ab"[i % 2] for i in ids[at]]}) for at in np.array_split(order, 7)]
+    for k, n in ((10, None), (10, 3)):
+        found = [(x["query_id"], x["id"]) for b in _stream(vs._met(("query_id", "id", "_tag"), [], pivots, k, n), queries, rows) for x in b.to_pylist()]
+        want = []
+        for i in range(9):
+            near = sorted((float(((q[i] - p) ** 2).sum()), int(x)) for p, x in zip(points, ids, strict=True))[:k]
+            wanted = [None, "a", "b"][i % 3]
+            want += [(i, x) for _, x in near if n is None or wanted is None or "ab"[x % 2] == wanted][: n if n else k * (i + 1)][:k]
+        assert sorted(found) == sorted(want)
+
+
+def _stream(run, queries, rows):
+    """Queries and rows as the columns that the shuffle brings, each with NULLs for the other's."""
+    both = pa.concat_tables([pa.Table.from_batches([b]) for b in (queries, *rows)], promote_options="default")
+    return run(iter(both.to_batches(max_chunksize=50)))
