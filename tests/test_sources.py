@@ -6,6 +6,7 @@ import tempfile
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerlens.plans import bindings as b
 from ledgerlens.sources import filings as fl
 from ledgerlens.sources import qa, tables
 
@@ -154,3 +155,25 @@ def test_index_reads_only_heads(spark, tmp_path):
     for path, most in (("A/10-K/s1", fl.HEAD_BYTES), ("A/10-K/s2", 201 * 50 + fl.HEAD_BYTES), ("B/10-K/s3", 201 * 50 + fl.HEAD_BYTES)):
         assert fl.read_head(f"{tmp_path}/sec-edgar-filings/{path}/full-submission.txt")[1] <= most
     assert fl.filing_heads(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_many_folders_are_listed_by_few_tasks_and_filings_are_shuffled_once(spark, tmp_path):
+    """A folder per filing: the listing takes some tasks per core; landing does not shuffle the texts a second time."""
+    for i in range(120):
+        d = tmp_path / "in" / "sec-edgar-filings" / "A" / "10-K" / f"s{i}"
+        d.mkdir(parents=True)
+        (d / "full-submission.txt").write_text(f"FILED AS OF DATE: 202001{i % 28 + 1:02d}\n")
+    before = spark.conf.get(fl.LISTING_TASKS)
+    spark.sparkContext.setJobGroup("listing", "listing")
+    files = fl.filing_scan(spark, str(tmp_path / "in"))
+    tracker = spark.sparkContext.statusTracker()
+    tasks = [tracker.getStageInfo(s).numTasks for j in tracker.getJobIdsForGroup("listing") for s in tracker.getJobInfo(j).stageIds]
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert files.count() == 120 and spark.conf.get(fl.LISTING_TASKS) == before
+    assert tasks and max(tasks) <= 4 * spark.sparkContext.defaultParallelism < 120
+    docs = spark.createDataFrame([(i, f"src{i % 3}", f"text {i}") for i in range(900)], "doc_id long, source string, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    filings = b.synthetic_filings(spark, str(tmp_path))
+    assert filings.count() == 9
+    plan = filings._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "REPARTITION_BY_NUM" in plan
