@@ -162,3 +162,17 @@ def _stream(run, queries, rows):
     """Queries and rows as the columns that the shuffle brings, each with NULLs for the other's."""
     both = pa.concat_tables([pa.Table.from_batches([b]) for b in (queries, *rows)], promote_options="default")
     return run(iter(both.to_batches(max_chunksize=50)))
+
+
+@pytest.mark.parametrize("most", [1000, 20])
+def test_all_pairs_equal_the_join(tables, most):
+    """Every pair of the nested-loop join, with its distance to the last bit and NULL for vectors that do not fit."""
+    q, c = tables
+    got = rt.query_corpus_cross(q, c, match_cols=["ticker"], keep_cols=["text"], max_broadcast=most)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "NestedLoopJoin" not in plan
+    a, b = q.alias("a"), c.alias("b")
+    want = a.join(b, F.col("a.ticker").isNull() | (F.col("a.ticker") == F.col("b.ticker"))).select(
+        "a.query_id", "b.id", rt.squared_l2(F.col("a.embedding"), F.col("b.embedding")).alias("distance"), "b.text")
+    rows = lambda df: sorted((r.query_id, r.id, str(r.distance), r.text) for r in df.collect())
+    assert rows(got) == rows(want)
