@@ -16,6 +16,10 @@ gathered: hashes of its windows are counted with a local combine in every task,
 twice is a repeat.  Both ways cover the same windows exactly (64-bit hashes, as for texts).  Equal texts
 are one text with a count; a text of ``length`` bytes or more that occurs twice is covered whole.
 
+The same search runs a second time over the texts' words (64-bit hashes of them; white space and the case of A-Z
+do not count): ``n_passage_words`` are the words within strings of ``words`` words that occur elsewhere.  Nothing is removed for them:
+a passage of that many words may be shorter than ``length`` bytes.
+
 Defined results: null text counts as empty; a text shorter than ``length`` loses nothing; null and
 repeated ids keep one result row per input row; extra columns are ignored; an empty table gives an
 empty result.
@@ -24,6 +28,8 @@ empty result.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -33,10 +39,12 @@ from pyspark.sql import functions as F
 
 from .arrays import SortedArrays, pack, save, shard_bits, shard_cuts, shard_of, shared_folder, slim, unpack, write_arrays
 from .common import batch, by_group, partitions, pieces, u64
-from .tokens import _BYTE, _power, buffers, mix
+from .tokens import _BYTE, _power, buffers, mix, word_hashes
 
 LENGTH = 400
 GRAM = 32
+PASSAGE_WORDS = 50
+WORD_GRAM = 12
 HOT = 512
 SEGMENT = 1 << 20
 HELD_BYTES = 32 << 20
@@ -44,20 +52,30 @@ _PLACE = np.uint64((1 << 21) - 1)
 NO_ID = -(2**63)
 
 
+class Symbols(NamedTuple):
+    """What texts are strings of: ``of(bytes, offsets)`` gives a batch's symbols and the offsets of its rows among them."""
+
+    name: str
+    of: Callable
+    size: int  # bytes of a symbol
+    length: int  # symbols of a window
+    gram: int  # symbols of an anchor
+
+
 class Windows:
-    """Anchors and their windows in a stretch of bytes (rows of a batch, or a part of a long row)."""
+    """Anchors and their windows in a stretch of bytes or word hashes (rows of a batch, or a part of a long row)."""
 
-    def __init__(self, raw: np.ndarray, ends: np.ndarray, length: int):
-        """``ends``: for each byte, where its row ends."""
-        n, wide = len(raw), length - GRAM + 1
+    def __init__(self, raw: np.ndarray, ends: np.ndarray, length: int, gram: int = GRAM):
+        """``ends``: for each symbol, where its row ends."""
+        n, wide = len(raw), length - gram + 1
         self.raw, self.length = raw, length
         up, self.down = _power(n)
-        v = _BYTE[raw]
+        v = _BYTE[raw] if raw.dtype == np.uint8 else raw.copy()
         v *= up[:n]
         self.sums = np.empty(n + 1, np.uint64)
         self.sums[0] = 0
         np.cumsum(v, out=self.sums[1:])
-        grams = self._hash(np.arange(n - GRAM + 1), GRAM)
+        grams = self._hash(np.arange(n - gram + 1), gram)
         u = (grams & ~_PLACE) | (_PLACE - np.arange(len(grams), dtype=np.uint64))
         padded = np.full(-(-len(u) // wide) * wide, 2**64 - 1, np.uint64)
         padded[: len(u)] = u
@@ -84,7 +102,7 @@ class Windows:
         return self.raw[self.first[i] : self.last[i] + self.length].tobytes()
 
 
-def stretches(raw: np.ndarray, offsets: np.ndarray, rows: np.ndarray, length: int):
+def stretches(raw: np.ndarray, offsets: np.ndarray, rows: np.ndarray, length: int, gram: int = GRAM):
     """(row of each window start, its offset in the row, Windows) over the rows, in bounded pieces."""
     group, size = [], 0
 
@@ -92,7 +110,7 @@ def stretches(raw: np.ndarray, offsets: np.ndarray, rows: np.ndarray, length: in
         parts = [raw[offsets[r] : offsets[r + 1]] for r in group]
         sizes = np.array([len(p) for p in parts])
         begins = np.concatenate([[0], np.cumsum(sizes)])
-        w = Windows(np.concatenate(parts), np.repeat(begins[1:], sizes), length)
+        w = Windows(np.concatenate(parts), np.repeat(begins[1:], sizes), length, gram)
         which = np.searchsorted(begins, w.first, "right") - 1
         return np.array(group)[which], w.first - begins[which], w
 
@@ -103,7 +121,7 @@ def stretches(raw: np.ndarray, offsets: np.ndarray, rows: np.ndarray, length: in
         if n > SEGMENT:
             for lo in range(0, n - length + 1, SEGMENT):
                 part = raw[offsets[r] + lo : offsets[r] + min(n, lo + SEGMENT + length - 1)]
-                w = Windows(part, np.full(len(part), len(part)), length)
+                w = Windows(part, np.full(len(part), len(part)), length, gram)
                 yield np.full(len(w.at), r), w.first + lo, w
             continue
         if size + n > SEGMENT and group:
@@ -150,13 +168,13 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.withColumn("key", F.xxhash64("text"))
 
 
-def _distinct(batches, texts: SortedArrays, length: int):
-    """Per batch: bytes, offsets and the rows that stand for their text and are long enough."""
+def _distinct(batches, texts: SortedArrays, unit: Symbols):
+    """Per batch: symbols, offsets and the rows that stand for their text and are long enough."""
     seen: set[int] = set()
     for b in (p for whole in batches for p in pieces(whole)):
-        raw, offsets = buffers(b.column("text"))
+        raw, offsets = unit.of(*buffers(b.column("text")))
         ids, keys = np.asarray(b.column("id").to_numpy(zero_copy_only=False), np.int64), u64(b.column("key"))
-        mine = (texts.find_any(keys, {"first": np.int64(NO_ID)})["first"] == ids) & (np.diff(offsets) >= length)
+        mine = (texts.find_any(keys, {"first": np.int64(NO_ID)})["first"] == ids) & (np.diff(offsets) >= unit.length)
         rows = [i for i in np.flatnonzero(mine).tolist() if not (keys[i].item() in seen or seen.add(keys[i].item()))]
         yield raw, offsets, np.array(rows, np.int64)
 
@@ -190,11 +208,11 @@ def _merge(folder: str):
     return run
 
 
-def _anchors(texts, bits, length):
+def _anchors(texts, bits, unit):
     def run(batches):
         held, size = [], 0
-        for raw, offsets, rows in _distinct(batches, texts, length):
-            for _, _, w in stretches(raw, offsets, rows, length):
+        for raw, offsets, rows in _distinct(batches, texts, unit):
+            for _, _, w in stretches(raw, offsets, rows, unit.length, unit.gram):
                 held.append(w.hash)
                 size += len(w.hash)
             if size > 2_000_000:
@@ -216,7 +234,7 @@ def _signed(x: int) -> int:
     return x - 2**64 if x >= 2**63 else x
 
 
-def _contexts(texts, anchors: SortedArrays, bits, length):
+def _contexts(texts, anchors: SortedArrays, bits, unit):
     """Contexts of anchors that occur again, equal ones of a task once; window counts of hot anchors."""
     blank = {"kind": "", "shard": 0, "keys": None, "counts": None, "anchor": 0, "key": 0, "left": 0, "context": None, "n": 0}
 
@@ -234,8 +252,8 @@ def _contexts(texts, anchors: SortedArrays, bits, length):
         def flush_hot():
             return pa.RecordBatch.from_pylist([{**blank, "kind": "hot", "shard": s, "keys": k, "counts": c} for s, k, c in _blobs(hot, bits)], schema=_CONTEXT)
 
-        for raw, offsets, rows in _distinct(batches, texts, length):
-            for _, _, w in stretches(raw, offsets, rows, length):
+        for raw, offsets, rows in _distinct(batches, texts, unit):
+            for _, _, w in stretches(raw, offsets, rows, unit.length, unit.gram):
                 n = anchors.find_any(w.hash, {"n": np.int64(0)})["n"]
                 for i in np.flatnonzero(n > HOT).tolist():
                     hot.append(w.window_hashes(i))
@@ -273,7 +291,7 @@ def _covered_windows(contexts: list[tuple[int, bytes, int]], length: int) -> lis
     return out
 
 
-def _resolve(folder: str, length: int):
+def _resolve(folder: str, unit: Symbols):
     """Per shard of anchors: covered windows of every context, written as arrays by context key."""
 
     def run(key, t):
@@ -288,11 +306,13 @@ def _resolve(folder: str, length: int):
                     group[-1] = (*group[-1][:2], group[-1][2] + int(counts[j]))
                 else:
                     own.append(keys[j])
-                    group.append((int(lefts[j]), texts[int(order[j])].as_py(), int(counts[j])))
+                    group.append((int(lefts[j]) * unit.size, texts[int(order[j])].as_py(), int(counts[j])))
                 j += 1
-            for k, spans in zip(own, _covered_windows(group, length), strict=True):
+            for k, spans in zip(own, _covered_windows(group, unit.length * unit.size), strict=True):
+                spans = {(-(-a // unit.size), b // unit.size) for a, b in spans}  # whole symbols
+                spans = sorted((a, b) for a, b in spans if a <= b)
                 if spans:
-                    found.append((int(k) % 2**64, sorted(set(spans))))
+                    found.append((int(k) % 2**64, spans))
             i = j
         found.sort()
         s = key[0].as_py()
@@ -310,78 +330,102 @@ def runs(mask: np.ndarray) -> int:
     return int(mask[0]) + int((mask[1:] & ~mask[:-1]).sum()) if len(mask) else 0
 
 
-def _remove(texts, anchors, hot, resolved, bits, length):
+class Repeats(NamedTuple):
+    """The arrays of one search."""
+
+    unit: Symbols
+    bits: int
+    most: int  # anchors that occur more often are hot
+    texts: SortedArrays
+    anchors: SortedArrays
+    hot: SortedArrays
+    resolved: SortedArrays
+
+    def covered(self, raw: np.ndarray, offsets: np.ndarray, copies: np.ndarray) -> np.ndarray:
+        """Which symbols of a batch lie in a window that occurs elsewhere."""
+        length, sizes = self.unit.length, np.diff(offsets)
+        gone = np.zeros(len(raw) + 1, np.int32)  # a difference array over the batch
+
+        def cover(first, last, row):  # windows that start from first to last of a row
+            np.add.at(gone, offsets[row] + first, 1)
+            np.add.at(gone, offsets[row] + last + length, -1)
+
+        full = np.flatnonzero((copies > 1) & (sizes >= length))
+        cover(np.zeros(len(full), np.int64), sizes[full] - length, full)
+        for rows, first, w in stretches(raw, offsets, np.flatnonzero(copies == 1), length, self.unit.gram):
+            n = self.anchors.find_any(w.hash, {"n": np.int64(0)})["n"]
+            at = np.flatnonzero(n > self.most)
+            if len(at):
+                hashes = [w.window_hashes(i) for i in at.tolist()]
+                got = self.hot.find_any(np.concatenate(hashes), {})["found"]
+                lengths = np.array([len(h) for h in hashes])
+                window = np.concatenate([first[i] + np.arange(len(h)) for i, h in zip(at.tolist(), hashes, strict=True)])[got]
+                cover(window, window, np.repeat(rows[at], lengths)[got])
+            at = np.flatnonzero((n > 1) & (n <= self.most))
+            if not len(at):
+                continue
+            keys = np.array([_context_key(int(w.hash[i]), int(w.at[i] - w.first[i]), w.context(i), self.bits) for i in at.tolist()], np.uint64)
+            got = self.resolved.find_any(keys, {"start": np.int64(0), "size": np.int64(0)})
+            hit = np.flatnonzero(got["found"])
+            if len(hit):
+                size = got["size"][hit]
+                which = np.repeat(hit, size)
+                place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(got["start"][hit], size)
+                shards, spans = shard_of(keys, self.bits)[which], np.empty((len(which), 2), np.int64)
+                for s in np.unique(shards).tolist():
+                    spans[shards == s] = self.resolved.column(s, "spans")[place[shards == s]]
+                cover(first[at[which]] + spans[:, 0], first[at[which]] + spans[:, 1], rows[at[which]])
+        return np.cumsum(gone[:-1]) > 0
+
+
+def _search(rows: DataFrame, texts: SortedArrays, bits: int, unit: Symbols) -> Repeats:
+    spark = rows.sparkSession
+    folder = {n: shared_folder(spark, f"repeats-{unit.name}-{n}") for n in ("anchors", "hot", "resolved", "contexts")}
+    blobs = rows.mapInArrow(_anchors(texts, bits, unit), "shard int, keys binary, counts binary")
+    by_group(blobs, "shard", _merge(folder["anchors"]), "n long").agg(F.sum("n")).first()
+    anchors = SortedArrays(folder["anchors"], bits)
+    schema = "shard int, keys binary, counts binary, anchor long, key long, left int, context binary, n long, kind string"
+    rows.mapInArrow(_contexts(texts, anchors, bits, unit), "kind string, shard int, keys binary, counts binary, anchor long, key long, left int, context binary, n long") \
+        .write.mode("overwrite").partitionBy("kind").parquet(folder["contexts"])
+    contexts = spark.read.schema(schema).parquet(folder["contexts"])
+    hot = contexts.where("kind = 'hot'").select("shard", "keys", "counts")
+    by_group(hot, "shard", _merge(folder["hot"]), "n long").agg(F.sum("n")).first()
+    groups = contexts.where("kind = 'context'").select("shard", "anchor", "key", "left", "context", "n")
+    by_group(groups, "shard", _resolve(folder["resolved"], unit), "n long").agg(F.sum("n")).first()
+    return Repeats(unit, bits, HOT, texts, anchors, SortedArrays(folder["hot"], bits), SortedArrays(folder["resolved"], bits))
+
+
+def _remove(in_bytes: Repeats, in_words: Repeats):
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()),
-                        ("kept_sha256", pa.string()), ("kept", pa.binary())])
+                        ("kept_sha256", pa.string()), ("n_passage_words", pa.int64()), ("kept", pa.binary())])
 
     def run(batches):
         for whole in batches:
             for b in pieces(whole):
                 raw, offsets = buffers(b.column("text"))
-                copies = texts.find_any(u64(b.column("key")), {"copies": np.int64(1)})["copies"]
-                sizes = np.diff(offsets)
-                gone = np.zeros(len(raw) + 1, np.int32)  # a difference array over the batch
-
-                def cover(first, last, row):  # windows that start from first to last of a row
-                    np.add.at(gone, offsets[row] + first, 1)  # noqa: B023
-                    np.add.at(gone, offsets[row] + last + length, -1)  # noqa: B023
-
-                full = np.flatnonzero((copies > 1) & (sizes >= length))
-                cover(np.zeros(len(full), np.int64), sizes[full] - length, full)
-                for rows, first, w in stretches(raw, offsets, np.flatnonzero(copies == 1), length):
-                    n = anchors.find_any(w.hash, {"n": np.int64(0)})["n"]
-                    at = np.flatnonzero(n > HOT)
-                    if len(at):
-                        hashes = [w.window_hashes(i) for i in at.tolist()]
-                        got = hot.find_any(np.concatenate(hashes), {})["found"]
-                        lengths = np.array([len(h) for h in hashes])
-                        window = np.concatenate([first[i] + np.arange(len(h)) for i, h in zip(at.tolist(), hashes, strict=True)])[got]
-                        cover(window, window, np.repeat(rows[at], lengths)[got])
-                    at = np.flatnonzero((n > 1) & (n <= HOT))
-                    if not len(at):
-                        continue
-                    keys = np.array([_context_key(int(w.hash[i]), int(w.at[i] - w.first[i]), w.context(i), bits) for i in at.tolist()], np.uint64)
-                    got = resolved.find_any(keys, {"start": np.int64(0), "size": np.int64(0)})
-                    hit = np.flatnonzero(got["found"])
-                    if len(hit):
-                        size = got["size"][hit]
-                        which = np.repeat(hit, size)
-                        place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(got["start"][hit], size)
-                        shards, spans = shard_of(keys, bits)[which], np.empty((len(which), 2), np.int64)
-                        for s in np.unique(shards).tolist():
-                            spans[shards == s] = resolved.column(s, "spans")[place[shards == s]]
-                        cover(first[at[which]] + spans[:, 0], first[at[which]] + spans[:, 1], rows[at[which]])
-                mask = np.cumsum(gone[:-1]) > 0
+                copies = in_bytes.texts.find_any(u64(b.column("key")), {"copies": np.int64(1)})["copies"]
+                mask = in_bytes.covered(raw, offsets, copies)
+                words, ends = in_words.unit.of(raw, offsets)
+                shared = np.concatenate([[0], np.cumsum(in_words.covered(words, ends, copies))])
                 out = {n: [] for n in schema.names}
-                ids = b.column("id").to_pylist()
+                ids, shared = b.column("id").to_pylist(), (shared[ends[1:]] - shared[ends[:-1]]).tolist()
                 for r in range(b.num_rows):
                     m, text = mask[offsets[r] : offsets[r + 1]], raw[offsets[r] : offsets[r + 1]]
                     left = text[~m].tobytes()
-                    for n, v in zip(schema.names, (None if ids[r] == NO_ID else ids[r], len(text), int(m.sum()), runs(m), hashlib.sha256(left).hexdigest(), left), strict=True):
+                    for n, v in zip(schema.names, (None if ids[r] == NO_ID else ids[r], len(text), int(m.sum()), runs(m), hashlib.sha256(left).hexdigest(), shared[r], left), strict=True):
                         out[n].append(v)
                 yield pa.RecordBatch.from_pydict(out, schema=schema)
 
     return run
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
-    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept`` (the bytes that stay) of every row."""
-    spark = docs.sparkSession
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, words: int = PASSAGE_WORDS) -> DataFrame:
+    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passage_words, kept`` (the bytes that stay) of every row."""
     rows = _texts(docs, id_col, text_col)
     bits = shard_bits(2 * partitions(rows))
-    folder = {n: shared_folder(spark, f"repeats-{n}") for n in ("texts", "anchors", "hot", "resolved", "contexts")}
-    write_arrays(rows.groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("copies")), folder["texts"], bits, ["first", "copies"])
-    texts = SortedArrays(folder["texts"], bits)
-    blobs = rows.mapInArrow(_anchors(texts, bits, length), "shard int, keys binary, counts binary")
-    by_group(blobs, "shard", _merge(folder["anchors"]), "n long").agg(F.sum("n")).first()
-    anchors = SortedArrays(folder["anchors"], bits)
-    schema = "shard int, keys binary, counts binary, anchor long, key long, left int, context binary, n long, kind string"
-    rows.mapInArrow(_contexts(texts, anchors, bits, length), "kind string, shard int, keys binary, counts binary, anchor long, key long, left int, context binary, n long") \
-        .write.mode("overwrite").partitionBy("kind").parquet(folder["contexts"])
-    contexts = spark.read.schema(schema).parquet(folder["contexts"])
-    hot = contexts.where("kind = 'hot'").select("shard", "keys", "counts")
-    by_group(hot, "shard", _merge(folder["hot"]), "n long").agg(F.sum("n")).first()
-    groups = contexts.where("kind = 'context'").select("shard", "anchor", "key", "left", "context", "n")
-    by_group(groups, "shard", _resolve(folder["resolved"], length), "n long").agg(F.sum("n")).first()
-    done = _remove(texts, anchors, SortedArrays(folder["hot"], bits), SortedArrays(folder["resolved"], bits), bits, length)
-    return rows.mapInArrow(done, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    folder = shared_folder(docs.sparkSession, "repeats-texts")
+    write_arrays(rows.groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("copies")), folder, bits, ["first", "copies"])
+    texts = SortedArrays(folder, bits)
+    in_bytes = _search(rows, texts, bits, Symbols("bytes", lambda raw, offsets: (raw, offsets), 1, length, GRAM))
+    in_words = _search(rows, texts, bits, Symbols("words", word_hashes, 8, words, min(WORD_GRAM, words)))
+    return rows.mapInArrow(_remove(in_bytes, in_words), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passage_words long, kept binary")

@@ -71,3 +71,49 @@ def test_edge_rows(documents, no_documents):
     got = {r["doc_id"]: r for r in R.remove_repeats(documents).collect()}
     assert got[10]["n_removed"] == 70_000 and got[9]["n_bytes"] > 300_000
     assert R.remove_repeats(no_documents).count() == 0
+
+
+def brute_words(items, n):
+    import re
+
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    texts = [re.findall("[^\\x20\\x09-\\x0D]+", (t or "").translate(lower)) for _, t in items]
+    seen = Counter(tuple(ws[i : i + n]) for ws in texts for i in range(len(ws) - n + 1))
+    out = []
+    for (x, _), ws in zip(items, texts, strict=True):
+        gone = np.zeros(len(ws), bool)
+        for i in range(len(ws) - n + 1):
+            if seen[tuple(ws[i : i + n])] > 1:
+                gone[i : i + n] = True
+        out.append((x, int(gone.sum())))
+    return sorted(map(str, out))
+
+
+def passage_words(df):
+    return sorted(str((r["doc_id"], r["n_passage_words"])) for r in df.collect())
+
+
+def test_passages_of_many_short_words_are_found(spark):
+    passage = " ".join(f"p{i}" for i in range(51))  # under 400 bytes, which stay
+    items = [(i, f"{prose(500 + i, 60)} {passage if i < 4 else ''} {prose(600 + i, 60)}") for i in range(8)]
+    items += [(8, passage.replace(" ", "\n").upper()), (9, passage[: passage.rindex(" p49")])]
+    got = {r["doc_id"]: r for r in R.remove_repeats(spark.createDataFrame(items, "doc_id long, text string")).collect()}
+    assert [got[i]["n_passage_words"] for i in range(10)] == [51] * 4 + [0] * 4 + [51, 0]
+    assert all(got[i]["n_removed"] == 0 for i in range(10))
+
+
+def test_passage_words_against_brute_force(spark, monkeypatch):
+    shared = prose(1, 40)
+    items = [(i, f"{prose(100 + i, 30)} {shared[i % 7 :]} {prose(200 + i, 20)}") for i in range(24)]
+    items += [(50, shared * 3), (51, "ab " * 300), (52, "é è " * 90), (53, prose(3, 100)), (54, prose(3, 100)), (55, "short"), (56, None), (57, ""), (58, " \n ")]
+    df = spark.createDataFrame(items, "doc_id long, text string").repartition(3)
+    for n in (5, 20, 35):
+        assert passage_words(R.remove_repeats(df, words=n)) == brute_words(items, n)
+    monkeypatch.setattr(R, "HOT", 8)
+    assert passage_words(R.remove_repeats(df, words=20)) == brute_words(items, 20)
+
+
+def test_edge_rows_of_passage_words(documents, no_documents):
+    items = [(r[0], r[1]) for r in rows()]
+    assert passage_words(R.remove_repeats(documents)) == brute_words(items, R.PASSAGE_WORDS)
+    assert R.remove_repeats(no_documents).columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_words", "kept"]
