@@ -176,3 +176,93 @@ def test_all_pairs_equal_the_join(tables, most):
         "a.query_id", "b.id", rt.squared_l2(F.col("a.embedding"), F.col("b.embedding")).alias("distance"), "b.text")
     rows = lambda df: sorted((r.query_id, r.id, str(r.distance), r.text) for r in df.collect())
     assert rows(got) == rows(want)
+
+
+@pytest.mark.parametrize("bytes_held", [vs.MAX_CORPUS_BYTES, 0])
+def test_a_small_corpus_goes_to_every_task_and_is_not_shuffled(tables, monkeypatch, bytes_held):
+    """The same hits where every task holds the corpus and where it goes to blocks of queries; only these shuffle it."""
+    q, c = tables
+    monkeypatch.setattr(vs, "_many", lambda *a: (5, True))
+    monkeypatch.setattr(vs, "MAX_CORPUS_BYTES", bytes_held)
+    monkeypatch.setattr(vs, "TILE_ROWS", 64)
+    asked = q.select("query_id", "embedding", "ticker", F.when(F.col("query_id") % 2 == 0, "2020").alias("wanted"))
+    index = vs.deal_cells(c, match_cols=["ticker"], keep_cols=["text", "year"])
+    got = vs.search(asked, index, 12, match_cols=["ticker"], keep_cols=["text"])
+    assert sorted((r.query_id, r["rank"], r.id) for r in got.collect()) == brute_force(QUERIES, corpus_rows(), 12, ["ticker"])
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert ("_is_row" in plan) == (not bytes_held)
+    texts, years, want = {r[0]: r[4] for r in corpus_rows()}, {r[0]: r[3] for r in corpus_rows()}, {}
+    assert all(r.text == texts[r.id] for r in got.collect())
+    for i, _, x in brute_force(QUERIES, corpus_rows(), 12, ["ticker"]):
+        if i % 2 or years[x] == 2020:
+            want.setdefault(i, []).append(x)
+    some = vs.search(asked, index, 12, match_cols=["ticker"], within=("year", "wanted", 3))
+    assert sorted((r.query_id, r["rank"], r.id) for r in some.collect()) == sorted((i, n + 1, x) for i, xs in want.items() for n, x in enumerate(xs[:3]))
+
+
+def _held(points, cells, ids, codes=None):
+    """A corpus as a task holds it: the first ``cells`` points are the pivots."""
+    pivots = points[:cells].astype(float)
+    cell = np.stack([((points - p) ** 2).sum(axis=1) for p in pivots]).argmin(axis=0).astype(np.int32)
+    rows = pa.table({"id": ids, "embedding": pa.array(points.tolist(), pa.list_(pa.from_numpy_dtype(points.dtype))), "_cell": cell, "_gap": np.sqrt(((points - pivots[cell]) ** 2).sum(axis=1)),
+                     "_row": np.arange(len(points)), "_tag": pa.nulls(len(points), pa.string()), "m": codes if codes is not None else [0] * len(points)})
+    return vs._Corpus(rows, pivots, ["m"], "embedding", "id")
+
+
+def _sphere(r, n, dim):
+    x = r.normal(size=(n, dim))
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def _odd_vectors():
+    r = np.random.default_rng(8)
+    centres = r.normal(0, 20, (20, 6))
+    far = _sphere(r, 900, 6)
+    far[5] *= 1e9
+    far[17] *= 1e5
+    return {
+        "unit": (_sphere(r, 900, 16).astype(np.float32), _sphere(r, 90, 16)),
+        "near the centre": (_sphere(r, 900, 16).astype(np.float32), _sphere(r, 90, 16) * 0.007),
+        "clusters": (centres[r.integers(0, 20, 900)] + r.normal(size=(900, 6)), centres[r.integers(0, 20, 90)] + r.normal(size=(90, 6))),
+        "many ties": (np.repeat(_sphere(r, 9, 6), 100, axis=0), _sphere(r, 40, 6)),
+        "all alike": (np.ones((700, 4)), r.normal(size=(20, 4))),
+        "whole numbers": (r.integers(0, 3, (900, 4)).astype(np.float32), r.integers(0, 3, (60, 4)).astype(float)),
+        "far from zero": (_sphere(r, 900, 6) + 1e8, _sphere(r, 30, 6) + 1e8),
+        "a few very long": (far, _sphere(r, 30, 6)),
+        "far queries": (_sphere(r, 900, 6), _sphere(r, 30, 6) * 1e60),
+        "tiny": (_sphere(r, 900, 6) * 1e-30, _sphere(r, 30, 6) * 1e-30),
+        "one component": (r.normal(size=(900, 1)), r.normal(size=(60, 1))),
+        "fewer rows than k": (_sphere(r, 5, 6), _sphere(r, 30, 6)),
+    }
+
+
+@pytest.mark.parametrize("kind", list(_odd_vectors()))
+def test_a_held_corpus_gives_the_exact_neighbours(monkeypatch, kind):
+    """Single precision only chooses the rows whose exact distances are taken: distances and ties are exact."""
+    monkeypatch.setattr(vs, "TILE_ROWS", 104)
+    monkeypatch.setattr(vs, "TILE_QUERIES", 25)
+    points, q = _odd_vectors()[kind]
+    r = np.random.default_rng(9)
+    ids, codes, kinds = r.permutation(len(points)), r.integers(0, 3, len(points)), r.integers(-1, 4, (len(q), 1))
+    kinds[kinds == 3] = -2  # a value that no row has
+    corpus = _held(points, min(15, len(points)), ids, pa.array([["a", "b", None][x] for x in codes]))
+    name = {"a": 0, "b": 1}
+    asked = np.array([[-1 if x == -1 else corpus.known[0].get(["a", "b"][x], -2) if x in (0, 1) else -2] for x in kinds[:, 0]])
+    a, at, d = corpus.nearest(q, asked, 7)
+    got = [(int(i), int(corpus.ids[int(x)].as_py()), float(y)) for i, x, y in zip(a, at, d, strict=True)]
+    want = []
+    for i, v in enumerate(q):
+        mine = [n for n in range(len(points)) if kinds[i, 0] == -1 or (codes[n] in name.values() and codes[n] == kinds[i, 0])]
+        exact = ((v - points[mine].astype(float)) ** 2).sum(axis=1)
+        want += [(i, x, y) for y, x in sorted(zip(exact.tolist(), ids[mine].tolist(), strict=True))[:7]]
+    assert got == want
+
+
+def test_exact_distances_are_taken_of_few_rows_only(monkeypatch):
+    """Of 20,000 rows some more than k per query get an exact distance."""
+    r = np.random.default_rng(10)
+    corpus = _held(_sphere(r, 20_000, 16).astype(np.float32), 70, np.arange(20_000))
+    ranked, counts = vs._Best._ranked, []
+    monkeypatch.setattr(vs._Best, "_ranked", lambda self: (counts.append(int(self.count.sum())), ranked(self))[1])
+    a, _, _ = corpus.nearest(_sphere(r, 300, 16), np.full((300, 1), -1), 50)
+    assert len(a) == 300 * 50 and sum(counts) < 1.1 * len(a)
